@@ -156,8 +156,10 @@ def test_near_duplicates_equal_brute_force(spark, sf, words, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_duplicates_of_large_groups(spark):
-    """Groups of many near copies, of which not all are linked with one another."""
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, tile):
+    """Groups of many near copies, of which not all are linked with one another, in whole tiles and in blocks."""
+    monkeypatch.setattr(neardup, "TILE_DOCS", tile)
     rnd = random.Random(11)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows = []

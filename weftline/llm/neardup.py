@@ -3,9 +3,10 @@
 1. Each document's set of word shingles gives many universal hash minima; documents with one set form a class.
 2. In each bucket of a band every class is held against one pivot; pairs whose signatures disagree too
    much go, the others are confirmed on full sets. Components of the links follow.
-3. In buckets that still hold several components, members outside of the bucket's first component become
-   pivots, more in each round, until every pair of a bucket is either in one component or was held
-   together. No bucket is ever expanded into all its pairs at once, and none is capped.
+3. What is left are buckets that still hold several components: near misses, mostly. Their documents meet
+   in tiles of bounded size, a tile for all buckets that share documents where that is small enough, and
+   an inverted index within a tile counts what documents of different components have in common. No pairs
+   are written but confirmed links, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,8 @@ BANDS = 32
 MISS = 1e-5
 #: Standard deviations by which a signature may fall short of the threshold before the sets are read.
 MARGIN = 5.0
+#: Documents and bytes of shingle sets of a tile, at most (twice that where two blocks of one bucket meet).
+TILE_DOCS, TILE_BYTES = 2048, 32 << 20
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -86,6 +90,7 @@ def _sketch(batch: pa.RecordBatch, words: int, bands: int, rows: int) -> pa.Reco
             minima[k] = np.minimum.reduceat(low * a + b, starts)
         one, two = np.add.reduceat(hashes, starts), np.add.reduceat(hashes * (hashes | np.uint64(1)), starts)
     signature = np.ascontiguousarray(minima.T)
+    short = signature.astype(np.uint8)  # for comparing, the low bytes of the minima do
     mixed = np.zeros((len(full), bands), np.uint64)
     for k in range(rows):
         mixed = (mixed ^ signature[:, k::rows]) * np.uint64(0xBF58476D1CE4E5B9)
@@ -94,7 +99,7 @@ def _sketch(batch: pa.RecordBatch, words: int, bands: int, rows: int) -> pa.Reco
     keys, sigs, buckets = ([None] * len(counts) for _ in range(3))
     for i, d in enumerate(full.tolist()):
         keys[d] = one[i].tobytes() + two[i].tobytes()
-        sigs[d] = signature[i].tobytes()
+        sigs[d] = short[i].tobytes()
         buckets[d] = mixed[i].view(np.int64)
     return pa.RecordBatch.from_arrays(
         [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
@@ -111,7 +116,7 @@ def _sets(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
 def _agree(batch: pa.RecordBatch, least: float) -> pa.RecordBatch:
     """Pairs whose signatures agree in at least that share of places."""
     if batch.num_rows:
-        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
+        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
         ok = (left == right).mean(1) >= least
     else:
         ok = np.zeros(0, bool)
@@ -208,7 +213,7 @@ def _linked(texts_: DataFrame, sketch: DataFrame, words: int, percent: int, leas
     )
     known = classes.where("doc_id is not null")
     members = known.select("doc_id", F.explode("buckets").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1")
+    pivots = members.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(members.join(pivots, "bucket"))
     pairs = materialize(shared.where("doc_id <> pivot").select(*_ordered(F.col("doc_id"), F.col("pivot"))).distinct())
     # Every later pair has both its ends among these.
@@ -219,34 +224,71 @@ def _linked(texts_: DataFrame, sketch: DataFrame, words: int, percent: int, leas
     # Rows of one id may differ in text; a class is found by its least id and its set.
     links = _verify(pairs, signed, sets, least, percent)
     joined = components(links)
-    rest = shared.where("n > 2").select("bucket", "doc_id")
-    spread = 4
-    while True:
-        placed = rest.join(joined, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        low = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "low")
-        active = materialize(placed.join(low, "bucket"))
-        turn = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-        chosen = (
-            active.where("component <> low").groupBy("bucket", turn.alias("turn"))
-            .agg(F.max(F.struct("component", "doc_id")).alias("p"))
-            .select("bucket", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("its"))
-        )
-        chosen = materialize(chosen)
-        new = active.join(chosen, "bucket").where("component <> its").select(*_ordered(F.col("doc_id"), F.col("pivot"))).distinct()
-        new = materialize(new.join(pairs, ["a", "b"], "left_anti"))
-        if chosen.isEmpty():
-            break
-        if not new.isEmpty():
-            more = _verify(new, signed, sets, least, percent)
-            links = links.union(more)
-            pairs = materialize(pairs.union(new))
-            if not more.isEmpty():
-                joined = components(links)
-        rest = materialize(active.join(chosen.select("bucket", F.col("pivot").alias("doc_id")), ["bucket", "doc_id"], "left_anti").select("bucket", "doc_id"))
-        spread *= 4
+    placed = shared.where("n > 2").join(joined, "doc_id", "left").select("bucket", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component"))
+    several_left = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    rest = materialize(placed.join(several_left, "bucket"))
+    if not rest.isEmpty():
+        more = materialize(_tiles(rest, sets, percent))
+        if not more.isEmpty():
+            joined = components(links.union(more))
     return classes.join(joined, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
 
 
+def _tiles(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among the documents of buckets that are left (bucket, doc_id, pivot, component)."""
+    sized = sets.select("doc_id", F.octet_length("members").cast("long").alias("bytes"))
+    # Buckets that share documents, where together they are small: one tile.
+    cluster = components(rest.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+    cluster = cluster.withColumnRenamed("component", "cluster")
+    one = cluster.join(sized, "doc_id").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"))
+    one = one.withColumn("whole", (F.col("docs") <= TILE_DOCS) & (F.col("bytes") <= TILE_BYTES)).select("cluster", "whole")
+    rows = rest.join(cluster, "doc_id").join(one, "cluster")
+    whole = rows.where("whole").select(F.col("cluster").alias("tile"), "doc_id", "component").distinct()
+    whole = whole.select("tile", F.lit(-1).alias("i"), F.lit(-1).alias("j"), "doc_id", "component")
+    # Otherwise a tile for each bucket, or for every two blocks of a large one.
+    apart = rows.where("not whole").select("bucket", "doc_id", "component")
+    blocks = apart.join(sized, "doc_id").groupBy("bucket").agg(
+        F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("bytes") / TILE_BYTES)).cast("int").alias("blocks")
+    )
+    own, other = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    apart = apart.join(blocks, "bucket").select(F.col("bucket").alias("tile"), "doc_id", "component", own.alias("own"), other.alias("other"))
+    apart = apart.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
+    return whole.unionByName(apart).join(sets, "doc_id").groupBy("tile", "i", "j").applyInPandas(partial(_tile_links, percent=percent), "a long, b long")
+
+
+def _tile_links(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that join components of a tile, as few as it takes."""
+    ids, component = tile["doc_id"].tolist(), tile["component"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in tile["members"]]
+    size = np.array([len(x) for x in sets])
+    values, term = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    posting = owner[np.argsort(term, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(values)))])
+    at = np.concatenate([[0], np.cumsum(size)])
+    names, label, counts = np.unique(component, return_inverse=True, return_counts=True)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    for x in np.flatnonzero(label != counts.argmax()).tolist():
+        own = term[at[x] : at[x + 1]]
+        n = first[own + 1] - first[own]
+        index = np.arange(int(n.sum())) + np.repeat(first[own] - (np.cumsum(n) - n), n)
+        common = np.bincount(posting[index], minlength=len(sets))
+        for y in np.flatnonzero((100 * common >= percent * (size[x] + size - common)) & (label != label[x])).tolist():
+            a, b = find(label[x]), find(label[y])
+            if a != b:
+                root[a] = b
+                links.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
 def _verify(pairs: DataFrame, signed: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
     close = map_arrow(_with_both(pairs, signed, "signature"), partial(_agree, least=least), "a long, b long", rows=4096)
     return materialize(map_arrow(_with_both(close, sets, "members"), partial(_confirm, percent=percent), "a long, b long"))
