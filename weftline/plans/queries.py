@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.fixtures import SQL as FIXTURES
 from weftline.fixtures import fixture, with_fixtures
 from weftline.functions import scalars
 from weftline.operators import articles, chunking, counters, logs, memory, orders, retrieval
 from weftline.sources import tables
+from weftline.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -230,7 +234,7 @@ simple("top3_topk_per_group", lambda t: retrieval.topk_per_group(t.chunk_vec.dro
        "select vec_id, post_id, version, chunk_id, cast(row_number() over (partition by post_id, version order by vec_id desc) as int) as rank from chunk_vec qualify rank <= 5")
 simple("sca4_chunk_index", lambda t: t.chunk_vec.select("vec_id", scalars.chunk_index(F.col("chunk_id")).alias("idx")), "select vec_id, cast(vec_id as int) as idx from chunk_vec")
 simple("ret4_rerank", lambda t: retrieval.rerank(retrieval.vector_topk(_vector_queries(t), t.chunk_vec), retrieval.vector_topk(_vector_queries(t), t.chunk_vec).selectExpr("query_id", "chunk_id", "-score as rerank_score")),
-       f"with {VEC} select query_id, chunk_id, score, -score as rerank_score, cast(row_number() over (partition by query_id order by score, chunk_id) as int) as rank from vk qualify rank <= 5")
+       f"with {VEC} select query_id, chunk_id, score, rerank_score, r as rank from (select query_id, chunk_id, score, -score as rerank_score, cast(row_number() over (partition by query_id order by score, chunk_id) as int) as r from vk) where r <= 5")
 simple("joi8_with_previous", lambda t: retrieval.with_previous(t.chunk_text.selectExpr("post_id as query_id", "cast(doc_id div 20 as int) as chunk_idx", "content as text", "cast(length(content) as int) as source_end")),
        "with s as (select post_id as query_id, cast(doc_id // 20 as int) as chunk_idx, content as text, cast(length(content) as int) as source_end from chunk_text) select a.*, b.text as prev_text, b.source_end as prev_end from s a left join s b on a.query_id = b.query_id and a.chunk_idx = b.chunk_idx + 1")
 MEMORY_DOCS = "md as (select m.*, e.embedding from long_memory m join embeddings e on e.vec_id + 1 = m.id)"
@@ -305,3 +309,14 @@ select (id >> 12) & 1023 as worker, ((id >> 22) + 1735689600000) // 60000 as min
 QUERIES["sca3_id_audit"] = lambda spark, sf_dir: logs.id_audit(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(f"{IDS} as id"))
 simple("sca6_error_class", lambda t: logs.error_class(t.fav_event.selectExpr("event_id", "if(event_id % 5 = 0, 'IllegalArgumentException', 'IOException') as exception", "case event_id % 4 when 0 then 'read timed out' when 1 then 'HTTP 429' when 2 then 'HTTP 503' else 'other' end as message")),
        "select event_id, case when event_id % 5 = 0 then 'IllegalArgumentException' else 'IOException' end as exception, case event_id % 4 when 0 then 'read timed out' when 1 then 'HTTP 429' when 2 then 'HTTP 503' else 'other' end as message, case when event_id % 5 = 0 then 'INVALID_ARGUMENT' else case event_id % 4 when 0 then 'UPSTREAM_TIMEOUT' when 1 then 'RATE_LIMITED' when 2 then 'UPSTREAM_UNAVAILABLE' else 'TOOL_EXECUTION_ERROR' end end as code from fav_event")
+
+
+@query("str1_counter_stream", f"with {VALID} select sid, idx, cast(sum(delta) as bigint) as value from val where err is null and event_id not in (select event_id from outbox_cdc where op <> 'INSERT') group by sid, idx")
+def _counter_stream(t: Tables) -> DataFrame:
+    path = f"{t.sf_dir}/events.parquet"
+    schema = t.spark.read.parquet(path).schema
+    # A pattern, since a stream can't have a single file as its base path.
+    events = t.spark.readStream.schema(schema).parquet(path.replace("/events.", "/[e]vents."))
+    name = f"counter_stream_{uuid.uuid4().hex}"
+    folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
+    return jobs.run_to_end(jobs.counter_stream(t.spark.sql(FIXTURES["outbox_cdc"], events=events)), name, f"{folder}/{name}")
