@@ -195,3 +195,10 @@ def test_sources_and_streams(spark, tmp_path):
     assert got == {(0, 1): "CONFIRMED", (0, 2): "CANCELLED", (1, 3): "CONFIRMED", (1, 4): "CANCELLED", (1, 1): "CONFIRMED"}
     tables.relay(spark.readStream.schema("order_id long, sku_id long, user_id long").parquet(f"{tmp_path}/in"), f"{tmp_path}/sent", f"{tmp_path}/check2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/sent").select("order_id").distinct().count() == 4
+
+
+def test_hybrid_search_fuses_both_lists(spark):
+    chunks = spark.createDataFrame([(f"1#{i}", 1, 1, "needle here" if i == 3 else "hay only", [1.0, float(i)]) for i in range(8)], "chunk_id string, post_id long, version int, content string, embedding array<double>")
+    asked = spark.createDataFrame([(1, 1, 1, [1.0, 7.0], ["needle"])], "query_id long, post_id long, version int, embedding array<double>, keywords array<string>")
+    got = [r["chunk_id"] for r in retrieval.hybrid_search(asked, chunks, chunks).orderBy("rank").collect()]
+    assert got[0] == "1#3" and got[1] == "1#7" and len(got) == 5

@@ -320,3 +320,22 @@ def _counter_stream(t: Tables) -> DataFrame:
     name = f"counter_stream_{uuid.uuid4().hex}"
     folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
     return jobs.run_to_end(jobs.counter_stream(t.spark.sql(FIXTURES["outbox_cdc"], events=events)), name, f"{folder}/{name}")
+
+simple("agg7_recent_text", lambda t: memory.recent_text(t.message),
+       """with fi as (select conversation_id, min(id) as fid from message group by conversation_id),
+       ld as (select m.conversation_id, m.id, m.content as summary from message m join fi on fi.conversation_id = m.conversation_id and m.id = fid where role = 'system')
+       select m.conversation_id, max(ld.summary) as summary, coalesce(string_agg(concat(role, ': ', content), chr(10) order by m.id) filter (where trim(content) <> '' and ld.id is distinct from m.id), '（无最近会话消息）') as recent
+       from message m left join ld on ld.conversation_id = m.conversation_id group by m.conversation_id""")
+simple("fil8_strict_candidates", lambda t: memory.strict_candidates(t.cands),
+       "select *, case when memory_key is null or trim(memory_key) = '' then 'UNKNOWN_KEY' when content is null then 'EMPTY_CONTENT' end as err from cands")
+simple("sca8_trim_by_offset", lambda t: t.chunk_text.select("doc_id", scalars.trim_by_offset(F.col("content"), (F.col("doc_id") % 50).cast("int"), (F.col("doc_id") % 30).cast("int")).alias("text")),
+       "select doc_id, substring(content, greatest(0, doc_id % 50 - doc_id % 30) + 1) as text from chunk_text")
+
+
+@query("ret5_hybrid_search")
+def _hybrid(t: Tables) -> DataFrame:
+    vectors = t.spark.read.parquet(f"{t.sf_dir}/embeddings.parquet").selectExpr("vec_id as doc_id", "embedding")
+    own = t.chunk_text.join(vectors, "doc_id").select("doc_id", "chunk_id", "post_id", "version", "embedding")
+    words = F.array(F.lit("the"), F.lit("en"), F.lit("der"), F.lit("las"))
+    asked = own.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "post_id", "version", "embedding", words.alias("keywords"))
+    return retrieval.hybrid_search(asked, t.chunk_text, own)
