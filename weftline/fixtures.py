@@ -34,5 +34,7 @@ def with_fixtures(sql: str) -> str:
     """``sql`` for DuckDB, the derived tables that it names as common table expressions before it."""
     names = {t: t for t in GIVEN}
     used = [n for n in SQL if re.search(rf"\b{n}\b", sql)]
+    if not used:
+        return sql
     ctes = ",\n".join(f"{n} AS ({SQL[n].format(**names)})" for n in used)
     return f"WITH {ctes}\n{sql}" if not sql.lstrip().upper().startswith("WITH ") else f"WITH {ctes},\n{sql.lstrip()[5:]}"

@@ -72,3 +72,18 @@ def trim_by_prefix(previous: Column, current: Column, most: int = 100) -> Column
 def join_paths(paths: Column) -> Column:
     """Heading paths (arrays of headings) in one string."""
     return F.array_join(F.transform(paths, lambda p: F.array_join(p, " > ")), " | ")
+
+
+def join_types(types: Column) -> Column:
+    """Block types in one string."""
+    return F.array_join(types, ",")
+
+
+def encode_payload(*columns: str | Column) -> Column:
+    """Columns as the JSON text of an event."""
+    return F.to_json(F.struct(*columns))
+
+
+def decode_payload(payload: Column, schema: str) -> Column:
+    """The struct of an event's JSON text; null for a null text."""
+    return F.from_json(payload, schema)

@@ -153,6 +153,15 @@ def apply_memory(memory: DataFrame, actions: DataFrame) -> tuple[DataFrame, Data
     return everything.drop("_changed"), docs, conflicts
 
 
+def merge_docs(memory_docs: DataFrame, new_docs: DataFrame) -> DataFrame:
+    """Search documents with those that ``apply_memory`` made; older ones of the same memory become DELETE."""
+    newest = new_docs.groupBy("memory_id").agg(F.max("version").alias("_newest"))
+    old = memory_docs.join(newest, "memory_id", "left")
+    status = F.when(F.col("_newest") > F.col("version"), "DELETE").otherwise(F.col("status"))
+    kept = old.select(*[status.alias(c) if c == "status" else F.col(c) for c in memory_docs.columns])
+    return kept.unionByName(new_docs, allowMissingColumns=True)
+
+
 def append_messages(messages: DataFrame, new: DataFrame, chat: DataFrame, posts: DataFrame) -> DataFrame:
     """Messages with new ones (conversation_id, seq, version, role, content) after them; ids go on within each conversation."""
     default = chat_version(chat, posts).select(F.col("chat_id").alias("conversation_id"), F.col("version").alias("_default"))

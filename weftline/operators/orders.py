@@ -185,3 +185,16 @@ def order_history(msgs: DataFrame, orders: DataFrame) -> DataFrame:
     joined = msgs.join(same, "order_id", "left").join(first, ["sku_id", "user_id"], "left")
     prior = F.get(F.filter("_ids", lambda i: i != F.col("order_id")), F.lit(0))
     return joined.select("order_id", "sku_id", "user_id", F.coalesce("same_id", F.lit(False)).alias("same_id"), prior.alias("prior_order_id"))
+
+
+def run_recovery(outcomes: DataFrame, reservations: DataFrame, buyers: DataFrame, stock: DataFrame, now: Column, n: int = 100) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One pass over the recovery queue: outcomes, reservations, buyers and stock after it.
+
+    What applies or already holds is marked as applied; what fails is put off, so that it does not
+    block the head of the queue.
+    """
+    queue = recovery_queue(outcomes, now, n)
+    new, left, restocked, result = complete(reservations, buyers, stock, queue)
+    failed = ~F.col("result").isin("APPLIED", "UNCHANGED")
+    after = postpone(mark_applied(outcomes, result.where(~failed)), result.where(failed), now)
+    return after, new, left, restocked

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -318,8 +317,8 @@ def _counter_stream(t: Tables) -> DataFrame:
     # A pattern, since a stream can't have a single file as its base path.
     events = t.spark.readStream.schema(schema).parquet(path.replace("/events.", "/[e]vents."))
     name = f"counter_stream_{uuid.uuid4().hex}"
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    return jobs.run_to_end(jobs.counter_stream(t.spark.sql(FIXTURES["outbox_cdc"], events=events)), name, f"{folder}/{name}")
+    return jobs.run_to_end(jobs.counter_stream(t.spark.sql(FIXTURES["outbox_cdc"], events=events)), name, tables.shared_folder(t.spark, name))
+
 
 simple("agg7_recent_text", lambda t: memory.recent_text(t.message),
        """with fi as (select conversation_id, min(id) as fid from message group by conversation_id),
@@ -332,10 +331,112 @@ simple("sca8_trim_by_offset", lambda t: t.chunk_text.select("doc_id", scalars.tr
        "select doc_id, substring(content, greatest(0, doc_id % 50 - doc_id % 30) + 1) as text from chunk_text")
 
 
-@query("ret5_hybrid_search")
+OWN = "own as (select t.doc_id, t.chunk_id, t.post_id, t.version, e.embedding from chunk_text t join embeddings e on e.vec_id = t.doc_id)"
+
+
+@query("ret5_hybrid_search", f"""with {OWN}, {BM.replace("from chunk_text where doc_id % 50 = 0", "from own where doc_id % 50 = 0")},
+vs as (select a.doc_id as query_id, b.chunk_id, round({DOT}, 6) as score from own a join own b on a.post_id = b.post_id and a.version = b.version where a.doc_id % 50 = 0),
+ls as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from vs qualify rank <= 40
+       union all select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from bs qualify rank <= 40),
+fu as (select query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) as score from ls group by all),
+fr as (select query_id, chunk_id, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from fu qualify rank <= 5)
+select query_id, rank, chunk_id, content as text from fr join chunk_text using (chunk_id)""")
 def _hybrid(t: Tables) -> DataFrame:
     vectors = t.spark.read.parquet(f"{t.sf_dir}/embeddings.parquet").selectExpr("vec_id as doc_id", "embedding")
     own = t.chunk_text.join(vectors, "doc_id").select("doc_id", "chunk_id", "post_id", "version", "embedding")
     words = F.array(F.lit("the"), F.lit("en"), F.lit("der"), F.lit("las"))
     asked = own.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "post_id", "version", "embedding", words.alias("keywords"))
     return retrieval.hybrid_search(asked, t.chunk_text, own)
+
+
+# ---- change events, payloads and calls
+
+CDC = """cdc as (select event_id, ts, op, event_type, case when event_id % 19 <> 0 then payload end as payload from outbox_cdc where event_id % 13 <> 0 and event_id % 17 <> 0 and op = 'INSERT')"""
+
+
+def _cdc(t: Tables) -> DataFrame:
+    return t.outbox_cdc.selectExpr(
+        "op", "if(event_id % 13 = 0, 'posts', 'OUTBOX') as table", "event_id % 17 = 0 as is_ddl", "array('EVENT_ID', 'payload', 'status', 'Retry_Count', 'event_type') as names",
+        "array(string(event_id), if(event_id % 19 = 0, null, payload), '0', if(event_id % 23 = 0, 'x', '0'), event_type) as values", "ts")
+
+
+simple("src2_outbox_inserts", lambda t: tables.outbox_inserts(_cdc(t)).select(F.col("image")["event_id"].alias("event_id"), F.col("image")["payload"].alias("payload"), F.size("image").alias("n"), "ts"),
+       f"with {CDC} select cast(event_id as varchar) as event_id, payload, 5 as n, ts from cdc")
+simple("src3_outbox_rows", lambda t: tables.to_outbox(tables.outbox_inserts(_cdc(t))),
+       f"""with {CDC} select event_id, payload, 0 as status, case when event_id % 23 <> 0 then 0 end as retry_count, event_type,
+       case when payload is null then 'MISSING_PAYLOAD' when event_id % 23 = 0 then 'MISSING_RETRY_COUNT' end as err from cdc""")
+simple("sca11_payloads", lambda t: t.order_req.select("order_id", scalars.encode_payload("order_id", "sku_id", "user_id").alias("payload")).withColumn("user_id", scalars.decode_payload(F.col("payload"), "order_id long, sku_id long, user_id long")["user_id"]),
+       """select order_id, '{"order_id":' || order_id || ',"sku_id":' || sku_id || ',"user_id":' || user_id || '}' as payload, user_id from order_req""")
+simple("sca7_duplicate_calls", lambda t: logs.duplicate_calls(t.fav_event.selectExpr("user_id as session_id", "event_id as seq", "concat('t', event_id % 2) as tool", """if(event_id % 3 = 0, concat('{"b": ', sku_id % 2, ', "a":1}'), concat('{"a":1,"b":', sku_id % 2, '}')) as args""")),
+       """with c as (select user_id as session_id, event_id as seq, 't' || event_id % 2 as tool, case when event_id % 3 = 0 then '{"b": ' || sku_id % 2 || ', "a":1}' else '{"a":1,"b":' || sku_id % 2 || '}' end as args,
+       't' || event_id % 2 || ':{"a":1,"b":' || sku_id % 2 || '}' as key from fav_event) select *, row_number() over (partition by session_id, key order by seq) > 1 as is_duplicate from c""")
+simple("agg9_merge_evidence", lambda t: logs.merge_evidence(t.message.select(F.col("conversation_id").alias("question_id"), F.col("id").alias("seq"), F.col("role").alias("tool"), F.to_json(F.split("content", " ")).alias("passages"))),
+       r"""with p as (select conversation_id as question_id, id as seq, role as tool, string_split(content, ' ') as ps from message), u as (select question_id, seq, tool, unnest(ps) as content, generate_subscripts(ps, 1) as pos from p)
+       select question_id, seq, tool, content, row_number() over (partition by question_id, tool, content order by seq, pos) = 1 as is_new from u where trim(content) <> ''""")
+ASKED = "case doc_id % 3 when 0 then concat('What OTHER arti cles has the Author of ', source, '?') when 1 then concat('List the posts of ', source) else text end"
+simple("sca5_author_questions", lambda t: t.spark.sql(f"select doc_id, {ASKED} as question from {{d}}", d=t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")).select("doc_id", scalars.asks_author_works(F.col("question")).alias("asks")),
+       rf"with p as (select doc_id, regexp_replace(lower({ASKED}), '\s+', '', 'g') as q from documents) select doc_id, regexp_matches(q, 'author|writer|作者') and regexp_matches(q, 'article|post|文章') and regexp_matches(q, 'other|all|list|其他|全部') as asks from p".replace("\\s", "\s"))
+simple("sca9_trim_by_prefix", lambda t: t.chunk_text.select("doc_id", scalars.trim_by_prefix(F.expr("substring(content, 1, 60 + doc_id % 90)"), F.expr("substring(content, 41)")).alias("text")),
+       """with p as (select doc_id, substring(content, 1, 60 + doc_id % 90) as a, substring(content, 41) as b from chunk_text)
+       select doc_id, substring(b, coalesce(list_max(list_filter(range(1, 101), lambda n: n <= length(a) and n <= length(b) and right(a, n) = left(b, n))), 0) + 1) as text from p""")
+simple("sca12_joined_paths", lambda t: t.spark.read.parquet(f"{t.sf_dir}/documents.parquet").select("doc_id", scalars.join_paths(F.array(F.array("source", "lang"), F.array("source"))).alias("paths"), scalars.join_types(F.array(F.lit("heading"), "source")).alias("types")),
+       "select doc_id, concat_ws(' > ', source, lang) || ' | ' || concat_ws(' > ', source) as paths, concat_ws(',', 'heading', source) as types from documents")
+simple("str8_quarantine", lambda t: _quarantined(t), "select order_id, user_id % 5 as attempt, 'good' as fate from order_req where user_id % 10 <> 0 union all select order_id, user_id % 5 + 1, case when user_id % 5 + 1 <= 3 then 'retry' else 'dead' end from order_req where user_id % 10 = 0")
+
+
+def _quarantined(t: Tables) -> DataFrame:
+    raw = t.order_req.selectExpr("cast(order_id as string) as orderId", "cast(sku_id as string) as skuId", "if(user_id % 10 = 0, 'x', cast(user_id as string)) as userId")
+    tried = tables.parse_order_events(raw).join(t.order_req.selectExpr("order_id", "user_id % 5 as attempt"), "order_id")
+    good, retry, dead = (x.select("order_id", "attempt", F.lit(fate).alias("fate")) for x, fate in zip(tables.with_quarantine(tried), ("good", "retry", "dead"), strict=True))
+    return good.unionByName(retry).unionByName(dead)
+
+
+# ---- applying memory actions, recovery, and tables written and read again
+
+ACTIONS = """ac as (select id as seq, user_id, memory_key, 'new ' || content as content, case when id % 4 = 0 then 'UPDATE' else 'INSERT' end as action, case when id % 4 = 0 then id end as target_id,
+  case when id % 4 = 0 then version + case when id % 8 = 0 then 1 else 0 end end as version from long_memory where id % 4 < 2),
+top as (select max(id) as m from long_memory),
+after as (select id, user_id, memory_key, case when hit then 'new ' || content else content end as content, status, case when hit then version + 1 else version end as version, hit
+  from (select *, id % 8 = 4 and status = 'ACTIVE' as hit from long_memory)
+  union all select m + seq + 1, user_id, memory_key, content, 'ACTIVE', 1, true from ac, top where action = 'INSERT')"""
+
+
+def _actions(t: Tables) -> DataFrame:
+    return t.long_memory.where("id % 4 < 2").selectExpr(
+        "id as seq", "user_id", "memory_key", "concat('new ', content) as content", "if(id % 4 = 0, 'UPDATE', 'INSERT') as action", "if(id % 4 = 0, id, null) as target_id", "if(id % 4 = 0, version + if(id % 8 = 0, 1, 0), null) as version")
+
+
+def _docs_of(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("format_string('long-memory-%d-v%d', id, version) as doc_id", "id as memory_id", "user_id", "memory_key", "status", "version", "content")
+
+
+simple("ups7_apply_memory", lambda t: memory.apply_memory(t.long_memory, _actions(t))[0], f"with {ACTIONS} select id, user_id, memory_key, content, status, version from after")
+simple("ups7_memory_docs", lambda t: memory.merge_docs(_docs_of(t.long_memory), memory.apply_memory(t.long_memory, _actions(t))[1]),
+       f"""with {ACTIONS} select 'long-memory-' || id || '-v' || version as doc_id, id as memory_id, user_id, memory_key, case when id % 8 = 4 then 'DELETE' else status end as status, version, content from long_memory
+       union all select 'long-memory-' || id || '-v' || version, id, user_id, memory_key, status, version, content from after where hit""")
+simple("ups7_conflicts", lambda t: memory.apply_memory(t.long_memory, _actions(t))[2], "select id as seq, id as target_id from long_memory where id % 8 = 0 or (id % 4 = 0 and status <> 'ACTIVE')")
+PENDING = "select order_id, order_id % 20 + 1 as sku_id, order_id % 50 + 1 as user_id, status, order_id % 2 = 0 as keep_buyer, redis_applied, next_retry_at from order_outcome"
+
+
+@query("str6_recovery", f"""with o as ({PENDING}), q as (select * from o where not redis_applied and next_retry_at <= timestamp '{NOW}' and status in ('CONFIRMED', 'CANCELLED') order by next_retry_at, order_id limit 100),
+f as (select order_id, order_id % 5 = 0 or (order_id % 3 = 0 and status <> 'CONFIRMED') as failed from q)
+select o.order_id, o.status, o.redis_applied or (failed is not null and not failed) as redis_applied, case when failed then timestamp '{NOW}' + interval 30 second else next_retry_at end as next_retry_at from o left join f using (order_id)""")
+def _recovery(t: Tables) -> DataFrame:
+    outcomes = t.spark.sql(PENDING.replace("order_outcome", "{o}"), o=t.order_outcome)
+    held = outcomes.where("order_id % 5 <> 0").selectExpr("order_id", "sku_id", "user_id", "if(order_id % 3 = 0, 'CONFIRMED', 'PENDING') as state", "cast(null as boolean) as keep_buyer")
+    after = orders.run_recovery(outcomes, held, outcomes.select("sku_id", "user_id").distinct(), _stock(t), F.lit(NOW).cast("timestamp_ntz"))[0]
+    return after.select("order_id", "status", "redis_applied", "next_retry_at")
+
+
+@query("src1_read_table", "select order_id as id, sku_id, user_id from order_req")
+def _read_table(t: Tables) -> DataFrame:
+    path = tables.shared_folder(t.spark, "order")
+    t.order_req.withColumnRenamed("order_id", "id").write.parquet(path)
+    return tables.read_table(t.spark, "order", path)
+
+
+@query("snk3_write_chunks", "select post_id, version, chunk_id, content as text from chunk_text")
+def _write_chunks(t: Tables) -> DataFrame:
+    path = tables.shared_folder(t.spark, "chunks")
+    tables.write_chunks(t.chunk_text.selectExpr("post_id", "version", "chunk_id", "content as text"), path)
+    return tables.read_table(t.spark, "chunks", path).select("post_id", "version", "chunk_id", "text")

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from weftline.functions.scalars import encode_payload
 from weftline.operators.orders import validate_orders
 from weftline.schemas import TABLES
 
 REQUIRED = ("event_id", "payload", "status", "retry_count", "event_type")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one of spark.checkpoint.dir, or in a local one where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, name: str, source: str | dict) -> DataFrame:
     """A table of the model: Parquet at a path, or JDBC options (with partitionColumn, lowerBound, upperBound, numPartitions for a parallel read)."""
     if isinstance(source, str):
@@ -43,7 +53,7 @@ def parse_order_events(raw: DataFrame) -> DataFrame:
 def to_outbox_rows(changes: DataFrame, event_type: str) -> DataFrame:
     """An outbox row for each change, its columns as JSON."""
     return changes.select(
-        F.col("event_id"), F.to_json(F.struct(*changes.columns)).alias("payload"), F.lit(0).alias("status"), F.lit(0).alias("retry_count"), F.lit(event_type).alias("event_type")
+        F.col("event_id"), encode_payload(*changes.columns).alias("payload"), F.lit(0).alias("status"), F.lit(0).alias("retry_count"), F.lit(event_type).alias("event_type")
     )
 
 
