@@ -56,6 +56,11 @@ def admit(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reservations
     stock only falls, so only a user's first request for an item can win: those are ranked by arrival
     and win while the rank is within the stock. Only candidates are ranked, at most one row per user.
     """
+    return admit_rows(requests, stock, buyers, reservations, cap, pending).select("order_id", "result_order_id", "result", "err")
+
+
+def admit_rows(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reservations: DataFrame, cap: int = LONG_MAX, pending: int = 0) -> DataFrame:
+    """``admit`` with sku_id and user_id of each request."""
     r = requests.select("arrival", "order_id", "sku_id", "user_id")
     own = reservations.select("order_id", F.col("sku_id").alias("_sku"), F.col("user_id").alias("_user"))
     active = reservations.where("state in ('PENDING', 'CONFIRMED')").groupBy("sku_id", "user_id").agg(F.max("order_id").alias("_active"))
@@ -76,10 +81,10 @@ def admit(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reservations
     if cap < LONG_MAX:
         winners = winners.orderBy("arrival", "_won").limit(max(0, cap - pending))
     late = open_rows.select("order_id", "sku_id", "user_id").join(winners.drop("arrival"), ["sku_id", "user_id"], "left")
-    decided = late.select("order_id", F.col("_won").alias("result_order_id"), F.when(F.col("_won") == F.col("order_id"), "ADMITTED").when(F.col("_won").isNotNull(), "RETRY").otherwise("REJECTED").alias("result"), F.lit(None).cast("string").alias("err"))
+    decided = late.select("order_id", "sku_id", "user_id", F.col("_won").alias("result_order_id"), F.when(F.col("_won") == F.col("order_id"), "ADMITTED").when(F.col("_won").isNotNull(), "RETRY").otherwise("REJECTED").alias("result"), F.lit(None).cast("string").alias("err"))
     errors = F.col("_early").isin("COLLISION", "ID_REUSED", "BAD_STOCK")
     rest = rows.where("_early is not null").select(
-        "order_id", F.when(F.col("_early") == "RETRY", F.col("_active")).alias("result_order_id"),
+        "order_id", "sku_id", "user_id", F.when(F.col("_early") == "RETRY", F.col("_active")).alias("result_order_id"),
         F.when(errors, "ERROR").otherwise(F.col("_early")).alias("result"), F.when(errors, F.col("_early")).alias("err"),
     )
     return decided.unionByName(rest)

@@ -1,21 +1,93 @@
-"""Structured Streaming jobs over counter events and orders."""
+"""Structured Streaming jobs over counter events, orders and publish events.
+
+Jobs that keep tables work batch by batch: what a batch decides goes to ``<path>/batch=<number>`` and
+depends only on the batches before it, so that a replayed batch writes the same again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from weftline.operators import counters, orders
+from weftline.operators import articles, chunking, counters, orders
 
 TTL = "7 days"
+INT_MIN, INT_MAX = -(2**31), 2**31 - 1
+#: The state store that stateful processors need.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def counter_stream(outbox: DataFrame) -> DataFrame:
     """Valid counter events of an outbox stream (with ts), each (sid, event_id) once within the time to live, summed by (sid, idx)."""
+    return counter_events(outbox).groupBy("sid", "idx").agg(F.sum(F.col("delta").cast("long")).alias("value"))
+
+
+def counter_events(outbox: DataFrame) -> DataFrame:
+    """Valid inserted counter events of an outbox stream, each (sid, event_id) once within the time to live."""
     valid = outbox.where("op = 'INSERT'").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", TTL)
     events = counters.validate_counter_events_with(valid, "ts").where("err is null")
-    return events.dropDuplicatesWithinWatermark(["sid", "event_id"]).groupBy("sid", "idx").agg(F.sum(F.col("delta").cast("long")).alias("value"))
+    return events.dropDuplicatesWithinWatermark(["sid", "event_id"])
+
+
+class CounterState(StatefulProcessor):
+    """The counters of one sid. Rows of a batch are folded as they come, so a hot sid needs no more memory than another."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("counter", "turn long, fav long, n long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.state.update((int(row["turn"]), int(row["fav"]), 0))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.state.get() if self.state.exists() else None
+        values, n, rejected = ({1: known[0], 2: known[1]} if known else {1: 0, 2: None}), known[2] if known else 0, 0
+        for pdf in rows:
+            if known is None:  # facts hold what the batch's own events say
+                if values[2] is None:
+                    values[2] = int(pdf["fact"].iloc[0])
+                n += len(pdf)
+                continue
+            for idx in values:
+                deltas = pdf.loc[pdf["idx"] == idx, "delta"].fillna(0).to_numpy(dtype=np.int64)
+                sums = values[idx] + np.cumsum(deltas)
+                if not len(sums):
+                    continue
+                if sums.min() >= INT_MIN and sums.max() <= INT_MAX:
+                    values[idx] = int(sums[-1])
+                else:
+                    for d in deltas.tolist():
+                        fits = INT_MIN <= values[idx] + d <= INT_MAX
+                        values[idx] += d if fits else 0
+                        rejected += not fits
+            n += len(pdf)
+        self.state.update((values[1], values[2], n))
+        yield pd.DataFrame({"sid": [key[0]], "turn": [values[1]], "fav": [values[2]], "n": [n], "rejected": [rejected]})
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_counters(events: DataFrame, stored: DataFrame, facts: DataFrame) -> DataFrame:
+    """Counters after each batch: ``sid, turn, fav, n, rejected``.
+
+    ``events`` are those of ``counter_events``, ``stored`` the counters (sku_id, turn, fav) at the start,
+    ``facts`` the favourites (sku_id, fav_count). An event that would leave 32 bits is rejected alone. A
+    missing counter starts from the facts, with turn 0; the events of the batch that finds it missing are
+    not added. n counts a sid's events so far: its last row has the largest. Needs ``STATE_STORE``.
+    """
+    start = stored.select(F.col("sku_id").alias("sid"), F.col("turn").cast("long").alias("turn"), F.col("fav").cast("long").alias("fav"))
+    known = facts.select(F.col("sku_id").alias("sid"), F.col("fav_count").alias("fact"))
+    rows = events.join(known, "sid", "left").select("sid", "idx", "delta", F.coalesce("fact", F.lit(0)).cast("long").alias("fact"))
+    return rows.groupBy("sid").transformWithStateInPandas(
+        statefulProcessor=CounterState(), outputStructType="sid long, turn long, fav long, n long, rejected long", outputMode="append", timeMode="none", initialState=start.groupBy("sid")
+    )
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
@@ -25,17 +97,77 @@ def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "compl
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an appending stream over all that is there now; the rows that it wrote."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def earlier(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
+    """What the batches before ``number`` wrote to ``path``."""
+    if not number:
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path).where(F.col("batch") < number)
+
+
+def admission_stream(requests: DataFrame, state_path: str, stock: DataFrame, buyers: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Admit requests (order_id, sku_id, user_id) batch by batch, within a batch by order_id.
+
+    The state is the admitted orders, of which there are never more than the stock; other results lie in
+    other partitions and are not read again.
+    """
+    schema = "order_id long, sku_id long, user_id long, result_order_id long, err string, result string"
+
+    def step(batch: DataFrame, number: int) -> None:
+        held = earlier(batch.sparkSession, state_path, schema, number).where("result = 'ADMITTED'")
+        used = held.groupBy("sku_id").agg(F.count("*").alias("_used"))
+        left = stock.join(used, "sku_id", "left").select("sku_id", (F.col("stock") - F.coalesce("_used", F.lit(0))).alias("stock"))
+        known = held.select("order_id", "sku_id", "user_id", F.lit("PENDING").alias("state"))
+        out = orders.admit_rows(batch.withColumn("arrival", F.col("order_id")), left, buyers, known)
+        out.write.mode("overwrite").partitionBy("result").parquet(f"{state_path}/batch={number}")
+
+    return requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def order_stream(messages: DataFrame, state_path: str, sku: DataFrame, checkpoint: str) -> StreamingQuery:
     """Decide orders batch by batch. Decisions are written before anything follows from them, under the batch's number, so that a replay changes nothing."""
+    schema = "order_id long, sku_id long, user_id long, status string, keep_buyer boolean, err string"
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema = "order_id long, sku_id long, user_id long, status string, keep_buyer boolean, err string"
-        earlier = spark.read.schema(schema + ", batch long").option("basePath", state_path).parquet(state_path).where(F.col("batch") < number) if number else spark.createDataFrame([], schema)
-        done = earlier.where("err is null")
+        done = earlier(batch.sparkSession, state_path, schema, number).drop("batch").where("err is null")
         confirmed = done.where("status = 'CONFIRMED'")
         left = orders.consume_stock(sku, confirmed).withColumnRenamed("sku_id", "id")
         placed = confirmed.select(F.col("order_id").alias("id"), "sku_id", "user_id")
         orders.decide(batch, placed, done, left).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
 
     return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+PUBLISHED = "post_id long, version int, first boolean"
+
+
+def posts_after(posts: DataFrame, published: DataFrame) -> DataFrame:
+    """Posts after the publish events that were accepted (post_id, the new version)."""
+    new = articles.latest_publish(published).withColumnRenamed("version", "_new")
+    changed = {"version": F.coalesce("_new", "version"), "status": F.when(F.col("_new").isNotNull(), 2).otherwise(F.col("status"))}
+    return posts.join(new, "post_id", "left").select(*[changed[c].cast("int").alias(c) if c in changed else F.col(c) for c in posts.columns])
+
+
+def publish_stream(pubs: DataFrame, posts: DataFrame, contents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Publish events (post_id, version) batch by batch: ``<path>/chunks`` gets the chunks of newly published versions that have none yet, then ``<path>/published`` the new versions.
+
+    An event counts if its version is the post's at the start of the batch. ``first`` says that the post
+    was not published before. Views follow from ``<path>/published`` by ``articles.publish_barrier``.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = posts_after(posts, earlier(spark, f"{path}/published", PUBLISHED, number))
+        hit = batch.select("post_id", "version").distinct().join(now.select("post_id", "version", "status"), ["post_id", "version"])
+        accepted = hit.select("post_id", (F.col("version") + 1).cast("int").alias("version"), (F.col("status") == 1).alias("first"))
+        have = earlier(spark, f"{path}/chunks", "post_id long, version int", number)
+        texts = chunking.new_chunks(articles.content_at(contents, accepted), have)
+        chunking.chunk_rows(chunking.assemble_chunks(texts)).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        accepted.write.mode("overwrite").parquet(f"{path}/published/batch={number}")
+
+    return pubs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
