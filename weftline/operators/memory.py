@@ -127,6 +127,27 @@ def route(nearest: DataFrame, hi: float = HIGH, lo: float = LOW) -> DataFrame:
     return nearest.withColumn("action", action).withColumn("target_id", F.when(F.col("action").isin("UPDATE", "DECIDE"), F.col("doc_id")))
 
 
+def actions_of(routed: DataFrame, memory: DataFrame) -> DataFrame:
+    """Actions for ``apply_memory`` of routed candidates with their content.
+
+    A SINGLETON replaces the user's newest active row of its key, or is inserted; of several of one user
+    in a batch the last counts. A DECIDE that nobody has decided is inserted, so that nothing is lost.
+    """
+    single = routed.where("action = 'SINGLETON'").groupBy("user_id", "memory_key").agg(F.max(F.struct("seq", "content")).alias("s"))
+    have = latest_singleton(memory).select("user_id", "memory_key", F.col("id").alias("target_id"), "version")
+    columns = ("seq", "user_id", "memory_key", "content", "action", "target_id", "version")
+    chosen = single.select("user_id", "memory_key", "s.seq", "s.content").join(have, ["user_id", "memory_key"], "left")
+    chosen = chosen.withColumn("action", F.when(F.col("target_id").isNotNull(), "UPDATE").otherwise("INSERT"))
+    rest = routed.where("action <> 'SINGLETON'").withColumn("action", F.when(F.col("action") == "DECIDE", "INSERT").otherwise(F.col("action")))
+    return chosen.select(*columns).unionByName(rest.select(*columns))
+
+
+def latest_rows(memory: DataFrame, changes: DataFrame) -> DataFrame:
+    """Memory rows after changed ones (memory_id in place of id): the largest version of each id."""
+    rows = memory.select("id", "user_id", "memory_key", "content", "status", "version").unionByName(changes.withColumnRenamed("memory_id", "id").select("id", "user_id", "memory_key", "content", "status", "version"))
+    return rows.groupBy("id").agg(F.max_by(F.struct("user_id", "memory_key", "content", "status", "version"), "version").alias("r")).select("id", "r.*")
+
+
 def apply_memory(memory: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Memory after actions (seq, user_id, memory_key, content, action, target_id, version); new search documents; conflicts.
 
@@ -164,15 +185,19 @@ def merge_docs(memory_docs: DataFrame, new_docs: DataFrame) -> DataFrame:
 
 def append_messages(messages: DataFrame, new: DataFrame, chat: DataFrame, posts: DataFrame) -> DataFrame:
     """Messages with new ones (conversation_id, seq, version, role, content) after them; ids go on within each conversation."""
+    return messages.select("id", "conversation_id", "version", "role", "content").unionByName(numbered_messages(messages, new, chat, posts))
+
+
+def numbered_messages(messages: DataFrame, new: DataFrame, chat: DataFrame, posts: DataFrame) -> DataFrame:
+    """The new rows of ``append_messages``."""
     default = chat_version(chat, posts).select(F.col("chat_id").alias("conversation_id"), F.col("version").alias("_default"))
     last = messages.groupBy("conversation_id").agg(F.max("id").alias("_last"))
     number = F.row_number().over(Window.partitionBy("conversation_id").orderBy("seq"))
     rows = new.withColumn("_n", number).join(default, "conversation_id", "left").join(last, "conversation_id", "left")
-    made = rows.select(
+    return rows.select(
         (F.coalesce("_last", F.col("conversation_id") * 1000) + F.col("_n")).cast("long").alias("id"), "conversation_id",
         F.coalesce("version", "_default").alias("version"), "role", F.coalesce("content", F.lit("")).alias("content"),
     )
-    return messages.select("id", "conversation_id", "version", "role", "content").unionByName(made)
 
 
 def apply_summaries(chat: DataFrame, summaries: DataFrame) -> DataFrame:

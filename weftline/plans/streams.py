@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.fixtures import SQL as FIXTURES
 from weftline.functions import hooks
-from weftline.operators import retrieval
+from weftline.operators import memory, retrieval
 from weftline.plans.queries import COUNTS, HAVE, VALID, VEC, Tables, _counts, _have, _stock, _vector_queries, query
 from weftline.sources import tables
 from weftline.streaming import jobs
@@ -93,6 +93,53 @@ def _publish(t: Tables) -> DataFrame:
     return rows.select("post_id", "version", "status", F.coalesce("_n", F.lit(0)).alias("chunked"), F.coalesce("_first", F.lit(False)).alias("first"))
 
 
+def _nearest_by_text(cands: DataFrame, known: DataFrame) -> DataFrame:
+    """A stub for a vector search: an equal text is near, all else is far."""
+    have = known.where("status = 'ACTIVE'").groupBy("user_id", "memory_key", "content").agg(F.min(F.struct(F.col("id").alias("doc_id"), "version")).alias("k"))
+    return cands.join(have, ["user_id", "memory_key", "content"], "left").select(*cands.columns, "k.doc_id", "k.version", F.when(F.col("k").isNotNull(), 1.0).otherwise(0.0).alias("score"))
+
+
+def _summarise(texts: DataFrame) -> DataFrame:
+    """A stub for a model: how many messages are covered."""
+    return texts.groupBy("conversation_id").agg(F.concat(F.lit("covers "), F.count("*").cast("string")).alias("text"), F.max("last_message_id").alias("last_message_id"))
+
+
+def _memory_run(t: Tables) -> str:
+    asked = t.message.where("role = 'user'").selectExpr(
+        "id as seq", "conversation_id", "version", "if(id % 7 = 0, ' ', content) as question", "concat('re ', content) as answer",
+        "array(named_struct('memory_key', if(id % 2 = 0, 'topics', 'language'), 'content', concat('c', id % 10)), named_struct('memory_key', ' ', 'content', 'x')) as candidates")
+    stream, folder = stream_of(t, [asked.where(f"id % 2 = {k}") for k in range(2)], "memory")
+    jobs.memory_stream(stream, t.chat, t.posts, t.message, t.long_memory, _nearest_by_text, _summarise, f"{folder}/out", f"{folder}/check").awaitTermination()
+    return f"{folder}/out"
+
+
+@query("str5_memory_stream", """with u as (select conversation_id, 2 * count(*) as n from message where role = 'user' and content is not null and trim(content) <> '' and id % 7 <> 0 group by conversation_id),
+mx as (select conversation_id, max(id) as m from message group by conversation_id),
+al as (select conversation_id, id from message union all select conversation_id, m + k from mx join u using (conversation_id), lateral (select unnest(range(1, n + 1)) as k)),
+op as (select al.*, row_number() over (partition by conversation_id order by al.id desc) as r from al join chat c on c.id = conversation_id where last_message_id is null or al.id > last_message_id),
+ev as (select conversation_id, max(id) as pointer from op where r > 6 group by conversation_id),
+ct as (select conversation_id, count(*) as n_messages from al group by conversation_id)
+select chat.id as conversation_id, n_messages, coalesce(pointer, last_message_id) as last_message_id from chat join ct on ct.conversation_id = chat.id left join ev on ev.conversation_id = chat.id""")
+def _memory_stream(t: Tables) -> DataFrame:
+    out = _memory_run(t)
+    chat = jobs.chat_after(t.chat, _read(t, f"{out}/summaries", jobs.SUMMARIES).drop("batch"))
+    n = t.message.select("id", "conversation_id").unionByName(_read(t, f"{out}/messages", jobs.MESSAGES).select("id", "conversation_id")).groupBy("conversation_id").agg(F.count("*").alias("n_messages"))
+    return chat.select(F.col("id").alias("conversation_id"), "last_message_id").join(n, "conversation_id")
+
+
+@query("str5_memory_rows", """with a as (select user_id, m.id as sq, case when m.id % 2 = 0 then 'topics' else 'language' end as memory_key, 'c' || m.id % 10 as content
+  from message m join chat c on c.id = conversation_id where role = 'user' and m.content is not null and trim(m.content) <> '' and m.id % 7 <> 0),
+tp as (select distinct user_id, memory_key, content from a where memory_key = 'topics'),
+lg as (select user_id, memory_key, arg_max(content, sq) as content from a where memory_key = 'language' group by user_id, memory_key),
+old as (select *, row_number() over (partition by user_id order by case when memory_key = 'language' and status = 'ACTIVE' then id end desc nulls last) = 1 and memory_key = 'language' and status = 'ACTIVE' as newest from long_memory)
+select o.user_id, o.memory_key, coalesce(lg.content, o.content) as content, o.status, cast(o.version + case when lg.content is not null then 1 else 0 end as int) as version from old o left join lg on newest and lg.user_id = o.user_id
+union all select user_id, memory_key, content, 'ACTIVE', 1 from tp
+union all select user_id, memory_key, content, 'ACTIVE', 1 from lg where user_id not in (select user_id from old where newest)""")
+def _memory_rows(t: Tables) -> DataFrame:
+    changed = _read(t, f"{_memory_run(t)}/memory", jobs.CHANGED).drop("batch")
+    return memory.latest_rows(t.long_memory, changed).drop("id")
+
+
 @query("u1_model_scores", f"with {VEC} select query_id, chunk_id, score, rank, cast(-score as double) as model_score from vk")
 def _scored(t: Tables) -> DataFrame:
     """The stub stands for a model: it turns the order round."""

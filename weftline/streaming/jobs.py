@@ -1,4 +1,4 @@
-"""Structured Streaming jobs over counter events, orders and publish events.
+"""Structured Streaming jobs over counter events, orders, publish events and memory updates.
 
 Jobs that keep tables work batch by batch: what a batch decides goes to ``<path>/batch=<number>`` and
 depends only on the batches before it, so that a replayed batch writes the same again.
@@ -6,7 +6,7 @@ depends only on the batches before it, so that a replayed batch writes the same
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from weftline.operators import articles, chunking, counters, orders
+from weftline.operators import articles, chunking, counters, memory, orders
 
 TTL = "7 days"
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
@@ -171,3 +171,59 @@ def publish_stream(pubs: DataFrame, posts: DataFrame, contents: DataFrame, path:
         accepted.write.mode("overwrite").parquet(f"{path}/published/batch={number}")
 
     return pubs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+CHANGED = "doc_id string, memory_id long, user_id long, memory_key string, status string, version int, content string"
+MESSAGES = "id long, conversation_id long, version int, role string, content string"
+SUMMARIES = "conversation_id long, text string, last_message_id long"
+
+
+def chat_after(chat: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Chats with the last of their summaries."""
+    last = summaries.groupBy("conversation_id").agg(F.max(F.struct("last_message_id", "text")).alias("s"))
+    return memory.apply_summaries(chat, last.select("conversation_id", "s.text", "s.last_message_id")).drop("err")
+
+
+def memory_stream(
+    updates: DataFrame, chat: DataFrame, posts: DataFrame, messages: DataFrame, stored: DataFrame,
+    nearest: Callable[[DataFrame, DataFrame], DataFrame], summarise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, window: int = 6,
+) -> StreamingQuery:
+    """Memory updates (seq, conversation_id, version, question, answer, candidates as an array of memory_key and content), batch by batch.
+
+    ``nearest`` gives candidates (user_id, seq, memory_key, content) and memory rows the candidates with
+    doc_id, version and score; ``summarise`` gives evicted messages (conversation_id, last_message_id, id,
+    role, content) one row (conversation_id, text, last_message_id) per conversation. Folders of ``path``,
+    in the order in which they are written: dead (updates that break a rule), conflicts, memory (changed
+    rows), messages (the turns, only after memory), summaries.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+
+        def put(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+        def before(name: str, schema: str) -> DataFrame:
+            return earlier(spark, f"{path}/{name}", schema, number).drop("batch")
+
+        checked = memory.validate_memory_updates(batch)
+        put(checked.where("err is not null"), "dead")
+        good = checked.where("err is null").drop("err")
+        known = memory.latest_rows(stored, before("memory", CHANGED))
+        width = good.agg(F.coalesce(F.max(F.size("candidates")), F.lit(1)).alias("_w"))
+        owned = memory.chat_owner(good.select("conversation_id", "seq", "candidates"), chat).crossJoin(F.broadcast(width))  # width is one row
+        each = owned.select("user_id", "seq", "_w", F.posexplode("candidates").alias("_pos", "c"))
+        cands = memory.valid_candidates(each.select("user_id", (F.col("seq") * F.col("_w") + F.col("_pos")).alias("seq"), "c.memory_key", "c.content"))
+        _, changed, conflicts = memory.apply_memory(known, memory.actions_of(memory.route(nearest(cands, known)), known))
+        put(conflicts, "conflicts")
+        put(changed, "memory")
+        own = messages.select("id", "conversation_id", "version", "role", "content").unionByName(before("messages", MESSAGES))
+        turn = F.explode(F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(0).alias("at")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.lit(1).alias("at"))))
+        said = good.select("conversation_id", "seq", "version", turn.alias("t")).select("conversation_id", (F.col("seq") * 2 + F.col("t.at")).alias("seq"), "version", "t.role", "t.content")
+        put(memory.numbered_messages(own, said, chat, posts), "messages")
+        everything = own.unionByName(earlier(spark, f"{path}/messages", MESSAGES, number + 1).where(F.col("batch") == number).drop("batch"))
+        gone = memory.evicted(everything, chat_after(chat, before("summaries", SUMMARIES)), window)
+        texts = gone.select("conversation_id", "last_message_id", F.explode("evicted").alias("id")).join(everything.select("id", "conversation_id", "role", "content"), ["conversation_id", "id"])
+        put(summarise(texts), "summaries")
+
+    return updates.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
