@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftline.functions import scalars
+from weftline.functions import hooks, scalars
 from weftline.operators import articles, chunking, counters, logs, memory, orders, retrieval
 from weftline.sources import tables
 from weftline.streaming import jobs
@@ -202,3 +202,57 @@ def test_hybrid_search_fuses_both_lists(spark):
     asked = spark.createDataFrame([(1, 1, 1, [1.0, 7.0], ["needle"])], "query_id long, post_id long, version int, embedding array<double>, keywords array<string>")
     got = [r["chunk_id"] for r in retrieval.hybrid_search(asked, chunks, chunks).orderBy("rank").collect()]
     assert got[0] == "1#3" and got[1] == "1#7" and len(got) == 5
+
+
+def test_stateful_counters_keep_to_32_bits_and_start_from_facts(spark, tmp_path):
+    schema = "event_id long, ts timestamp, op string, event_type string, payload string"
+    start = spark.createDataFrame([(1, 7, jobs.INT_MAX - 2)], "sku_id long, turn int, fav int")
+    facts = spark.createDataFrame([(2, 40)], "sku_id long, fav_count long")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for k, v in jobs.STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        seen = []
+        for k, events in enumerate([[(1, 1, 1), (2, 1, 5), (3, 1, 1), (3, 1, 1), (4, 2, 1)], [(5, 1, -3), (6, 2, 1), (1, 1, 1)]]):
+            made = [(i, f"2024-01-0{k + 1} 00:00:00", "INSERT", "CounterEvent", f'{{"sid":{s},"metric":"fav","idx":2,"delta":{d},"eventId":{i}}}') for i, s, d in events]
+            spark.createDataFrame(made, schema.replace("timestamp", "string")).selectExpr("event_id", "timestamp(ts) as ts", "op", "event_type", "payload").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = jobs.counter_events(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+            seen.append(rows(jobs.run_to_files(jobs.stateful_counters(stream, start, facts), f"{tmp_path}/out", f"{tmp_path}/check")))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    first = {r[0]: r[1:] for r in seen[0]}
+    assert first == {1: (7, jobs.INT_MAX, 3, 1), 2: (0, 40, 1, 0)}
+    assert set(seen[1]) - set(seen[0]) == {(1, 7, jobs.INT_MAX - 3, 4, 0), (2, 0, 41, 2, 0)}
+
+
+def test_admission_stream_equals_one_batch_at_a_time(spark, tmp_path):
+    parts = [[(1, 1, 1), (2, 1, 1), (3, 1, 2)], [(4, 1, 3), (1, 1, 1), (5, 1, 2), (2, 1, 1)]]
+    stock = spark.createDataFrame([(1, 2)], "sku_id long, stock long")
+    nobody = stock.where("false").selectExpr("sku_id", "stock as user_id")
+    for part in parts:
+        spark.createDataFrame(part, "order_id long, sku_id long, user_id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("order_id long, sku_id long, user_id long").parquet(f"{tmp_path}/in")
+        jobs.admission_stream(stream, f"{tmp_path}/out", stock, nobody, f"{tmp_path}/check").awaitTermination()
+    got = {(r["batch"], r["order_id"]): (r["result"], r["result_order_id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(0, 1): ("ADMITTED", 1), (0, 2): ("RETRY", 1), (0, 3): ("ADMITTED", 3), (1, 4): ("REJECTED", None), (1, 1): ("RETRY", 1), (1, 5): ("RETRY", 3), (1, 2): ("RETRY", 1)}
+
+
+def test_recovery_puts_failures_off(spark):
+    outcomes = spark.createDataFrame([(101, 10, 20, "CONFIRMED", True, False, "2000-01-01 00:00:00"), (102, 10, 21, "CANCELLED", False, False, "2000-01-01 00:00:00"), (103, 10, 22, "CONFIRMED", True, False, "2100-01-01 00:00:00"), (104, 10, 23, "PROCESSING", None, False, "2000-01-01 00:00:00")], "order_id long, sku_id long, user_id long, status string, keep_buyer boolean, redis_applied boolean, next_retry_at string").withColumn("next_retry_at", F.col("next_retry_at").cast("timestamp"))
+    held = spark.createDataFrame([(101, 10, 20, "PENDING", None)], "order_id long, sku_id long, user_id long, state string, keep_buyer boolean")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    after = orders.run_recovery(outcomes, held, held.select("sku_id", "user_id"), spark.createDataFrame([(10, 5)], "sku_id long, stock long"), now)[0]
+    assert [(r["order_id"], r["redis_applied"], r["next_retry_at"].year, r["next_retry_at"].second) for r in after.orderBy("order_id").collect()] == [(101, True, 2000, 0), (102, False, 2024, 30), (103, False, 2100, 0), (104, False, 2000, 0)]
+
+
+def test_hooks_and_actions(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
+    assert rows(hooks.score(df, lambda pdf: pdf["id"] * 2.0)) == [(1, "a b", 2.0), (2, None, 4.0)]
+    assert rows(df.select(hooks.tokens(lambda x: len(x.split()))("text"))) == [(0,), (2,)]
+    table = spark.createDataFrame([(1, 1, "language", "old", "ACTIVE", 3)], "id long, user_id long, memory_key string, content string, status string, version int")
+    routed = spark.createDataFrame([(1, 1, "language", "x", "SINGLETON"), (2, 1, "language", "y", "SINGLETON"), (3, 2, "language", "z", "SINGLETON"), (4, 1, "topics", "t", "DECIDE")], "seq long, user_id long, memory_key string, content string, action string").selectExpr("*", "cast(null as long) as target_id", "cast(null as int) as version")
+    assert rows(memory.actions_of(routed, table).select("seq", "action", "target_id", "version")) == [(2, "UPDATE", 1, 3), (3, "INSERT", None, None), (4, "INSERT", None, None)]
+    changed = spark.createDataFrame([("d", 1, 1, "language", "ACTIVE", 4, "y")], jobs.CHANGED)
+    assert rows(memory.latest_rows(table, changed)) == [(1, 1, "language", "y", "ACTIVE", 4)]
+    docs = spark.createDataFrame([("long-memory-1-v3", 1, 1, "language", "ACTIVE", 3, "old")], jobs.CHANGED)
+    assert rows(memory.merge_docs(docs, changed).select("version", "status")) == [(3, "DELETE"), (4, "ACTIVE")]
