@@ -62,11 +62,16 @@ def trim_by_offset(current: Column, previous_end: Column, current_start: Column)
 def trim_by_prefix(previous: Column, current: Column, most: int = 100) -> Column:
     """``current`` without its longest prefix that ends ``previous``, of up to ``most`` characters."""
     sizes = F.sequence(F.lit(1), F.lit(most))
-    fits = F.filter(
-        sizes,
-        lambda n: (n <= F.length(previous)) & (n <= F.length(current)) & (F.right(previous, n) == F.left(current, n)),
-    )
-    return F.substr(current, F.coalesce(F.array_max(fits), F.lit(0)) + 1)
+    # In an array of one, so that the ends are cut once and not for each size.
+    ends = F.array(F.struct(F.right(previous, F.lit(most)).alias("tail"), F.left(current, F.lit(most)).alias("head")))
+
+    def longest(e: Column) -> Column:
+        tail, head = e["tail"], e["head"]
+        fits = F.filter(sizes, lambda n: (n <= F.length(tail)) & (n <= F.length(head)) & (F.right(tail, n) == F.left(head, n)))
+        return F.array_max(fits)
+
+    return F.substr(current, F.coalesce(F.get(F.transform(ends, longest), F.lit(0)), F.lit(0)) + 1)
+
 
 
 def join_paths(paths: Column) -> Column:
