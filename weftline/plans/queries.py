@@ -375,7 +375,7 @@ simple("agg9_merge_evidence", lambda t: logs.merge_evidence(t.message.select(F.c
        select question_id, seq, tool, content, row_number() over (partition by question_id, tool, content order by seq, pos) = 1 as is_new from u where trim(content) <> ''""")
 ASKED = "case doc_id % 3 when 0 then concat('What OTHER arti cles has the Author of ', source, '?') when 1 then concat('List the posts of ', source) else text end"
 simple("sca5_author_questions", lambda t: t.spark.sql(f"select doc_id, {ASKED} as question from {{d}}", d=t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")).select("doc_id", scalars.asks_author_works(F.col("question")).alias("asks")),
-       rf"with p as (select doc_id, regexp_replace(lower({ASKED}), '\s+', '', 'g') as q from documents) select doc_id, regexp_matches(q, 'author|writer|作者') and regexp_matches(q, 'article|post|文章') and regexp_matches(q, 'other|all|list|其他|全部') as asks from p".replace("\\s", "\s"))
+       rf"with p as (select doc_id, regexp_replace(lower({ASKED}), '\s+', '', 'g') as q from documents) select doc_id, regexp_matches(q, 'author|writer|作者') and regexp_matches(q, 'article|post|文章') and regexp_matches(q, 'other|all|list|其他|全部') as asks from p")
 simple("sca9_trim_by_prefix", lambda t: t.chunk_text.select("doc_id", scalars.trim_by_prefix(F.expr("substring(content, 1, 60 + doc_id % 90)"), F.expr("substring(content, 41)")).alias("text")),
        """with p as (select doc_id, substring(content, 1, 60 + doc_id % 90) as a, substring(content, 41) as b from chunk_text)
        select doc_id, substring(b, coalesce(list_max(list_filter(range(1, 101), lambda n: n <= length(a) and n <= length(b) and right(a, n) = left(b, n))), 0) + 1) as text from p""")
