@@ -237,6 +237,16 @@ def test_packing_odd_rows(odd_docs, no_docs):
     assert packing.pack(no_docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_packing_hands_on_a_bounded_number(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").repartition(6)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    whole, few = (packing.pack(docs, path, most=n).toPandas() for n in (packing.OPEN, 1))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(whole[columns].itertuples(index=False, name=None)) == sorted(few[columns].itertuples(index=False, name=None))
+    assert few.groupby("sequence_id")["length"].sum().max() <= 1024 and not few.duplicated(["sequence_id", "offset"]).any()
+    assert packing.still_open([5, 9, 1, 3], 9, 2) == [False, False, True, True]
+
+
 def test_best_fit():
     rnd = random.Random(1)
     sizes = [rnd.randrange(1, 1025) for _ in range(3000)]

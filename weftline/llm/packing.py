@@ -21,10 +21,12 @@ from .tokens import ByteTokens
 SEQUENCE, END_ID, FAN_IN = 1024, 2, 8
 #: A sequence with no more free places than this is done.
 SLACK = 8
+#: Underfull sequences that a task hands on to the next round, at most: the emptiest. The others are done as they are.
+OPEN = 16_384
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_SCHEMA = "bin long, size long, members array<struct<doc_id long, piece int, start long, length long, ids_crc32 long>>"
-_BINS = pa.schema([("bin", pa.int64()), ("size", pa.int64()), ("members", pa.list_(_PIECE))])
+_SCHEMA = "bin long, size long, open boolean, members array<struct<doc_id long, piece int, start long, length long, ids_crc32 long>>"
+_BINS = pa.schema([("bin", pa.int64()), ("size", pa.int64()), ("open", pa.bool_()), ("members", pa.list_(_PIECE))])
 
 
 @cache
@@ -62,16 +64,25 @@ def best_fit(sizes: list[int], sequence: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def _rows(bins: list[list[tuple]], sizes: list[int], level: int) -> Iterator[pa.RecordBatch]:
+def still_open(sizes: list[int], full: int, most: int) -> list[bool]:
+    """Which sequences go on: those with less than ``full`` ids, of them the ``most`` with the fewest."""
+    under = sorted((i for i in range(len(sizes)) if sizes[i] < full), key=lambda i: sizes[i])[:most]
+    out = [False] * len(sizes)
+    for i in under:
+        out[i] = True
+    return out
+
+
+def _rows(bins: list[list[tuple]], sizes: list[int], going: list[bool], level: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     base = (level << 56) | (part << 32)
     for at in range(0, len(bins), 4096):
         some = range(at, min(at + 4096, len(bins)))
         members = [[dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), m, strict=True)) for m in bins[i]] for i in some]
-        yield pa.RecordBatch.from_arrays([pa.array([base + i for i in some], pa.int64()), pa.array([sizes[i] for i in some], pa.int64()), pa.array(members, pa.list_(_PIECE))], schema=_BINS)
+        yield pa.RecordBatch.from_arrays([pa.array([base + i for i in some], pa.int64()), pa.array([sizes[i] for i in some], pa.int64()), pa.array([going[i] for i in some]), pa.array(members, pa.list_(_PIECE))], schema=_BINS)
 
 
-def _pack_pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int) -> Iterator[pa.RecordBatch]:
+def _pack_pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, full: int, most: int) -> Iterator[pa.RecordBatch]:
     """Tokenize a partition's documents and pack their pieces; only numbers are kept."""
     pieces: list[tuple] = []
     for batch in batches:
@@ -83,44 +94,45 @@ def _pack_pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int) ->
                 ids = np.append(flat[end - n : end], END_ID).astype("<u4").tobytes()
                 for k, (start, length) in enumerate(cut(n + 1, sequence)):
                     pieces.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-    yield from _emit([[p] for p in pieces], [p[3] for p in pieces], 0, sequence)
+    yield from _emit([[p] for p in pieces], [p[3] for p in pieces], 0, sequence, full, most)
 
 
-def _emit(items: list[list[tuple]], sizes: list[int], level: int, sequence: int) -> Iterator[pa.RecordBatch]:
+def _emit(items: list[list[tuple]], sizes: list[int], level: int, sequence: int, full: int, most: int) -> Iterator[pa.RecordBatch]:
     packed = best_fit(sizes, sequence)
     bins = [[m for i in b for m in items[i]] for b in packed]
-    yield from _rows(bins, [sum(sizes[i] for i in b) for b in packed], level)
+    totals = [sum(sizes[i] for i in b) for b in packed]
+    yield from _rows(bins, totals, still_open(totals, full, most), level)
 
 
-def _pack_bins(batches: Iterator[pa.RecordBatch], level: int, sequence: int) -> Iterator[pa.RecordBatch]:
+def _pack_bins(batches: Iterator[pa.RecordBatch], level: int, sequence: int, full: int, most: int) -> Iterator[pa.RecordBatch]:
     items, sizes = [], []
     for batch in batches:
         sizes += batch.column("size").to_pylist()
         items += [[tuple(m.values()) for m in ms] for ms in batch.column("members").to_pylist()]
-    yield from _emit(items, sizes, level, sequence)
+    yield from _emit(items, sizes, level, sequence, full, most)
 
 
-def pack(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, slack: int = SLACK) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, slack: int = SLACK, most: int = OPEN) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: one row per piece.
 
     A document is its ids and the end id; only longer ones than ``sequence`` are cut. A null or empty
     text is the end id alone. Every row is packed, repeated rows and null ids too; other columns are
     ignored; an empty table gives an empty result. Rounds go on until the underfull sequences of all
-    partitions have met; only those travel, and each carries just numbers.
+    partitions have met; only those travel, and each carries just numbers. A task hands on at most ``most``
+    of them, so that the last one meets a bounded number; pieces are never lost by that, only room.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    bins = materialize(rows.mapInArrow(partial(_pack_pieces, path=ranks_path, sequence=sequence), _SCHEMA))
-    done = bins.where(F.col("size") >= sequence - slack)
-    rest = bins.where(F.col("size") < sequence - slack)
+    bounds = {"sequence": sequence, "full": sequence - slack, "most": most}
+    bins = materialize(rows.mapInArrow(partial(_pack_pieces, path=ranks_path, **bounds), _SCHEMA))
+    done, rest = bins.where("not open"), bins.where("open")
     parts, level = max(1, len(bins.inputFiles())), 1  # a file for each partition that packed
     while True:
         parts = -(-parts // FAN_IN)
-        merged = materialize(rest.repartition(parts).mapInArrow(partial(_pack_bins, level=level, sequence=sequence), _SCHEMA))
+        merged = materialize(rest.repartition(parts).mapInArrow(partial(_pack_bins, level=level, **bounds), _SCHEMA))
         if parts == 1:
             done = done.unionByName(merged)
             break
-        done = done.unionByName(merged.where(F.col("size") >= sequence - slack))
-        rest = merged.where(F.col("size") < sequence - slack)
+        done, rest = done.unionByName(merged.where("not open")), merged.where("open")
         level += 1
     offset = F.aggregate(F.slice("members", 1, F.col("at")), F.lit(0).cast("long"), lambda total, m: total + m["length"])
     return (
