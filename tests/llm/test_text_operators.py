@@ -146,6 +146,11 @@ def test_page_lines_and_differencing():
     assert html_text.main_text(shared, [html_text.page_lines("<article><p>Same passage</p><p>y</p></article>")]) == "Same passage\nx"
 
 
+def test_marks_of_the_whole_page_are_not_furniture():
+    page = "<html><body class='home has-sidebar'><div class=sidebar>Side</div><main class='with-sidebar'><p>Own<ol class=commentlist><li>Nice</ol></main></body></html>"
+    assert html_text.main_text(html_text.page_lines(page), []) == "Own"
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rnd = random.Random(1)
     for _ in range(300):
