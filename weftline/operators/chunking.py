@@ -7,6 +7,7 @@ one fold that makes chunks. Offsets are code points; the chunks of a document ma
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 TARGET, LEAST, MOST = 300, 100, 600
 _WORD = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
+#: Line and sentence ends. The marks count at the end of what they are searched in, too.
+_END_MARKS = ".!?。！？"
+_ENDS = re.compile(rf"\r?\n|[{_END_MARKS}](?=\s|$)")
 _KINDS = (
     ("heading", re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")),
     ("break", re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")),
@@ -38,6 +42,9 @@ def token_count(text: Column) -> Column:
 
 
 def _kind(line: str) -> tuple[str, re.Match | None]:
+    first = line.lstrip(" ")[:1]
+    if first not in "#*-_`~>+|<" and not first.isdigit():  # no pattern begins otherwise
+        return "paragraph", None
     for name, pattern in _KINDS:
         if m := pattern.match(line):
             return name, m
@@ -95,18 +102,28 @@ def markdown_blocks(contents: DataFrame) -> DataFrame:
 
 
 def split_text(text: str, target: int = TARGET, most: int = MOST) -> list[str]:
-    """Parts of at most ``most`` tokens, cut near ``target`` at a line or sentence end where there is one; never within CRLF."""
-    parts = []
-    while count_tokens(text) > most:
-        ends = [m.end() for m in _WORD.finditer(text)]
-        limit, goal = ends[most - 1], ends[target - 1]
-        ends_near = [m.end() for m in re.finditer(r"\r?\n|[.!?。！？](?=\s|$)", text[:limit])]
-        cut = min(ends_near, key=lambda e: (abs(e - goal), e), default=goal)
+    """Parts of at most ``most`` tokens, cut near ``target`` at a line or sentence end where there is one; never within CRLF.
+
+    A cut never parts a token, so tokens and ends are found once, however long the text.
+    """
+    words = [m.end() for m in _WORD.finditer(text)]
+    if len(words) <= most:
+        return [text] if text else []
+    ends = [m.end() for m in _ENDS.finditer(text)]
+    parts, at, done = [], 0, 0
+    while len(words) - done > most:
+        limit, goal = words[done + most - 1], words[done + target - 1]
+        low, high = bisect_right(ends, at), bisect_right(ends, limit)
+        near = bisect_left(ends, goal, low, high)
+        choice = ends[max(low, near - 1) : min(high, near + 1)]
+        if text[limit - 1] in _END_MARKS:
+            choice.append(limit)
+        cut = min(choice, key=lambda e: (abs(e - goal), e), default=goal)
         if text[cut - 1 : cut + 1] == "\r\n":
             cut += 1
-        parts.append(text[:cut])
-        text = text[cut:]
-    return [*parts, text] if text else parts
+        parts.append(text[at:cut])
+        at, done = cut, bisect_right(words, cut, done)
+    return [*parts, text[at:]] if at < len(text) else parts
 
 
 def split_oversize(blocks: list[dict], target: int = TARGET, most: int = MOST) -> list[dict]:
@@ -120,6 +137,16 @@ def split_oversize(blocks: list[dict], target: int = TARGET, most: int = MOST) -
     return out
 
 
+def split_blocks(blocks: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
+    """Rows of ``markdown_blocks`` of which those over ``most`` tokens are cut; parts keep their block_idx and differ in start."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame(split_oversize(pdf.to_dict("records"), target, most), columns=pdf.columns)
+
+    return blocks.mapInPandas(run, BLOCKS)
+
+
 def _related(a: list[str], b: list[str]) -> bool:
     """Whether one path begins the other, or both have one parent."""
     n = min(len(a), len(b))
@@ -137,13 +164,14 @@ def assemble(blocks: list[dict], target: int = TARGET, least: int = LEAST, most:
     pieces = []
     for unit in units:
         whole = {**unit[0], "text": "".join(b["text"] for b in unit), "end": unit[-1]["end"], "types": [b["type"] for b in unit]}
-        if count_tokens(whole["text"]) <= most:
-            pieces.append(whole)
+        n = count_tokens(whole["text"])
+        if n <= most:
+            pieces.append({**whole, "n": n})
         else:
-            pieces += [{**b, "types": [b["type"]]} for b in split_oversize(unit, target, most)]
+            pieces += [{**b, "types": [b["type"]], "n": count_tokens(b["text"])} for b in split_oversize(unit, target, most)]
     chunks: list[dict] = []
     for p in pieces:
-        n = count_tokens(p["text"])
+        n = p["n"]
         last = chunks[-1] if chunks else None
         if last is None or p["strong"]:
             joins = False
@@ -152,8 +180,9 @@ def assemble(blocks: list[dict], target: int = TARGET, least: int = LEAST, most:
         else:
             joins = last["tokens"] < least and _related(last["last_path"], p["path"])
         if joins:
+            one_word = bool(_WORD.fullmatch(last["text"][-1:] + p["text"][:1]))  # of letters or digits on both sides of the seam
             last["text"] += p["text"]
-            last["tokens"] = count_tokens(last["text"])
+            last["tokens"] += n - one_word
             last["end"], last["last_path"] = p["end"], p["path"]
             last["paths"] += [p["path"]] * (p["path"] not in last["paths"])
             last["types"] += [t for t in p["types"] if t not in last["types"]]
