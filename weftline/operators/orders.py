@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weftline.functions.scalars import positive_id
 
 LONG_MAX = 2**63 - 1
+#: Parts into which the candidates for one item are dealt, so that a hot item is ranked by many tasks.
+SALTS = 64
 
 
 def validate_orders(orders: DataFrame) -> DataFrame:
@@ -48,6 +50,18 @@ def release_stock(stock: DataFrame, transitions: DataFrame) -> DataFrame:
     )
 
 
+def _winners(rows: DataFrame, *order: str) -> DataFrame:
+    """The first row of each (sku_id, user_id) by ``order``, of those the first ``_stock`` of each item.
+
+    A part of an item's users can hold no more winners than its stock, so only that many of each part
+    meet in the last ranking.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(SALTS))).repartition("sku_id", "_salt")
+    for name, keys, most in (("_first", ("sku_id", "_salt", "user_id"), "1"), ("_near", ("sku_id", "_salt"), "_stock"), ("_rank", ("sku_id",), "_stock")):
+        dealt = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(f"{name} <= {most}")
+    return dealt
+
+
 def admit(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reservations: DataFrame, cap: int = LONG_MAX, pending: int = 0) -> DataFrame:
     """Admission in order of arrival: ``order_id, result_order_id, result, err``.
 
@@ -74,10 +88,8 @@ def admit_rows(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reserva
         .when(F.coalesce(F.col("_stock") < 0, F.lit(True)), "BAD_STOCK").when(F.col("_stock") == 0, "REJECTED")
     )
     rows = rows.withColumn("_early", early)
-    first = F.row_number().over(Window.partitionBy("sku_id", "user_id").orderBy("arrival", "order_id"))
-    open_rows = rows.where("_early is null").withColumn("_first", first)
-    ranked = open_rows.where("_first = 1").withColumn("_rank", F.row_number().over(Window.partitionBy("sku_id").orderBy("arrival", "order_id")))
-    winners = ranked.where("_rank <= _stock").select("sku_id", "user_id", F.col("order_id").alias("_won"), "arrival")
+    open_rows = rows.where("_early is null")
+    winners = _winners(open_rows, "arrival", "order_id").select("sku_id", "user_id", F.col("order_id").alias("_won"), "arrival")
     if cap < LONG_MAX:
         winners = winners.orderBy("arrival", "_won").limit(max(0, cap - pending))
     late = open_rows.select("order_id", "sku_id", "user_id").join(winners.drop("arrival"), ["sku_id", "user_id"], "left")
@@ -113,10 +125,8 @@ def decide(msgs: DataFrame, orders: DataFrame, outcomes: DataFrame, sku: DataFra
         .when(F.coalesce(F.col("_stock"), F.lit(0)) <= 0, "EMPTY")
     )
     rows = rows.withColumn("_early", early)
-    first = F.row_number().over(Window.partitionBy("sku_id", "user_id").orderBy("order_id"))
-    open_rows = rows.where("_early is null").withColumn("_first", first)
-    ranked = open_rows.where("_first = 1").withColumn("_rank", F.row_number().over(Window.partitionBy("sku_id").orderBy("order_id")))
-    won = ranked.where("_rank <= _stock").select("sku_id", "user_id", F.col("order_id").alias("_won"))
+    open_rows = rows.where("_early is null")
+    won = _winners(open_rows, "order_id").select("sku_id", "user_id", F.col("order_id").alias("_won"))
     late = open_rows.select("order_id", "sku_id", "user_id").join(won, ["sku_id", "user_id"], "left")
     new = late.select(
         "order_id", "sku_id", "user_id", F.when(F.col("_won") == F.col("order_id"), "CONFIRMED").otherwise("CANCELLED").alias("status"),
@@ -186,9 +196,10 @@ def overdue(log: DataFrame, now: Column, idle_ms: int = 60_000, n: int = 100) ->
 def order_history(msgs: DataFrame, orders: DataFrame) -> DataFrame:
     """Messages with whether an order of their id exists, and the first other order of the user for the item."""
     same = orders.select(F.col("id").alias("order_id"), F.lit(True).alias("same_id"))
-    first = orders.groupBy("sku_id", "user_id").agg(F.sort_array(F.collect_set("id")).alias("_ids"))
+    place = F.dense_rank().over(Window.partitionBy("sku_id", "user_id").orderBy("id"))
+    first = orders.withColumn("_n", place).where("_n <= 2").groupBy("sku_id", "user_id").agg(F.min("id").alias("_one"), F.max("id").alias("_two"))
     joined = msgs.join(same, "order_id", "left").join(first, ["sku_id", "user_id"], "left")
-    prior = F.get(F.filter("_ids", lambda i: i != F.col("order_id")), F.lit(0))
+    prior = F.when(F.col("_one") != F.col("order_id"), F.col("_one")).when(F.col("_two") != F.col("order_id"), F.col("_two"))
     return joined.select("order_id", "sku_id", "user_id", F.coalesce("same_id", F.lit(False)).alias("same_id"), prior.alias("prior_order_id"))
 
 
