@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scalars import trim_by_offset, trim_by_prefix
+from weftline.functions.scalars import chunk_index, trim_by_offset, trim_by_prefix
 
 
 def topk_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -102,8 +102,19 @@ def nearest_memory(cands: DataFrame, docs: DataFrame) -> DataFrame:
     return best.select("user_id", "seq", "memory_key", (-F.col("b.neg")).alias("doc_id"), "b.version", "b.score")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 40, fused: int = 30, final: int = 5) -> DataFrame:
-    """``query_id, rank, chunk_id, text``: vector and word search fused; the fused score orders where no model does."""
+def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 40, fused: int = 30, final: int = 5, scores: DataFrame | None = None) -> DataFrame:
+    """``query_id, rank, chunk_id, text``: vector and word search fused, reranked, and overlaps trimmed.
+
+    ``scores`` (query_id, chunk_id, rerank_score) are a model's; without them the fused score orders. A
+    chunk whose predecessor is selected too loses what that one already has: by source offsets where
+    ``chunks`` has source_start and source_end, else by its longest prefix that ends the other.
+    """
     both = rrf([vector_topk(queries, vectors, k), bm25_topk(queries, chunks, k)], k=fused)
-    top = topk_per_group(both.drop("rank"), ["query_id"], [F.desc("score"), F.asc("chunk_id")], final)
-    return top.join(chunks.select("chunk_id", F.col("content").alias("text")), "chunk_id").select("query_id", "rank", "chunk_id", "text")
+    order = [F.desc("score"), F.asc("chunk_id")]
+    top = topk_per_group(both.drop("rank"), ["query_id"], order, final) if scores is None else rerank(both, scores, final)
+    offsets = [F.col(c).cast("int").alias(c) if c in chunks.columns else F.lit(None).cast("int").alias(c) for c in ("source_start", "source_end")]
+    rows = top.join(chunks.select("chunk_id", F.col("content").alias("text"), *offsets), "chunk_id").withColumn("chunk_idx", chunk_index(F.col("chunk_id")))
+    before = Window.partitionBy("query_id").orderBy("chunk_idx").rangeBetween(-1, -1)  # of at most ``final`` rows
+    previous = F.when(F.col("chunk_idx").isNotNull(), F.max_by(F.struct("text", "source_end"), F.col("text")).over(before))
+    rows = rows.withColumn("_p", previous).withColumn("prev_text", F.col("_p.text")).withColumn("prev_end", F.col("_p.source_end"))
+    return trimmed(rows).select("query_id", "rank", "chunk_id", "text")
