@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN_ID_MS = 1_735_689_600_000
+# The words by which a question asks for an author's works, lower case, without white space.
+AUTHOR_WORDS = ("作者", "author")
+ARTICLE_WORDS = ("文章", "作品", "帖子", "博文", "article", "post", "work")
+COLLECTION_WORDS = ("多少", "几篇", "数量", "总数", "一共", "全部", "所有", "其他", "哪些", "列表", "howmany", "count", "list", "other")
 
 
 def positive_id(text: Column) -> Column:
@@ -35,18 +39,19 @@ def chunk_index(chunk_id: Column) -> Column:
     return F.when(F.contains(chunk_id, F.lit("#")), F.substring_index(chunk_id, "#", -1).try_cast("int"))
 
 
-def asks_author_works(text: Column, author: str = "author|writer|作者", article: str = "article|post|文章", collection: str = "other|all|list|其他|全部") -> Column:
-    """Whether a question names an author, an article and a collection of them."""
+def asks_author_works(text: Column, author: str = "|".join(AUTHOR_WORDS), article: str = "|".join(ARTICLE_WORDS), collection: str = "|".join(COLLECTION_WORDS)) -> Column:
+    """Whether a question names an author, an article and a collection of them (patterns); null for a null text."""
     plain = F.regexp_replace(F.lower(text), r"\s+", "")
     return plain.rlike(author) & plain.rlike(article) & plain.rlike(collection)
 
 
 def error_code(exception: Column, message: Column) -> Column:
-    """The class of a failed call; the first rule that fits wins."""
-    text = F.lower(F.concat_ws(" ", exception, message))
+    """The class of a failed call by the name of its exception and its message; the first rule that fits wins."""
+    name, text = F.lower(exception), F.coalesce(F.lower(message), F.lit(""))
     return (
-        F.when(F.lower(exception).contains("illegalargument"), "INVALID_ARGUMENT")
-        .when(text.contains("timeout") | text.contains("timed out"), "UPSTREAM_TIMEOUT")
+        F.when(name.isNull(), "TOOL_EXECUTION_ERROR")
+        .when(name.contains("illegalargument") | name.contains("numberformat"), "INVALID_ARGUMENT")
+        .when(text.contains("timeout") | text.contains("timed out") | name.contains("timeout"), "UPSTREAM_TIMEOUT")
         .when(text.contains("429") | text.contains("rate limit"), "RATE_LIMITED")
         .when(text.rlike("50[234]|unavailable"), "UPSTREAM_UNAVAILABLE")
         .otherwise("TOOL_EXECUTION_ERROR")

@@ -95,7 +95,7 @@ def valid_candidates(cands: DataFrame) -> DataFrame:
     return cands.where("memory_key is not null and trim(memory_key) <> '' and content is not null")
 
 
-def strict_candidates(cands: DataFrame, keys: tuple[str, ...] = ("language", "answer_style", "tech_stack", "skill_level", "topics", "current_goal"), levels: tuple[str, ...] = ("beginner", "intermediate", "advanced", "expert")) -> DataFrame:
+def strict_candidates(cands: DataFrame, keys: tuple[str, ...] = ("language", "answer_style", "tech_stack", "skill_level", "topics", "current_goal"), levels: tuple[str, ...] = ("beginner", "intermediate", "advanced", "unknown", "expert")) -> DataFrame:
     """Candidates with the strict rule that they break: a known key; a text, or for skill_level an object of one skill and its level."""
     skill = F.from_json("content", "map<string,string>")
     err = (
