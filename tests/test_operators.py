@@ -1,6 +1,7 @@
 """Edge cases of operators, and admission and decision against row-by-row simulations."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -256,3 +257,101 @@ def test_hooks_and_actions(spark):
     assert rows(memory.latest_rows(table, changed)) == [(1, 1, "language", "y", "ACTIVE", 4)]
     docs = spark.createDataFrame([("long-memory-1-v3", 1, 1, "language", "ACTIVE", 3, "old")], jobs.CHANGED)
     assert rows(memory.merge_docs(docs, changed).select("version", "status")) == [(3, "DELETE"), (4, "ACTIVE")]
+
+
+def test_hybrid_search_reranks_and_trims_overlaps(spark):
+    text = {1: "alpha beta gamma", 2: "gamma delta", 4: "delta end"}
+    rows = [(f"1#{i}", 1, 1, t, [1.0, float(i)]) for i, t in text.items()]
+    schema = "chunk_id string, post_id long, version int, content string, embedding array<double>"
+    chunks = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame([(1, 1, 1, [1.0, 7.0], ["delta"])], "query_id long, post_id long, version int, embedding array<double>, keywords array<string>")
+    scores = spark.createDataFrame([(1, "1#1", 0.9), (1, "1#2", 0.5)], "query_id long, chunk_id string, rerank_score double")
+    got = [(r["chunk_id"], r["text"]) for r in retrieval.hybrid_search(asked, chunks, chunks, scores=scores).orderBy("rank").collect()]
+    # The chunk without a model's score comes last; 4 has no selected predecessor, so it stays whole.
+    assert got == [("1#1", "alpha beta gamma"), ("1#2", " delta"), ("1#4", "delta end")]
+    placed = spark.createDataFrame([(*r, 10 * k, 10 * k + 13) for k, r in enumerate(rows)], f"{schema}, source_start int, source_end int")
+    got = {r["chunk_id"]: r["text"] for r in retrieval.hybrid_search(asked, placed, chunks, final=2, scores=scores).collect()}
+    assert got == {"1#1": "alpha beta gamma", "1#2": "ma delta"}
+
+
+def test_a_hot_item_admits_by_arrival_up_to_its_stock(spark):
+    requests = spark.range(4000).selectExpr("id as arrival", "id + 1 as order_id", "if(id % 3 = 0, id % 7 + 2, 1) as sku_id", "id % 1500 as user_id")
+    stock = spark.createDataFrame([(1, 700), (2, 5), (3, 0), (4, 9999)], "sku_id long, stock long")
+    buyers = requests.where("false").select("sku_id", "user_id")
+    known = requests.where("false").selectExpr("order_id", "sku_id", "user_id", "'PENDING' as state")
+    left, won, want = {1: 700, 2: 5, 3: 0, 4: 9999}, {}, {}
+    for r in requests.orderBy("arrival").collect():
+        key = r["sku_id"], r["user_id"]
+        if key in won:
+            want[r["order_id"]] = ("RETRY", won[key])
+        elif left.get(r["sku_id"], 0) > 0:
+            left[r["sku_id"]] -= 1
+            won[key] = r["order_id"]
+            want[r["order_id"]] = ("ADMITTED", r["order_id"])
+        else:
+            want[r["order_id"]] = ("REJECTED", None)
+    got = {r["order_id"]: (r["result"], r["result_order_id"]) for r in orders.admit(requests, stock, buyers, known).collect()}
+    assert got == want
+
+
+def test_order_history_names_the_first_other_order(spark):
+    placed = spark.createDataFrame([(1, 5, 6), (2, 5, 6), (3, 5, 6), (2, 5, 6)], "id long, sku_id long, user_id long")
+    msgs = spark.createDataFrame([(1, 5, 6), (2, 5, 6), (9, 5, 6), (9, 7, 7)], "order_id long, sku_id long, user_id long")
+    got = sorted((r["order_id"], r["sku_id"], r["same_id"], r["prior_order_id"]) for r in orders.order_history(msgs, placed.distinct()).collect())
+    assert got == sorted([(1, 5, True, 2), (2, 5, True, 1), (9, 5, False, 1), (9, 7, False, None)], key=lambda x: x[:3])
+
+
+def test_words_codes_and_levels(spark):
+    one = spark.range(1)
+
+    def asks(text):
+        return one.select(scalars.asks_author_works(F.lit(text))).first()[0]
+
+    assert asks("How many works has this author?") and asks("作者的其他帖子") and asks("作者一共有几篇博文")
+    assert not asks("who is the writer of all posts") and not asks("author of this article") and not asks(" ")
+    rows = [("SocketTimeoutException", "x"), ("IOException", "HTTP 502"), ("UnavailableException", "x"), (None, "timeout"), ("NumberFormatException", "timeout"), ("IOException", None)]
+    logs_ = spark.createDataFrame(rows, "exception string, message string")
+    want = ["UPSTREAM_TIMEOUT", "UPSTREAM_UNAVAILABLE", "TOOL_EXECUTION_ERROR", "TOOL_EXECUTION_ERROR", "INVALID_ARGUMENT", "TOOL_EXECUTION_ERROR"]
+    assert [r["code"] for r in logs.error_class(logs_).collect()] == want
+    cands = spark.createDataFrame([("skill_level", '{"go":"unknown"}'), ("skill_level", '{"go":"good"}')], "memory_key string, content string")
+    assert [r["err"] for r in memory.strict_candidates(cands).collect()] == [None, "BAD_SKILL"]
+
+
+def test_splitting_equals_a_plain_search_for_each_cut():
+    def plain(text, target, most):
+        parts = []
+        while chunking.count_tokens(text) > most:
+            ends = [m.end() for m in re.finditer(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]", text)]
+            limit, goal = ends[most - 1], ends[target - 1]
+            near = [m.end() for m in re.finditer(r"\r?\n|[.!?。！？](?=\s|$)", text[:limit])]
+            cut = min(near, key=lambda e: (abs(e - goal), e), default=goal)
+            cut += text[cut - 1 : cut + 1] == "\r\n"
+            parts.append(text[:cut])
+            text = text[cut:]
+        return [*parts, text] if text else parts
+
+    rnd = random.Random(3)
+    for _ in range(2000):
+        text = "".join(rnd.choice(["ab", "c", " ", " ", ".", "! ", "。", "\n", "\r\n", "\r", "🙂", "é"]) for _ in range(rnd.randrange(120)))
+        most = rnd.randrange(2, 30)
+        target = rnd.randrange(1, most + 1)
+        got = chunking.split_text(text, target, most)
+        assert got == plain(text, target, most) and "".join(got) == text
+
+
+def test_split_blocks_keep_text_and_first_boundary(spark):
+    contents = spark.createDataFrame([(1, 1, "# Head\n\n" + "one two three. " * 50 + "\n"), (2, 1, None)], "post_id long, version int, content string")
+    blocks = chunking.markdown_blocks(contents)
+    got = chunking.split_blocks(blocks, 20, 40).orderBy("start").collect()
+    assert "".join(r["text"] for r in got) == contents.first()["content"] and len(got) > 3
+    assert all(a["end"] == b["start"] for a, b in zip(got, got[1:], strict=False)) and [r["strong"] for r in got] == [True] + [False] * (len(got) - 1)
+    assert chunking.split_blocks(blocks.limit(0)).count() == 0
+
+
+def test_chunk_token_counts_are_those_of_their_texts():
+    rnd = random.Random(5)
+    for _ in range(300):
+        text = "".join(rnd.choice(["ab ", "c", ". ", "\n", "\n\n", "# H\n", "- x\n", "> q\n", "```\n", "---\n"]) for _ in range(rnd.randrange(200)))
+        chunks = chunking.assemble(chunking.scan(text), 8, 4, 16)
+        assert [c["tokens"] for c in chunks] == [chunking.count_tokens(c["text"]) for c in chunks]
+        assert "".join(c["text"] for c in chunks) == text

@@ -297,6 +297,8 @@ def _markdown(t: Tables) -> DataFrame:
 
 simple("txt1_blocks", lambda t: chunking.markdown_blocks(_markdown(t)))
 simple("txt2_chunks", lambda t: chunking.chunk_rows(chunking.assemble_chunks(_markdown(t))))
+simple("txt3_split_oversize", lambda t: chunking.split_blocks(chunking.markdown_blocks(_markdown(t)), 60, 120))
+simple("txt4_chunk_rows", lambda t: chunking.chunk_rows(chunking.assemble_chunks(_markdown(t))).select("post_id", "version", "chunk_id", "heading_paths", "block_types", "start", "end"))
 simple("txt6_chunk_stats", lambda t: chunking.chunk_stats(chunking.assemble_chunks(_markdown(t)), _markdown(t)))
 simple("joi6_new_chunks", lambda t: chunking.new_chunks(t.chunk_text.drop("content"), t.chunk_text.where("doc_id % 3 = 0").where("post_id % 2 = 1")),
        "select doc_id, post_id, version, chunk_id from chunk_text where (post_id, version) not in (select post_id, version from chunk_text where doc_id % 3 = 0 and post_id % 2 = 1)")
@@ -374,8 +376,11 @@ simple("agg9_merge_evidence", lambda t: logs.merge_evidence(t.message.select(F.c
        r"""with p as (select conversation_id as question_id, id as seq, role as tool, string_split(content, ' ') as ps from message), u as (select question_id, seq, tool, unnest(ps) as content, generate_subscripts(ps, 1) as pos from p)
        select question_id, seq, tool, content, row_number() over (partition by question_id, tool, content order by seq, pos) = 1 as is_new from u where trim(content) <> ''""")
 ASKED = "case doc_id % 3 when 0 then concat('What OTHER arti cles has the Author of ', source, '?') when 1 then concat('List the posts of ', source) else text end"
-simple("sca5_author_questions", lambda t: t.spark.sql(f"select doc_id, {ASKED} as question from {{d}}", d=t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")).select("doc_id", scalars.asks_author_works(F.col("question")).alias("asks")),
+simple("sca5_author_questions", lambda t: t.spark.sql(f"select doc_id, {ASKED} as question from {{d}}", d=t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")).select("doc_id", scalars.asks_author_works(F.col("question"), "author|writer|作者", "article|post|文章", "other|all|list|其他|全部").alias("asks")),
        rf"with p as (select doc_id, regexp_replace(lower({ASKED}), '\s+', '', 'g') as q from documents) select doc_id, regexp_matches(q, 'author|writer|作者') and regexp_matches(q, 'article|post|文章') and regexp_matches(q, 'other|all|list|其他|全部') as asks from p")
+WORKS = "case doc_id % 4 when 0 then concat('How Many wor ks has the AUTHOR of ', source, '?') when 1 then '这个作者一共写了几篇博文' when 2 then 'who is the writer of all posts' else text end"
+simple("sca5_author_works", lambda t: t.spark.sql(f"select doc_id, {WORKS} as question from {{d}}", d=t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")).select("doc_id", scalars.asks_author_works(F.col("question")).alias("asks")),
+       rf"with p as (select doc_id, regexp_replace(lower({WORKS}), '\s+', '', 'g') as q from documents) select doc_id, regexp_matches(q, '作者|author') and regexp_matches(q, '文章|作品|帖子|博文|article|post|work') and regexp_matches(q, '多少|几篇|数量|总数|一共|全部|所有|其他|哪些|列表|howmany|count|list|other') as asks from p")
 simple("sca9_trim_by_prefix", lambda t: t.chunk_text.select("doc_id", scalars.trim_by_prefix(F.expr("substring(content, 1, 60 + doc_id % 90)"), F.expr("substring(content, 41)")).alias("text")),
        """with p as (select doc_id, substring(content, 1, 60 + doc_id % 90) as a, substring(content, 41) as b from chunk_text)
        select doc_id, substring(b, coalesce(list_max(list_filter(range(1, 101), lambda n: n <= length(a) and n <= length(b) and right(a, n) = left(b, n))), 0) + 1) as text from p""")
