@@ -355,3 +355,9 @@ def test_chunk_token_counts_are_those_of_their_texts():
         chunks = chunking.assemble(chunking.scan(text), 8, 4, 16)
         assert [c["tokens"] for c in chunks] == [chunking.count_tokens(c["text"]) for c in chunks]
         assert "".join(c["text"] for c in chunks) == text
+
+
+def test_chunk_rows_name_chunks_paths_and_types(spark):
+    contents = spark.createDataFrame([(7, 2, "# A\n\n## B\n\ntext\n\n- x\n- y\n"), (8, 1, "")], "post_id long, version int, content string")
+    got = chunking.chunk_rows(chunking.assemble_chunks(contents)).collect()
+    assert [(r["chunk_id"], r["heading_paths"], r["block_types"], r["start"], r["end"]) for r in got] == [("7#0", ["A", "A > B"], ["heading", "paragraph", "list"], 0, 25)]
