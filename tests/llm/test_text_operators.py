@@ -151,6 +151,32 @@ def test_marks_of_the_whole_page_are_not_furniture():
     assert html_text.main_text(html_text.page_lines(page), []) == "Own"
 
 
+def test_marked_paragraphs_end_where_html_ends_them():
+    def text(page):
+        return html_text.main_text(html_text.page_lines(page), [])
+
+    for mark in ("class=share", "class='notice'", 'id="related"', "role=complementary", "hidden"):
+        assert text(f"<article><p {mark}>x</p><p>body 1</p><p>body 2</p></article>") == "body 1\nbody 2"
+        assert text(f"<article><p {mark}>x<p>body 1<div>body 2</div></article>") == "body 1\nbody 2"
+        assert text(f"<article><p {mark}>x<table><tr><td>body 1</table>body 2</article>") == "body 1\nbody 2"
+        assert text(f"<article><ul><li {mark}>x<li>body 1<ul><li>body 2</ul></ul>body 3</article>") == "body 1\nbody 2\nbody 3"
+        assert text(f"<dl><dt {mark}>x<dd>body 1</dl><table><tr {mark}><td>x<tr><td {mark}>x<td>body 2</table>") == "body 1\nbody 2"
+    assert text("<div class=share><p>x</p>y</div><p>body</p>") == "body"
+    assert text("<ul><li class=menu>x<ul><li>y</ul>z<li>body</ul>") == "body"
+    assert text("<p>body 1<span class=share>x</p>body 2") == "body 1\nbody 2"
+
+
+def test_marks_are_read_from_attributes_of_that_name():
+    page = (
+        '<div style="overflow:hidden">one</div><div data-role="search">two</div><p title="class=share">three</p><p data-hidden>four</p>'
+        "<p alt='a id=\"menu\" b'>five</p><p data-x=hidden>six</p>See <a title=\"hidden gems\">seven</a><div class=x/y>eight</div>"
+    )
+    want = ["one", "two", "three", "four", "five", "six", "See seven", "eight"]
+    assert [t for t, _ in html_text.page_lines(page)] == want
+    marked = "<div hidden>x</div><div\nCLASS = 'a share b'>x</div><div data-a='1'id=menu>x</div><div aria-hidden=true>x</div><p/hidden>x</p>own"
+    assert [t for t, _ in html_text.page_lines(marked)] == ["own"]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rnd = random.Random(1)
     for _ in range(300):

@@ -36,16 +36,33 @@ _MARK = re.compile(
     r"header|footer|masthead|comments?|comment-list|respond|replies|disqus|share|sharing|social|related|recommended|widget|toolbar|search|login|signup|complementary|contentinfo|commentlist|adsbygoogle|adsense|gdpr|skip-link|pagination|pager)(?=$|[\s_-])",
     re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after another: names start after white space, a slash or a value; values are read whole.
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+#: Elements whose start ends an open paragraph.
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul xmp".split()
+)
+#: Elements within which a paragraph outside of them stays open.
+_P, P_SCOPE = frozenset(("p",)), frozenset(("button", "caption", "html", "marquee", "table", "td", "th"))
+#: Elements whose end tag may be left out: which open ones their start ends, and where the search for these stops.
+_LISTS, _ROWS = frozenset(("ul", "ol", "menu", "dir", "dl", "table", "td", "th")), frozenset(("table", "html"))
+IMPLIED = {
+    "li": (frozenset(("li",)), _LISTS),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), _LISTS)),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th")), _ROWS | {"tr"})),
+    "tr": (frozenset(("tr",)), _ROWS),
+}
 ARTICLE, BODY = 1, 0
 
 
 def _marked(attributes: str) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value.lower() == "true":
+        name = name.lower()
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             return True
-        if name.lower() in ("class", "id", "role") and _MARK.search(value):
+        if name in ("class", "id", "role") and _MARK.search(value):
             return True
     return False
 
@@ -63,6 +80,21 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if line and not hidden:
             lines.append((line, ARTICLE if article else BODY))
 
+    def close(to: int) -> None:
+        nonlocal hidden, article
+        while len(open_tags) > to:
+            _, was_hidden, was_article = open_tags.pop()
+            hidden -= was_hidden
+            article -= was_article
+
+    def innermost(names: frozenset[str], stops: frozenset[str]) -> int | None:
+        for k in range(len(open_tags) - 1, -1, -1):
+            if open_tags[k][0] in names:
+                return k
+            if open_tags[k][0] in stops:
+                return None
+        return None
+
     while at < len(page):
         found = _TOKEN.search(page, at)
         if not found:
@@ -80,23 +112,21 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             if not closing or not any(t[0] == name for t in open_tags):
                 continue
         if closing:
-            if name == "p" or not any(t[0] == name for t in open_tags):
-                flush()
-                continue
             flush()
-            while open_tags:
-                top, was_hidden, was_article = open_tags.pop()
-                hidden -= was_hidden
-                article -= was_article
-                if top == name:
-                    break
+            k = innermost(frozenset((name,)), P_SCOPE if name == "p" else frozenset())
+            if k is not None:
+                close(k)
             continue
         flush()
+        for rule in ((_P, P_SCOPE) if name in ENDS_P else None, IMPLIED.get(name)):
+            k = innermost(*rule) if rule else None
+            if k is not None:
+                close(k)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name in VOID or name == "p" and not _marked(attributes):
+        if name in VOID:
             continue
         furniture = name in FURNITURE or bool(attributes) and name not in WHOLE and _marked(attributes)
         open_tags.append((name, furniture, name in MAIN))
