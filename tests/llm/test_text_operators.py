@@ -200,6 +200,34 @@ def test_pages_equal_the_article(spark, sf):
         assert rows[r["page_id"]] == "\n".join(x for x in blocks if x)
 
 
+def plain_main_texts(rows):
+    """Texts by page id: each page against the nearest pages of its host with other lines, and any, on both sides."""
+    lines = {i: html_text.page_lines(page or "") for i, _, page in rows}
+    order = sorted(rows, key=lambda r: (r[1].split("//")[1].split("/")[0], r[1].split("//")[1].split("?")[0], r[1], r[0]))
+    hosts = [r[1].split("//")[1].split("/")[0] for r in order]
+    out = {}
+    for at, (i, _, _) in enumerate(order):
+        near = []
+        for side in (range(at - 1, -1, -1), range(at + 1, len(order))):
+            near += [lines[order[k][0]] for k in side if hosts[k] == hosts[at] and lines[order[k][0]] not in ([], lines[i])][:1]
+        out[i] = html_text.main_text(lines[i], near)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_pages_meet_the_nearest_other_page_of_their_host(spark, partitions):
+    rnd = random.Random(partitions)
+    rows = []
+    for host in ("a.org", "b.org", "é.org"):
+        for k in range(12):
+            page = f"<div>Menu of {host}</div><div>Own text {k} of {host}</div>" if rnd.random() < 0.7 else rnd.choice(["", None, "<nav>Menu</nav>"])
+            rows += [(len(rows) + c, f"http://{host}/p{k:02}?utm={c}", page) for c in range(rnd.choice([1, 5, 9]))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df, partitions).collect()}
+    assert got == plain_main_texts(rows)
+    assert not any("Menu" in x for x in got.values())
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "http://h/a", None, "x"), (2, None, "<p>Alone", "x"), (None, "http://h/b", "plain text", "x"), (3, "http://h/c", "", "x"), (4, "http://h/d", "<p>" + "long " * 100_000, "x")]
     rows += [(5, "http://h/same", "<div>copy of a page</div>", "x")] * 3

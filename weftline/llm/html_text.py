@@ -8,16 +8,21 @@ Parts that HTML itself marks as not the main text (menus, footers, forms, script
 
 from __future__ import annotations
 
+import hashlib
 import html
+import pickle
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 #: Elements whose content is never text of the page.
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas"))
@@ -174,48 +179,134 @@ def main_text(lines: list[tuple[str, int]], others: list[list[tuple[str, int]]])
     return "\n".join(t for t, _ in own)
 
 
-def _common(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a.split("/"), b.split("/"), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+_KEY = ("host", "path", "url", "page_id")
+_KEYED = "host string, path string, url string, page_id long"
+#: A run is some pages of a host that follow one another and have the same lines: (host, digest of the lines, key of one of them).
+Run = tuple[str, bytes, tuple]
+
+
+def _joined(lines: list[tuple[str, int]]) -> str:
+    """Lines as one string; lines hold no white space but single spaces."""
+    return "\n".join(f"{z}{t}" for t, z in lines)
+
+
+def _digest(joined: str) -> bytes | None:
+    """Of the lines of a page; none where it has no lines."""
+    return hashlib.blake2b(joined.encode(), digest_size=16).digest() if joined else None
+
+
+def _sortable(key: tuple) -> tuple:
+    """A key as Spark sorts it: nulls first, strings by their bytes."""
+    return tuple((x is not None, x.encode() if isinstance(x, str) else x or 0) for x in key)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            some = batch.slice(at, 64)
+            found = pa.array([_digest(_joined(page_lines(x or ""))) for x in some.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*some.columns[:4], found], names=[*_KEY, "digest"])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted partition: its first key, its first two runs and its last two, the last one first."""
+    start, first, last = None, [], []
+    for batch in batches:
+        for *key, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            start = start or tuple(key)
+            if found is None or last and last[0][:2] == (key[0], found):
+                continue
+            last = [(key[0], found, tuple(key)), *last[:1]]
+            if len(first) < 2:
+                first.append(last[0])
+    if start:
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps((start, first, last))], pa.binary())], names=["part", "ends"])
 
 
-def _difference(batches: Iterator[pa.RecordBatch], reach: int = 2) -> Iterator[pa.RecordBatch]:
-    """Over a partition sorted by host and path: each page against its nearest neighbours with other lines."""
-    window: list[tuple] = []  # pages behind and ahead of the one at ``at``
+def outer_neighbours(ends: list[tuple[list[Run], list[Run]]]) -> list[tuple[Run | None, Run | None]]:
+    """Of each partition the run before its first run and the one after its last run, in other partitions of any distance.
 
-    def done(at: int) -> tuple[int, str, str]:
-        page_id, url, host, path, lines = window[at]
-        near = []
-        for side in (range(at - 1, -1, -1), range(at + 1, len(window))):
-            other = next((window[k] for k in side if window[k][2] == host and window[k][4] != lines), None)
-            if other and other[4]:
-                near.append((-_common(path, other[3]), other[4]))
-        near.sort(key=lambda x: x[0])
-        return page_id, url, main_text(lines, [x for _, x in near])
+    ``ends`` has the first two runs of each partition and the last two, the last one first.
+    """
+
+    def other(run: Run, near: list[Run]) -> Run | None:
+        return next((x for x in near if x[0] == run[0] and x[1] != run[1]), None)
+
+    def sweep(pairs: list[tuple[list[Run], list[Run]]]) -> list[Run | None]:
+        near: list[Run] = []  # the two runs passed last, the nearest first
+        out = []
+        for entered, left in pairs:
+            out.append(other(entered[0], near) if entered else None)
+            if len(left) > 1:
+                near = left
+            elif left and not (near and near[0][:2] == left[0][:2]):
+                near = [left[0], *near[:1]]
+        return out
+
+    before = sweep(ends)
+    after = sweep([(last, first) for first, last in reversed(ends)])[::-1]
+    return list(zip(before, after, strict=True))
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
 
-    at, rows = 0, []
+_PLACED = f"part int, side int, {_KEYED}, lines string"
+
+
+def _place(batches: Iterator[pa.RecordBatch], starts: list[tuple], wanted: dict[tuple, list[tuple[int, int, bytes]]]) -> Iterator[pa.RecordBatch]:
+    """Lines of pages with the number of their partition; pages that others need as neighbours go there too, once a task."""
+    sent = set()
+    types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
     for batch in batches:
-        for page_id, url, host, path, page in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            window.append((page_id, url, host, path, page_lines(page or "")))
-            if len(window) - at > reach:
-                rows.append(done(at))
-                at += 1
-            if at > reach:
-                window.pop(0)
-                at -= 1
+        for at in range(0, batch.num_rows, 64):
+            rows = []
+            for *key, page in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                joined = _joined(page_lines(page or ""))
+                rows.append((max(0, bisect_right(starts, _sortable(tuple(key))) - 1), 0, *key, joined))
+                near = (tuple(key), _digest(joined)) if tuple(key) in wanted else None
+                if near and near not in sent:
+                    sent.add(near)
+                    rows += [(part, side, *key, joined) for part, side, found in wanted[near[0]] if found == near[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "side", *_KEY, "lines"])
+
+
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over sorted pages: those of each run against the runs before and after it in the same partition and host."""
+    rows: list[tuple] = []
+    place, before, lines, own = None, None, None, []  # of the run at hand: partition and host, lines of the run before, its lines, its pages
+
+    def done(after: str | None) -> None:
+        if own:
+            text = main_text(_split(lines), [_split(x) for x in (before, after) if x])
+            rows.extend((page_id, url, text) for page_id, url in own)
+            own.clear()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
+        rows.clear()
+
+    for batch in batches:
+        for part, side, host, _, url, page_id, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not joined:
+                rows.append((page_id, url, ""))
+            else:
+                if place != (part, host):
+                    done(None)
+                    place, before, lines = (part, host), None, joined
+                elif joined != lines:
+                    done(joined)
+                    before, lines = lines, joined
+                if side == 0:
+                    own.append((page_id, url))
             if len(rows) >= 256:
-                yield out(rows)
-                rows = []
-    rows += [done(k) for k in range(at, len(window))]
-    if rows:
-        yield out(rows)
+                yield from out()
+    done(None)
+    yield from out()
+
+
+def _split(joined: str) -> list[tuple[str, int]]:
+    return [(x[1:], int(x[0])) for x in joined.split("\n")]
 
 
 def extract(pages: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -223,18 +314,28 @@ def extract(pages: DataFrame, partitions: int | None = None) -> DataFrame:
 
     Null or empty html gives an empty text; null ids and urls stay null (pages without a url have no
     neighbours but each other); repeated pages are not differenced with their own copies; other columns
-    are ignored; an empty table gives an empty result. A page is compared with up to one page on each
-    side, at most two places away in URL order within its partition; hosts of any size are cut into
-    many partitions.
+    are ignored; an empty table gives an empty result. A page is compared with the nearest page on each
+    side that has other lines, and any, in the URL order of its whole host, however many copies or empty
+    pages lie between. Hosts of any size are cut into many partitions; the pages next to a cut go to both
+    sides. The driver holds up to five keys and four digests per partition.
     """
     url = F.coalesce("url", F.lit(""))
     bare = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
     keyed = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.lower(F.substring_index(bare, "/", 1)).alias("host"),
         F.regexp_replace(bare, r"^[^/]*", "").alias("path"),
+        F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id"),
         F.col("html").cast("string").alias("html"),
     )
-    order = ["host", "path", "url", "page_id"]
     n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(partial(_difference), "page_id long, url string, text string")
+    digests = materialize(keyed.mapInArrow(_digests, f"{_KEYED}, digest binary"))
+    found = digests.repartitionByRange(n, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_ends, "part long, ends binary")
+    ends = [pickle.loads(r["ends"]) for r in sorted(found.collect(), key=lambda r: r["part"])]
+    wanted: dict[tuple, list[tuple[int, int, bytes]]] = {}
+    for part, runs in enumerate(outer_neighbours([e[1:] for e in ends])):
+        for side, run in zip((-1, 1), runs, strict=True):
+            if run:
+                wanted.setdefault(run[2], []).append((part, side, run[1]))
+    place = partial(_place, starts=[_sortable(e[0]) for e in ends], wanted=wanted)
+    placed = keyed.mapInArrow(place, _PLACED).repartitionById(n, F.col("part"))
+    return placed.sortWithinPartitions("part", "side", *_KEY).mapInArrow(_difference, "page_id long, url string, text string")
