@@ -124,6 +124,18 @@ def test_quality_lines():
     assert list(got["kept"]) == [True, True, False]
 
 
+def test_quality_keeps_long_lines_that_mention_boilerplate():
+    words = [f"word{i}" for i in range(60)]
+    for phrase in ("privacy policy", "Terms of Use", "click here"):
+        one_line = " ".join([*words[:30], "our", phrase, *words[30:]]) + "."
+        paragraphs = one_line + "\n" + " ".join(w[::-1] for w in words) + ".\nAll rights reserved."
+        got, clean = quality.measure([one_line, paragraphs])
+        assert clean == [one_line, paragraphs.rsplit("\n", 1)[0]]
+        assert list(got["kept"]) == [True, True] and got["lost_chars"][0] == 0
+    assert quality.line_fails(b"Read our privacy policy and our terms of use before you accept cookies on this site.", 16)
+    assert quality.line_fails(b"Please click here to go to the next page.", 9)
+
+
 def test_quality_keeps_labelled_good_documents(spark, sf):
     kept = quality.assess(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id").where("not base_failed and quality = 1")
     assert kept.where("kept").count() >= 0.97 * kept.count()

@@ -1,7 +1,7 @@
 """Quality rules, line first: failing lines go, then documents that lose too much text are rejected.
 
 A line fails when it is mostly symbols, a navigation bar, shouting punctuation, a short line without
-an end mark, or known boilerplate. Base counts follow fixed definitions.
+an end mark, or mainly known boilerplate. Base counts follow fixed definitions.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ BOILERPLATE = (
 )
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 SHORT_LINE, MAX_LOST = 3, 50
+#: A boilerplate phrase fails a line of up to so many words, or one of which phrases are at least a fourth of the words.
+BOILERPLATE_LINE = 10
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -49,7 +51,8 @@ def line_fails(line: bytes, n_words: int) -> bool:
     text = line.strip(SPACE).decode()
     if n_words <= SHORT_LINE and text[-1] not in END_MARKS:
         return True
-    return bool(_BOILERPLATE.search(text.lower()))
+    found = _BOILERPLATE.findall(text.lower())
+    return bool(found) and (n_words <= BOILERPLATE_LINE or 4 * sum(len(x.split()) for x in found) >= n_words)
 
 
 def _repeat_words(words: list[list[bytes]]) -> np.ndarray:
@@ -141,7 +144,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
-#: DuckDB's form of the query. The end marks and boilerplate are those above.
+#: DuckDB's form of the query. The end marks and boilerplate are those above; it fails a line of any length for one phrase.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
