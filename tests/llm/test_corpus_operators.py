@@ -211,6 +211,21 @@ def test_byte_ids_equal_the_library(spark, sf):
         at += n
 
 
+def test_packed_ids_equal_the_library_with_its_added_token(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    made = [end, f"{end}start", f"the end {end}", f"in the {end} middle", f"a  {end}  b\n{end}{end}\n", f"<|{end}|>", "<|endoftext", f" {end}'s {end[:-1]} >", f"é{end}你" * 300]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    want = {}
+    for i, text in enumerate(made):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        want |= {(i, k): (a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())) for k, (a, n) in enumerate(packing.cut(len(ids)))}
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+
+
 def test_packing_is_whole_and_tight(spark, sf):
     from tokenizers import Tokenizer
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, texts
-from .tokens import ByteTokens
+from .tokens import ByteTokens, added_tokens
 
 SEQUENCE, END_ID, FAN_IN = 1024, 2, 8
 #: A sequence with no more free places than this is done.
@@ -31,7 +31,8 @@ _BINS = pa.schema([("bin", pa.int64()), ("size", pa.int64()), ("open", pa.bool_(
 
 @cache
 def _tokens(path: str) -> ByteTokens:
-    return ByteTokens(path)
+    """Ids of the vocabulary of a rank file, with the added tokens of the tokenizers file beside it."""
+    return ByteTokens(path, added_tokens(path.removesuffix(".tiktoken") + ".json"))
 
 
 def cut(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable
 
@@ -55,12 +56,27 @@ class SegmentIds:
         return self.flat[index], counts
 
 
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file, which the library finds in any text, with their ids."""
+    with open(json_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t[k] for t in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{json_path} has added tokens that are matched by other rules than their text")
+    return {t["content"]: t["id"] for t in found}
+
+
 class ByteTokens:
-    """Byte-level BPE ids of whole texts, equal to those of the tokenizers library; special strings are ordinary text."""
+    """Byte-level BPE ids of whole texts, equal to those of the tokenizers library.
+
+    Strings of ``added`` have the ids given; without it special strings are ordinary text.
+    """
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, added: dict[str, int] | None = None):
         import tiktoken
 
+        self.added = added or {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("byte_bpe", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -71,7 +87,7 @@ class ByteTokens:
 
     def _encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Segments that begin with a space can follow one another in a text: they are encoded in one call.
-        spaced = [i for i, s in enumerate(segments) if s[0] == " " and len(s) > 1 and s[1] not in " \t\n\r"]
+        spaced = [i for i, s in enumerate(segments) if s[0] == " " and len(s) > 1 and s[1] not in " \t\n\r" and s not in self.added]
         own: list[np.ndarray | None] = [None] * len(segments)
         if spaced:
             joined = np.array(self.core.encode_ordinary("".join(segments[i] for i in spaced)), np.int32)
@@ -81,12 +97,19 @@ class ByteTokens:
                 own[i] = part
         for i, s in enumerate(segments):
             if own[i] is None:
-                own[i] = np.array(self.core.encode_ordinary(s), np.int32)
+                own[i] = np.array([self.added[s]] if s in self.added else self.core.encode_ordinary(s), np.int32)
         return np.concatenate(own), np.array([len(x) for x in own], np.int64)
 
+    def _segments(self, text: str) -> list[str]:
+        parts = self.cut.split(text) if self.cut else [text]
+        if len(parts) == 1:
+            return _SEGMENT.findall(text)
+        # Every second part is an added token.
+        return [s for k, part in enumerate(parts) for s in ([part] if k % 2 else _SEGMENT.findall(part))]
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the number of ids of each text."""
-        segments = [_SEGMENT.findall(t) for t in texts]
+        segments = [self._segments(t) for t in texts]
         flat, counts = self.ids([s for own in segments for s in own])
         ends = np.concatenate([[0], np.cumsum(counts)])
         lengths = np.array([len(s) for s in segments])
