@@ -262,6 +262,17 @@ def test_packing_hands_on_a_bounded_number(spark, sf):
     assert packing.still_open([5, 9, 1, 3], 9, 2) == [False, False, True, True]
 
 
+def test_packing_fills_rooms_of_far_partitions(spark):
+    """Partitions of one source each, with many more underfull sequences than a task takes."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(i, " word" * (600 if i < 600 else 400)) for i in range(1200)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    got = packing.pack(df, path, most=64).toPandas()
+    assert sorted(got["doc_id"]) == list(range(1200))
+    assert not got.duplicated(["sequence_id", "offset"]).any() and got.groupby("sequence_id")["length"].sum().max() <= 1024
+    assert got["sequence_id"].nunique() <= 1.03 * 600
+
+
 def test_best_fit():
     rnd = random.Random(1)
     sizes = [rnd.randrange(1, 1025) for _ in range(3000)]

@@ -1,5 +1,5 @@
-"""Best-fit packing by hierarchical residuals: partitions pack their own pieces best fit, full and nearly
-full sequences are done, and the underfull ones of several partitions merge as items of the next round.
+"""Best-fit packing in rounds: partitions pack their own pieces best fit, full and nearly full sequences
+are done, and the pieces of the underfull ones of all partitions are dealt and packed anew.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from .common import materialize, texts
 from .tokens import ByteTokens, added_tokens
 
-SEQUENCE, END_ID, FAN_IN = 1024, 2, 8
+SEQUENCE, END_ID = 1024, 2
 #: A sequence with no more free places than this is done.
 SLACK = 8
-#: Underfull sequences that a task hands on to the next round, at most: the emptiest. The others are done as they are.
+#: Pieces of underfull sequences that a task of a later round takes, about so many.
 OPEN = 16_384
+#: Rounds end when one makes its sequences fewer by less than a part in so many.
+FEW = 1000
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _SCHEMA = "bin long, size long, open boolean, members array<struct<doc_id long, piece int, start long, length long, ids_crc32 long>>"
@@ -83,7 +85,7 @@ def _rows(bins: list[list[tuple]], sizes: list[int], going: list[bool], level: i
         yield pa.RecordBatch.from_arrays([pa.array([base + i for i in some], pa.int64()), pa.array([sizes[i] for i in some], pa.int64()), pa.array([going[i] for i in some]), pa.array(members, pa.list_(_PIECE))], schema=_BINS)
 
 
-def _pack_pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, full: int, most: int) -> Iterator[pa.RecordBatch]:
+def _pack_pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, full: int) -> Iterator[pa.RecordBatch]:
     """Tokenize a partition's documents and pack their pieces; only numbers are kept."""
     pieces: list[tuple] = []
     for batch in batches:
@@ -95,22 +97,19 @@ def _pack_pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, fu
                 ids = np.append(flat[end - n : end], END_ID).astype("<u4").tobytes()
                 for k, (start, length) in enumerate(cut(n + 1, sequence)):
                     pieces.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-    yield from _emit([[p] for p in pieces], [p[3] for p in pieces], 0, sequence, full, most)
+    yield from _emit([[p] for p in pieces], [p[3] for p in pieces], 0, sequence, full)
 
 
-def _emit(items: list[list[tuple]], sizes: list[int], level: int, sequence: int, full: int, most: int) -> Iterator[pa.RecordBatch]:
+def _emit(items: list[list[tuple]], sizes: list[int], level: int, sequence: int, full: int) -> Iterator[pa.RecordBatch]:
     packed = best_fit(sizes, sequence)
     bins = [[m for i in b for m in items[i]] for b in packed]
     totals = [sum(sizes[i] for i in b) for b in packed]
-    yield from _rows(bins, totals, still_open(totals, full, most), level)
+    yield from _rows(bins, totals, still_open(totals, full, len(totals)), level)
 
 
-def _pack_bins(batches: Iterator[pa.RecordBatch], level: int, sequence: int, full: int, most: int) -> Iterator[pa.RecordBatch]:
-    items, sizes = [], []
-    for batch in batches:
-        sizes += batch.column("size").to_pylist()
-        items += [[tuple(m.values()) for m in ms] for ms in batch.column("members").to_pylist()]
-    yield from _emit(items, sizes, level, sequence, full, most)
+def _pack_bins(batches: Iterator[pa.RecordBatch], level: int, sequence: int, full: int) -> Iterator[pa.RecordBatch]:
+    pieces = [tuple(m.values()) for batch in batches for ms in batch.column("members").to_pylist() for m in ms]
+    yield from _emit([[p] for p in pieces], [p[3] for p in pieces], level, sequence, full)
 
 
 def pack(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, slack: int = SLACK, most: int = OPEN) -> DataFrame:
@@ -118,20 +117,23 @@ def pack(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, slack: int
 
     A document is its ids and the end id; only longer ones than ``sequence`` are cut. A null or empty
     text is the end id alone. Every row is packed, repeated rows and null ids too; other columns are
-    ignored; an empty table gives an empty result. Rounds go on until the underfull sequences of all
-    partitions have met; only those travel, and each carries just numbers. A task hands on at most ``most``
-    of them, so that the last one meets a bounded number; pieces are never lost by that, only room.
+    ignored; an empty table gives an empty result. All underfull sequences go on to the next round, where
+    each task takes those with about ``most`` pieces, dealt from all partitions, so that its memory is bounded
+    and it meets sizes of every partition; their pieces are packed anew. Only these travel, as numbers.
+    Rounds go on until one task takes all, or one saves few sequences (``FEW``).
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    bounds = {"sequence": sequence, "full": sequence - slack, "most": most}
+    bounds = {"sequence": sequence, "full": sequence - slack}
     bins = materialize(rows.mapInArrow(partial(_pack_pieces, path=ranks_path, **bounds), _SCHEMA))
     done, rest = bins.where("not open"), bins.where("open")
-    parts, level = max(1, len(bins.inputFiles())), 1  # a file for each partition that packed
+    level = 1
     while True:
-        parts = -(-parts // FAN_IN)
+        left, pieces = rest.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+        parts = max(1, -(-pieces // max(2, most)))
         merged = materialize(rest.repartition(parts).mapInArrow(partial(_pack_bins, level=level, **bounds), _SCHEMA))
-        if parts == 1:
-            done = done.unionByName(merged)
+        now = merged.count()
+        if parts == 1 or FEW * (left - now) < left:
+            done = done.unionByName(merged if now < left else rest)
             break
         done, rest = done.unionByName(merged.where("not open")), merged.where("open")
         level += 1
