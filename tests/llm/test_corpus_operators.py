@@ -9,6 +9,7 @@ from itertools import pairwise
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import langid, neardup, packing, queries, shards, topk
@@ -185,9 +186,25 @@ def test_near_duplicates_odd_rows(odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs, 3, 85).count() == 0
 
 
+def test_near_duplicates_without_ids_and_with_repeated_ones(spark):
+    """Rows are told apart by their place, not by doc_id."""
+    base = [f"w{i}" for i in range(100)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (5, 50, 95)]
+    alone = " ".join(f"v{i}" for i in range(30))
+    rows = [(7, near[0]), (None, near[1]), (None, near[1]), (None, alone), (None, alone), (3, "x y z"), (3, "p q r s t"), (9, near[2]), (9, near[2]), (4, None), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(df, 3, 85).collect()
+    assert len(got) == len(rows)
+    by = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
+    assert by == Counter({(7, 98, 7, True): 1, (None, 98, 7, False): 2, (9, 98, 7, False): 2, (None, 28, None, True): 1, (None, 28, None, False): 1, (3, 1, 3, True): 1, (3, 3, 3, True): 1, (4, 0, 4, True): 1, (None, 0, None, True): 2})
+    kept = neardup.one_of_each(df.withColumn("component", F.lit("x")), 3, 85)
+    assert kept.columns == ["doc_id", "text", "component"]
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(7, near[0]), (None, alone), (3, "x y z"), (3, "p q r s t"), (4, None), (None, ""), (None, None)])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 400).selectExpr("id as a", "id - 1 as b").union(spark.createDataFrame([(1000, 1001), (1001, 1000)], "a long, b long"))
-    got = {r["doc_id"]: r["component"] for r in neardup.components(links).collect()}
+    got = {r["node"]: r["component"] for r in neardup.components(links).collect()}
     assert got == dict.fromkeys(range(400), 0) | {1000: 1000, 1001: 1000}
 
 

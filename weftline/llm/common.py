@@ -28,19 +28,35 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one (tests) gets its own."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    context.setCheckpointDir(base)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(base or tempfile.mkdtemp(prefix="weftline-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder of intermediate tables within the shared one."""
+    return os.path.join(shared_dir(spark), f"weftline-{spark.sparkContext.applicationId}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables. Results of operators read them: write these first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there and a lost executor loses nothing."""
-    path = os.path.join(shared_dir(df.sparkSession), f"weftline-{uuid.uuid4().hex}")
+    """Write ``df`` as a table in the application's scratch folder and read it back.
+
+    The lineage ends there and a lost executor loses nothing. Tables stay until ``clear_scratch``.
+    """
+    path = os.path.join(scratch_dir(df.sparkSession), uuid.uuid4().hex)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

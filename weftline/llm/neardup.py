@@ -1,12 +1,14 @@
 """Near-duplicate documents: MinHash with banding, verification, and components by large-star and small-star.
 
 1. Each document's set of word shingles gives many universal hash minima; documents with one set form a class.
-2. In each bucket of a band every class is held against one pivot; pairs whose signatures disagree too
-   much go, the others are confirmed on full sets. Components of the links follow.
-3. What is left are buckets that still hold several components: near misses, mostly. Their documents meet
-   in tiles of bounded size, a tile for all buckets that share documents where that is small enough, and
-   an inverted index within a tile counts what documents of different components have in common. No pairs
-   are written but confirmed links, and no bucket is capped.
+2. Each class is held against the first class of its buckets: pairs whose signatures disagree too much
+   go, the others are confirmed on full sets. Components of the links follow.
+3. Buckets that still hold several components are near misses, mostly. A class whose shingles are too often
+   its own can be like no other and goes; the rest is held against the class of each bucket with the fewest
+   shingles of its own, the most central one.
+4. What is left meets in tiles of bounded size, the classes outside of a bucket's largest component against
+   all of it, and an inverted index within a tile counts what classes of different components have in common.
+   No pairs are written but confirmed links, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ BANDS = 32
 MISS = 1e-5
 #: Standard deviations by which a signature may fall short of the threshold before the sets are read.
 MARGIN = 5.0
-#: Documents and bytes of shingle sets of a tile, at most (twice that where two blocks of one bucket meet).
+#: Documents and bytes of shingle sets of each of the two blocks that meet in a tile, at most.
 TILE_DOCS, TILE_BYTES = 2048, 32 << 20
+_ROW = "_row"
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -79,7 +82,7 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(batch: pa.RecordBatch, words: int, bands: int, rows: int) -> pa.RecordBatch:
-    hashes, counts = shingle_sets(texts(batch.column(1)), words)
+    hashes, counts = shingle_sets(texts(batch.column(2)), words)
     full = np.flatnonzero(counts)
     starts = np.concatenate([[0], np.cumsum(counts[full])])[:-1].astype(np.int64)
     n = bands * rows
@@ -102,15 +105,22 @@ def _sketch(batch: pa.RecordBatch, words: int, bands: int, rows: int) -> pa.Reco
         sigs[d] = short[i].tobytes()
         buckets[d] = mixed[i].view(np.int64)
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-        names=["doc_id", "n_shingles", "set_key", "signature", "buckets"],
+        [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+        names=[_ROW, "doc_id", "n_shingles", "set_key", "signature", "buckets"],
     )
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
     hashes, counts = shingle_sets(texts(batch.column(1)), words)
     parts = np.split(hashes, np.cumsum(counts)[:-1])
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "members"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "members"])
+
+
+def _spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each shingle of each set."""
+    sizes = [len(x) // 8 for x in batch.column(1).to_pylist()]
+    flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes), pa.int64()), pa.array(flat, pa.int64())], names=["node", "shingle"])
 
 
 def _agree(batch: pa.RecordBatch, least: float) -> pa.RecordBatch:
@@ -139,13 +149,13 @@ def _confirm(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
 
 def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """``a, b`` with ``value`` of each."""
-    left = values.select(F.col("doc_id").alias("a"), F.col(value).alias("x"))
-    right = values.select(F.col("doc_id").alias("b"), F.col(value).alias("y"))
+    left = values.select(F.col("node").alias("a"), F.col(value).alias("x"))
+    right = values.select(F.col("node").alias("b"), F.col(value).alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``doc_id, component``: for each end of ``links`` (a, b) the least id that it reaches, by alternating stars.
+    """``node, component``: for each end of ``links`` (a, b) the least id that it reaches, by alternating stars.
 
     Large-star links every larger neighbour of a node to its least neighbour, small-star every smaller
     one; both keep components and end in stars. A node's least neighbour is an aggregate, and joins put
@@ -165,8 +175,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-    return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component")).union(
-        edges.select(F.col("b").alias("doc_id"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
 
 
@@ -182,83 +192,148 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
-    Two documents are linked when ``100 * common >= percent * union`` of their shingle sets; a component's
-    id is the least doc_id in it, and that document is kept. Null and empty texts and those without
-    words have an empty set and are linked with nothing. Rows of one doc_id are one document each with
-    its own text and share the id; a row without doc_id gets the least id of its class or component, if there is one, and is
-    not kept unless it stands alone. Other columns are ignored; an empty table gives an empty result.
+    Two rows are linked when ``100 * common >= percent * union`` of their shingle sets; a component's
+    id is the least doc_id in it, and a row is kept where that is its doc_id. Null and empty texts and those
+    without words have an empty set, are linked with nothing and kept. Rows of one doc_id are one each, with
+    their own texts; those without doc_id link as others do, and of a component without any doc_id one row is
+    kept, with a null component_id. Other columns are ignored; an empty table gives an empty result.
+    """
+    rows = _labelled(_numbered(docs.select("doc_id", "text")), words, percent, bands)
+    nameless = F.col("component_id").isNull() & (F.col("component").isNull() | (F.col("component") == F.col(_ROW)))
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), nameless).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
+    """``docs`` with one row of each component of near copies: the first of those with its least doc_id.
+
+    Repeated rows and rows without doc_id are copies like others; rows without words stay, all of them. All
+    columns stay as they are, whatever their names; an empty table gives an empty result.
     """
+    numbered = _numbered(docs)
+    rows = _labelled(numbered.select(_ROW, "doc_id", "text"), words, percent, bands)
+    first = rows.where("component is not null and doc_id <=> component_id").groupBy("component").agg(F.min(_ROW).alias(_ROW))
+    kept = first.select(_ROW).union(rows.where("component is null").select(_ROW))
+    return numbered.join(kept, _ROW, "left_semi").select(*docs.columns)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a table in which every row has a number of its own."""
+    return materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+
+
+def _labelled(numbered: DataFrame, words: int, percent: int, bands: int) -> DataFrame:
+    """Of each row its number, ``doc_id, n_shingles, component, component_id``; without words there is no component and the id is its own."""
     threshold = percent / 100
     rows = band_rows(threshold, bands)
     least = threshold - MARGIN * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, set_key binary, signature binary, buckets array<long>"
+    texts_ = numbered.select(_ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = f"{_ROW} long, doc_id long, n_shingles long, set_key binary, signature binary, buckets array<long>"
     sketch = materialize(map_arrow(texts_, partial(_sketch, words=words, bands=bands, rows=rows), schema))
-    found = _linked(texts_, sketch, words, percent, least)
-    own = sketch.select("doc_id", "n_shingles", "set_key")
-    merged = (
-        own.join(found, "set_key", "left")
-        .withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component")))
+    # All rows of a class have the same signature: any will do. A class's node is the number of its first row.
+    classes = materialize(
+        sketch.where("set_key is not null").groupBy("set_key").agg(
+            F.min(_ROW).alias("node"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
+            F.first("signature").alias("signature"), F.first("buckets").alias("buckets"),
+        )
+    )
+    joined = _linked(texts_, classes, words, percent, least)
+    placed = classes.select("set_key", "node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = placed.join(names, "component").select("set_key", "component", F.col("component_id").alias("least_id"))
+    return sketch.join(found, "set_key", "left").select(
+        _ROW, "doc_id", "n_shingles", "component", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id")
     )
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return merged.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def _linked(texts_: DataFrame, sketch: DataFrame, words: int, percent: int, least: float) -> DataFrame:
-    """``set_key, component`` for every class."""
-    # All rows of a class have the same signature: any will do.
-    classes = materialize(
-        sketch.where("set_key is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
-    )
-    known = classes.where("doc_id is not null")
-    members = known.select("doc_id", F.explode("buckets").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+def _alike(n: str, other: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(n, other) >= percent * F.greatest(n, other)
+
+
+def _linked(texts_: DataFrame, classes: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """``node, component`` for every class that is linked."""
+    members = classes.select("node", "n", F.explode("buckets").alias("bucket"))
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(members.join(pivots, "bucket"))
-    pairs = materialize(shared.where("doc_id <> pivot").select(*_ordered(F.col("doc_id"), F.col("pivot"))).distinct())
     # Every later pair has both its ends among these.
-    several = shared.where("doc_id <> pivot").select("doc_id").union(shared.select(F.col("pivot").alias("doc_id"))).distinct()
-    signed = known.select("doc_id", "signature")
-    own_text = texts_.where("doc_id is not null").join(several, "doc_id", "left_semi")
-    sets = materialize(map_arrow(own_text, partial(_sets, words=words), "doc_id long, members binary"))
-    # Rows of one id may differ in text; a class is found by its least id and its set.
-    links = _verify(pairs, signed, sets, least, percent)
+    several = shared.select("node").distinct()
+    sets = materialize(map_arrow(texts_.withColumnRenamed(_ROW, "node").join(several, "node", "left_semi").select("node", "text"), partial(_sets, words=words), "node long, members binary"))
+    signed = classes.select("node", "signature")
+    # First each class meets the first of all the pivots of its buckets.
+    first = shared.groupBy("node").agg(F.min("pivot").alias("pivot")).where("node <> pivot")
+    links = _verify(first.select(*_ordered(F.col("node"), F.col("pivot"))), signed, sets, least, percent)
     joined = components(links)
-    placed = shared.where("n > 2").join(joined, "doc_id", "left").select("bucket", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component"))
-    several_left = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = materialize(placed.join(several_left, "bucket"))
-    if not rest.isEmpty():
-        more = materialize(_tiles(rest, sets, percent))
-        if not more.isEmpty():
-            joined = components(links.union(more))
-    return classes.join(joined, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
+    rest = _unresolved(shared, joined)
+    if rest.isEmpty():
+        return joined
+    rest = _possible(rest, sets, percent)
+    best = F.max_by(F.struct(F.col("node").alias("pivot"), F.col("component").alias("main"), F.col("n").alias("pivot_n")), F.col("shared") / F.col("n"))
+    central = rest.groupBy("bucket").agg(best.alias("best")).select("bucket", "best.*")
+    pairs = rest.join(central, "bucket").where((F.col("component") != F.col("main")) & _alike("n", "pivot_n", percent))
+    joined = _with_links(joined, _verify(pairs.select(*_ordered(F.col("node"), F.col("pivot"))).distinct(), signed, sets, least, percent))
+    rest = _unresolved(rest, joined)
+    return joined if rest.isEmpty() else _with_links(joined, materialize(_tiles(rest, sets, percent)))
+
+
+def _with_links(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """The components with some more links."""
+    return joined if more.isEmpty() else components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def _unresolved(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``bucket, node, n, component`` of the buckets that hold several components."""
+    placed = rows.select("bucket", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return materialize(_several(placed))
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """The rows of buckets with several components."""
+    left = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return placed.join(left, "bucket", "left_semi")
+
+
+def _possible(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``rest`` with ``shared``, how many of a class's shingles others have too, without the classes that are linked with no more.
+
+    What two classes have in common lies in the shared part of each: beside the smallest set of a bucket
+    that bounds the similarity with any other. A shingle counts as shared when two classes of ``rest`` have it.
+    """
+    own = sets.join(rest.select("node").distinct(), "node", "left_semi")
+    single = map_arrow(own, _spread, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+    alone = single.groupBy("node").agg(F.count("*").alias("alone"))
+    rows = rest.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    low = rows.groupBy("bucket").agg(F.min("n").alias("low"))
+    union = F.col("n") + F.greatest("low", "shared") - F.col("shared")
+    can = rows.join(low, "bucket").where(100 * F.col("shared") >= percent * union).drop("low")
+    return materialize(_several(can))
 
 
 def _tiles(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components among the documents of buckets that are left (bucket, doc_id, pivot, component)."""
-    sized = sets.select("doc_id", F.octet_length("members").cast("long").alias("bytes"))
-    # Buckets that share documents, where together they are small: one tile.
-    cluster = components(rest.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
-    cluster = cluster.withColumnRenamed("component", "cluster")
-    one = cluster.join(sized, "doc_id").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"))
-    one = one.withColumn("whole", (F.col("docs") <= TILE_DOCS) & (F.col("bytes") <= TILE_BYTES)).select("cluster", "whole")
-    rows = rest.join(cluster, "doc_id").join(one, "cluster")
-    whole = rows.where("whole").select(F.col("cluster").alias("tile"), "doc_id", "component").distinct()
-    whole = whole.select("tile", F.lit(-1).alias("i"), F.lit(-1).alias("j"), "doc_id", "component")
-    # Otherwise a tile for each bucket, or for every two blocks of a large one.
-    apart = rows.where("not whole").select("bucket", "doc_id", "component")
-    blocks = apart.join(sized, "doc_id").groupBy("bucket").agg(
-        F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("bytes") / TILE_BYTES)).cast("int").alias("blocks")
-    )
-    own, other = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    apart = apart.join(blocks, "bucket").select(F.col("bucket").alias("tile"), "doc_id", "component", own.alias("own"), other.alias("other"))
-    apart = apart.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
-    return whole.unionByName(apart).join(sets, "doc_id").groupBy("tile", "i", "j").applyInPandas(partial(_tile_links, percent=percent), "a long, b long")
+    """Links between different components within buckets that are left (bucket, node, n, component).
+
+    A bucket's classes outside of its largest component are cut into blocks, and so is that component;
+    blocks of the former meet each other and those of the latter.
+    """
+    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("docs"), (8 * F.sum("n")).alias("bytes"))
+    largest = F.max_by("component", "docs")
+    def blocks(docs: Column, bytes_: Column) -> Column:
+        return F.greatest(F.ceil(docs / TILE_DOCS), F.ceil(bytes_ / TILE_BYTES), F.lit(1)).cast("int")
+
+    cut = (
+        sizes.groupBy("bucket").agg(largest.alias("largest"), F.max("docs").alias("main_docs"), F.max_by("bytes", "docs").alias("main_bytes"), F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
+        .select("bucket", "largest", blocks(F.col("docs") - F.col("main_docs"), F.col("bytes") - F.col("main_bytes")).alias("others"), blocks(F.col("main_docs"), F.col("main_bytes")).alias("mains"))
+    )
+    rows = rest.join(cut, "bucket").withColumn("is_main", F.col("component") == F.col("largest"))
+    own = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    last = F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1))).where("own <> other")
+    tiles = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
+    return tiles.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(partial(_tile_links, percent=percent), "a long, b long")
 
 
 def _tile_links(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links that join components of a tile, as few as it takes."""
-    ids, component = tile["doc_id"].tolist(), tile["component"].to_numpy()
+    ids, component = tile["node"].tolist(), tile["component"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in tile["members"]]
     size = np.array([len(x) for x in sets])
     values, term = np.unique(np.concatenate(sets), return_inverse=True)
