@@ -33,10 +33,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least doc_id. Rows without doc_id stay."""
-    docs = docs.select(*COLUMNS)
-    kept = neardup.near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies: the first with its least doc_id. Repeated rows and rows without doc_id are copies like others."""
+    return neardup.one_of_each(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
