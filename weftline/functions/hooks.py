@@ -20,11 +20,11 @@ def score(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], out_type: str
     return df.mapInPandas(run, StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {out_type}").fields]))
 
 
-def tokens(fn: Callable[[str], int]):
-    """A column function that counts tokens with ``fn``; 0 for a null text."""
+def tokens(fn: Callable[[pd.Series], pd.Series]):
+    """A column function that counts tokens with ``fn``, a batch of texts at a time; 0 for a null text."""
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: 0 if x is None else fn(x)).astype("int32")
+        return fn(texts.fillna("")).where(texts.notna(), 0).astype("int32")
 
     return count

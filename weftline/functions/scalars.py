@@ -40,8 +40,8 @@ def chunk_index(chunk_id: Column) -> Column:
 
 
 def asks_author_works(text: Column, author: str = "|".join(AUTHOR_WORDS), article: str = "|".join(ARTICLE_WORDS), collection: str = "|".join(COLLECTION_WORDS)) -> Column:
-    """Whether a question names an author, an article and a collection of them (patterns); null for a null text."""
-    plain = F.regexp_replace(F.lower(text), r"\s+", "")
+    """Whether a question names an author, an article and a collection of them (patterns); a null text does not."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", "")
     return plain.rlike(author) & plain.rlike(article) & plain.rlike(collection)
 
 

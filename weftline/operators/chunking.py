@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 
 TARGET, LEAST, MOST = 300, 100, 600
 _WORD = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
-#: Line and sentence ends. The marks count at the end of what they are searched in, too.
-_END_MARKS = ".!?。！？"
-_ENDS = re.compile(rf"\r?\n|[{_END_MARKS}](?=\s|$)")
+#: Ends at which a block may be cut: lines in any block; in running text sentence marks and white space too (no no-break spaces).
+_LINE_ENDS = re.compile(r"\n")
+_TEXT_ENDS = re.compile(r"[.!?。！？\n]|\r(?!\n)|[^\S\r\n\x85\xa0\u2007\u202f]")
+RUNNING_TEXT = ("paragraph", "heading", "html", "other")
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+")
+_UNDERLINE = re.compile(r" {0,3}(?:(=+)|-+)[ \t]*$")
+_INDENTED = re.compile(r"(?: {4}| {0,3}\t)")
 _KINDS = (
-    ("heading", re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")),
+    ("heading", re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")),
     ("break", re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")),
     ("code", re.compile(r" {0,3}(```+|~~~+)")),
     ("quote", re.compile(r" {0,3}>")),
@@ -52,11 +56,18 @@ def _kind(line: str) -> tuple[str, re.Match | None]:
 
 
 def scan(text: str) -> list[dict]:
-    """Top-level blocks with contiguous spans; blank lines belong to the block before."""
+    """Top-level blocks with contiguous spans; blank lines belong to the block before. Lines end in LF, CRLF or CR alone."""
     blocks: list[dict] = []
     path: list[tuple[int, str]] = []
     fence, at = "", 0
-    for line in text.splitlines(keepends=True):
+
+    def under(level: int, title: str) -> dict:
+        """Level, path and boundary of a heading; blocks after it lie under it."""
+        nonlocal path
+        path = [p for p in path if p[0] < level] + [(level, title)]
+        return {"level": level, "path": [p[1] for p in path], "strong": level == 1}
+
+    for line in _LINE.findall(text):
         bare = line.rstrip("\r\n")
         last = blocks[-1] if blocks else None
         end = at + len(line)
@@ -70,22 +81,28 @@ def scan(text: str) -> list[dict]:
                 last["open"] = False
             else:
                 blocks.append({"type": "other", "level": 0, "path": [], "start": at, "end": end, "strong": False, "open": False})
+        elif last and last["open"] and last["type"] == "paragraph" and (m := _UNDERLINE.match(bare)):
+            # The paragraph was a heading: its lines are the title.
+            title = " ".join(text[last["start"] : last["end"]].split())
+            last.update(under(1 if m.group(1) else 2, title), type="heading", end=end, open=False)
         else:
             kind, m = _kind(bare)
+            indented = bool(_INDENTED.match(bare))
+            if indented:
+                kind = "paragraph" if last and last["open"] and last["type"] == "paragraph" else "code"
             joins = last and last["open"] and (kind == last["type"] and kind in ("paragraph", "list", "quote", "table") or last["type"] in ("list", "quote", "html") and kind == "paragraph")
-            if joins or last and last["type"] == "list" and bare[0] in " \t" and kind != "heading":
+            more_code = indented and last and last.get("indented") and kind == "code"
+            if joins or more_code or last and last["type"] == "list" and bare[0] in " \t" and kind != "heading":
                 last["end"], last["open"] = end, True
             else:
-                level = 0
-                if kind == "heading":
-                    level = len(m.group(1))
-                    path = [p for p in path if p[0] < level] + [(level, m.group(2).strip())]
-                if kind == "code":
+                heading = under(len(m.group(1)), (m.group(2) or "").strip()) if kind == "heading" else {"level": 0, "path": [p[1] for p in path], "strong": kind == "break"}
+                if kind == "code" and not indented:
                     fence = m.group(1)
-                blocks.append({"type": kind, "level": level, "path": [p[1] for p in path], "start": at, "end": end, "strong": kind == "break" or level == 1, "open": kind not in ("heading", "break")})
+                blocks.append({"type": kind, **heading, "start": at, "end": end, "open": kind not in ("heading", "break"), "indented": indented})
         at = end
     for i, b in enumerate(blocks):
         b.pop("open")
+        b.pop("indented", None)
         b.update(block_idx=i, text=text[b["start"] : b["end"]])
     return blocks
 
@@ -101,28 +118,31 @@ def markdown_blocks(contents: DataFrame) -> DataFrame:
     return contents.select("post_id", "version", "content").mapInPandas(run, BLOCKS)
 
 
-def split_text(text: str, target: int = TARGET, most: int = MOST) -> list[str]:
-    """Parts of at most ``most`` tokens, cut near ``target`` at a line or sentence end where there is one; never within CRLF.
+def split_text(text: str, kind: str = "paragraph", target: int = TARGET, most: int = MOST) -> list[str]:
+    """Parts of a block of at most ``most`` tokens, each cut at the natural end nearest to where ``target`` tokens end.
 
-    A cut never parts a token, so tokens and ends are found once, however long the text.
+    An end before that place counts if it lies at most half the way back, one after it if the part keeps
+    within ``most``; equally near the later one is taken, and without any the part ends at that place. A
+    token is never parted, nor CRLF, so tokens and ends are found once, however long the text.
     """
-    words = [m.end() for m in _WORD.finditer(text)]
-    if len(words) <= most:
+    starts = [m.start() for m in _WORD.finditer(text)]
+    if len(starts) <= most:
         return [text] if text else []
-    ends = [m.end() for m in _ENDS.finditer(text)]
+    ends = [m.end() for m in (_TEXT_ENDS if kind in RUNNING_TEXT else _LINE_ENDS).finditer(text)]
     parts, at, done = [], 0, 0
-    while len(words) - done > most:
-        limit, goal = words[done + most - 1], words[done + target - 1]
-        low, high = bisect_right(ends, at), bisect_right(ends, limit)
-        near = bisect_left(ends, goal, low, high)
-        choice = ends[max(low, near - 1) : min(high, near + 1)]
-        if text[limit - 1] in _END_MARKS:
-            choice.append(limit)
-        cut = min(choice, key=lambda e: (abs(e - goal), e), default=goal)
-        if text[cut - 1 : cut + 1] == "\r\n":
-            cut += 1
+    while len(starts) - done > most:
+        # As many characters as fit: up to the next token.
+        goal, limit = starts[done + target], starts[done + most]
+        least = at + max(1, (goal - at) // 2)
+        low, near, high = bisect_left(ends, least), bisect_left(ends, goal), bisect_right(ends, limit)
+        later = ends[near] if near < high else None
+        sooner = goal if later == goal else ends[near - 1] if near > low else None
+        if later is None or sooner is not None and later - goal > goal - sooner:
+            cut = goal if sooner is None else sooner
+        else:
+            cut = later
         parts.append(text[at:cut])
-        at, done = cut, bisect_right(words, cut, done)
+        at, done = cut, bisect_left(starts, cut, done)
     return [*parts, text[at:]] if at < len(text) else parts
 
 
@@ -131,7 +151,7 @@ def split_oversize(blocks: list[dict], target: int = TARGET, most: int = MOST) -
     out = []
     for b in blocks:
         at = b["start"]
-        for k, part in enumerate(split_text(b["text"], target, most) or [b["text"]]):
+        for k, part in enumerate(split_text(b["text"], b["type"], target, most) or [b["text"]]):
             out.append({**b, "text": part, "start": at, "end": at + len(part), "strong": b["strong"] and k == 0})
             at += len(part)
     return out

@@ -24,14 +24,24 @@ def error_class(logs: DataFrame) -> DataFrame:
 
 def duplicate_calls(calls: DataFrame) -> DataFrame:
     """Tool calls (session_id, seq, tool, args) with a key of tool and canonical arguments, repeated ones flagged."""
-    key = F.concat_ws(":", "tool", F.coalesce(F.to_json(F.try_parse_json("args")), F.col("args")))
+    key = F.concat(F.coalesce("tool", F.lit("")), F.lit(":"), F.coalesce(F.to_json(F.try_parse_json("args")), F.col("args"), F.lit("")))
     rows = calls.withColumn("key", key)
     n = F.row_number().over(Window.partitionBy("session_id", "key").orderBy("seq"))
     return rows.withColumn("is_duplicate", n > 1)
 
 
 def merge_evidence(results: DataFrame) -> DataFrame:
-    """Passages of tool results (question_id, seq, tool, passages as a JSON array): each (tool, content) once per question, new ones flagged."""
-    rows = results.select("question_id", "seq", "tool", F.posexplode(F.from_json("passages", "array<string>")).alias("pos", "content"))
+    """Passages of tool results (question_id, seq, tool, passages): each (tool, content) once per question, new ones flagged.
+
+    A result that is a JSON array has a passage for each item, another JSON value is one passage, and what
+    is not JSON is one as it stands. Texts are passages without their quotes, other values as compact JSON; blank ones are left out.
+    """
+    items = F.when(F.ltrim("passages").startswith("["), F.from_json("passages", "array<string>"))
+    # Within an array of one, a text loses its quotes and another value is written anew.
+    whole = F.from_json(F.concat(F.lit("["), F.col("passages"), F.lit("]")), "array<string>")
+    valid = F.try_parse_json("passages").isNotNull()
+    found = F.coalesce(items, F.when(valid, whole), F.array("passages"))
+    each = results.where(F.col("passages").rlike(r"\S")).select("question_id", "seq", "tool", F.posexplode(found).alias("pos", "_item"))
+    rows = each.withColumn("content", F.coalesce("_item", F.lit("null"))).where(F.col("content").rlike(r"\S"))
     n = F.row_number().over(Window.partitionBy("question_id", "tool", "content").orderBy("seq", "pos"))
-    return rows.where("content is not null and trim(content) <> ''").withColumn("is_new", n == 1).select("question_id", "seq", "tool", "content", "is_new")
+    return rows.withColumn("is_new", n == 1).select("question_id", "seq", "tool", "content", "is_new")

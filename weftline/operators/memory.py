@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# How the row of an earlier summary begins, and what stands for no messages and for no summary.
 SUMMARY_PREFIX = "以下是较早对话的摘要：\n"
 NO_MESSAGES = "（无最近会话消息）"
+NO_SUMMARY = "（无会话摘要）"
 EXACT_KEYS = ("tech_stack", "skill_level")
 HIGH, LOW = 0.88, 0.75
 
@@ -35,13 +37,17 @@ def transcript(messages: DataFrame) -> DataFrame:
 
 
 def recent_text(messages: DataFrame) -> DataFrame:
-    """Like ``transcript`` without blank messages and a system row at the start; a fixed text if none is left."""
-    first = messages.groupBy("conversation_id").agg(F.min(F.struct("id", "role", "content")).alias("f"))
-    leading = first.where("f.role = 'system'").select("conversation_id", F.col("f.id").alias("id"), F.col("f.content").alias("summary"))
-    rest = messages.where("trim(content) <> ''").join(leading.select("conversation_id", "id"), ["conversation_id", "id"], "left_anti")
-    return (
-        messages.select("conversation_id").distinct().join(leading.drop("id"), "conversation_id", "left").join(_lines(rest), "conversation_id", "left")
-        .select("conversation_id", "summary", F.coalesce("text", F.lit(NO_MESSAGES)).alias("recent"))
+    """What was said before each conversation's last message: ``conversation_id, summary, recent``.
+
+    A first row that holds an earlier summary stands apart; blank messages are left out; fixed texts stand for no summary and no messages.
+    """
+    ends = messages.groupBy("conversation_id").agg(F.min(F.struct("id", "role", "content")).alias("f"), F.max("id").alias("_last"))
+    leads = (F.col("f.id") < F.col("_last")) & (F.lower("f.role") == "system") & F.startswith(F.col("f.content"), F.lit(SUMMARY_PREFIX))
+    ends = ends.select("conversation_id", "_last", F.when(leads, F.col("f.id")).alias("_lead"), F.when(leads, F.col("f.content")).alias("summary"))
+    said = messages.where(F.col("content").rlike(r"\S")).join(ends.drop("summary"), "conversation_id")
+    between = said.where((F.col("id") < F.col("_last")) & (F.col("_lead").isNull() | (F.col("id") > F.col("_lead"))))
+    return ends.join(_lines(between), "conversation_id", "left").select(
+        "conversation_id", F.coalesce("summary", F.lit(NO_SUMMARY)).alias("summary"), F.coalesce("text", F.lit(NO_MESSAGES)).alias("recent")
     )
 
 
@@ -95,7 +101,7 @@ def valid_candidates(cands: DataFrame) -> DataFrame:
     return cands.where("memory_key is not null and trim(memory_key) <> '' and content is not null")
 
 
-def strict_candidates(cands: DataFrame, keys: tuple[str, ...] = ("language", "answer_style", "tech_stack", "skill_level", "topics", "current_goal"), levels: tuple[str, ...] = ("beginner", "intermediate", "advanced", "unknown", "expert")) -> DataFrame:
+def strict_candidates(cands: DataFrame, keys: tuple[str, ...] = ("language", "answer_style", "tech_stack", "skill_level", "topics", "current_goal"), levels: tuple[str, ...] = ("beginner", "intermediate", "advanced", "unknown")) -> DataFrame:
     """Candidates with the strict rule that they break: a known key; a text, or for skill_level an object of one skill and its level."""
     skill = F.from_json("content", "map<string,string>")
     err = (

@@ -50,15 +50,21 @@ def release_stock(stock: DataFrame, transitions: DataFrame) -> DataFrame:
     )
 
 
-def _winners(rows: DataFrame, *order: str) -> DataFrame:
+def _most(stock: DataFrame) -> int:
+    """The largest stock of a table: no item has more winners. A constant in a plan, by which ranks are cut before rows are shuffled."""
+    return max(0, stock.agg(F.max("stock")).first()[0] or 0)
+
+
+def _winners(rows: DataFrame, most: int, *order: str) -> DataFrame:
     """The first row of each (sku_id, user_id) by ``order``, of those the first ``_stock`` of each item.
 
     A part of an item's users can hold no more winners than its stock, so only that many of each part
-    meet in the last ranking.
+    meet in the last ranking. No stock is above ``most``.
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(SALTS))).repartition("sku_id", "_salt")
-    for name, keys, most in (("_first", ("sku_id", "_salt", "user_id"), "1"), ("_near", ("sku_id", "_salt"), "_stock"), ("_rank", ("sku_id",), "_stock")):
-        dealt = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(f"{name} <= {most}")
+    for name, keys, least in (("_first", ("sku_id", "_salt", "user_id"), F.lit(1)), ("_near", ("sku_id", "_salt"), F.col("_stock")), ("_rank", ("sku_id",), F.col("_stock"))):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        dealt = dealt.withColumn(name, rank).where((F.col(name) <= F.lit(1 if name == "_first" else most)) & (F.col(name) <= least))
     return dealt
 
 
@@ -88,18 +94,16 @@ def admit_rows(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reserva
         .when(F.coalesce(F.col("_stock") < 0, F.lit(True)), "BAD_STOCK").when(F.col("_stock") == 0, "REJECTED")
     )
     rows = rows.withColumn("_early", early)
-    open_rows = rows.where("_early is null")
-    winners = _winners(open_rows, "arrival", "order_id").select("sku_id", "user_id", F.col("order_id").alias("_won"), "arrival")
+    winners = _winners(rows.where("_early is null"), _most(stock), "arrival", "order_id").select("sku_id", "user_id", F.col("order_id").alias("_won"), "arrival")
     if cap < LONG_MAX:
         winners = winners.orderBy("arrival", "_won").limit(max(0, cap - pending))
-    late = open_rows.select("order_id", "sku_id", "user_id").join(winners.drop("arrival"), ["sku_id", "user_id"], "left")
-    decided = late.select("order_id", "sku_id", "user_id", F.col("_won").alias("result_order_id"), F.when(F.col("_won") == F.col("order_id"), "ADMITTED").when(F.col("_won").isNotNull(), "RETRY").otherwise("REJECTED").alias("result"), F.lit(None).cast("string").alias("err"))
-    errors = F.col("_early").isin("COLLISION", "ID_REUSED", "BAD_STOCK")
-    rest = rows.where("_early is not null").select(
-        "order_id", "sku_id", "user_id", F.when(F.col("_early") == "RETRY", F.col("_active")).alias("result_order_id"),
-        F.when(errors, "ERROR").otherwise(F.col("_early")).alias("result"), F.when(errors, F.col("_early")).alias("err"),
+    all_rows = rows.join(winners.drop("arrival"), ["sku_id", "user_id"], "left")
+    e, won = F.col("_early"), F.col("_won")
+    errors = e.isin("COLLISION", "ID_REUSED", "BAD_STOCK")
+    result = F.when(errors, "ERROR").when(e.isNotNull(), e).when(won == F.col("order_id"), "ADMITTED").when(won.isNotNull(), "RETRY").otherwise("REJECTED")
+    return all_rows.select(
+        "order_id", "sku_id", "user_id", F.when(e == "RETRY", F.col("_active")).when(e.isNull(), won).alias("result_order_id"), result.alias("result"), F.when(errors, e).alias("err")
     )
-    return decided.unionByName(rest)
 
 
 def decide(msgs: DataFrame, orders: DataFrame, outcomes: DataFrame, sku: DataFrame) -> DataFrame:
@@ -125,48 +129,82 @@ def decide(msgs: DataFrame, orders: DataFrame, outcomes: DataFrame, sku: DataFra
         .when(F.coalesce(F.col("_stock"), F.lit(0)) <= 0, "EMPTY")
     )
     rows = rows.withColumn("_early", early)
-    open_rows = rows.where("_early is null")
-    won = _winners(open_rows, "order_id").select("sku_id", "user_id", F.col("order_id").alias("_won"))
-    late = open_rows.select("order_id", "sku_id", "user_id").join(won, ["sku_id", "user_id"], "left")
-    new = late.select(
-        "order_id", "sku_id", "user_id", F.when(F.col("_won") == F.col("order_id"), "CONFIRMED").otherwise("CANCELLED").alias("status"),
-        F.col("_won").isNotNull().alias("keep_buyer"), F.lit(None).cast("string").alias("err"),
-    )
-    e = F.col("_early")
-    old = rows.where("_early is not null").select(
-        "order_id", "sku_id", "user_id",
-        F.when(e == "STORED", F.col("_ostatus")).when(e == "SAME", "CONFIRMED").when(e != "ERROR", "CANCELLED").alias("status"),
-        F.when(e == "STORED", F.col("_okeep")).when(e != "ERROR", e.isin("SAME", "PRIOR")).alias("keep_buyer"),
-        F.when(e == "ERROR", "PAYLOAD_CONFLICT").alias("err"),
+    won = _winners(rows.where("_early is null"), _most(sku), "order_id").select("sku_id", "user_id", F.col("order_id").alias("_won"))
+    e, by = F.col("_early"), F.col("_won")
+    status = F.when(e == "STORED", F.col("_ostatus")).when(e == "SAME", "CONFIRMED").when(e == "ERROR", None).when(e.isNotNull(), "CANCELLED").when(by == F.col("order_id"), "CONFIRMED").otherwise("CANCELLED")
+    keep = F.when(e == "STORED", F.col("_okeep")).when(e == "ERROR", None).when(e.isNotNull(), e.isin("SAME", "PRIOR")).otherwise(by.isNotNull())
+    return rows.join(won, ["sku_id", "user_id"], "left").select(
+        "order_id", "sku_id", "user_id", status.alias("status"), keep.alias("keep_buyer"), F.when(e == "ERROR", "PAYLOAD_CONFLICT").alias("err")
     )
-    return new.unionByName(old)
 
 
 def reservation_with_outcome(reservations: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Each outcome beside its reservation, with the reason why it can't be applied."""
     o = outcomes.select("order_id", F.col("sku_id").alias("o_sku_id"), F.col("user_id").alias("o_user_id"), "status", F.col("keep_buyer").alias("o_keep_buyer"))
-    opposite = F.col("state").isin("CONFIRMED", "CANCELLED") & (F.col("state") != F.col("status"))
+    opposite = (F.col("state") != "PENDING") & (F.col("state") != F.col("status"))
     other_keep = (F.col("state") == "CANCELLED") & ~F.col("keep_buyer").eqNullSafe(F.col("o_keep_buyer"))
     err = (
         F.when(F.col("state").isNull(), "NO_RESERVATION")
-        .when((F.col("sku_id") != F.col("o_sku_id")) | (F.col("user_id") != F.col("o_user_id")), "OWNER_MISMATCH")
+        .when(~F.col("sku_id").eqNullSafe(F.col("o_sku_id")) | ~F.col("user_id").eqNullSafe(F.col("o_user_id")), "OWNER_MISMATCH")
         .when(opposite | other_keep, "STATE_CONFLICT")
     )
     return o.join(reservations, "order_id", "left").withColumn("err", err)
 
 
-def complete(reservations: DataFrame, buyers: DataFrame, stock: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Reservations, buyers and stock after outcomes, and each outcome's result (APPLIED, UNCHANGED or its error)."""
+def buyer_orders(reservations: DataFrame) -> DataFrame:
+    """The order that each (sku_id, user_id) has open: its last one that is pending or confirmed."""
+    return reservations.where("state in ('PENDING', 'CONFIRMED')").groupBy("sku_id", "user_id").agg(F.max("order_id").alias("order_id"))
+
+
+def completions(reservations: DataFrame, stock: DataFrame, mapped: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """What each outcome does to its reservation: ``order_id, sku_id, user_id, status, keep_buyer, result``.
+
+    ``mapped`` has the open order of each buyer (sku_id, user_id, order_id). APPLIED changes a pending
+    reservation, UNCHANGED finds it changed so already; else the result is an error, and nothing follows
+    from it. An order that is no longer its buyer's open one is an error, and so is a cancellation for an item
+    whose stock is missing, malformed or would leave 64 bits: in order of ids, the first ones that fit apply.
+    """
     joined = reservation_with_outcome(reservations, outcomes.dropDuplicates(["order_id"]))
-    fresh = F.col("err").isNull() & (F.col("state") == "PENDING")
-    result = joined.select("order_id", F.when(F.col("err").isNotNull(), F.col("err")).when(fresh, "APPLIED").otherwise("UNCHANGED").alias("result"))
-    applied = joined.where(fresh).select("order_id", F.col("o_sku_id").alias("sku_id"), F.col("o_user_id").alias("user_id"), "status", F.col("o_keep_buyer").alias("keep"))
-    changes = applied.select("order_id", F.col("status").alias("_status"), F.col("keep").alias("_keep"))
+    own = mapped.select(F.col("sku_id").alias("o_sku_id"), F.col("user_id").alias("o_user_id"), F.col("order_id").alias("_open"))
+    left = stock.select(F.col("sku_id").alias("o_sku_id"), F.col("stock").alias("_stock"))
+    rows = joined.join(own, ["o_sku_id", "o_user_id"], "left").join(left, "o_sku_id", "left")
+    pending = F.col("state") == "PENDING"
+    first = F.when(pending & ~F.col("_open").eqNullSafe(F.col("order_id")), "BUYER_ORDER_LOST")
+    rows = rows.withColumn("err", F.coalesce("err", first))
+    back = F.col("err").isNull() & pending & (F.col("status") == "CANCELLED")
+    rows = rows.withColumn("_back", F.coalesce(back, F.lit(False)))
+    # Only where the stock is so large that a batch could overflow it do its cancellations meet in one group.
+    close = F.col("_back") & (F.col("_stock") > LONG_MAX - (1 << 40))
+    place = F.row_number().over(Window.partitionBy("o_sku_id", "_back", F.when(close, F.lit(0)).otherwise(F.col("order_id"))).orderBy("order_id"))
+    fits = F.coalesce((F.col("_stock") >= 0) & (F.col("_place") <= F.lit(LONG_MAX) - F.col("_stock")), F.lit(False))
+    rows = rows.withColumn("_place", place).withColumn("err", F.when(F.col("_back") & ~fits, "STOCK_ERROR").otherwise(F.col("err")))
+    result = F.when(F.col("err").isNotNull(), F.col("err")).when(pending, "APPLIED").otherwise("UNCHANGED")
+    return rows.select("order_id", F.col("o_sku_id").alias("sku_id"), F.col("o_user_id").alias("user_id"), "status", F.col("o_keep_buyer").alias("keep_buyer"), result.alias("result"))
+
+
+def after_completions(reservations: DataFrame, buyers: DataFrame, stock: DataFrame, mapped: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reservations, buyers, stock and buyers' open orders after ``completions``, of which only the applied ones count.
+
+    A confirmation changes the state alone. A cancellation gives its unit back, closes the buyer's order and
+    keeps the buyer's mark or takes it away; a mark to keep that is gone is set again.
+    """
+    applied = done.where("result = 'APPLIED'")
+    changes = applied.select("order_id", F.col("status").alias("_status"), F.col("keep_buyer").alias("_keep"))
     new = reservations.join(changes, "order_id", "left").select(
-        "order_id", "sku_id", "user_id", F.coalesce("_status", "state").alias("state"), F.when(F.col("_status").isNotNull(), F.col("_keep")).otherwise(F.col("keep_buyer")).alias("keep_buyer")
+        "order_id", "sku_id", "user_id", F.coalesce("_status", "state").alias("state"), F.when(F.col("_status") == "CANCELLED", F.col("_keep")).otherwise(F.col("keep_buyer")).alias("keep_buyer")
     )
-    gone = applied.where("status = 'CANCELLED' and not keep").select("sku_id", "user_id").distinct()
-    return new, buyers.join(gone, ["sku_id", "user_id"], "left_anti"), release_stock(stock, applied.withColumnRenamed("status", "state")), result
+    gone = applied.where("status = 'CANCELLED'")
+    keep = F.coalesce("keep_buyer", F.lit(False))
+    left = buyers.join(gone.where(~keep).select("sku_id", "user_id"), ["sku_id", "user_id"], "left_anti").select("sku_id", "user_id")
+    again = gone.where(keep).select("sku_id", "user_id").join(buyers, ["sku_id", "user_id"], "left_anti")
+    back = release_stock(stock, gone.withColumnRenamed("status", "state")).drop("err")
+    return new, left.union(again), back, mapped.join(gone.select("order_id"), "order_id", "left_anti").select("sku_id", "user_id", "order_id")
+
+
+def complete(reservations: DataFrame, buyers: DataFrame, stock: DataFrame, mapped: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reservations, buyers, stock and buyers' open orders after outcomes, and each outcome's ``completions``."""
+    done = completions(reservations, stock, mapped, outcomes)
+    return *after_completions(reservations, buyers, stock, mapped, done), done
 
 
 def mark_applied(outcomes: DataFrame, done: DataFrame) -> DataFrame:
@@ -203,14 +241,13 @@ def order_history(msgs: DataFrame, orders: DataFrame) -> DataFrame:
     return joined.select("order_id", "sku_id", "user_id", F.coalesce("same_id", F.lit(False)).alias("same_id"), prior.alias("prior_order_id"))
 
 
-def run_recovery(outcomes: DataFrame, reservations: DataFrame, buyers: DataFrame, stock: DataFrame, now: Column, n: int = 100) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """One pass over the recovery queue: outcomes, reservations, buyers and stock after it.
+def run_recovery(outcomes: DataFrame, reservations: DataFrame, buyers: DataFrame, stock: DataFrame, mapped: DataFrame, now: Column, n: int = 100) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One pass over the recovery queue: outcomes, reservations, buyers, stock and buyers' open orders after it.
 
     What applies or already holds is marked as applied; what fails is put off, so that it does not
     block the head of the queue.
     """
-    queue = recovery_queue(outcomes, now, n)
-    new, left, restocked, result = complete(reservations, buyers, stock, queue)
+    *tables, done = complete(reservations, buyers, stock, mapped, recovery_queue(outcomes, now, n))
     failed = ~F.col("result").isin("APPLIED", "UNCHANGED")
-    after = postpone(mark_applied(outcomes, result.where(~failed)), result.where(failed), now)
-    return after, new, left, restocked
+    after = postpone(mark_applied(outcomes, done.where(~failed)), done.where(failed), now)
+    return after, *tables

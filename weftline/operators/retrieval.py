@@ -15,18 +15,25 @@ def topk_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int)
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+def with_square(df: DataFrame, vector: str, name: str) -> DataFrame:
+    """``df`` with a vector's product with itself: taken once a row, not once a pair."""
+    return df.withColumn(name, dot(F.col(vector), F.col(vector)))
+
+
+def cosine(a: str, b: str, a_square: str, b_square: str) -> Column:
+    """The cosine of two vectors whose squares are known."""
+    return dot(F.col(a), F.col(b)) / F.sqrt(F.col(a_square) * F.col(b_square))
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, filters: tuple[str, ...] = ("post_id", "version")) -> DataFrame:
     """``query_id, chunk_id, score, rank`` of the chunks nearest by cosine among those with the query's values of ``filters``."""
-    q = queries.select("query_id", *filters, F.col("embedding").alias("_q"))
-    score = F.round(cosine(F.col("_q"), F.col("embedding")), 6)
-    hits = q.join(chunks.select("chunk_id", "embedding", *filters), list(filters)).select("query_id", "chunk_id", score.alias("score"))
+    q = with_square(queries.select("query_id", *filters, F.col("embedding").alias("_q")), "_q", "_qq")
+    d = with_square(chunks.select("chunk_id", "embedding", *filters), "embedding", "_dd")
+    hits = q.join(d, list(filters)).select("query_id", "chunk_id", F.round(cosine("_q", "embedding", "_qq", "_dd"), 6).alias("score"))
     return topk_per_group(hits, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
@@ -87,8 +94,9 @@ def trimmed(rows: DataFrame) -> DataFrame:
 def memory_search(queries: DataFrame, docs: DataFrame, k: int = 2, min_score: float = 0.70) -> DataFrame:
     """``query_id, memory_key, doc_id, score``: per key the k nearest active memories of the user, then those above the threshold."""
     q = queries.where(F.col("memory_key").isin("topics", "current_goal")).select("query_id", "user_id", "memory_key", F.col("embedding").alias("_q"))
-    hits = q.join(docs.where("status = 'ACTIVE'").select("doc_id", "user_id", "memory_key", "embedding"), ["user_id", "memory_key"])
-    scored = hits.select("query_id", "memory_key", "doc_id", F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
+    d = with_square(docs.where("status = 'ACTIVE'").select("doc_id", "user_id", "memory_key", "embedding"), "embedding", "_dd")
+    hits = with_square(q, "_q", "_qq").join(d, ["user_id", "memory_key"])
+    scored = hits.select("query_id", "memory_key", "doc_id", F.round(cosine("_q", "embedding", "_qq", "_dd"), 6).alias("score"))
     top = topk_per_group(scored, ["query_id", "memory_key"], [F.desc("score"), F.asc("doc_id")], k if k > 0 else 2)
     return top.where(F.col("score") >= min_score).drop("rank")
 
@@ -96,8 +104,8 @@ def memory_search(queries: DataFrame, docs: DataFrame, k: int = 2, min_score: fl
 def nearest_memory(cands: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates (user_id, seq, memory_key, embedding) with their nearest active memory; score 0 without one."""
     d = docs.where("status = 'ACTIVE'").select("user_id", "memory_key", "doc_id", "version", F.col("embedding").alias("_d"))
-    hits = cands.join(d, ["user_id", "memory_key"], "left")
-    score = F.coalesce(F.round(cosine(F.col("embedding"), F.col("_d")), 6), F.lit(0.0))
+    hits = with_square(cands, "embedding", "_qq").join(with_square(d, "_d", "_dd"), ["user_id", "memory_key"], "left")
+    score = F.coalesce(F.round(cosine("embedding", "_d", "_qq", "_dd"), 6), F.lit(0.0))
     best = hits.groupBy("user_id", "seq", "memory_key").agg(F.max(F.struct(score.alias("score"), (-F.col("doc_id")).alias("neg"), "version")).alias("b"))
     return best.select("user_id", "seq", "memory_key", (-F.col("b.neg")).alias("doc_id"), "b.version", "b.score")
 

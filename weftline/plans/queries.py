@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -190,8 +189,36 @@ def _reservations(t: Tables) -> DataFrame:
 
 simple("joi10_reservation_outcome", lambda t: orders.reservation_with_outcome(_reservations(t), _decided(t)).select("order_id", "state", "status", "err"),
        f"with {OUTCOMES} select dec.order_id, state, status, case when state is null then 'NO_RESERVATION' when state <> 'PENDING' and state <> status then 'STATE_CONFLICT' end as err from dec left join res using (order_id)")
-simple("ups8_complete", lambda t: orders.complete(_reservations(t), t.order_req.select("sku_id", "user_id").distinct(), _stock(t), _decided(t))[3],
-       f"with {OUTCOMES} select dec.order_id, case when state is null then 'NO_RESERVATION' when state <> 'PENDING' and state <> status then 'STATE_CONFLICT' when state = 'PENDING' then 'APPLIED' else 'UNCHANGED' end as result from dec left join res using (order_id)")
+# Buyers' open orders: the last pending one, but for some that were lost; marks of buyers with an even id; stock of item 5 is malformed, that of item 6 full but for two units.
+HELD = f"""{OUTCOMES}, mp as (select sku_id, user_id, max(order_id) as order_id from res where state = 'PENDING' and user_id % 9 <> 0 group by sku_id, user_id),
+by_ as (select distinct sku_id, user_id from order_req where user_id % 2 = 0),
+sk as (select id as sku_id, case id when 5 then -1 when 6 then 9223372036854775805 else cast(stock as bigint) end as stock from sku),
+j as (select dec.order_id, dec.sku_id, dec.user_id, status, dec.keep_buyer, state, case when state is null then 'NO_RESERVATION' when state <> 'PENDING' and state <> status then 'STATE_CONFLICT'
+  when state = 'PENDING' and mp.order_id is distinct from dec.order_id then 'BUYER_ORDER_LOST' end as err, sk.stock
+  from dec left join res using (order_id) left join mp on mp.sku_id = dec.sku_id and mp.user_id = dec.user_id left join sk on sk.sku_id = dec.sku_id),
+bk as (select order_id, row_number() over (partition by sku_id order by order_id) as place from j where err is null and state = 'PENDING' and status = 'CANCELLED'),
+dn as (select j.order_id, sku_id, user_id, status, keep_buyer, case when err is not null then err when place is not null and (stock is null or stock < 0 or place > 9223372036854775807 - stock) then 'STOCK_ERROR' when state = 'PENDING' then 'APPLIED' else 'UNCHANGED' end as result
+  from j left join bk using (order_id)),
+ap as (select * from dn where result = 'APPLIED'), ca as (select * from ap where status = 'CANCELLED')"""
+
+
+def _held(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reservations, buyers, stock and buyers' open orders."""
+    held = _reservations(t)
+    mapped = orders.buyer_orders(held.where("state = 'PENDING' and user_id % 9 <> 0"))
+    buyers = t.order_req.where("user_id % 2 = 0").select("sku_id", "user_id").distinct()
+    stock = t.sku.selectExpr("id as sku_id", "case id when 5 then -1 when 6 then 9223372036854775805 else cast(stock as bigint) end as stock")
+    return held, buyers, stock, mapped
+
+
+simple("ups8_complete", lambda t: orders.complete(*_held(t), _decided(t))[4], f"with {HELD} select * from dn")
+simple("ups8_reservations", lambda t: orders.complete(*_held(t), _decided(t))[0],
+       f"with {HELD} select res.order_id, res.sku_id, res.user_id, coalesce(ap.status, state) as state, case when ap.status = 'CANCELLED' then ap.keep_buyer else res.keep_buyer end as keep_buyer from res left join ap using (order_id)")
+simple("ups8_buyers", lambda t: orders.complete(*_held(t), _decided(t))[1],
+       f"with {HELD} select sku_id, user_id from by_ where (sku_id, user_id) not in (select (sku_id, user_id) from ca where not keep_buyer) union select sku_id, user_id from ca where keep_buyer")
+simple("ups8_stock", lambda t: orders.complete(*_held(t), _decided(t))[2],
+       f"with {HELD} select sku_id, cast(stock + coalesce(n, 0) as bigint) as stock from sk left join (select sku_id, count(*) as n from ca group by sku_id) using (sku_id)")
+simple("ups8_buyer_orders", lambda t: orders.complete(*_held(t), _decided(t))[3], f"with {HELD} select sku_id, user_id, order_id from mp where order_id not in (select order_id from ca)")
 simple("top1_recovery_queue", lambda t: orders.recovery_queue(t.order_outcome, F.lit(NOW).cast("timestamp_ntz")),
        f"select * from order_outcome where not redis_applied and next_retry_at <= timestamp '{NOW}' and status in ('CONFIRMED', 'CANCELLED') order by next_retry_at, order_id limit 100")
 simple("ups9_mark_applied", lambda t: orders.mark_applied(t.order_outcome, t.order_outcome.where("order_id % 3 = 0")),
@@ -298,8 +325,36 @@ def _markdown(t: Tables) -> DataFrame:
 simple("txt1_blocks", lambda t: chunking.markdown_blocks(_markdown(t)))
 simple("txt2_chunks", lambda t: chunking.chunk_rows(chunking.assemble_chunks(_markdown(t))))
 simple("txt3_split_oversize", lambda t: chunking.split_blocks(chunking.markdown_blocks(_markdown(t)), 60, 120))
-simple("txt4_chunk_rows", lambda t: chunking.chunk_rows(chunking.assemble_chunks(_markdown(t))).select("post_id", "version", "chunk_id", "heading_paths", "block_types", "start", "end"))
-simple("txt6_chunk_stats", lambda t: chunking.chunk_stats(chunking.assemble_chunks(_markdown(t)), _markdown(t)))
+# A stored table of chunks: each line of a text with its line end, under the path (source, lang).
+LINES = "select doc_id + 1 as post_id, cast(doc_id % 3 as int) as version, string_split(coalesce(text, ''), chr(10)) as ls, source, lang, text from documents"
+LINE_CHUNKS = f"""ln as ({LINES}), lc as (select post_id, version, cast(generate_subscripts(ls, 1) - 1 as int) as chunk_idx, unnest(ls) as line, len(ls) as n_lines, source, lang from ln),
+ck as (select post_id, version, chunk_idx, concat(line, case when chunk_idx < n_lines - 1 then chr(10) else '' end) as text, source, lang from lc)"""
+
+
+def _line_chunks(t: Tables) -> DataFrame:
+    docs = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    each = docs.select((F.col("doc_id") + 1).alias("post_id"), (F.col("doc_id") % 3).cast("int").alias("version"), F.size(lines).alias("_n"), "source", "lang", F.posexplode(lines).alias("chunk_idx", "_line"))
+    text = F.concat("_line", F.when(F.col("chunk_idx") < F.col("_n") - 1, "\n").otherwise(""))
+    kinds = F.when(F.col("chunk_idx") == 0, F.array(F.lit("heading"), F.lit("paragraph"))).otherwise(F.array(F.lit("paragraph")))
+    paths = F.array(F.array("source", F.coalesce("lang", F.lit("none"))), F.array("source"))
+    return each.select("post_id", "version", "chunk_idx", text.alias("text"), chunking.token_count(text).alias("token_count"), paths.alias("paths"), kinds.alias("types"))
+
+
+def _line_contents(t: Tables) -> DataFrame:
+    """The texts of these chunks, but for some with one more line."""
+    docs = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")
+    return docs.selectExpr("doc_id + 1 as post_id", "cast(doc_id % 3 as int) as version", "if(doc_id % 10 = 0, concat(text, chr(10)), text) as content")
+
+
+simple("txt4_chunk_rows", lambda t: chunking.chunk_rows(_line_chunks(t)).selectExpr("post_id", "version", "chunk_id", "array_join(heading_paths, ' | ') as heading_paths", "array_join(block_types, ',') as block_types"),
+       f"with {LINE_CHUNKS} select post_id, version, concat(post_id, '#', chunk_idx) as chunk_id, concat(source, ' > ', coalesce(lang, 'none'), ' | ', source) as heading_paths, case when chunk_idx = 0 then 'heading,paragraph' else 'paragraph' end as block_types from ck")
+simple("txt6_chunk_stats", lambda t: chunking.chunk_stats(_line_chunks(t), _line_contents(t)),
+       f"""with {LINE_CHUNKS}, tk as (select *, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]')) as k from ck)
+       select d.doc_id + 1 as post_id, cast(d.doc_id % 3 as int) as version, count(*) as n, cast(sum(k) as bigint) as tokens, count(*) filter (where k < 100) as n_small, not (d.doc_id % 10 = 0 and any_value(d.text) is not null) as is_exact
+       from documents d join tk on tk.post_id = d.doc_id + 1 group by d.doc_id""")
+simple("txt6_markdown_stats", lambda t: chunking.chunk_stats(chunking.assemble_chunks(_markdown(t)), _markdown(t)))
+simple("txt4_markdown_rows", lambda t: chunking.chunk_rows(chunking.assemble_chunks(_markdown(t))).select("post_id", "version", "chunk_id", "heading_paths", "block_types", "start", "end"))
 simple("joi6_new_chunks", lambda t: chunking.new_chunks(t.chunk_text.drop("content"), t.chunk_text.where("doc_id % 3 = 0").where("post_id % 2 = 1")),
        "select doc_id, post_id, version, chunk_id from chunk_text where (post_id, version) not in (select post_id, version from chunk_text where doc_id % 3 = 0 and post_id % 2 = 1)")
 simple("txt5_token_count", lambda t: t.chunk_text.select("doc_id", chunking.token_count(F.coalesce("content", F.lit(""))).cast("long").alias("n")),
@@ -318,17 +373,22 @@ def _counter_stream(t: Tables) -> DataFrame:
     schema = t.spark.read.parquet(path).schema
     # A pattern, since a stream can't have a single file as its base path.
     events = t.spark.readStream.schema(schema).parquet(path.replace("/events.", "/[e]vents."))
-    name = f"counter_stream_{uuid.uuid4().hex}"
-    return jobs.run_to_end(jobs.counter_stream(t.spark.sql(FIXTURES["outbox_cdc"], events=events)), name, tables.shared_folder(t.spark, name))
-
-
-simple("agg7_recent_text", lambda t: memory.recent_text(t.message),
-       """with fi as (select conversation_id, min(id) as fid from message group by conversation_id),
-       ld as (select m.conversation_id, m.id, m.content as summary from message m join fi on fi.conversation_id = m.conversation_id and m.id = fid where role = 'system')
-       select m.conversation_id, max(ld.summary) as summary, coalesce(string_agg(concat(role, ': ', content), chr(10) order by m.id) filter (where trim(content) <> '' and ld.id is distinct from m.id), '（无最近会话消息）') as recent
-       from message m left join ld on ld.conversation_id = m.conversation_id group by m.conversation_id""")
-simple("fil8_strict_candidates", lambda t: memory.strict_candidates(t.cands),
-       "select *, case when memory_key is null or trim(memory_key) = '' then 'UNKNOWN_KEY' when content is null then 'EMPTY_CONTENT' end as err from cands")
+    folder = tables.shared_folder(t.spark, "counter_stream")
+    return jobs.run_to_last(jobs.counter_stream(t.spark.sql(FIXTURES["outbox_cdc"], events=events)), ["sid", "idx"], f"{folder}/out", f"{folder}/check")
+
+
+SUMMARISED = "if(turn = 0 and conversation_id % 2 = 0, 'system', role) as role, if(turn = 0 and conversation_id % 2 = 0, concat('以下是较早对话的摘要：', chr(10), content), if(turn % 5 = 3, ' ', content)) as content"
+simple("agg7_recent_text", lambda t: memory.recent_text(t.spark.sql(f"select id, conversation_id, {SUMMARISED} from (select *, id % 1000 as turn from {{m}})", m=t.message)),
+       f"""with ms as (select id, conversation_id, {SUMMARISED} from (select *, id % 1000 as turn from message)),
+       fi as (select conversation_id, min(id) as fid, max(id) as lid from ms group by conversation_id),
+       ld as (select m.conversation_id, m.id, m.content as summary from ms m join fi on fi.conversation_id = m.conversation_id and m.id = fid where lower(role) = 'system' and starts_with(content, '以下是较早对话的摘要：' || chr(10)) and fid < lid)
+       select m.conversation_id, coalesce(max(ld.summary), '（无会话摘要）') as summary, coalesce(string_agg(concat(role, ': ', content), chr(10) order by m.id) filter (where trim(content) <> '' and ld.id is distinct from m.id and m.id < lid), '（无最近会话消息）') as recent
+       from ms m join fi on fi.conversation_id = m.conversation_id left join ld on ld.conversation_id = m.conversation_id group by m.conversation_id""")
+SKILLS = """select user_id, seq, case when seq % 3 = 0 then 'skill_level' else memory_key end as memory_key,
+  case when seq % 3 <> 0 then content when seq % 4 = 0 then concat('{"go":"', case seq % 5 when 0 then 'beginner' when 1 then 'expert' when 2 then 'unknown' when 3 then 'advanced' else 'Advanced' end, '"}') when seq % 4 = 1 then '{}' when seq % 4 = 2 then '{"go":"unknown","c":"unknown"}' else content end as content from cands"""
+simple("fil8_strict_candidates", lambda t: memory.strict_candidates(t.spark.sql(SKILLS.replace("{", "{{").replace("}", "}}").replace("from cands", "from {c}"), c=t.cands)),
+       "with sk as (" + SKILLS + """) select *, case when memory_key is null or trim(memory_key) = '' then 'UNKNOWN_KEY' when memory_key = 'skill_level'
+         and not coalesce(content in ('{"go":"beginner"}', '{"go":"unknown"}', '{"go":"advanced"}'), false) then 'BAD_SKILL' when content is null then 'EMPTY_CONTENT' end as err from sk""")
 simple("sca8_trim_by_offset", lambda t: t.chunk_text.select("doc_id", scalars.trim_by_offset(F.col("content"), (F.col("doc_id") % 50).cast("int"), (F.col("doc_id") % 30).cast("int")).alias("text")),
        "select doc_id, substring(content, greatest(0, doc_id % 50 - doc_id % 30) + 1) as text from chunk_text")
 
@@ -372,8 +432,19 @@ simple("sca11_payloads", lambda t: t.order_req.select("order_id", scalars.encode
 simple("sca7_duplicate_calls", lambda t: logs.duplicate_calls(t.fav_event.selectExpr("user_id as session_id", "event_id as seq", "concat('t', event_id % 2) as tool", """if(event_id % 3 = 0, concat('{"b": ', sku_id % 2, ', "a":1}'), concat('{"a":1,"b":', sku_id % 2, '}')) as args""")),
        """with c as (select user_id as session_id, event_id as seq, 't' || event_id % 2 as tool, case when event_id % 3 = 0 then '{"b": ' || sku_id % 2 || ', "a":1}' else '{"a":1,"b":' || sku_id % 2 || '}' end as args,
        't' || event_id % 2 || ':{"a":1,"b":' || sku_id % 2 || '}' as key from fav_event) select *, row_number() over (partition by session_id, key order by seq) > 1 as is_duplicate from c""")
-simple("agg9_merge_evidence", lambda t: logs.merge_evidence(t.message.select(F.col("conversation_id").alias("question_id"), F.col("id").alias("seq"), F.col("role").alias("tool"), F.to_json(F.split("content", " ")).alias("passages"))),
-       r"""with p as (select conversation_id as question_id, id as seq, role as tool, string_split(content, ' ') as ps from message), u as (select question_id, seq, tool, unnest(ps) as content, generate_subscripts(ps, 1) as pos from p)
+# Results of five kinds: arrays of texts, objects, single texts, no JSON, and arrays with other values.
+RESULTS = """select conversation_id as question_id, id as seq, role as tool, case id % 5 when 1 then concat('{"b": ', cast(id % 2 as varchar(9)), ', "a": [1, 2]}') when 2 then concat('"said ', cast(id % 3 as varchar(9)), '"')
+  when 3 then content when 4 then '[{"x": 1}, 7, null, "said 1"]' end as passages, content from message"""
+
+
+def _results(t: Tables) -> DataFrame:
+    made = t.spark.sql(RESULTS.replace("{", "{{").replace("}", "}}").replace("from message", "from {m}"), m=t.message)
+    return made.withColumn("passages", F.when(F.col("seq") % 5 == 0, F.to_json(F.split("content", " "))).otherwise(F.col("passages")))
+
+
+simple("agg9_merge_evidence", lambda t: logs.merge_evidence(_results(t)),
+       "with rs as (" + RESULTS + r"""), p as (select question_id, seq, tool, case seq % 5 when 0 then string_split(content, ' ') when 1 then [concat('{"b":', seq % 2, ',"a":[1,2]}')] when 2 then [concat('said ', seq % 3)] when 3 then [content] else ['{"x":1}', '7', 'null', 'said 1'] end as ps from rs),
+       u as (select question_id, seq, tool, unnest(ps) as content, generate_subscripts(ps, 1) as pos from p)
        select question_id, seq, tool, content, row_number() over (partition by question_id, tool, content order by seq, pos) = 1 as is_new from u where trim(content) <> ''""")
 ASKED = "case doc_id % 3 when 0 then concat('What OTHER arti cles has the Author of ', source, '?') when 1 then concat('List the posts of ', source) else text end"
 simple("sca5_author_questions", lambda t: t.spark.sql(f"select doc_id, {ASKED} as question from {{d}}", d=t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")).select("doc_id", scalars.asks_author_works(F.col("question"), "author|writer|作者", "article|post|文章", "other|all|list|其他|全部").alias("asks")),
@@ -424,12 +495,14 @@ PENDING = "select order_id, order_id % 20 + 1 as sku_id, order_id % 50 + 1 as us
 
 
 @query("str6_recovery", f"""with o as ({PENDING}), q as (select * from o where not redis_applied and next_retry_at <= timestamp '{NOW}' and status in ('CONFIRMED', 'CANCELLED') order by next_retry_at, order_id limit 100),
-f as (select order_id, order_id % 5 = 0 or (order_id % 3 = 0 and status <> 'CONFIRMED') as failed from q)
+rs as (select order_id, sku_id, user_id, case when order_id % 3 = 0 then 'CONFIRMED' else 'PENDING' end as state from o where order_id % 5 <> 0), mp as (select sku_id, user_id, max(order_id) as last from rs group by sku_id, user_id),
+f as (select q.order_id, state is null or (state = 'CONFIRMED' and status <> 'CONFIRMED') or (state = 'PENDING' and (last <> q.order_id or (status = 'CANCELLED' and stock is null))) as failed
+  from q left join rs using (order_id) left join mp on mp.sku_id = q.sku_id and mp.user_id = q.user_id left join sku on sku.id = q.sku_id)
 select o.order_id, o.status, o.redis_applied or (failed is not null and not failed) as redis_applied, case when failed then timestamp '{NOW}' + interval 30 second else next_retry_at end as next_retry_at from o left join f using (order_id)""")
 def _recovery(t: Tables) -> DataFrame:
     outcomes = t.spark.sql(PENDING.replace("order_outcome", "{o}"), o=t.order_outcome)
     held = outcomes.where("order_id % 5 <> 0").selectExpr("order_id", "sku_id", "user_id", "if(order_id % 3 = 0, 'CONFIRMED', 'PENDING') as state", "cast(null as boolean) as keep_buyer")
-    after = orders.run_recovery(outcomes, held, outcomes.select("sku_id", "user_id").distinct(), _stock(t), F.lit(NOW).cast("timestamp_ntz"))[0]
+    after = orders.run_recovery(outcomes, held, outcomes.select("sku_id", "user_id").distinct(), _stock(t), orders.buyer_orders(held), F.lit(NOW).cast("timestamp_ntz"))[0]
     return after.select("order_id", "status", "redis_applied", "next_retry_at")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.fixtures import SQL as FIXTURES
 from weftline.functions import hooks
-from weftline.operators import memory, retrieval
+from weftline.operators import memory, orders, retrieval
 from weftline.plans.queries import COUNTS, HAVE, VALID, VEC, Tables, _counts, _have, _stock, _vector_queries, query
 from weftline.sources import tables
 from weftline.streaming import jobs
@@ -40,15 +40,41 @@ w as (select sku_id, user_id, won from k where rank <= stock)"""
 @query("str2_admission_stream", f"with {FIRST} select order_id, won as result_order_id, case when won = order_id then 'ADMITTED' when won is not null then 'RETRY' else 'REJECTED' end as result from order_req o left join w on w.sku_id = o.sku_id and w.user_id = o.user_id")
 def _admission(t: Tables) -> DataFrame:
     stream, folder = _order_stream(t, "admission")
-    jobs.admission_stream(stream, f"{folder}/out", _stock(t), t.order_req.where("false").select("sku_id", "user_id"), f"{folder}/check").awaitTermination()
-    return _read(t, f"{folder}/out", "order_id long, result_order_id long, result string").select("order_id", "result_order_id", "result")
+    with jobs.state_store(t.spark):
+        admitted = jobs.admission_stream(stream, _stock(t), t.order_req.where("false").select("sku_id", "user_id"))
+        return jobs.run_to_files(admitted, f"{folder}/out", f"{folder}/check").select("order_id", "result_order_id", "result")
 
 
-@query("str3_order_stream", f"with {FIRST} select order_id, o.sku_id, o.user_id, case when won = order_id then 'CONFIRMED' else 'CANCELLED' end as status, won is not null as keep_buyer from order_req o left join w on w.sku_id = o.sku_id and w.user_id = o.user_id")
-def _orders(t: Tables) -> DataFrame:
+DECIDED = f"""{FIRST}, dc as (select order_id, o.sku_id, o.user_id, case when won = order_id then 'CONFIRMED' else 'CANCELLED' end as status, won is not null as keep_buyer from order_req o left join w on w.sku_id = o.sku_id and w.user_id = o.user_id)"""
+#: A seventh of the orders has no reservation; of a buyer's others the last one is open.
+COMPLETIONS = f"""{DECIDED}, rv as (select * from order_req where order_id % 7 <> 0), mp as (select sku_id, user_id, max(order_id) as last from rv group by sku_id, user_id),
+cp as (select dc.*, case when rv.order_id is null then 'NO_RESERVATION' when mp.last <> dc.order_id then 'BUYER_ORDER_LOST' when status = 'CANCELLED' and sku.id is null then 'STOCK_ERROR' else 'APPLIED' end as result
+  from dc left join rv using (order_id) left join mp on mp.sku_id = dc.sku_id and mp.user_id = dc.user_id left join sku on sku.id = dc.sku_id)"""
+
+
+def _order_run(t: Tables) -> tuple[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
+    """The folder of a finished order stream, and the tables that it began with."""
     stream, folder = _order_stream(t, "orders")
-    jobs.order_stream(stream, f"{folder}/out", t.sku, f"{folder}/check").awaitTermination()
-    return _read(t, f"{folder}/out", "order_id long, sku_id long, user_id long, status string, keep_buyer boolean").drop("batch")
+    held = t.order_req.where("order_id % 7 <> 0").selectExpr("order_id", "sku_id", "user_id", "'PENDING' as state", "cast(null as boolean) as keep_buyer")
+    given = (held, t.order_req.where("user_id % 2 = 0").select("sku_id", "user_id").distinct(), _stock(t), orders.buyer_orders(held))
+    jobs.order_stream(stream, f"{folder}/out", t.sku, *given, f"{folder}/check").awaitTermination()
+    return f"{folder}/out", given
+
+
+@query("str3_order_stream", f"with {DECIDED} select * from dc")
+def _orders(t: Tables) -> DataFrame:
+    return _read(t, f"{_order_run(t)[0]}/decisions", "order_id long, sku_id long, user_id long, status string, keep_buyer boolean").drop("batch")
+
+
+@query("str3_completions", f"with {COMPLETIONS} select *, result = 'APPLIED' as redis_applied from cp")
+def _completions(t: Tables) -> DataFrame:
+    return _read(t, f"{_order_run(t)[0]}/completed", jobs.COMPLETED).drop("batch")
+
+
+@query("str3_stock", f"with {COMPLETIONS} select id as sku_id, cast(stock + coalesce(n, 0) as bigint) as stock from sku left join (select sku_id, count(*) as n from cp where result = 'APPLIED' and status = 'CANCELLED' group by sku_id) c on c.sku_id = id")
+def _stock_after(t: Tables) -> DataFrame:
+    out, given = _order_run(t)
+    return orders.after_completions(*given, _read(t, f"{out}/completed", jobs.COMPLETED))[2]
 
 
 @query("snk1_relay", "select order_id, sku_id, user_id from order_req")
@@ -64,16 +90,10 @@ from s left join have on have.sku_id = sid left join cnt on cnt.sku_id = sid""")
 def _stateful(t: Tables) -> DataFrame:
     path = f"{t.sf_dir}/events.parquet"
     events = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path.replace("/events.", "/[e]vents."))
-    before = {k: t.spark.conf.get(k, None) for k in jobs.STATE_STORE}
-    for k, v in jobs.STATE_STORE.items():
-        t.spark.conf.set(k, v)
-    try:
+    with jobs.state_store(t.spark):
         unique = jobs.counter_events(t.spark.sql(FIXTURES["outbox_cdc"], events=events))
         folder = tables.shared_folder(t.spark, "counters")
         out = jobs.run_to_files(jobs.stateful_counters(unique, _have(t), _counts(t)), f"{folder}/out", f"{folder}/check")
-    finally:
-        for k, v in before.items():
-            t.spark.conf.unset(k) if v is None else t.spark.conf.set(k, v)
     last = out.groupBy("sid").agg(F.max_by(F.struct("turn", "fav"), "n").alias("l"))
     return last.select("sid", "l.turn", "l.fav")
 
@@ -148,5 +168,5 @@ def _scored(t: Tables) -> DataFrame:
 
 @query("u2_token_counts", "select doc_id, cast(len(list_filter(string_split(coalesce(content, ''), ' '), lambda w: w <> '')) as int) as n from chunk_text")
 def _tokens(t: Tables) -> DataFrame:
-    count = hooks.tokens(lambda x: sum(w != "" for w in x.split(" ")))
+    count = hooks.tokens(lambda x: x.str.count("[^ ]+"))
     return t.chunk_text.select("doc_id", count("content").alias("n"))

@@ -17,9 +17,12 @@ REQUIRED = ("event_id", "payload", "status", "retry_count", "event_type")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one of spark.checkpoint.dir, or in a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share, spark.checkpoint.dir. A local session without one (tests) gets its own."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or tempfile.mkdtemp(prefix='weftline-')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_table(spark: SparkSession, name: str, source: str | dict) -> DataFrame:

@@ -1,12 +1,14 @@
 """Structured Streaming jobs over counter events, orders, publish events and memory updates.
 
 Jobs that keep tables work batch by batch: what a batch decides goes to ``<path>/batch=<number>`` and
-depends only on the batches before it, so that a replayed batch writes the same again.
+depends only on the batches before it, so that a replayed batch writes the same again. Now and then the
+batches before are put together (``earlier``). Admission and counters keep their state by key instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from weftline.operators import articles, chunking, counters, memory, orders
+from weftline.sources import tables
 
 TTL = "7 days"
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
@@ -23,6 +26,19 @@ INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The session with ``STATE_STORE``, for the time of a stream's run."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def counter_stream(outbox: DataFrame) -> DataFrame:
     """Valid counter events of an outbox stream (with ts), each (sid, event_id) once within the time to live, summed by (sid, idx)."""
     return counter_events(outbox).groupBy("sid", "idx").agg(F.sum(F.col("delta").cast("long")).alias("value"))
@@ -90,11 +106,21 @@ def stateful_counters(events: DataFrame, stored: DataFrame, facts: DataFrame) ->
     )
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now; its result as a table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_last(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over all that is there now; the last row that it wrote of each key.
+
+    A batch writes the keys that it changed to ``<path>/batch=<number>``; a replayed batch overwrites them.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    rows = stream.sparkSession.read.schema(f"{schema}, batch long").option("basePath", path).parquet(f"{path}/batch=*")
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values])
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -103,42 +129,135 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def earlier(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
-    """What the batches before ``number`` wrote to ``path``."""
-    if not number:
-        return spark.createDataFrame([], f"{schema}, batch long")
-    return spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path).where(F.col("batch") < number)
+#: Batches after which what the batches before wrote is put together.
+COMPACT = 10
 
 
-def admission_stream(requests: DataFrame, state_path: str, stock: DataFrame, buyers: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Admit requests (order_id, sku_id, user_id) batch by batch, within a batch by order_id.
+def earlier(spark: SparkSession, path: str, schema: str, number: int, fold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What the batches before ``number`` wrote to ``<path>/batch=<number>``, by ``fold`` reduced to what later batches need.
 
-    The state is the admitted orders, of which there are never more than the stock; other results lie in
-    other partitions and are not read again.
+    At every ``COMPACT``-th batch the rows before it go, folded, to ``<path>.upto/<number>``: a batch reads the
+    last of these tables and fewer than ``COMPACT`` batches. All of them follow from what was written before, so a replay writes the same.
     """
-    schema = "order_id long, sku_id long, user_id long, result_order_id long, err string, result string"
+    base = number - number % COMPACT
+    parts = [f"{path}/batch={k}" for k in range(base, number)]
+    if base:
+        snapshot = f"{path}.upto/{base}"
+        if base == number:
+            before = [f"{path}/batch={k}" for k in range(base - COMPACT, base)] + ([f"{path}.upto/{base - COMPACT}"] if base > COMPACT else [])
+            fold(spark.read.schema(schema).parquet(*before)).write.mode("overwrite").parquet(snapshot)
+        parts.append(snapshot)
+    return fold(spark.read.schema(schema).parquet(*parts)) if parts else spark.createDataFrame([], schema)
 
-    def step(batch: DataFrame, number: int) -> None:
-        held = earlier(batch.sparkSession, state_path, schema, number).where("result = 'ADMITTED'")
-        used = held.groupBy("sku_id").agg(F.count("*").alias("_used"))
-        left = stock.join(used, "sku_id", "left").select("sku_id", (F.col("stock") - F.coalesce("_used", F.lit(0))).alias("stock"))
-        known = held.select("order_id", "sku_id", "user_id", F.lit("PENDING").alias("state"))
-        out = orders.admit_rows(batch.withColumn("arrival", F.col("order_id")), left, buyers, known)
-        out.write.mode("overwrite").partitionBy("result").parquet(f"{state_path}/batch={number}")
 
-    return requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+ADMITTED = "order_id long, sku_id long, user_id long, result_order_id long, result string, err string"
+
+
+class AdmissionState(StatefulProcessor):
+    """One item: the units left and the orders admitted, never more than its stock."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.left = handle.getValueState("left", "left long")
+        self.admitted = handle.getListState("admitted", "user_id long, order_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat([pdf[["order_id", "user_id", "units", "has_units", "bought"]] for pdf in rows], ignore_index=True).sort_values("order_id", kind="stable", ignore_index=True)
+        known = {int(user): int(order) for user, order in self.admitted.get()} if self.admitted.exists() else {}
+        stock, has = batch["units"].iloc[0], bool(batch["has_units"].iloc[0])
+        bad = has and (pd.isna(stock) or stock < 0)
+        left = int(self.left.get()[0]) if self.left.exists() else int(stock) if has and not bad else 0
+        owner = {order: user for user, order in known.items()}
+        other = batch["order_id"].map(owner)
+        collides = other.notna() & (other != batch["user_id"])
+        open_ = batch[~collides & ~batch["bought"] & ~batch["user_id"].isin(known.keys())]
+        new = open_.drop_duplicates("user_id").head(left)
+        fresh = dict(zip(new["user_id"].tolist(), new["order_id"].tolist(), strict=True))
+        won = batch["user_id"].map(known | fresh).astype("Int64")
+        first = (won == batch["order_id"]).fillna(False) & batch["user_id"].isin(fresh.keys())
+        result = np.select([collides, first, won.notna(), np.full(len(batch), bad) & ~batch["bought"]], ["ERROR", "ADMITTED", "RETRY", "ERROR"], "REJECTED")
+        err = np.select([collides, won.notna(), np.full(len(batch), bad) & ~batch["bought"]], ["COLLISION", "", "BAD_STOCK"], "")
+        if fresh or not self.left.exists():
+            self.left.update((left - len(fresh),))
+        if fresh:
+            self.admitted.appendList([(user, order) for user, order in fresh.items()])
+        yield pd.DataFrame({
+            "order_id": batch["order_id"], "sku_id": key[0], "user_id": batch["user_id"], "result_order_id": won.where(~collides), "result": result, "err": pd.Series(err).replace("", None),
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def admission_stream(requests: DataFrame, stock: DataFrame, buyers: DataFrame) -> DataFrame:
+    """Admit a stream of requests (order_id, sku_id, user_id), within a batch by order_id: the columns of ``ADMITTED``.
+
+    The state is keyed by item: its units left, and its admitted orders by buyer, so that a batch costs what it
+    holds and no more however many came before. ``stock`` (sku_id, stock) and ``buyers`` are those of the start. An
+    order id that an admitted order of the same item has for another buyer is an error. Needs ``STATE_STORE``.
+    """
+    left = stock.select("sku_id", F.col("stock").cast("long").alias("units"), F.lit(True).alias("has_units"))
+    bought = buyers.select("sku_id", "user_id", F.lit(True).alias("bought")).distinct()
+    rows = requests.select("order_id", "sku_id", "user_id").join(left, "sku_id", "left").join(bought, ["sku_id", "user_id"], "left")
+    no = F.lit(False)
+    rows = rows.select("sku_id", "order_id", "user_id", "units", F.coalesce("has_units", no).alias("has_units"), F.coalesce("bought", no).alias("bought"))
+    return rows.groupBy("sku_id").transformWithStateInPandas(statefulProcessor=AdmissionState(), outputStructType=ADMITTED, outputMode="append", timeMode="none")
+
+
+def redeliver(rows: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, number: int, attempts: int) -> None:
+    """Process rows with those that batch ``number - 1`` left to try again; good, retry and dead ones go to folders of ``path``."""
+    spark = rows.sparkSession
+    fresh = rows.withColumn("attempt", F.lit(0))
+    if number:
+        fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{path}/retry/batch={number - 1}"))
+    process(fresh).write.mode("overwrite").parquet(f"{path}/processed/batch={number}")
+    done = spark.read.parquet(f"{path}/processed/batch={number}")
+    for name, part in zip(("good", "retry", "dead"), tables.with_quarantine(done, attempts), strict=True):
+        part.select(*(fresh.columns if name == "retry" else part.columns)).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+
+def redelivery_stream(messages: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, attempts: int = 3) -> StreamingQuery:
+    """Process messages batch by batch; rows that ``process`` gives an ``err`` come again with the next batch, up to ``attempts`` times, then they are dead.
+
+    ``process`` keeps the columns of its rows (those of the messages and attempt) and adds err. ``redeliver_rest`` tries what is left when no more messages come; dead
+    rows are sent again by writing them, with the same ids, to the source.
+    """
+    return messages.writeStream.foreachBatch(lambda batch, number: redeliver(batch, process, path, number, attempts)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
+def redeliver_rest(spark: SparkSession, schema: str, process: Callable[[DataFrame], DataFrame], path: str, last: int, attempts: int = 3) -> None:
+    """Try the rows that batch ``last`` of a stopped ``redelivery_stream`` left, until none is, in folders of their own under ``<path>/rest``."""
+    none, rest = spark.createDataFrame([], schema), f"{path}/rest"
+    left = spark.read.schema(f"{schema}, attempt int").parquet(f"{path}/retry/batch={last}")
+    left.write.mode("overwrite").parquet(f"{rest}/retry/batch=0")
+    for number in range(1, attempts + 1):
+        redeliver(none, process, rest, number, attempts)
 
-def order_stream(messages: DataFrame, state_path: str, sku: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Decide orders batch by batch. Decisions are written before anything follows from them, under the batch's number, so that a replay changes nothing."""
-    schema = "order_id long, sku_id long, user_id long, status string, keep_buyer boolean, err string"
+
+DECISIONS = "order_id long, sku_id long, user_id long, status string, keep_buyer boolean, err string"
+COMPLETED = "order_id long, sku_id long, user_id long, status string, keep_buyer boolean, result string, redis_applied boolean"
+
+
+def order_stream(
+    messages: DataFrame, path: str, sku: DataFrame, reservations: DataFrame, buyers: DataFrame, stock: DataFrame, mapped: DataFrame, checkpoint: str
+) -> StreamingQuery:
+    """Decide orders batch by batch and complete their reservations.
+
+    ``<path>/decisions`` is written first, so that whatever follows can be done again from it; then
+    ``<path>/completed``: each outcome's result, and redis_applied where its reservation is as the outcome says.
+    The tables given are those of the start; ``orders.after_completions`` gives them after what was completed.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        done = earlier(batch.sparkSession, state_path, schema, number).drop("batch").where("err is null")
+        spark = batch.sparkSession
+        done = earlier(spark, f"{path}/decisions", DECISIONS, number, lambda df: df.where("err is null"))
         confirmed = done.where("status = 'CONFIRMED'")
         left = orders.consume_stock(sku, confirmed).withColumnRenamed("sku_id", "id")
         placed = confirmed.select(F.col("order_id").alias("id"), "sku_id", "user_id")
-        orders.decide(batch, placed, done, left).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        orders.decide(batch, placed, done, left).write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
+        fresh = spark.read.schema(DECISIONS).parquet(f"{path}/decisions/batch={number}").where("err is null")
+        held, _, units, open_ = orders.after_completions(reservations, buyers, stock, mapped, earlier(spark, f"{path}/completed", COMPLETED, number, lambda df: df.where("result = 'APPLIED'")))
+        ended = orders.completions(held, units, open_, fresh)
+        ended.withColumn("redis_applied", F.col("result").isin("APPLIED", "UNCHANGED")).write.mode("overwrite").parquet(f"{path}/completed/batch={number}")
 
     return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -162,10 +281,11 @@ def publish_stream(pubs: DataFrame, posts: DataFrame, contents: DataFrame, path:
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = posts_after(posts, earlier(spark, f"{path}/published", PUBLISHED, number))
+        newest = lambda df: df.groupBy("post_id").agg(F.max("version").alias("version"), F.bool_or("first").alias("first"))
+        now = posts_after(posts, earlier(spark, f"{path}/published", PUBLISHED, number, newest))
         hit = batch.select("post_id", "version").distinct().join(now.select("post_id", "version", "status"), ["post_id", "version"])
         accepted = hit.select("post_id", (F.col("version") + 1).cast("int").alias("version"), (F.col("status") == 1).alias("first"))
-        have = earlier(spark, f"{path}/chunks", "post_id long, version int", number)
+        have = earlier(spark, f"{path}/chunks", "post_id long, version int", number, lambda df: df.distinct())
         texts = chunking.new_chunks(articles.content_at(contents, accepted), have)
         chunking.chunk_rows(chunking.assemble_chunks(texts)).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
         accepted.write.mode("overwrite").parquet(f"{path}/published/batch={number}")
@@ -203,13 +323,18 @@ def memory_stream(
         def put(df: DataFrame, name: str) -> None:
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
-        def before(name: str, schema: str) -> DataFrame:
-            return earlier(spark, f"{path}/{name}", schema, number).drop("batch")
+        def before(name: str, schema: str, *last: str) -> DataFrame:
+            """What earlier batches wrote; of each value of ``last[0]`` only the row with the largest ``last[1]``."""
+            def newest(df: DataFrame) -> DataFrame:
+                rest = [c for c in df.columns if c != last[0]]
+                return df.groupBy(last[0]).agg(F.max_by(F.struct(*rest), last[1]).alias("_r")).select(*[last[0] if c == last[0] else F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+            return earlier(spark, f"{path}/{name}", schema, number, newest if last else lambda df: df)
 
         checked = memory.validate_memory_updates(batch)
         put(checked.where("err is not null"), "dead")
         good = checked.where("err is null").drop("err")
-        known = memory.latest_rows(stored, before("memory", CHANGED))
+        known = memory.latest_rows(stored, before("memory", CHANGED, "memory_id", "version"))
         width = good.agg(F.coalesce(F.max(F.size("candidates")), F.lit(1)).alias("_w"))
         owned = memory.chat_owner(good.select("conversation_id", "seq", "candidates"), chat).crossJoin(F.broadcast(width))  # width is one row
         each = owned.select("user_id", "seq", "_w", F.posexplode("candidates").alias("_pos", "c"))
@@ -221,8 +346,8 @@ def memory_stream(
         turn = F.explode(F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(0).alias("at")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.lit(1).alias("at"))))
         said = good.select("conversation_id", "seq", "version", turn.alias("t")).select("conversation_id", (F.col("seq") * 2 + F.col("t.at")).alias("seq"), "version", "t.role", "t.content")
         put(memory.numbered_messages(own, said, chat, posts), "messages")
-        everything = own.unionByName(earlier(spark, f"{path}/messages", MESSAGES, number + 1).where(F.col("batch") == number).drop("batch"))
-        gone = memory.evicted(everything, chat_after(chat, before("summaries", SUMMARIES)), window)
+        everything = own.unionByName(spark.read.schema(MESSAGES).parquet(f"{path}/messages/batch={number}"))
+        gone = memory.evicted(everything, chat_after(chat, before("summaries", SUMMARIES, "conversation_id", "last_message_id")), window)
         texts = gone.select("conversation_id", "last_message_id", F.explode("evicted").alias("id")).join(everything.select("id", "conversation_id", "role", "content"), ["conversation_id", "id"])
         put(summarise(texts), "summaries")
 
