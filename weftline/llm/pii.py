@@ -24,7 +24,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|password|passwd)\b[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9+/_-]{16,512})")
+# The whole key, of any length: parts joined by dots or equals signs too, and padding; possessive, so linear.
+_SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|password|passwd)\b[ \t]{0,4}[=:][ \t]{0,4}[\"']?((?=[A-Za-z0-9+/_.=-]{16})[A-Za-z0-9+/_-]++(?:[.=]++[A-Za-z0-9+/_-]++)*+=*+)")
 #: Words near a span that raise its score, by kind.
 CONTEXT = {
     "email": ("mail", "contact", "write"),
@@ -69,7 +70,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def _ips(text: str) -> Iterator[tuple[int, int]]:
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        bare = (p.lstrip("0") for p in m.group().split("."))
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in bare):
             yield m.span()
 
 
@@ -104,7 +106,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     if "+" in text:
         found += [("phone", *s) for s in _phones(text)]
     found += [("iban", *s) for s in _ibans(text)]
-    found += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
+    found += [("secret", *m.span(1)) for m in _SECRET.finditer(text) if m.end(1) - m.start(1) >= 16]
     scored = []
     for kind, start, end in found:
         near = text[max(0, start - WINDOW) : start].lower() + " " + text[end : end + WINDOW].lower()
@@ -137,7 +139,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The columns of the query from ``detect``'s spans."""
+    """The columns of the query from ``detect``'s spans; ``scores`` are those of the spans, in their order."""
 
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -149,7 +151,8 @@ def digest(found: DataFrame) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
-        "doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+        "doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 
