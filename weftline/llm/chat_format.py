@@ -32,7 +32,7 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     """One row per conversation: ``conv_id, formatted, segments``.
 
     ``rows`` has conv_id, turn, role, text; other columns are ignored. ``segments`` is an array of
-    (text, loss) whose texts make up ``formatted``; loss marks the texts of ``loss_role``.
+    (text, loss) whose texts make up ``formatted``; loss marks the texts of ``loss_role``, one segment each.
     A null role or text counts as empty; rows of one turn number are ordered by role, then text, and
     repeated rows all stay; rows without conv_id form one conversation with a null id; a null turn
     comes first. An empty table gives an empty result.
@@ -57,23 +57,23 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
             "starts",
             lambda s, k: F.struct(
                 F.get(F.col("turns"), s)["role"].alias("role"),
-                F.array_join(
-                    F.transform(
-                        F.slice(F.col("turns"), s + 1, F.coalesce(F.get(F.col("starts"), k + 1), F.size("turns")) - s),
-                        lambda t: t["text"],
-                    ),
-                    PART,
-                ).alias("body"),
+                F.transform(
+                    F.slice(F.col("turns"), s + 1, F.coalesce(F.get(F.col("starts"), k + 1), F.size("turns")) - s),
+                    lambda t: t["text"],
+                ).alias("texts"),
             ),
         ),
     )
 
+    def part(text: Column, loss: Column) -> Column:
+        return F.struct(text.alias("text"), loss.alias("loss"))
+
     def segments(block: Column) -> Column:
-        return F.array(
-            F.struct(F.concat(F.lit(TURN), block["role"], F.lit(BODY)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(block["body"].alias("text"), (block["role"] == loss_role).alias("loss")),
-            F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
-        )
+        no, own = F.lit(False), block["role"] == loss_role
+        # Each text is a segment of its own; the marks between texts of one block are not under the mask.
+        texts = F.transform(block["texts"], lambda t, i: F.when(i == 0, F.array(part(t, own))).otherwise(F.array(part(F.lit(PART), no), part(t, own))))
+        head, tail = part(F.concat(F.lit(TURN), block["role"], F.lit(BODY)), no), part(F.lit(END), no)
+        return F.concat(F.array(head), F.flatten(texts), F.array(tail))
 
     with_segments = blocks.select("conv_id", F.flatten(F.transform("blocks", segments)).alias("segments"))
     return with_segments.select(
@@ -98,13 +98,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def digest(turns: DataFrame) -> DataFrame:
     """The columns of the query: counts and digests of what ``read_back`` found."""
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = F.array_join(
-        F.transform(
-            F.filter("segments", lambda s: s["loss"]),
-            lambda s: F.array_join(F.transform(F.split(s["text"], r"<\|part\|>", -1), unescape), ""),
-        ),
-        "",
-    )
+    masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return (
         turns.withColumn("loss_text", masked)
         .select(
