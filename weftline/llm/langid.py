@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import map_arrow, materialize, texts
 
 #: First and last code point of the scripts told apart. Fixed values of the Unicode standard, main blocks only.
 SCRIPTS = (
@@ -28,8 +28,12 @@ SCRIPTS = (
 NAMES = ("other", *dict.fromkeys(s[0] for s in SCRIPTS))
 #: Letters with a class of their own; others share one per script.
 CLASSES, SCALE, CLIP, SWITCH, RUN = 64, 256, 12.0, 10.0, 128
-#: Labelled documents that the model learns from, at most about so many per language, and languages at most.
-TRAIN_DOCS, MAX_LANGS = 2000, 64
+#: Labelled documents that the model learns from, at most about so many per language.
+TRAIN_DOCS = 2000
+#: The tables of a model take 0.5 MB for each label: more labels than this are an error, not a smaller model.
+MAX_LABELS = 512
+#: Rows of a batch times the square of the labels, at most about so many (memory of the best paths).
+BATCH = 1 << 18
 UND = "und"
 
 
@@ -99,11 +103,14 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Learn from text and lang of about ``train_docs`` documents per language, drawn by a hash of their id.
 
-    Counting runs in Spark; the driver gets letter and trigram counts, whose number is bounded by the
-    classes and languages. Languages beyond the ``MAX_LANGS`` most frequent are not learned.
+    Counting runs in Spark. The driver gets the documents of each label, the letters of each label and script,
+    the most frequent letters (as many as have classes of their own) and trigram counts: all bounded by
+    the labels, scripts and classes. Every label is learned; more than ``MAX_LABELS`` raise a ValueError.
     """
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LABELS + 1).collect()}
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels in lang")
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros(0x20000, np.uint8), np.zeros((CLASSES**3, 0), np.int16), np.zeros((len(NAMES), 0), bool))
@@ -113,15 +120,17 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     def letters(batch: pa.RecordBatch) -> pa.RecordBatch:
         return _counted(batch, langs, lambda code, letter: code[letter].astype(np.int64))
 
-    top = map_arrow(drawn.select("lang", "text"), letters, "lang int, item long, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    found = top.orderBy(F.desc("n"), "item", "lang").limit(4096).collect()  # a bound on what the driver holds
-    n_letters: dict[int, int] = {}
+    # One row per letter and label, counted once: both sums below are over it.
+    top = materialize(map_arrow(drawn.select("lang", "text"), letters, "lang int, item long, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    script = F.lit(0)
+    for name, first, last in reversed(SCRIPTS):
+        script = F.when(F.col("item").between(first, last), NAMES.index(name)).otherwise(script)
     use = np.zeros((len(NAMES), len(langs)))
-    for r in found:
-        n_letters[r["item"]] = n_letters.get(r["item"], 0) + r["n"]
-        use[_tables()[2][r["item"]], r["lang"]] += r["n"]
+    for r in top.groupBy("lang", script.alias("script")).agg(F.sum("n").alias("n")).collect():
+        use[r["script"], r["lang"]] = r["n"]
+    own_class = top.groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(CLASSES).collect()
     scripts = use > 0.001 * np.maximum(1, use.sum(0))
-    classes = _class_of(sorted(n_letters, key=lambda c: (-n_letters[c], c)))
+    classes = _class_of([r["item"] for r in own_class])
 
     def trigrams(batch: pa.RecordBatch) -> pa.RecordBatch:
         def items(code: np.ndarray, letter: np.ndarray) -> np.ndarray:
@@ -221,7 +230,7 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, penalty: int, run: int = RUN)
     # Within each run, from its known first state to its known last.
     value = np.full((c, langs), low, np.int32)
     value[np.arange(c), first] = 0
-    back = np.zeros((run, c, langs), np.int8)
+    back = np.zeros((run, c, langs), np.int16)
     own = np.arange(langs)
     for t in range(run):
         top = value.argmax(1)
@@ -237,6 +246,10 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, penalty: int, run: int = RUN)
     return path[col, row]
 
 
+def _rows(model: LanguageModel) -> int:
+    return max(8, min(256, BATCH // max(1, len(model.langs)) ** 2))
+
+
 def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> DataFrame:
     """``doc_id, lang_pred, score, spans``: spans is an array of (start, end, lang) in code points.
 
@@ -273,11 +286,15 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> D
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(share), pa.ListArray.from_arrays(offsets, spans)], names=["doc_id", "lang_pred", "score", "spans"])
 
     schema = "doc_id long, lang_pred string, score double, spans array<struct<start long, end long, lang string>>"
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), partial(run, model=model), schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), partial(run, model=model), schema, _rows(model))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_share: float, switch: float = SWITCH) -> DataFrame:
-    """The rows of ``docs`` whose main language has at least ``min_share`` of the letters; all columns stay as they are."""
+    """The rows of ``docs`` whose main language has at least ``min_share`` of the letters; all columns stay as they are.
+
+    A null or empty text, or one without letters, goes, and so do all rows where the model knows no language. Each row is
+    judged by its text alone, repeated ones and those without id too; an empty table gives an empty one.
+    """
     at, penalty = docs.columns.index("text"), round(switch * SCALE)
 
     def run(batch: pa.RecordBatch, model: LanguageModel) -> pa.RecordBatch:
@@ -291,4 +308,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_share: float, swi
         ok = (weight.max(1) >= min_share * weight.sum(1)) & (weight.sum(1) > 0) & (len(model.langs) > 0)
         return batch.filter(pa.array(ok))
 
-    return map_arrow(docs, partial(run, model=model), docs.schema)
+    return map_arrow(docs, partial(run, model=model), docs.schema, _rows(model))
