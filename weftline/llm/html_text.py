@@ -2,7 +2,8 @@
 
 Pages are sorted by host and URL path; each is compared with the nearest pages of its host that have
 other lines. Lines are aligned by longest common subsequence, and aligned lines are deleted as
-template text, except where both stand in an article: what two articles share is their own text.
+template text, except where both stand in an article: what two articles share is their own text. What
+stays is the main text, in an article element or not; only a page without such a neighbour relies on that element.
 Parts that HTML itself marks as not the main text (menus, footers, forms, scripts and so on) go first.
 """
 
@@ -16,6 +17,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,10 +37,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MAIN = frozenset(("article", "main"))
 #: Elements that hold the whole page or the article: a mark says how they look, not that they are furniture.
 WHOLE = MAIN | {"html", "body"}
-#: Words of class, id or role that mark an element as not the main text.
+#: A whole word of class, id or role that marks a container as not the main text; longer words about these things, such as no-sidebar or social-history, don't.
 _MARK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|newsletter|subscribe|popup|modal|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"header|footer|masthead|comments?|comment-list|respond|replies|disqus|share|sharing|social|related|recommended|widget|toolbar|search|login|signup|complementary|contentinfo|commentlist|adsbygoogle|adsense|gdpr|skip-link|pagination|pager)(?=$|[\s_-])",
+    r"(?:(?:bottom|cookie|left|main|page|post|right|site|top)[-_])?"
+    r"(?:ads?|advert\w*|adsbygoogle|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|"
+    r"footer|masthead|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|widget|toolbar|search|login|signup|complementary|contentinfo|skip-link|pagination|pager)"
+    r"(?:[-_](?:area|bar|banner|block|box|buttons?|container|form|links?|list|notice|section|slot|unit|wrap|wrapper))?|(?:page|site|top)[-_]header",
     re.I,
 )
 #: One attribute after another: names start after white space, a slash or a value; values are read whole.
@@ -58,16 +62,19 @@ IMPLIED = {
     "tr": (frozenset(("tr",)), _ROWS),
 }
 ARTICLE, BODY = 1, 0
+#: Pairs of lines up to which an alignment keeps all its matching points.
+CELLS = 1 << 16
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, inline: bool = False) -> bool:
+    """Whether an element is hidden or, if it is no inline one, a container of something else than the main text."""
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if value[:1] in ("'", '"'):
             value = value[1:-1]
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             return True
-        if name in ("class", "id", "role") and _MARK.search(value):
+        if not inline and name in ("class", "id", "role") and any(map(_MARK.fullmatch, value.split())):
             return True
     return False
 
@@ -111,7 +118,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if name is None:
             continue
         name = name.lower()
-        if name in INLINE and not (attributes and _marked(attributes)):
+        if name in INLINE and not (attributes and _marked(attributes, inline=True)):
             if name == "br":
                 text.append(" ")
             if not closing or not any(t[0] == name for t in open_tags):
@@ -133,7 +140,8 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         if name in VOID:
             continue
-        furniture = name in FURNITURE or bool(attributes) and name not in WHOLE and _marked(attributes)
+        # The header of an article holds its headline.
+        furniture = name in FURNITURE and not (name == "header" and article) or bool(attributes) and name not in WHOLE and _marked(attributes, name in INLINE)
         open_tags.append((name, furniture, name in MAIN))
         hidden += furniture
         article += name in MAIN
@@ -141,8 +149,41 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     return lines
 
 
-def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Pairs of positions of a longest common subsequence, by its matching points."""
+def aligned(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of positions of a longest common subsequence, in memory linear in the lines.
+
+    Common ends are taken off; what is long is halved where the best scores of both halves meet.
+    """
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    number: dict = {}
+    left, right = (np.array([number.setdefault(x, len(number)) for x in y[first : len(y) - last]], np.int64) for y in (a, b))
+    inner = [(first + i, first + j) for i, j in _common(left, right)]
+    ends = [(len(a) - k, len(b) - k) for k in range(last, 0, -1)]
+    return [*((i, i) for i in range(first)), *inner, *ends]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    if len(a) * len(b) <= CELLS or len(a) < 2:
+        return _matching_points(a.tolist(), b.tolist())
+    half = len(a) // 2
+    cut = int((_scores(a[:half], b) + _scores(a[half:][::-1], b[::-1])[::-1]).argmax())
+    return [*_common(a[:half], b[:cut]), *((half + i, cut + j) for i, j in _common(a[half:], b[cut:]))]
+
+
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of ``a`` with each beginning of ``b``."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def _matching_points(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
@@ -167,16 +208,15 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def main_text(lines: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> str:
-    """The lines of a page that stay after differencing with ``others``, joined."""
+    """The lines of a page that stay after differencing with ``others``, joined; without others, those of its article, if it has one."""
     keep = [True] * len(lines)
     for other in others:
-        for i, j in aligned([hash(t) for t, _ in lines], [hash(t) for t, _ in other]):
+        for i, j in aligned([t for t, _ in lines], [t for t, _ in other]):
             if lines[i][1] != ARTICLE or other[j][1] != ARTICLE:
                 keep[i] = False
-    own = [(t, z) for (t, z), k in zip(lines, keep, strict=True) if k]
-    if any(z == ARTICLE for _, z in lines):
-        own = [x for x in own if x[1] == ARTICLE]
-    return "\n".join(t for t, _ in own)
+    if not others and any(z == ARTICLE for _, z in lines):
+        keep = [z == ARTICLE for _, z in lines]
+    return "\n".join(t for (t, _), k in zip(lines, keep, strict=True) if k)
 
 
 _KEY = ("host", "path", "url", "page_id")
