@@ -4,12 +4,14 @@ All distinct segments of a batch lie in one flat numpy array of symbols. In each
 finds its pair of least rank, all of that pair's occurrences merge from the left, and the array is
 compacted, until no segment has a pair left. Merges never cross from another character to a space
 mark, nor a character that no longer piece holds, so texts are cut there and each segment is encoded once.
+In long segments the places of each rank are queued, so that a round touches only what it merges.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import cache, partial
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from .common import map_arrow, texts
 from .tokens import SegmentIds
 
 MARK = "▁"
+#: Symbols from which on a segment's places are queued by rank.
+LONG = 256
 _NONE = np.int32(1 << 30)
 
 
@@ -118,6 +122,11 @@ class PieceModel:
         symbol = self.char[np.minimum(code, len(self.char) - 1)]
         done_symbol, done_word, done_at = [], [], []
         at = np.arange(len(symbol))
+        long = np.repeat(lengths > LONG, lengths)
+        if long.any():
+            kept, merged = self._by_rank(symbol[long], word[long])
+            done_symbol.append(merged), done_word.append(word[long][kept]), done_at.append(at[long][kept])
+            symbol, word, at = symbol[~long], word[~long], at[~long]
         pair = self._pairs(symbol, word)
         while len(symbol):
             rank = np.where(pair >= 0, self.rank[pair], _NONE)
@@ -153,6 +162,70 @@ class PieceModel:
         symbol, word, at = symbol[order], word[order], at[order]
         return self._with_bytes(symbol, word, code[at], len(segments))
 
+    def _by_rank(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge long words: the places that stay, and their symbols.
+
+        Rounds go by rank over all words, which are independent. Places lie in a linked list whose last one
+        stands for the end; a rank's queue may hold places that have changed since.
+        """
+        n = len(symbol)
+        sym, word = np.append(symbol, -1), np.append(word, -1)
+        after, before, alive = np.append(np.arange(1, n + 1), n), np.arange(-1, n), np.ones(n + 1, bool)
+        before[0] = n
+        pair = np.append(self._pairs(symbol, word[:-1]), -1)
+        ranks: list[int] = []
+        queues: dict[int, list[np.ndarray]] = {}
+        single: dict[int, list[int]] = {}  # of ranks that go one at a time: places as a heap
+
+        def push(places: np.ndarray) -> None:
+            places = places[pair[places] >= 0]
+            rank = self.rank[pair[places]]
+            order = np.argsort(rank, kind="stable")
+            cuts = np.flatnonzero(np.diff(rank[order])) + 1
+            for own in np.split(places[order], cuts) if len(places) else ():
+                r = int(self.rank[pair[own[0]]])
+                if r not in queues and r not in single:
+                    heappush(ranks, r)
+                if self.single[pair[own]].any() or r in single:
+                    heap = single.setdefault(r, [])
+                    for x in (*own.tolist(), *(y for q in queues.pop(r, ()) for y in q.tolist())):
+                        heappush(heap, x)
+                else:
+                    queues.setdefault(r, []).append(own)
+
+        push(np.arange(n))
+        while ranks:
+            r = heappop(ranks)
+            if r in single:
+                heap = single[r]
+                x = heappop(heap)
+                if heap:
+                    heappush(ranks, r)
+                else:
+                    del single[r]
+                hit = np.array([x])
+            else:
+                hit = np.unique(np.concatenate(queues.pop(r)))
+            hit = hit[alive[hit] & (pair[hit] >= 0)]
+            hit = hit[self.rank[pair[hit]] == r]
+            if not len(hit):
+                continue
+            run = np.r_[True, after[hit[:-1]] != hit[1:]]
+            hit = hit[(np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))) % 2 == 0]
+            gone = after[hit]
+            sym[hit], alive[gone] = pair[hit], False
+            after[hit] = after[gone]
+            before[after[hit]] = hit
+            changed = np.unique(np.concatenate([hit, before[hit]]))
+            changed = changed[changed < n]
+            follower = after[changed]
+            fresh = self._merged(sym[changed], sym[follower])
+            fresh[word[changed] != word[follower]] = -1
+            pair[changed] = fresh
+            push(changed)
+        kept = np.flatnonzero(alive[:n])
+        return kept, sym[kept]
+
     def _pairs(self, symbol: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.full(len(symbol), -1, np.int32)
         if len(symbol) > 1:
