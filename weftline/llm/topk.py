@@ -2,7 +2,8 @@
 
 Vectors are stored as blocks of neighbouring ids: a block has a forward index (its integer rows) and the
 largest and smallest component of each dimension. A query bounds a block by the sum of its best terms,
-visits blocks by falling bound, and stops when the next bound falls below its k-th score.
+visits blocks by falling bound, and stops when the next bound falls below its k-th score. A bounded sample of
+the vectors gives each query a score that its k-th can't fall below before any block is read.
 """
 
 from __future__ import annotations
@@ -16,9 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 
-BLOCK, SHARD, GROUP = 128, 4096, 1024
+#: Vectors of a block, and of a shard and queries of a group at most: a task holds one of each.
+BLOCK, SHARD, GROUP = 128, 32768, 4096
+#: Vectors of a shard at least, where there are fewer than tasks could take.
+SMALL = 4096
+#: Vectors that every query is scored against first, about so many.
+SAMPLE = 2048
 SCALE = 1024
 
 
@@ -37,9 +43,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int, shards: int) -> Itera
 
     def out(ids: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
         dims = max(map(len, rows))
-        flat = np.zeros((len(rows), dims))
-        for i, r in enumerate(rows):
-            flat[i, : len(r)] = r  # a missing component is 0
+        flat = _matrix(rows, dims)
         shard = (ids[0] * 2654435761 >> 8) % shards
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([dims], pa.int64())], names=names)
 
@@ -67,8 +71,9 @@ def _merge(best: np.ndarray, best_ids: np.ndarray, score: np.ndarray, ids: np.nd
     return np.take_along_axis(all_score, order, 1), np.take_along_axis(all_ids, order, 1)
 
 
-def search_tile(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of each query's k best in some blocks (ids, rows); places without a candidate score -inf."""
+def search_tile(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each query's k best in some blocks (ids, rows), of those that score ``least`` or more; places without a candidate score -inf."""
+    least = np.full(len(queries), -np.inf) if least is None else least
     high, low = np.array([b[1].max(0) for b in blocks]), np.array([b[1].min(0) for b in blocks])
     bound = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
     order = np.argsort(-bound, axis=1, kind="stable")
@@ -76,7 +81,7 @@ def search_tile(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[n
     going = np.arange(len(queries))
     for r in range(len(blocks)):
         at = order[going, r]
-        going = going[bound[going, at] >= best[going, k - 1]]  # a tie may still win by its id
+        going = going[bound[going, at] >= np.maximum(best[going, k - 1], least[going])]  # a tie may still win by its id
         if not len(going):
             break
         at = order[going, r]
@@ -84,7 +89,7 @@ def search_tile(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[n
             own = going[at == b]
             ids, rows = blocks[b]
             score = queries[own] @ rows.T
-            score[query_ids[own][:, None] == ids[None, :]] = -np.inf
+            score[(query_ids[own][:, None] == ids[None, :]) | (score < least[own, None])] = -np.inf
             beats = (score >= best[own, k - 1 : k]).any(1)
             if beats.any():
                 best[own[beats]], best_ids[own[beats]] = _merge(best[own[beats]], best_ids[own[beats]], score[beats], ids, k)
@@ -97,9 +102,7 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     if left.empty or right.empty:
         return empty
     dims = max(int(right["dims"].max()), max(map(len, left["v"])))
-    queries = np.zeros((len(left), dims))
-    for i, v in enumerate(left["v"]):
-        queries[i, : len(v)] = v
+    queries = _matrix(list(left["v"]), dims)
     blocks = []
     for ids, rows, own in zip(right["ids"], right["rows"], right["dims"], strict=True):
         ids = np.frombuffer(ids, np.int64)
@@ -107,28 +110,53 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
         flat[:, :own] = np.frombuffer(rows).reshape(len(ids), own)
         blocks.append((ids, flat))
     query_ids = left["vec_id"].to_numpy(np.int64)
-    best, best_ids = search_tile(query_ids, queries, blocks, k)
+    best, best_ids = search_tile(query_ids, queries, blocks, k, left["least"].to_numpy(float))
     found = np.isfinite(best)
     return pd.DataFrame({"query_id": np.repeat(query_ids, found.sum(1)), "vec_id": best_ids[found], "score": best[found].astype(np.int64)})
 
 
+def _matrix(rows: list, dims: int) -> np.ndarray:
+    """Vectors as rows; a missing component is 0."""
+    out = np.zeros((len(rows), dims))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def _least(batch: pa.RecordBatch, ids: np.ndarray, sample: np.ndarray, k: int) -> pa.RecordBatch:
+    """Queries with their k-th best score among the sample's vectors of other ids; their own k-th best can't be lower."""
+    rows = batch.column(1).to_pylist()
+    least = np.full(len(rows), -np.inf)
+    if rows and len(ids) > k:
+        dims = max(sample.shape[1], *map(len, rows))
+        score = _matrix(rows, dims) @ np.pad(sample, ((0, 0), (0, dims - sample.shape[1]))).T
+        score[np.array(batch.column(0).to_pylist())[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(score, -k, axis=1)[:, -k]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], names=["vec_id", "v", "least"])
+
+
 def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest inner products over all candidates with another id.
 
     Both have vec_id and v (``usable``). Ties go to the smaller id; fewer candidates give fewer rows;
-    repeated query rows count once, repeated candidate rows each; vectors of fewer dimensions are
-    filled with 0; scores are exact below 2 to the 53. Queries in groups meet candidates in shards, so
-    that a task holds ``GROUP`` queries and about ``SHARD`` vectors whatever the tables' size.
+    repeated query rows count once, repeated candidate rows each; query rows of one id with different vectors
+    share one ranking of all their scores; vectors of fewer dimensions are filled with 0; scores are exact below 2 to the 53. Queries in groups meet candidates in shards, so
+    that a task holds ``GROUP`` queries and about ``SHARD`` vectors whatever the tables' size; a query goes to
+    every shard and a vector to every group. The driver holds about ``SAMPLE`` vectors.
     """
-    candidates, queries = materialize(candidates), queries.dropDuplicates(["vec_id", "v"])
+    candidates, queries = materialize(candidates), materialize(queries.dropDuplicates(["vec_id", "v"]))
     n, n_queries = candidates.count(), queries.count()
-    shards, groups = max(1, -(-n // SHARD)), max(1, -(-n_queries // GROUP))
+    shards, groups = max(-(-n // SHARD), min(-(-n // SMALL), candidates.sparkSession.sparkContext.defaultParallelism), 1), max(1, -(-n_queries // GROUP))
+    drawn = candidates.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).collect()
+    sample = _matrix([r["v"] for r in drawn], max([len(r["v"]) for r in drawn], default=0))
+    first = partial(_least, ids=np.array([r["vec_id"] for r in drawn], np.int64), sample=sample, k=k)
     blocks = (
         candidates.repartitionByRange(shards, "vec_id").sortWithinPartitions("vec_id")
         .mapInArrow(partial(_blocks, block=BLOCK, shards=shards), "shard long, ids binary, rows binary, dims long")
         .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     )
-    asked = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn(
+    asked = map_arrow(queries.select("vec_id", "v"), first, "vec_id long, v array<double>, least double", 1024)
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     )
     found = (
