@@ -14,6 +14,7 @@ def odd_docs(spark):
         (None, None, None), (6, "same text here, as said.", "en"), (7, "same text here, as said.", "en"), (6, "same text here, as said.", "en"),
         (8, "x" * 200_000, None), (9, "1" * 100_000, None), (10, "🙂 ſtrange İ \x00   text  with   spaces \n\n and ▁ marks ", "fr"),
         (11, "</s><|turn|>", None), (12, "你好 世界", "zh"), (13, "12345 67890", None), (14, "@" * 5000 + "a@b.c", None), (15, "é" * 3000 + " +1 (212) 555-0123", None),
+        (16, "0" * 4500 + ".1.1.1", None), (17, "ends <|endoftext|> here<|endoftext|>", None),
     ]
     return spark.createDataFrame([(i, t, lang, "src", None if t is None else len(t), "k", "s", "r") for i, t, lang in rows], SCHEMA)
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import langid, neardup, packing, queries, shards, topk
+from weftline.llm import langid, neardup, packing, quality, queries, shards, topk
 from weftline.llm.common import table
 from weftline.llm.tokens import BYTE_PATTERN, ByteTokens
 
@@ -58,6 +58,63 @@ def test_language_spans_and_odd_rows(spark, sf, odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.identify(odd_docs, nothing).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    """A language with few documents among one with thousands of letters, and far more than 64 labels."""
+    han = "".join(chr(0x4E00 + k) for k in range(5000))
+    rows = [(i, "zh", han[k : k + 500]) for i, k in enumerate(range(0, 5000, 500))] + [(100 + i, "el", "αλφα βητα γαμμα δελτα") for i in range(3)]
+    rows += [(200 + 3 * k + j, f"x{k:02}", " ".join(chr(97 + k % 26) * (2 + k // 26) + chr(97 + (k * 7 + j) % 26) for j in range(12))) for k in range(75) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 77
+    greek = spark.createDataFrame([(1, "βητα δελτα"), (2, han[7:40])], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.identify(greek, model).orderBy("doc_id").collect()] == ["el", "zh"]
+    with pytest.raises(ValueError, match="labels"):
+        langid.fit(spark.range(600).selectExpr("id as doc_id", "cast(id as string) as lang", "'abc' as text"))
+
+
+def plain_language(text, model, penalty):
+    """One text by one best path over its words, score by score."""
+    lower, letter, script = langid._tables()
+    words, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and letter[ord(text[end])]:
+            end += 1
+        if end > at:
+            words.append((at, end))
+        at = max(end, at + 1)
+    paths = []
+    for a, b in words:
+        cls = [0, 0, *(int(model.classes[lower[ord(c)]]) for c in text[a:b]), 0]
+        score = [sum(int(model.scores[(cls[i - 2] * 64 + cls[i - 1]) * 64 + cls[i], k]) for i in range(2, len(cls))) for k in range(len(model.langs))]
+        usable = model.scripts[script[lower[ord(text[a])]]]
+        top = max((s for s, u in zip(score, usable, strict=True) if u), default=0)
+        own = [max(s - top, -int(langid.CLIP * langid.SCALE)) if u else -int(langid.CLIP * langid.SCALE) for s, u in zip(score, usable, strict=True)] if any(usable) else [0] * len(score)
+        best = max((p[0] for p in paths), default=0)
+        lead = next((p for p in paths if p[0] == best), None)
+        paths = [((paths[k] if paths and paths[k][0] >= best - penalty else (best - penalty, lead[1]) if lead else (0, [])), k) for k in range(len(score))]
+        paths = [(p[0] + own[k], [*p[1], k]) for p, k in paths]
+    total = sum(b - a for a, b in words)
+    value = max((p[0] for p in paths), default=0)
+    return value, total
+
+
+def test_best_paths_of_texts_equal_plain_ones(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = langid.fit(langid.training_rows(docs))
+    penalty = round(langid.SWITCH * langid.SCALE)
+    for r in docs.where("length(text) between 20 and 1500 and doc_id % 40 = 0").collect():
+        code, letter, starts = langid._codes([r["text"]])
+        first, end, score = langid.word_scores(code, letter, model)
+        label = langid.viterbi(score, np.searchsorted(first, starts), penalty)
+        value = int(score[np.arange(len(label)), label].sum()) - penalty * int((label[1:] != label[:-1]).sum())
+        want, total = plain_language(r["text"], model, penalty)
+        assert (value, int((end - first).sum())) == (want, total)
+        got = langid.identify(docs.where(F.col("doc_id") == r["doc_id"]), model).first()
+        weight = np.bincount(label, weights=end - first, minlength=len(model.langs))
+        assert got["lang_pred"] == model.langs[int(weight.argmax())] and abs(got["score"] - weight.max() / total) < 1e-12
+
+
 # ---- search
 
 
@@ -84,6 +141,23 @@ def test_topk_equals_brute_force(spark):
     assert topk.exact_topk(vectors.limit(0), vectors.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("sample", [4, 200])
+def test_topk_with_a_sampled_bound_and_many_tiles(spark, monkeypatch, sample):
+    """Small shards and groups; one id with very many rows, and a query id with two vectors."""
+    for name, size in (("SHARD", 64), ("SMALL", 64), ("GROUP", 3), ("BLOCK", 8), ("SAMPLE", sample)):
+        monkeypatch.setattr(topk, name, size)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-9, 9, 5).astype(float).tolist()) for i in range(600)] + [(700, [1.0, 2.0, 3.0, 4.0, 5.0])] * 300 + [(100, [2.0, -1.0, 0.0, 4.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = sorted(tuple(r) for r in topk.exact_topk(df, df.where("vec_id % 100 = 0"), 10).collect())
+    want = []
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        asked = {tuple(v) for i, v in rows if i == q}
+        scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for v in asked for i, w in rows if i != q)
+        want += [(q, r + 1, i, int(-s)) for r, (s, i) in enumerate(scores[:10])]
+    assert got == sorted(want)
+
+
 def test_topk_prunes_blocks():
     rows = [(np.arange(b * 8, b * 8 + 8), np.full((8, 2), float(b))) for b in range(10)]
     best, ids = topk.search_tile(np.array([-1]), np.array([[1.0, 1.0]]), rows, 3)
@@ -110,6 +184,33 @@ def test_shards_are_even_and_whole(spark, hot):
     assert not len(spread) or spread.max() <= 3
 
 
+def test_shards_cut_equal_rows_anywhere(spark):
+    """Rows that are equal in every column, and copies without ids, fill all shards evenly."""
+    rnd = random.Random(8)
+    rows = [(77, "one row, many times " * 6)] * 4000 + [(None, "no id " * 20)] * 1000 + [(i, "".join(rnd.choice("abc ") for _ in range(rnd.randrange(5, 200)))) for i in range(1000)]
+    got = shards.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and len(sums) == 8 and sums.max() <= 1.05 * sums.mean() and sums.min() >= 0.95 * sums.mean()
+    assert all(sorted(x["slot"]) == list(range(len(x))) for _, x in got.groupby("shard"))
+
+
+def test_shards_balance_few_large_texts(spark, sf):
+    got = queries.op5_shards(spark, sf).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 40 and sums.max() <= 1.06 * sums.mean() and sums.min() >= 0.94 * sums.mean()
+    copies = got.groupby("text_crc32").agg(n=("shard", "size"), shards=("shard", "nunique"))
+    assert (copies[copies["n"] > 1]["shards"] == 1).mean() > 0.9
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [(1, "a", "x"), (1, "a", "x"), (None, "b", "y"), (2, None, None), (None, None, None)]
+    path = f"file://{tmp_path}/shards"
+    shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string, slot string"), path, 3)
+    back = spark.read.parquet(path)
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter(r[:2] for r in rows)
+    assert all(sorted(x["slot"]) == list(range(len(x))) for _, x in back.toPandas().groupby("shard"))
+
+
 def test_shards_odd_rows(odd_docs, no_docs):
     got = shards.assign_shards(odd_docs, 4).toPandas()
     assert len(got) == odd_docs.count() and got[got["doc_id"] == 1]["size"].tolist() == [16]
@@ -317,7 +418,24 @@ def test_pipeline_stages(spark, sf, odd_docs):
         if name == "pii":
             assert len(rows) == before.count() and not any(re.search(r"[a-z0-9]@mail\d", r["text"]) for r in rows)
     assert docs.count() > 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, odd_docs):
     odd = odd_docs.select(*corpus_pipeline.COLUMNS)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, sf).count() >= 0
-        assert stage(spark, odd.limit(0), sf).count() == 0
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+    # Each row is judged by its text alone.
+    judged = {r["doc_id"]: r["kept"] for r in quality.assess(odd).where("doc_id is not null").collect()}
+    kept = stages["quality"](spark, odd, sf).collect()
+    assert {r["doc_id"] for r in kept} == {i for i, k in judged.items() if k} and len(kept) == len({r["doc_id"] for r in kept})
+    known = stages["language"](spark, odd, sf).collect()
+    assert not {1, 2, 3, 9, 13} & {r["doc_id"] for r in known} and sum(r["doc_id"] == 6 for r in known) == 2
+    assert stages["language"](spark, odd.withColumn("lang", F.lit(None).cast("string")), sf).count() == 0
+    copies = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (None, ""), (4, "x")]
+    df = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in copies], odd.schema)
+    assert Counter((r["doc_id"], r["text"]) for r in stages["near_duplicates"](spark, df, sf).collect()) == Counter([(1, "a b c d e f g"), (3, None), (None, ""), (4, "x")])
+    clean = stages["pii"](spark, odd, sf).collect()
+    assert len(clean) == odd.count() and sum(r["text"] is None for r in clean) == odd.where("text is null").count() and not any("a@b.c" in (r["text"] or "") for r in clean)
+    packed = stages["packing"](spark, odd, sf)
+    assert packed.where("piece = 0").count() == odd.count()

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -37,7 +38,7 @@ def test_chat_merges_and_masks(spark):
     row = chat_format.format_conversations(df).first()
     assert row["formatted"] == "<|turn|>user<|body|>a<|end|>\n<|turn|>assistant<|body|>b<|part|>c<|end|>\n"
     assert "".join(s["text"] for s in row["segments"]) == row["formatted"]
-    assert [s["text"] for s in row["segments"] if s["loss"]] == ["b<|part|>c"]
+    assert [s["text"] for s in row["segments"] if s["loss"]] == ["b", "c"]
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
@@ -53,7 +54,7 @@ def test_chat_long_conversation(spark):
 def plain_spans(text):
     """The base definitions, by plain regular expressions."""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x.lstrip("0")[:4] or 0) <= 255 for x in m.group().split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = [int(c) for c in m.group() if c.isdigit()]
         if 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])) % 10 == 0:
@@ -81,6 +82,27 @@ def test_pii_checksums_context_and_redaction():
     assert pii.redact_text("nothing to see") == "nothing to see"
 
 
+def test_pii_long_runs():
+    assert [s[:3] for s in pii.find_spans("0" * 5000 + ".1.1.1 or 0." + "0" * 5000 + "256.1.1") if s[0] == "ip"] == [("ip", 0, 5006)]
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFOEjXk"
+    for key in (jwt, "k" * 30_000 + "9", "QUJDREVGR0hJSktMTU5PUA=="):
+        assert pii.redact_text(f"token: {key}. More text") == "token: [SECRET]. More text"
+    assert pii.redact_text("password = ........................") == "password = ........................"
+
+
+def test_pii_query_equals_plain_digests(spark, sf, odd_docs):
+    plain = [(r["doc_id"], r["text"] or "") for r in table(spark, sf, "documents").collect()]
+    got = {r["doc_id"]: r for r in queries.op4_pii(spark, sf).collect()}
+    got |= {("odd", r["doc_id"]): r for r in pii.digest(pii.detect(odd_docs.where("doc_id is not null and doc_id not in (6, 9)"))).collect()}
+    plain += [(("odd", r["doc_id"]), r["text"] or "") for r in odd_docs.where("doc_id is not null and doc_id not in (6, 9)").collect()]
+    assert len(got) == len(plain)
+    for i, text in plain:
+        want, r = plain_spans(text), got[i]
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in want) for k in pii.BASE]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
+        assert len(r["spans"].split(",")) == len(r["scores"].split(","))
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     got = pii.digest(pii.detect(odd_docs)).collect()
     assert len(got) == odd_docs.count()
@@ -175,7 +197,31 @@ def test_marked_paragraphs_end_where_html_ends_them():
         assert text(f"<dl><dt {mark}>x<dd>body 1</dl><table><tr {mark}><td>x<tr><td {mark}>x<td>body 2</table>") == "body 1\nbody 2"
     assert text("<div class=share><p>x</p>y</div><p>body</p>") == "body"
     assert text("<ul><li class=menu>x<ul><li>y</ul>z<li>body</ul>") == "body"
-    assert text("<p>body 1<span class=share>x</p>body 2") == "body 1\nbody 2"
+    assert text("<p>body 1<span hidden>x</p>body 2") == "body 1\nbody 2"
+
+
+def test_marks_are_whole_words_of_containers():
+    def text(page):
+        return html_text.main_text(html_text.page_lines(page), [])
+
+    for mark in ("class='content no-sidebar'", "class='social-history'", "id='related-work'", "class='adsorption'", "title='the hidden valley'", "style='overflow:hidden'", "data-id='menu'"):
+        assert text(f"<article><div {mark}><p>body 1</p></div><p {mark}>body 2</p></article>") == "body 1\nbody 2"
+    for mark in ("class='x cookie-notice'", "class=ad", "id=comments", "class='comment-list'", "class='site-header'", "role=search"):
+        assert text(f"<article><div {mark}><p>x</p></div><p>body</p></article>") == "body"
+    assert text("<header>Site</header><article><header><h1>Headline</h1></header><p>See the <a class='related' href=x>related case</a> too.</p><footer>x</footer></article>") == "Headline\nSee the related case too."
+
+
+def test_differencing_decides(spark):
+    """Templates that nothing but the neighbours tells from the text, with and without an article element."""
+    def page(k, open_, close):
+        return f"<div>Welcome to the site</div><span>Latest</span><div>Title {k}</div>{open_}<p>Text {k}</p><p>One shared passage</p>{close}<div>Made by us</div>"
+
+    rows = [(k, f"http://h.org/a{k}", page(k, "<div>", "</div>")) for k in range(3)] + [(10 + k, f"http://i.org/a{k}", page(k, "<article>", "</article>")) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nText {k}" for k in range(3)} | {10 + k: f"Title {k}\nText {k}\nOne shared passage" for k in range(3)}
+    apart = [(i, f"http://{i}.org/", h) for i, _, h in rows]
+    alone = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(apart, "page_id long, url string, html string")).collect()}
+    assert all("Welcome" in alone[k] for k in range(3)) and alone[10] == "Text 0\nOne shared passage"
 
 
 def test_marks_are_read_from_attributes_of_that_name():
@@ -189,7 +235,7 @@ def test_marks_are_read_from_attributes_of_that_name():
     assert [t for t, _ in html_text.page_lines(marked)] == ["own"]
 
 
-def test_alignment_is_a_longest_common_subsequence():
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
     rnd = random.Random(1)
     for _ in range(300):
         a, b = ([rnd.randrange(5) for _ in range(rnd.randrange(12))] for _ in range(2))
@@ -197,9 +243,16 @@ def test_alignment_is_a_longest_common_subsequence():
         for i in range(len(a)):
             for j in range(len(b)):
                 best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-        got = html_text.aligned(a, b)
-        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
-        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+        for cells in (1 << 16, 4):
+            monkeypatch.setattr(html_text, "CELLS", cells)
+            got = html_text.aligned(a, b)
+            assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_alignment_of_many_equal_lines():
+    a, b = (["x", "y", "x", "x", "z"] * n for n in (1200, 1100))
+    assert len(html_text.aligned(a, ["new", *b, "end"])) == 5500
 
 
 def test_pages_equal_the_article(spark, sf):
@@ -275,6 +328,26 @@ def test_pieces_equal_the_library(spark, sf, library):
         assert model.decode(ids) == library.decode(ids), repr(text[:80])
 
 
+def test_pieces_of_long_words(library):
+    """Without any space: random letters, letters of one kind with others, and repeats, far beyond a usual word."""
+    model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    rnd = random.Random(10)
+    made = ["".join(rnd.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "aab", "the", "0123456789", "é🙂你-=") for n in (257, 600, 5000)]
+    made += ["a" * 5000, "ab" * 3000, "abc" * 700 + "a" * 900, "=" * 4000, "ha" * 3000]
+    flat, counts = model.encode_batch(made)
+    for text, ids in zip(made, [x.tolist() for x in np.split(flat, counts.cumsum()[:-1])], strict=True):
+        assert ids == library.encode(text), text[:40]
+
+
+def test_pieces_query_equals_library_digests(spark, sf, library):
+    got = {r["doc_id"]: r for r in queries.op8_pieces(spark, sf).collect()}
+    for r in table(spark, sf, "documents").collect():
+        ids = library.encode(r["text"] or "")
+        own = got[r["doc_id"]]
+        assert own["n_tokens"] == len(ids) and own["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert own["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
 def test_pieces_odd_rows(odd_docs, no_docs, library):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = {r["doc_id"]: r for r in pieces.decode(pieces.encode(odd_docs, path), path).collect()}
