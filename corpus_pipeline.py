@@ -22,28 +22,40 @@ MIN_LANGUAGE_SHARE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without their failing lines."""
+    """Documents that pass the quality rules, without their failing lines.
+
+    Null and empty texts and those of less than ten words go. Each row is judged by its text alone: repeated
+    rows, and rows without id or label, like any other. An empty table gives an empty one.
+    """
     return quality.clean_documents(docs.select(*COLUMNS))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; those without letters or without a main language go."""
+    """Documents of a known language; those without letters (null and empty texts too) or without a main language go.
+
+    The model learns from the labelled rows of ``docs``; where no row is labelled no language is known, and
+    all go. Repeated rows and rows without id or label are judged like any other. An empty table gives an empty one.
+    """
     model = langid.fit(langid.training_rows(docs))
     return langid.keep_identified(docs.select(*COLUMNS), model, MIN_LANGUAGE_SHARE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the first with its least doc_id. Repeated rows and rows without doc_id are copies like others."""
+    """One row of each group of near copies: the first with its least doc_id.
+
+    Repeated rows and rows without doc_id are copies like others. Null and empty texts have no words, are no
+    copies, and stay. An empty table gives an empty one.
+    """
     return neardup.one_of_each(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by placeholders."""
+    """All rows, personal data and secrets replaced by placeholders; null texts stay null, and ``n_chars`` is counted anew."""
     return pii.redact(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences: of every row, repeated ones and null ids too; a null or empty text is the end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
