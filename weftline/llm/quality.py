@@ -1,7 +1,7 @@
 """Quality rules, line first: failing lines go, then documents that lose too much text are rejected.
 
-A line fails when it is mostly symbols, a navigation bar, shouting punctuation, a short line without
-an end mark, or mainly known boilerplate. Base counts follow fixed definitions.
+A line fails when it is mostly symbols, shouting punctuation, a short line without an end mark, mostly
+words of navigation without one, or mainly known boilerplate. Base counts follow fixed definitions.
 """
 
 from __future__ import annotations
@@ -32,6 +32,13 @@ BOILERPLATE = (
     "click here",
     "sign up for our newsletter",
 )
+#: Words of navigation bars, in lower case.
+NAVIGATION = (
+    "about", "account", "archive", "back", "blog", "careers", "cart", "categories", "contact", "download", "events", "facebook", "faq", "forum", "gallery", "help", "home",
+    "instagram", "jobs", "login", "logout", "menu", "news", "next", "pages", "previous", "products", "register", "search", "services", "shop", "signup", "sitemap", "support", "twitter", "youtube",
+    "startseite", "kontakt", "impressum", "anmelden", "suche", "produkte", "hilfe", "accueil", "recherche", "connexion", "produits", "aide", "inicio", "contacto", "buscar", "productos", "ayuda", "tienda",
+)
+_NAVIGATION = frozenset(x.encode() for x in NAVIGATION)
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 SHORT_LINE, MAX_LOST = 3, 50
 #: A boilerplate phrase fails a line of up to so many words, or one of which phrases are at least a fourth of the words.
@@ -51,6 +58,8 @@ def line_fails(line: bytes, n_words: int) -> bool:
     text = line.strip(SPACE).decode()
     if n_words <= SHORT_LINE and text[-1] not in END_MARKS:
         return True
+    if text[-1] not in END_MARKS and 5 * sum(w in _NAVIGATION for w in line.lower().split()) >= 3 * n_words:
+        return True
     found = _BOILERPLATE.findall(text.lower())
     return bool(found) and (n_words <= BOILERPLATE_LINE or 4 * sum(len(x.split()) for x in found) >= n_words)
 
@@ -144,7 +153,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
-#: DuckDB's form of the query. The end marks and boilerplate are those above; it fails a line of any length for one phrase.
+#: DuckDB's form of the query. End marks, words of navigation and boilerplate are those above.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -159,8 +168,10 @@ l AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw,
 f AS (SELECT doc_id, line, length(array_to_string(lw, '')) AS chars,
              4 * sym > len(lw) OR (4 * bang > len(lw) AND len(lw) > 3)
              OR (len(lw) <= 3 AND NOT regexp_matches(lw[len(lw)], '[.!?:;"'')\]…”»。！？]$'))
-             OR regexp_matches(lower(line), 'all rights reserved|cookie policy|accept cookies|terms of service|terms of use|privacy policy|enable javascript|lorem ipsum|click here|sign up for our newsletter') AS fails
-      FROM l WHERE len(lw) > 0),
+             OR (NOT regexp_matches(lw[len(lw)], '[.!?:;"'')\]…”»。！？]$') AND 5 * len(list_filter(lw, lambda w: lower(w) IN (NAVIGATION_WORDS))) >= 3 * len(lw))
+             OR (len(bp) > 0 AND (len(lw) <= 10 OR 4 * len(regexp_extract_all(array_to_string(bp, ' '), '[^ ]+')) >= len(lw))) AS fails
+      FROM (SELECT *, regexp_extract_all(lower(line), 'all rights reserved|cookie policy|accept cookies|terms of service|terms of use|privacy policy|enable javascript|lorem ipsum|click here|sign up for our newsletter') AS bp FROM l)
+      WHERE len(lw) > 0),
 a AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE fails), 0) AS lost FROM f GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -171,4 +182,4 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * word_chars AS kept
 FROM m
-"""
+""".replace("NAVIGATION_WORDS", ", ".join(f"'{w}'" for w in NAVIGATION))
