@@ -14,6 +14,8 @@ SQL = {
     "message": "select (conv_id+1)*1000+turn id, conv_id+1 conversation_id, cast(case when turn % 3 <> 0 then turn % 3 end as int) version, role, text content from {conversations}",
     "sku": "select p_partkey+1 id, max(p_size) stock from {part} where p_partkey < 200 and p_partkey % 20 <> 7 group by p_partkey",
     "order_req": "select distinct o_orderkey*100000 + l_partkey + 1 order_id, l_partkey % 200 + 1 sku_id, o_custkey % 100 + 1 user_id from {lineitem} join {orders} on l_orderkey = o_orderkey",
+    "sku_all": "select p_partkey+1 id, max(p_size) stock from {part} where p_partkey % 20 <> 7 group by p_partkey",
+    "order_all": "select distinct o_orderkey*10000000 + l_partkey + 1 order_id, l_partkey+1 sku_id, o_custkey+1 user_id from {lineitem} join {orders} on l_orderkey = o_orderkey",
     "fav_event": "select event_id+1 event_id, ts, event_id % 20 + 1 sku_id, user_id+1 user_id, case when event_type = 'view' then 0 else 1 end status from {events} where event_type in ('click','purchase','view')",
     "outbox_cdc": """select event_id+1 event_id, ts, case when event_type = 'error' then 'UPDATE' else 'INSERT' end op, case when event_type = 'purchase' then 'Order' else 'CounterEvent' end event_type, concat('{{"sid":', cast(event_id % 20 as varchar(9)), ',"metric":"', case when event_id % 11 = 0 then 'turn' else 'fav' end, '","idx":2,"delta":', case when event_type = 'view' then '-1' else '1' end, ',"eventId":', cast(event_id+1 as varchar(20)), '}}') payload from {events}""",
     "long_memory": "select vec_id+1 id, cast(label as bigint)+1 user_id, case vec_id % 6 when 0 then 'language' when 1 then 'answer_style' when 2 then 'tech_stack' when 3 then 'skill_level' when 4 then 'topics' else 'current_goal' end memory_key, concat('m', cast(vec_id as varchar(9))) content, case when vec_id % 7 = 0 then 'DELETE' else 'ACTIVE' end status, cast(vec_id % 3 + 1 as int) version from {embeddings}",

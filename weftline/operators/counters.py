@@ -37,13 +37,8 @@ def sku_fav_counts(sku: DataFrame, fav: DataFrame) -> DataFrame:
     return sku.select(F.col("id").alias("sku_id")).join(active, "sku_id", "left").select("sku_id", F.coalesce("fav_count", F.lit(0)).alias("fav_count"))
 
 
-def validate_counter_events(outbox: DataFrame) -> DataFrame:
-    """Counter events of an outbox with the first rule that each breaks; other event types are skipped."""
-    return validate_counter_events_with(outbox)
-
-
-def validate_counter_events_with(outbox: DataFrame, *also: str) -> DataFrame:
-    """The same, with further columns of the outbox."""
+def validate_counter_events(outbox: DataFrame, *also: str) -> DataFrame:
+    """Counter events of an outbox with the first rule that each breaks, and further columns; other event types are skipped."""
     e = F.from_json("payload", COUNTER_EVENT)
     rows = outbox.where("event_type = 'CounterEvent'").select("event_id", "payload", e.alias("e"), *also)
     index = F.when(F.col("e.metric") == "turn", 1).when(F.col("e.metric") == "fav", 2)

@@ -68,11 +68,19 @@ simple("ups2_publish", lambda t: articles.apply_publish(t.posts, _pubs(t))[0],
        "select post_id, user_id, title, case when post_id % 3 = 0 then 2 else status end as status, case when post_id % 3 = 0 then version + 1 else version end as version from posts")
 
 
-@query("ups1_edits", "select post_id * 10 + k as edit_id, case when k = 1 then 'STALE' when k = 2 then 'STALE' when version + 1 <= (post_id - 1) % 3 + 1 then 'ACCEPTED' else 'NO_CONTENT' end as result from posts, (values (0), (1), (2)) as v(k)")
-def _edits(t: Tables) -> DataFrame:
+EDITED = "ed as (select post_id, k, title, version, case when k = 1 then 'STALE' when k = 2 then 'STALE' when version + 1 <= (post_id - 1) % 3 + 1 then 'ACCEPTED' else 'NO_CONTENT' end as result from posts, (values (0), (1), (2)) as v(k))"
+
+
+def _edits(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     edits = t.posts.crossJoin(t.spark.range(3).withColumnRenamed("id", "k")).selectExpr(
         "post_id * 10 + k as edit_id", "post_id", "if(k = 2, status + 1, status) as status", "version", "concat('new ', title) as content")
-    return articles.apply_edits(t.posts, t.contents, edits)[2]
+    return articles.apply_edits(t.posts, t.contents, edits)
+
+
+simple("ups1_edits", lambda t: _edits(t)[2], f"with {EDITED} select post_id * 10 + k as edit_id, result from ed")
+simple("ups1_posts", lambda t: _edits(t)[0], f"with {EDITED} select posts.post_id, user_id, posts.title, cast(status + case when result = 'ACCEPTED' then 1 else 0 end as int) as status, posts.version from posts join ed on ed.post_id = posts.post_id and k = 0")
+simple("ups1_contents", lambda t: _edits(t)[1],
+       f"with {EDITED} select content_id, c.post_id, c.version, case when ed.post_id is not null then concat('new ', title) else content end as content from contents c left join ed on ed.post_id = c.post_id and k = 0 and result = 'ACCEPTED' and c.version = ed.version + 1")
 
 
 def _views(t: Tables) -> DataFrame:
@@ -166,6 +174,27 @@ DECIDED = f"""{FIRST}, dec as (select o.order_id, o.sku_id, o.user_id, case when
 simple("win3_admission", _admitted,
        f"with {FIRST} select order_id, won as result_order_id, case when won = order_id then 'ADMITTED' when won is not null then 'RETRY' else 'REJECTED' end as result, cast(null as varchar) as err from order_req o left join w on w.sku_id = o.sku_id and w.user_id = o.user_id")
 simple("win4_decision", _decided, f"with {DECIDED} select * from dec")
+# The same over all items and buyers, whose number grows with the tables.
+ALL_FIRST, ALL_DECIDED = (x.replace("order_req", "order_all").replace("join sku on sku.id", "join sku_all on sku_all.id") for x in (FIRST, DECIDED))
+
+
+def _all_stock(t: Tables) -> DataFrame:
+    return t.sku_all.selectExpr("id as sku_id", "cast(stock as bigint) as stock")
+
+
+def _all_admitted(t: Tables) -> DataFrame:
+    none = t.order_all.where("false")
+    return orders.admit(t.order_all.withColumn("arrival", F.col("order_id")), _all_stock(t), none.select("sku_id", "user_id"), none.selectExpr("order_id", "sku_id", "user_id", "'PENDING' as state"))
+
+
+def _all_decided(t: Tables) -> DataFrame:
+    none = t.order_all.where("false")
+    return orders.decide(t.order_all, none.selectExpr("order_id as id", "sku_id", "user_id"), none.selectExpr("order_id", "sku_id", "user_id", "'CONFIRMED' as status", "true as keep_buyer"), t.sku_all)
+
+
+simple("win3_all_items", _all_admitted,
+       f"with {ALL_FIRST} select order_id, won as result_order_id, case when won = order_id then 'ADMITTED' when won is not null then 'RETRY' else 'REJECTED' end as result, cast(null as varchar) as err from order_all o left join w on w.sku_id = o.sku_id and w.user_id = o.user_id")
+simple("win4_all_items", _all_decided, f"with {ALL_DECIDED} select * from dec")
 simple("agg4_consume_stock", lambda t: orders.consume_stock(t.sku, _decided(t)),
        f"with {DECIDED} select id as sku_id, cast(greatest(0, stock - coalesce(n, 0)) as bigint) as stock from sku left join (select sku_id, count(*) as n from dec where status = 'CONFIRMED' group by sku_id) on sku_id = id")
 simple("agg5_release_stock", lambda t: orders.release_stock(_stock(t), _decided(t).withColumnRenamed("status", "state")),
@@ -252,10 +281,18 @@ bs as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))
        from q join tf using (post_id, version, term) join df using (term), st group by query_id, chunk_id)"""
 simple("ret1_vector_topk", lambda t: retrieval.vector_topk(_vector_queries(t), t.chunk_vec), f"with {VEC} select * from vk")
 simple("ret2_bm25_topk", lambda t: retrieval.bm25_topk(_word_queries(t), t.chunk_text), f"with {BM} select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from bs qualify rank <= 40")
-simple("set1_fuse_lists", lambda t: retrieval.fuse_lists([retrieval.vector_topk(_vector_queries(t), t.chunk_vec)] * 2),
-       f"with {VEC} select query_id, chunk_id, round(2.0 / (60 + rank), 6) as score from vk")
-simple("ret3_rrf", lambda t: retrieval.rrf([retrieval.vector_topk(_vector_queries(t), t.chunk_vec), retrieval.vector_topk(_vector_queries(t), t.chunk_vec, 10)]),
-       f"with {VEC}, fu as (select query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) as score from (select * from vk union all select * from vk where rank <= 10) group by all) select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from fu qualify rank <= 30")
+# Another list: the same hits the other way round, two of three under ids that the first list lacks, and some without id.
+OTHER = "ot as (select query_id, case when rank % 7 = 0 then null when rank % 3 = 0 then chunk_id else concat(chunk_id, 'x') end as chunk_id, 41 - rank as rank from vk)"
+
+
+def _two_lists(t: Tables) -> list[DataFrame]:
+    one = retrieval.vector_topk(_vector_queries(t), t.chunk_vec)
+    return [one, one.selectExpr("query_id", "case when rank % 7 = 0 then null when rank % 3 = 0 then chunk_id else concat(chunk_id, 'x') end as chunk_id", "41 - rank as rank")]
+
+
+FUSED = f"{VEC}, {OTHER}, fu as (select query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) as score from (select query_id, chunk_id, rank from vk union all select * from ot) where chunk_id is not null group by all)"
+simple("set1_fuse_lists", lambda t: retrieval.fuse_lists(_two_lists(t)), f"with {FUSED} select * from fu")
+simple("ret3_rrf", lambda t: retrieval.rrf(_two_lists(t)), f"with {FUSED} select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from fu qualify rank <= 30")
 simple("top3_topk_per_group", lambda t: retrieval.topk_per_group(t.chunk_vec.drop("embedding"), ["post_id", "version"], [F.desc("vec_id")], 5),
        "select vec_id, post_id, version, chunk_id, cast(row_number() over (partition by post_id, version order by vec_id desc) as int) as rank from chunk_vec qualify rank <= 5")
 simple("sca4_chunk_index", lambda t: t.chunk_vec.select("vec_id", scalars.chunk_index(F.col("chunk_id")).alias("idx")), "select vec_id, cast(vec_id as int) as idx from chunk_vec")
@@ -494,16 +531,24 @@ simple("ups7_conflicts", lambda t: memory.apply_memory(t.long_memory, _actions(t
 PENDING = "select order_id, order_id % 20 + 1 as sku_id, order_id % 50 + 1 as user_id, status, order_id % 2 = 0 as keep_buyer, redis_applied, next_retry_at from order_outcome"
 
 
-@query("str6_recovery", f"""with o as ({PENDING}), q as (select * from o where not redis_applied and next_retry_at <= timestamp '{NOW}' and status in ('CONFIRMED', 'CANCELLED') order by next_retry_at, order_id limit 100),
+RECOVERED = f"""o as ({PENDING}), q as (select * from o where not redis_applied and next_retry_at <= timestamp '{NOW}' and status in ('CONFIRMED', 'CANCELLED') order by next_retry_at, order_id limit 100),
 rs as (select order_id, sku_id, user_id, case when order_id % 3 = 0 then 'CONFIRMED' else 'PENDING' end as state from o where order_id % 5 <> 0), mp as (select sku_id, user_id, max(order_id) as last from rs group by sku_id, user_id),
-f as (select q.order_id, state is null or (state = 'CONFIRMED' and status <> 'CONFIRMED') or (state = 'PENDING' and (last <> q.order_id or (status = 'CANCELLED' and stock is null))) as failed
-  from q left join rs using (order_id) left join mp on mp.sku_id = q.sku_id and mp.user_id = q.user_id left join sku on sku.id = q.sku_id)
-select o.order_id, o.status, o.redis_applied or (failed is not null and not failed) as redis_applied, case when failed then timestamp '{NOW}' + interval 30 second else next_retry_at end as next_retry_at from o left join f using (order_id)""")
-def _recovery(t: Tables) -> DataFrame:
+f as (select q.order_id, q.sku_id, q.status, state, state is null or (state = 'CONFIRMED' and status <> 'CONFIRMED') or (state = 'PENDING' and (last <> q.order_id or (status = 'CANCELLED' and stock is null))) as failed
+  from q left join rs using (order_id) left join mp on mp.sku_id = q.sku_id and mp.user_id = q.user_id left join sku on sku.id = q.sku_id)"""
+
+
+def _recovery(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     outcomes = t.spark.sql(PENDING.replace("order_outcome", "{o}"), o=t.order_outcome)
     held = outcomes.where("order_id % 5 <> 0").selectExpr("order_id", "sku_id", "user_id", "if(order_id % 3 = 0, 'CONFIRMED', 'PENDING') as state", "cast(null as boolean) as keep_buyer")
-    after = orders.run_recovery(outcomes, held, outcomes.select("sku_id", "user_id").distinct(), _stock(t), orders.buyer_orders(held), F.lit(NOW).cast("timestamp_ntz"))[0]
-    return after.select("order_id", "status", "redis_applied", "next_retry_at")
+    return orders.run_recovery(outcomes, held, outcomes.select("sku_id", "user_id").distinct(), _stock(t), orders.buyer_orders(held), F.lit(NOW).cast("timestamp_ntz"))
+
+
+simple("str6_recovery", lambda t: _recovery(t)[0].select("order_id", "status", "redis_applied", "next_retry_at"),
+       f"with {RECOVERED} select o.order_id, o.status, o.redis_applied or (failed is not null and not failed) as redis_applied, case when failed then timestamp '{NOW}' + interval 30 second else next_retry_at end as next_retry_at from o left join f using (order_id)")
+simple("str6_reservations", lambda t: _recovery(t)[1].select("order_id", "state"),
+       f"with {RECOVERED} select rs.order_id, case when rs.state = 'PENDING' and not failed then f.status else rs.state end as state from rs left join f using (order_id)")
+simple("str6_stock", lambda t: _recovery(t)[3],
+       f"with {RECOVERED} select id as sku_id, cast(stock + coalesce(n, 0) as bigint) as stock from sku left join (select sku_id, count(*) as n from f where not failed and state = 'PENDING' and status = 'CANCELLED' group by sku_id) c on c.sku_id = id")
 
 
 @query("src1_read_table", "select order_id as id, sku_id, user_id from order_req")

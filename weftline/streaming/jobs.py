@@ -47,7 +47,7 @@ def counter_stream(outbox: DataFrame) -> DataFrame:
 def counter_events(outbox: DataFrame) -> DataFrame:
     """Valid inserted counter events of an outbox stream, each (sid, event_id) once within the time to live."""
     valid = outbox.where("op = 'INSERT'").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", TTL)
-    events = counters.validate_counter_events_with(valid, "ts").where("err is null")
+    events = counters.validate_counter_events(valid, "ts").where("err is null")
     return events.dropDuplicatesWithinWatermark(["sid", "event_id"])
 
 
