@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in which every row has a number of its own, and the name of its column, which no other has."""
+    name, taken = "_row", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return materialize(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 256) -> DataFrame:
     """Apply ``fn`` to small record batches inside the tasks, so that memory does not follow the batch size Spark picks."""
 

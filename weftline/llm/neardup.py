@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, texts
+from .common import map_arrow, materialize, numbered, texts
 
 BANDS = 32
 #: Chance that a pair right at the threshold shares no band.
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     their own texts; those without doc_id link as others do, and of a component without any doc_id one row is
     kept, with a null component_id. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = _labelled(_numbered(docs.select("doc_id", "text")), words, percent, bands)
+    rows = _labelled(numbered(docs.select("doc_id", "text"))[0], words, percent, bands)
     nameless = F.col("component_id").isNull() & (F.col("component").isNull() | (F.col("component") == F.col(_ROW)))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), nameless).alias("kept"))
 
@@ -209,24 +209,19 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     Repeated rows and rows without doc_id are copies like others; rows without words stay, all of them. All
     columns stay as they are, whatever their names; an empty table gives an empty result.
     """
-    numbered = _numbered(docs)
-    rows = _labelled(numbered.select(_ROW, "doc_id", "text"), words, percent, bands)
+    table, name = numbered(docs)
+    rows = _labelled(table.select(F.col(name).alias(_ROW), "doc_id", "text"), words, percent, bands)
     first = rows.where("component is not null and doc_id <=> component_id").groupBy("component").agg(F.min(_ROW).alias(_ROW))
     kept = first.select(_ROW).union(rows.where("component is null").select(_ROW))
-    return numbered.join(kept, _ROW, "left_semi").select(*docs.columns)
+    return table.join(kept.withColumnRenamed(_ROW, name), name, "left_semi").select(*docs.columns)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` as a table in which every row has a number of its own."""
-    return materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()))
-
-
-def _labelled(numbered: DataFrame, words: int, percent: int, bands: int) -> DataFrame:
+def _labelled(table: DataFrame, words: int, percent: int, bands: int) -> DataFrame:
     """Of each row its number, ``doc_id, n_shingles, component, component_id``; without words there is no component and the id is its own."""
     threshold = percent / 100
     rows = band_rows(threshold, bands)
     least = threshold - MARGIN * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    texts_ = numbered.select(_ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts_ = table.select(_ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = f"{_ROW} long, doc_id long, n_shingles long, set_key binary, signature binary, buckets array<long>"
     sketch = materialize(map_arrow(texts_, partial(_sketch, words=words, bands=bands, rows=rows), schema))
     # All rows of a class have the same signature: any will do. A class's node is the number of its first row.

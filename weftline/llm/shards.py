@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, numbered
 
 RANGES_PER_SHARD, SAMPLES_PER_RANGE, OVERFULL, ROUNDS = 64, 16, 1.25, 3
 #: Ranges of one text go together up to a shard's mean over the first of these numbers that keeps shards within ``EVEN`` of the mean.
@@ -161,8 +161,11 @@ def _totals(rows: DataFrame, splits: np.ndarray) -> dict[int, tuple[int, int, in
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40) -> None:
-    """Write every row of ``docs``, with its columns and ``slot``, as Parquet under ``shard=``, in the order of slots."""
-    numbered = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()))
-    places = _assigned(numbered.select(_ROW, "doc_id", "text"), n_shards).select(_ROW, "shard", "slot")
-    out = numbered.drop("shard", "slot").join(places, _ROW).drop(_ROW)
+    """Write every row of ``docs``, with its columns and ``slot``, as Parquet under ``shard=``, in the order of slots.
+
+    Columns of ``docs`` that have these two names give way to them.
+    """
+    table, name = numbered(docs.drop("shard", "slot"))
+    places = _assigned(table.select(F.col(name).alias(_ROW), "doc_id", "text"), n_shards).select(F.col(_ROW).alias(name), "shard", "slot")
+    out = table.join(places, name).drop(name)
     out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
