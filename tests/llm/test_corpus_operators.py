@@ -298,8 +298,8 @@ def test_near_duplicates_without_ids_and_with_repeated_ones(spark):
     assert len(got) == len(rows)
     by = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
     assert by == Counter({(7, 98, 7, True): 1, (None, 98, 7, False): 2, (9, 98, 7, False): 2, (None, 28, None, True): 1, (None, 28, None, False): 1, (3, 1, 3, True): 1, (3, 3, 3, True): 1, (4, 0, 4, True): 1, (None, 0, None, True): 2})
-    kept = neardup.one_of_each(df.withColumn("component", F.lit("x")), 3, 85)
-    assert kept.columns == ["doc_id", "text", "component"]
+    kept = neardup.one_of_each(df.withColumn("component", F.lit("x")).withColumn("_Row", F.lit("y")), 3, 85)
+    assert kept.columns == ["doc_id", "text", "component", "_Row"] and {r["_Row"] for r in kept.collect()} == {"y"}
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(7, near[0]), (None, alone), (3, "x y z"), (3, "p q r s t"), (4, None), (None, ""), (None, None)])
 
 
