@@ -77,7 +77,7 @@ class PieceModel:
         self.cuts_newline = "\n" not in inner
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece holds a space mark after another character")
-        self.ids = SegmentIds(self._encode)
+        self.ids = SegmentIds(self._placed)
 
     def _index(self, pairs: dict[tuple[int, int], int]) -> None:
         """A table by hash of the pair; each place is tried in turn."""
@@ -115,6 +115,10 @@ class PieceModel:
             at[todo] = (at[todo] + 1) & self.mask
         return out
 
+    def _placed(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, counts = self._encode(segments)
+        return ids, counts, np.cumsum(counts) - counts
+
     def _encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         code = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         lengths = np.array([len(s) for s in segments], np.int64)

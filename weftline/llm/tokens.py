@@ -6,6 +6,7 @@ import base64
 import json
 import re
 from collections.abc import Callable
+from itertools import compress
 
 import numpy as np
 
@@ -18,9 +19,9 @@ _SEGMENT = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 
 
 class SegmentIds:
-    """Ids of segments, kept for those seen before. ``encode`` gives (flat ids, number of ids per segment)."""
+    """Ids of segments, kept for those seen before. ``encode`` gives (flat ids, number of ids per segment, place of the first)."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -38,7 +39,7 @@ class SegmentIds:
         place = self.place
         new = [s for s in dict.fromkeys(segments) if s not in place]
         if new:
-            ids, counts = self.encode(new)
+            ids, counts, first = self.encode(new)
             n, m = len(place), self.used
             while m + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -46,7 +47,7 @@ class SegmentIds:
                 self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
             self.flat[m : m + len(ids)] = ids
             self.count[n : n + len(new)] = counts
-            self.first[n : n + len(new)] = m + np.cumsum(counts) - counts
+            self.first[n : n + len(new)] = m + first
             self.used = m + len(ids)
             place.update(zip(new, range(n, n + len(new)), strict=True))
         at = np.fromiter(map(place.__getitem__, segments), np.int64, len(segments))
@@ -85,20 +86,24 @@ class ByteTokens:
             self.width[rank] = len(token)
         self.ids = SegmentIds(self._encode)
 
-    def _encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # Segments that begin with a space can follow one another in a text: they are encoded in one call.
-        spaced = [i for i, s in enumerate(segments) if s[0] == " " and len(s) > 1 and s[1] not in " \t\n\r" and s not in self.added]
-        own: list[np.ndarray | None] = [None] * len(segments)
-        if spaced:
-            joined = np.array(self.core.encode_ordinary("".join(segments[i] for i in spaced)), np.int32)
-            ends = np.cumsum([len(segments[i].encode()) for i in spaced])
-            cuts = np.searchsorted(np.cumsum(self.width[joined]), ends) + 1
-            for i, part in zip(spaced, np.split(joined, cuts[:-1]), strict=True):
-                own[i] = part
-        for i, s in enumerate(segments):
-            if own[i] is None:
-                own[i] = np.array([self.added[s]] if s in self.added else self.core.encode_ordinary(s), np.int32)
-        return np.concatenate(own), np.array([len(x) for x in own], np.int64)
+        follow = [s[0] == " " and len(s) > 1 and s[1] not in " \t\n\r" and s not in self.added for s in segments]
+        spaced, others = np.flatnonzero(follow), np.flatnonzero(~np.array(follow, bool))
+        counts, first = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)
+        text = "".join(compress(segments, follow))
+        joined = np.array(self.core.encode_ordinary(text), np.int32)
+        if len(spaced):
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            width = np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+            ends = width[np.cumsum(np.fromiter(map(len, compress(segments, follow)), np.int64, len(spaced))) - 1]
+            stop = np.searchsorted(np.cumsum(self.width[joined]), ends) + 1
+            first[spaced] = np.concatenate([[0], stop[:-1]])
+            counts[spaced] = stop - first[spaced]
+        parts = [[self.added[s]] if s in self.added else self.core.encode_ordinary(s) for s in (segments[i] for i in others.tolist())]
+        counts[others] = [len(x) for x in parts]
+        first[others] = len(joined) + np.cumsum(counts[others]) - counts[others]
+        return np.concatenate([joined, np.array([i for x in parts for i in x], np.int32)]), counts, first
 
     def _segments(self, text: str) -> list[str]:
         parts = self.cut.split(text) if self.cut else [text]
