@@ -1,0 +1,242 @@
+"""Whitening, clusters and word-level BPE against plain versions and the library."""
+
+import hashlib
+import random
+import sys
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+
+from weftline.llm import clusters, queries, whitening, word_bpe
+
+SCHEMA = "vec_id long, embedding array<float>, n long, x string, v string, cluster string, parts string"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "x", "v", "c", "p") for i, v in rows], SCHEMA)
+
+
+# ---- whitening
+
+
+def plain_whitening(rows, k):
+    """Rows (id, whole-number vector): number, eigenvalues, exact deviations, and whitened rows up to signs."""
+    dims = max(len(v) for _, v in rows)
+    wide = [tuple(v) + (0,) * (dims - len(v)) for _, v in rows]
+    fit = np.array(sorted(set(wide)), float)
+    n, sums = len(fit), [sum(int(v[d]) for v in set(wide)) for d in range(dims)]
+    centred = fit - np.array(sums) / n
+    values, vectors_ = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors_ = values[::-1][:k], vectors_[:, ::-1][:, :k]
+    whitened = (np.array(wide, float) - np.array(sums) / n) @ vectors_ / np.sqrt(values)
+    deviation = [sum((n * int(x) - s) ** 2 for x, s in zip(v, sums, strict=True)) for v in wide]
+    return n, values / (centred**2).sum() * n, deviation, whitened
+
+
+def check_whitening(spark, rows, got_rows, k=4):
+    n, explained, deviation, whitened = plain_whitening(rows, k)
+    got = {}
+    for r in got_rows:
+        got.setdefault((r["vec_id"], r["component"]), []).append(r)
+    for c in range(k):
+        want = {}
+        for (i, _), d, w in zip(rows, deviation, whitened[:, c], strict=True):
+            want.setdefault(i, []).append((d, w))
+        sign = None
+        for i, own in want.items():
+            mine = sorted((r["deviation"], r["whitened"]) for r in got[i, c + 1])
+            assert [d for d, _ in mine] == sorted(d for d, _ in own)
+            for (_, a), (_, b) in zip(mine, sorted(own), strict=True):
+                sign = sign or (np.sign(a * b) if abs(b) > 1e-6 else None)
+                assert abs(a - (sign or 1) * b) < 1e-9 * max(1, abs(b))
+    assert all(r["n"] == n and r["identity_error"] < 1e-10 and abs(r["explained"] / explained[r["component"] - 1] - 1) < 1e-9 for r in got_rows)
+
+
+def test_whitening_query_equals_eigenvectors(spark, sf):
+    table = queries.table(spark, sf, "embeddings")
+    rows = [(r["vec_id"], r["x"]) for r in whitening.usable(table, 256).collect()]
+    check_whitening(spark, rows, queries.op11_whitening(spark, sf).collect())
+
+
+def test_whitening_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(40)]
+    rows += [(7, rows[0][1]), (None, rows[1][1]), (41, rows[2][1][:4]), (42, [])]
+    bad = [(50, None), (51, [1.0, None]), (52, [float("nan")]), (53, [float("inf")]), (54, [float("-inf")])]
+    df = vectors(spark, rows + bad)
+    usable = whitening.usable(df, 256)
+    whole = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in v]) for i, v in rows]
+    assert sorted((r["vec_id"] or -1, r["x"]) for r in usable.collect()) == sorted((i or -1, v) for i, v in whole)
+    check_whitening(spark, whole, whitening.whiten(usable.repartition(5), 4).collect())
+    assert whitening.whiten(whitening.usable(vectors(spark, bad), 256), 4).count() == 0
+    assert whitening.whiten(whitening.usable(df.limit(0), 256), 4).count() == 0
+    assert whitening.whiten(whitening.usable(vectors(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])]), 256), 4).count() == 0
+    line = whitening.whiten(whitening.usable(vectors(spark, [(i, [float(i), 2.0 * i, 0.0]) for i in range(9)]), 256), 4).collect()
+    assert {r["component"] for r in line} == {1} and all(abs(r["explained"] - 1) < 1e-12 for r in line)
+
+
+def test_whitening_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "FAN", 2)
+    rows = [(i, np.random.default_rng(i).normal(size=5).tolist()) for i in range(300)]
+    df = vectors(spark, rows)
+    whole = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in v]) for i, v in rows]
+    check_whitening(spark, whole, whitening.whiten(whitening.usable(df.repartition(13), 256), 4).collect())
+
+
+@pytest.mark.parametrize("kind", ["random", "falling", "simplex", "crosses", "blocks", "thin"])
+def test_singular_values_and_directions(kind):
+    rng = np.random.default_rng(1)
+    rows = {
+        "random": rng.normal(size=(500, 24)), "falling": rng.normal(size=(500, 24)) * np.logspace(0, -9, 24), "simplex": np.eye(24) * 7,
+        "crosses": np.vstack([np.eye(24), -np.eye(24)]), "blocks": np.kron(np.eye(4), rng.normal(size=(9, 6))), "thin": rng.normal(size=(3, 24)),
+    }[kind]
+    centred = rows - rows.mean(0)
+    r = np.zeros((24, 24))
+    own = np.linalg.qr(centred, "r")
+    r[: len(own)] = own
+    values, found, trace = whitening.principal(r, len(rows), 24)
+    cov = centred.T @ centred / len(rows)
+    want = np.linalg.eigvalsh(cov)[::-1][: len(values)]
+    assert len(values) == {"thin": 2, "simplex": 23}.get(kind, 24)
+    assert np.abs(values - want).max() <= 1e-13 * want[0] and abs(trace - np.trace(cov)) <= 1e-12 * trace
+    assert np.abs(found.T @ found - np.eye(len(values))).max() < 1e-10
+    assert np.abs(cov @ found - found * values).max() < 1e-13 * want[0]
+
+
+def test_small_singular_values_keep_their_digits():
+    diagonal, above = np.logspace(0, -12, 13), np.full(12, 1e-3) * np.logspace(0, -12, 13)[1:]
+    exact = [float(x) for x in np.linalg.svd(np.diag(diagonal) + np.diag(above, 1), compute_uv=False)]
+    got = np.sqrt(whitening.dqds(diagonal, above))
+    assert np.abs(got[:6] / exact[:6] - 1).max() < 1e-9  # those that the library's own values have digits of
+    assert abs(np.prod(got) / np.prod(diagonal) - 1) < 1e-12  # the determinant holds them all
+
+
+# ---- clusters
+
+
+def plain_clusters(rows, k, rounds):
+    x = [v for _, v in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, hashlib.sha256(f"1:{rows[i][0]}".encode()).hexdigest(), x[i]))
+    centroids = [list(x[i]) for i in order[:k]]
+
+    def assign():
+        d = [[sum((a - b) ** 2 for a, b in zip(v, c, strict=True)) for c in centroids] for v in x]
+        return [min((far, c) for c, far in enumerate(own))[::-1] for own in d]
+
+    for _ in range(rounds):
+        own = assign()
+        for c in range(len(centroids)):
+            mine = [v for v, (a, _) in zip(x, own, strict=True) if a == c]
+            if mine:
+                centroids[c] = [sum(col) // len(mine) for col in zip(*mine, strict=True)]
+    own = assign()
+    total = sum(d for _, d in own)
+    each = [sum(d for a, d in own if a == c) for c in range(len(centroids))]
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return sorted((str(i), c, d, each[c], total, digest[c]) for (i, _), (c, d) in zip(rows, own, strict=True))
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 100])
+def test_clusters_equal_plain_version(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(i, [rng.choice([-1.5, -0.26, 0.0, 0.3, 0.31, 2.0]) for _ in range(5)]) for i in range(60)]
+    rows += [(3, rows[4][1]), (3, rows[4][1]), (None, rows[5][1]), (None, rows[6][1])]
+    bad = [(70, None), (71, [1.0] * 4), (72, [1.0] * 4 + [None]), (73, [float("nan")] * 5), (74, [float("inf")] * 5), (75, [])]
+    usable = clusters.usable(vectors(spark, rows + bad).repartition(3), 64, 5)
+    whole = [(i, [int(np.floor(64 * float(np.float32(c)))) for c in v]) for i, v in rows]
+    got = clusters.cluster(usable, k=6, rounds=3, dims=5, chunk=chunk).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == plain_clusters(whole, 6, 3)
+    few = clusters.cluster(usable.where("vec_id in (1, 2)"), k=6, rounds=2, dims=5, chunk=chunk).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in few) == plain_clusters(whole[1:3], 6, 2)
+    assert clusters.cluster(usable.limit(0), dims=5).count() == 0
+
+
+def test_clusters_keep_empty_centroids(spark):
+    rows = [(i, [1.0, 1.0]) for i in range(8)] + [(9, [5.0, 5.0])]
+    got = clusters.cluster(clusters.usable(vectors(spark, rows), 64, 2), k=4, rounds=2, dims=2).collect()
+    whole = [(i, [int(64 * c) for c in v]) for i, v in rows]
+    assert sorted((str(r[0]), *r[1:]) for r in got) == plain_clusters(whole, 4, 2)
+
+
+def test_clusters_query_equals_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    df = queries.op12_clusters(spark, sf)
+    want = con.sql(queries.ORACLE["op12_clusters"])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.fetchall()))
+
+
+# ---- words
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(PATH)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+def test_every_character_is_split_and_encoded_as_the_library_does(library):
+    own = word_bpe.load(PATH)
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}{c}1{c}." for c in chars[at : at + 64]) for at in range(0, len(chars), 64)]
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert [i for w in own.words(text) for i in own.encode(w)] == e.ids, repr(text[:40])
+
+
+def test_words_equal_the_library(library):
+    own, rng = word_bpe.load(PATH), random.Random(5)
+    alphabet = ["the", "ing", "ab", "Σ", "σς", "İ", "é", "é", "1", "'s", "'LL", "'", " ", "\n", "_", "你", "🙂", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "x" * 40, "ñ", "​", "\x00", "ǅ", "ß"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choices("abcdefghij", k=3000)), "a" * 5000, "ab" * 4000, "=" * 3000, "你好世界" * 700]
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert [i for w in own.words(text) for i in own.encode(w)] == e.ids
+
+
+def expected(library, text):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    return ids, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), library.decode(ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("chars, bucket_words", [(1, 1), (500, 20), (16_000_000, 50_000)])
+def test_word_blocks_of_any_size(spark, odd_docs, no_docs, library, chars, bucket_words):
+    rows = word_bpe.encode(odd_docs.repartition(3), PATH, chars=chars, bucket_words=bucket_words)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], list(r["ids"]), r["ids_sha256"], r["text"]) for r in rows.collect())
+    want = []
+    for d in odd_docs.collect():
+        ids, digest, text = expected(library, d["text"])
+        want.append((str(d["doc_id"]), len(ids), ids, digest, text))
+    assert got == sorted(want)
+    assert word_bpe.encode(no_docs, PATH).count() == 0
+
+
+def test_decode_any_ids(spark, library):
+    ids = [[320, 49407, 320], [], None, [49406], [5, 5, 5, 48000], [60000, 320], [320, None]]
+    df = spark.createDataFrame([(k, x, "old", "p") for k, x in enumerate(ids)] + [(0, ids[0], "old", "p")], "doc_id long, ids array<int>, text string, piece string")
+    got = sorted((r["doc_id"], r["text"], r["piece"]) for r in word_bpe.decode(df, PATH).collect())
+    want = [(k, library.decode([i for i in x or [] if i is not None], skip_special_tokens=False), "p") for k, x in enumerate(ids)]
+    assert got == sorted([*want, want[0]])
+    assert word_bpe.decode(df.limit(0), PATH).count() == 0
+
+
+def test_word_query_equals_the_library(spark, sf, library):
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text").collect()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op13_word_bpe(spark, sf).collect()}
+    for d in docs:
+        ids, digest, text = expected(library, d["text"])
+        assert got[d["doc_id"]] == (len(ids), digest, hashlib.sha256(text.encode()).hexdigest())
+    assert len(got) == len(docs)
+
+
+def test_decode_agrees_with_encode(spark, sf):
+    found = word_bpe.encode(queries.table(spark, sf, "documents").limit(60), PATH)
+    back = word_bpe.decode(found.select("doc_id", "ids", found["text"].alias("said")), PATH)
+    assert back.where("said <> text").count() == 0 and back.count() == 60

@@ -1,4 +1,4 @@
-"""The queries of the ten operators over whole tables, and their SQL where SQL can express them."""
+"""The queries of the operators over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_text, langid, neardup, packing, pieces, pii, quality, shards, topk
+from . import chat_format, clusters, html_text, langid, neardup, packing, pieces, pii, quality, shards, topk, whitening, word_bpe
 from .common import table
 
 
@@ -64,11 +64,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.usable(table(spark, sf_dir, "embeddings"), 256), 4)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(clusters.usable(table(spark, sf_dir, "embeddings"), 64, 64), k=16, rounds=3, seed="1", dims=64)
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_chat_format, op3_exact_topk, op4_pii, op5_shards, op6_html_text,
-        op7_near_duplicates, op8_pieces, op9_packing, op10_quality,
+        op7_near_duplicates, op8_pieces, op9_packing, op10_quality, op11_whitening, op12_clusters, op13_word_bpe,
     )
 }
 
@@ -88,4 +101,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op2_chat_format": CHAT_ORACLE, "op3_exact_topk": topk.ORACLE, "op10_quality": quality.ORACLE}
+ORACLE: dict[str, str] = {"op2_chat_format": CHAT_ORACLE, "op3_exact_topk": topk.ORACLE, "op10_quality": quality.ORACLE, "op12_clusters": clusters.oracle()}
