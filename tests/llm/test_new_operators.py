@@ -194,7 +194,7 @@ def test_every_character_is_split_and_encoded_as_the_library_does(library):
 
 def test_words_equal_the_library(library):
     own, rng = word_bpe.load(PATH), random.Random(5)
-    alphabet = ["the", "ing", "ab", "Σ", "σς", "İ", "é", "é", "1", "'s", "'LL", "'", " ", "\n", "_", "你", "🙂", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "x" * 40, "ñ", "​", "\x00", "ǅ", "ß"]
+    alphabet = ["the", "ing", "ab", "Σ", "σς", "İ", "é", "é", "1", "'s", "'LL", "'", " ", "\n", "_", "你", "🙂", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "x" * 40, "ñ", "​", "\x00", "ǅ", "ß", "\x1c", "\u2028", "\x85", "\u1c89"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
     texts += ["".join(rng.choices("abcdefghij", k=3000)), "a" * 5000, "ab" * 4000, "=" * 3000, "你好世界" * 700]
     for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
@@ -207,7 +207,9 @@ def expected(library, text):
 
 
 @pytest.mark.parametrize("chars, bucket_words", [(1, 1), (500, 20), (16_000_000, 50_000)])
-def test_word_blocks_of_any_size(spark, odd_docs, no_docs, library, chars, bucket_words):
+def test_word_blocks_of_any_size(spark, odd_docs, no_docs, library, chars, bucket_words, monkeypatch):
+    if chars == 500:
+        monkeypatch.setattr(word_bpe, "PART_WORDS", 7)
     rows = word_bpe.encode(odd_docs.repartition(3), PATH, chars=chars, bucket_words=bucket_words)
     got = sorted((str(r["doc_id"]), r["n_tokens"], list(r["ids"]), r["ids_sha256"], r["text"]) for r in rows.collect())
     want = []
@@ -218,6 +220,15 @@ def test_word_blocks_of_any_size(spark, odd_docs, no_docs, library, chars, bucke
     assert word_bpe.encode(no_docs, PATH).count() == 0
 
 
+def test_texts_of_all_kinds_of_space(spark, library):
+    rng = random.Random(8)
+    alphabet = ["ab", "Σ", "İ", "é", "e\u0301", " \u0301", "1", "'s", " ", "\n", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u180e", "\u200b", "\ufeff", "<|endoftext|>", "<|end oftext|>", "\u1c89", "\x00"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (list(r["ids"]), r["ids_sha256"], r["text"]) for r in word_bpe.encode(df, PATH).collect()}
+    assert got == {k: expected(library, t) for k, t in enumerate(texts)}
+
+
 def test_decode_any_ids(spark, library):
     ids = [[320, 49407, 320], [], None, [49406], [5, 5, 5, 48000], [60000, 320], [320, None]]
     df = spark.createDataFrame([(k, x, "old", "p") for k, x in enumerate(ids)] + [(0, ids[0], "old", "p")], "doc_id long, ids array<int>, text string, piece string")

@@ -27,9 +27,14 @@ from pyspark.sql import functions as F
 from .common import materialize, numbered
 
 #: Characters after which a block of documents is closed: a task holds one block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
+#: Words after which a row of a block's documents ends.
+PART_WORDS = 250_000
 #: Entries of the blocks' word lists that a bucket of words takes, about so many.
 BUCKET_WORDS = 50_000
+#: What lies between white space, as tokenizers see it; Python's own split() cuts at these separators too.
+_BETWEEN = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SEPARATOR = re.compile(r"[\x1c-\x1f]")
 #: Symbols from which on a word's pairs are kept in a heap.
 LONG = 24
 _NO_RANK = 1 << 60
@@ -77,7 +82,10 @@ class WordVocabulary:
 
     def pieces(self) -> list[tuple[int, str]]:
         """(id, piece) of the whole vocabulary."""
-        return sorted((i, p) for p, i in (self.id | self.added).items())
+        found = sorted((i, p) for p, i in (self.id | self.added).items())
+        if [i for i, _ in found] != list(range(len(found))):
+            raise ValueError("the vocabulary's ids aren't 0, 1, ...")
+        return found
 
     def words(self, text: str) -> list[str]:
         """The words of a text; an added token stands for itself, and no word equals one."""
@@ -150,9 +158,9 @@ def _hash(word: str) -> int:
     return zlib.crc32(word.encode())
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Codes as compressed bytes, the low ones of all first."""
-    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers below 2 to the 32 as compressed bytes, the low ones of all first."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, n: int) -> np.ndarray:
@@ -160,94 +168,137 @@ def _unpack(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(n).astype(np.int64)
 
 
-_BLOCK = "block long, doc_ids array<long>, counts array<int>, codes binary, n_words long, words string"
+def _strung(words: list[str]) -> bytes:
+    return pa.compress(" ".join(words).encode(), codec="zstd", asbytes=True)
+
+
+def _unstrung(packed: bytes, size: int) -> list[str]:
+    return pa.decompress(packed, size, codec="zstd", asbytes=True).decode().split(" ")
+
+
+def _expand(codes: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of each code's list, lists lying in ``flat`` one after another, and how many each code has."""
+    first, many = np.cumsum(counts) - counts, counts[codes]
+    return flat[np.arange(int(many.sum())) + np.repeat(first[codes] - (np.cumsum(many) - many), many)], many
+
+
+#: Rows of a block: 0 its words, sorted by hash, and for each code its place among them; 1 bundles of their ids; 2 documents as codes.
+_WORDS, _IDS, _DOCS = 0, 1, 2
+_ROW = "block long, kind int, at long, doc_ids array<long>, counts binary, n long, codes binary, size long, words binary"
+_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("at", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("n", pa.int64()), ("codes", pa.binary()), ("size", pa.int64()), ("words", pa.binary())])
+
+
+def _row(*values: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW, strict=True)], schema=_ARROW)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, chars: int) -> Iterator[pa.RecordBatch]:
-    """A partition's documents as blocks; a block's words are sorted by their hash, and joined by the space that no word holds."""
+    """A partition's documents as blocks. A word has a code by its frequency in the block.
+
+    No word reaches across white space, so only the distinct strings between it are split into words.
+    """
     vocabulary, base, made = load(path), TaskContext.get().partitionId() << 32, 0
-    doc_ids, codes, places, held = [], [], _Places(), 0
-
-    def close() -> pa.RecordBatch:
-        words = list(places)
-        hashes = np.fromiter(map(_hash, words), np.int64, len(words))
-        order = np.lexsort((np.arange(len(words)), hashes))
-        new = np.zeros(len(words), np.int64)
-        new[order] = np.arange(len(words))
-        flat = new[np.concatenate(codes)] if words else np.zeros(0, np.int64)
-        columns = [[base + made], [doc_ids], [[len(c) for c in codes]], [_pack(flat)], [len(words)], [" ".join(words[i] for i in order.tolist())]]
-        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "doc_ids", "counts", "codes", "n_words", "words"])
 
+    def close() -> Iterator[pa.RecordBatch]:
+        places = _Places()
+        lists = [[places[w] for w in vocabulary.words(x)] for x in strings]
+        n_words, counts = len(places), np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((c for own in lists for c in own), np.int64, int(counts.sum()))
+        if n_words:
+            times = np.bincount(flat, np.repeat(np.bincount(np.concatenate(held), minlength=len(counts)), counts), n_words)
+            code = np.empty(n_words, np.int64)
+            code[np.argsort(-times, kind="stable")] = np.arange(n_words)
+            words = list(places)
+            by_hash = np.argsort(np.fromiter(map(_hash, words), np.int64, n_words), kind="stable")
+            place = np.empty(n_words, np.int64)
+            place[code[by_hash]] = np.arange(n_words)
+            sorted_words = [words[i] for i in by_hash.tolist()]
+            size = sum(len(w.encode()) for w in sorted_words) + n_words - 1
+            yield _row(base + made, _WORDS, 0, None, None, n_words, _pack(place), size, _strung(sorted_words))
+            flat = code[flat]
+        at, part, n = 0, [], 0
+        for k, own in enumerate(held):
+            codes, _ = _expand(own, flat, counts)
+            part.append(codes)
+            n += len(codes)
+            if n >= PART_WORDS or k == len(held) - 1:
+                yield _row(base + made, _DOCS, at, doc_ids[at : k + 1], _pack(np.array([len(c) for c in part])), n, _pack(np.concatenate(part)), len(part), None)
+                at, part, n = k + 1, [], 0
+
+    strings, doc_ids, held, size = _Places(), [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = vocabulary.words(text.as_py() or "")
+            text = text.as_py() or ""
+            own = _BETWEEN.findall(text) if _SEPARATOR.search(text) else text.split()
             doc_ids.append(doc_id)
-            codes.append(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
-            held += len(text.as_py() or "")
-            if held >= chars:
-                yield close()
+            held.append(np.fromiter(map(strings.__getitem__, own), np.int32, len(own)))
+            size += len(text)
+            if size >= chars:
+                yield from close()
                 made += 1
-                doc_ids, codes, places, held = [], [], _Places(), 0
+                strings, doc_ids, held, size = _Places(), [], [], 0
     if doc_ids:
-        yield close()
+        yield from close()
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Each block's words by bucket: a range of hashes, so a bucket's words follow one another in the block's list."""
     for batch in batches:
-        for block, joined in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = joined.split(" ")
+        for row in batch.to_pylist():
+            words = _unstrung(row["words"], row["size"])
             bucket = np.fromiter(map(_hash, words), np.int64, len(words)) * buckets >> 32
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            parts = [" ".join(words[a:b]) for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(bucket[starts], pa.int64()), pa.array(parts, pa.string())], names=["block", "bucket", "words"])
+            parts = [words[a:b] for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]
+            sizes = [sum(len(w.encode()) for w in own) + len(own) - 1 for own in parts]
+            columns = [pa.array([row["block"]] * len(parts), pa.int64()), pa.array(bucket[starts], pa.int64()), pa.array(sizes, pa.int64()), pa.array(map(_strung, parts), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "size", "words"])
 
 
 def _encode_bundles(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Ids of each bundle's words. Bundles come sorted by bucket, and a word has one bucket, so each word is encoded once."""
     vocabulary, bucket, known = load(path), None, {}
     for batch in batches:
-        ids, counts = [], []
-        for own, joined in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if own != bucket:
-                bucket, known = own, {}
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket:
+                bucket, known = row["bucket"], {}
             found = []
-            for word in joined.split(" "):
+            for word in _unstrung(row["words"], row["size"]):
                 if word not in known:
                     known[word] = vocabulary.encode(word)
                 found.append(known[word])
-            ids.append([i for x in found for i in x])
-            counts.append(list(map(len, found)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["block", "bucket", "ids", "counts"])
+            ids, counts = np.array([i for x in found for i in x]), np.array(list(map(len, found)))
+            yield _row(row["block"], _IDS, bucket, None, _pack(counts), len(ids), _pack(ids), len(found), None)
 
 
 _OUT = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, text string"
+_OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("text", pa.string())])
 
 
-def _in_place(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-    """One block with its words' ids: each document's ids by position, and their pieces."""
-    answers = answers.sort_by("bucket")
-    flat = answers["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = answers["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.cumsum(counts) - counts
-    out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "ids_sha256": [], "text": []}
-    for row in blocks.to_pylist():
-        codes = _unpack(row["codes"], sum(row["counts"]))
-        many = counts[codes]
-        ends = np.cumsum(many)
-        ids = flat[np.arange(int(many.sum())) + np.repeat(first[codes] - (ends - many), many)].astype("<u4")
-        piece = {p["id"]: p["piece"] for p in row["pieces"] or ()}
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(row["counts"])]).astype(np.int64)]
-        for doc_id, a, b in zip(row["doc_ids"], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            own = ids[a:b]
-            out["doc_id"].append(doc_id)
-            out["n_tokens"].append(b - a)
-            out["ids"].append(own.astype(np.int32))
-            out["ids_sha256"].append(hashlib.sha256(own.tobytes()).hexdigest())
-            out["text"].append(" ".join(map(piece.__getitem__, own.tolist())))
-    types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string())
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+def _in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks one after another, first a block's ids, then its documents: each document's ids by position, and their pieces."""
+    block, place, pieces, bundles, table = None, None, [], [], None
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = {name: column[at] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+            kind, n, size = row["kind"].as_py(), row["n"].as_py(), row["size"].as_py()
+            if row["block"].as_py() != block:
+                block, place, pieces, bundles, table = row["block"].as_py(), np.zeros(0, np.int64), [], [], None
+            if kind == _WORDS:
+                place, pieces = _unpack(row["codes"].as_py(), n), row["pieces"].as_py()
+            elif kind == _IDS:
+                bundles.append((_unpack(row["codes"].as_py(), n), _unpack(row["counts"].as_py(), size)))
+            else:
+                if table is None:
+                    ids, counts = (np.concatenate(x) for x in zip(*bundles, strict=True)) if bundles else (np.zeros(0, np.int64),) * 2
+                    table, bundles = (ids.astype(np.int32), counts), []
+                ids, many = _expand(place[_unpack(row["codes"].as_py(), n)], *table)
+                ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(_unpack(row["counts"].as_py(), size))])]
+                out = []
+                for doc_id, a, b in zip(row["doc_ids"].as_py(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    own = ids[a:b]
+                    out.append((doc_id, b - a, own, hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), " ".join(map(pieces.__getitem__, own.tolist()))))
+                for k in range(0, len(out), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[k : k + 256], strict=True), _OUT_ARROW, strict=True)], schema=_OUT_ARROW)
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -261,22 +312,19 @@ def encode(docs: DataFrame, path: str, chars: int = BLOCK_CHARS, bucket_words: i
     Null and empty texts have no ids and an empty text; every row gives one row, repeated rows and null ids of
     documents too; other columns are ignored; an empty table gives an empty result. The digest is of the ids as
     little-endian unsigned 32-bit integers. The text is decoded from the ids, through the pieces that each
-    block's ids are joined with, in the exchange that brings the ids back; ``decode`` does the same for any ids.
+    block is joined with, where the ids come back, so that ids aren't shuffled again; ``decode`` is for any ids.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    blocks = materialize(rows.mapInArrow(partial(_blocks, path=path, chars=chars), _BLOCK))
-    listed = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    blocks = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_blocks, path=path, chars=chars), _ROW))
+    words = blocks.where(F.col("kind") == _WORDS)
+    listed = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = min(1 << 30, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-listed // bucket_words)))
-    bundles = blocks.where("n_words > 0").select("block", "words").mapInArrow(partial(_bundles, buckets=buckets), "block long, bucket long, words string")
-    answers = materialize(
-        bundles.repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(partial(_encode_bundles, path=path), "block long, bucket long, ids array<int>, counts array<int>")
-    )
-    used = answers.select("block", F.explode(F.array_distinct("ids")).alias("id")).distinct()
-    pieces = used.join(F.broadcast(piece_table(spark, path)), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))  # a vocabulary at most
-    whole = blocks.select("block", "doc_ids", "counts", "codes").join(pieces, "block", "left")
-    return whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_in_place, _OUT)
+    bundles = words.select("block", "size", "words").mapInArrow(partial(_bundles, buckets=buckets), "block long, bucket long, size long, words binary")
+    encoded = bundles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_encode_bundles, path=path), _ROW)
+    vocabulary = piece_table(spark, path).agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("_p"))
+    pieces = vocabulary.select(F.lit(_WORDS).alias("kind"), F.transform("_p", lambda p: p["piece"]).alias("pieces"))
+    whole = blocks.unionByName(encoded).drop("words").join(F.broadcast(pieces), "kind", "left")  # one row, as large as the vocabulary
+    return whole.repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(_in_place, _OUT)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
