@@ -19,13 +19,13 @@ def simulate_admission(requests, stock, buyers, reservations):
     stock, buyers = dict(stock), set(buyers)
     held = {o: (s, u, state) for o, s, u, state in reservations}
     active = {(s, u): o for o, s, u, state in reservations if state in ("PENDING", "CONFIRMED")}
-    out = []
+    out, fresh = [], set()
     for _, o, s, u in sorted(requests):
         if o in held and held[o][:2] != (s, u):
             out.append((o, None, "ERROR", "COLLISION"))
         elif (s, u) in active:
             own = active[s, u]
-            out.append((o, own, "ADMITTED" if own == o and o not in held else "RETRY", None))
+            out.append((o, own, "ADMITTED" if own == o and o in fresh else "RETRY", None))
         elif o in held:
             out.append((o, None, "ERROR", "ID_REUSED"))
         elif (s, u) in buyers or s not in stock:
@@ -37,6 +37,8 @@ def simulate_admission(requests, stock, buyers, reservations):
         else:
             stock[s] -= 1
             active[s, u] = o
+            held[o] = (s, u, "PENDING")
+            fresh.add(o)
             out.append((o, o, "ADMITTED", None))
     return sorted(out, key=str)
 
@@ -57,6 +59,136 @@ def test_admission_equals_a_simulation(spark):
         assert rows(got.select("order_id", "result_order_id", "result", "err")) == want
 
 
+def test_admission_of_repeated_order_ids(spark):
+    rnd = random.Random(4)
+    for n_ids, n_rows in ((40, 150), (7, 120), (1, 60)):
+        requests = [(i, rnd.randrange(n_ids), rnd.randrange(1, 7), rnd.randrange(1, 9)) for i in range(n_rows)]
+        stock = [(1, 3), (2, 1), (3, None), (4, 50), (5, 2)]
+        buyers, reservations = [(1, 2), (4, 4)], [(0, 1, 5, "CANCELLED"), (3, 2, 2, "CONFIRMED"), (4, 4, 3, "PENDING")]
+        got = orders.admit(
+            spark.createDataFrame(requests, "arrival long, order_id long, sku_id long, user_id long"), spark.createDataFrame(stock, "sku_id long, stock long"),
+            spark.createDataFrame(buyers, "sku_id long, user_id long"), spark.createDataFrame(reservations, "order_id long, sku_id long, user_id long, state string"),
+        )
+        assert rows(got.select("order_id", "result_order_id", "result", "err")) == simulate_admission(requests, stock, buyers, reservations)
+
+
+def test_an_order_id_has_one_buyer(spark):
+    # 7 is asked for by two buyers of an item, 8 for two items; the unit of a collision goes to the next buyer, and its own may ask again.
+    requests = [(1, 7, 1, 11), (2, 7, 1, 12), (3, 8, 1, 13), (4, 8, 2, 13), (5, 9, 2, 14), (6, 10, 1, 12), (7, 11, 2, 13)]
+    r = spark.createDataFrame(requests, "arrival long, order_id long, sku_id long, user_id long")
+    none = r.where("false")
+    got = orders.admit_rows(r, spark.createDataFrame([(1, 3), (2, 1)], "sku_id long, stock long"), none.select("sku_id", "user_id"), none.selectExpr("order_id", "sku_id", "user_id", "'' as state"))
+    assert sorted((x["order_id"], x["sku_id"], x["user_id"], x["result"], x["err"]) for x in got.collect()) == [
+        (7, 1, 11, "ADMITTED", None), (7, 1, 12, "ERROR", "COLLISION"), (8, 1, 13, "ADMITTED", None), (8, 2, 13, "ERROR", "COLLISION"), (9, 2, 14, "ADMITTED", None),
+        (10, 1, 12, "ADMITTED", None), (11, 2, 13, "REJECTED", None),
+    ]
+
+
+def simulate_flow(events, stock, buyers, reservations):
+    """Requests and outcomes one after another, by the rules of both scripts."""
+    stock, marks = dict(stock), set(buyers)
+    held = {o: [(s, u), state, keep] for o, s, u, state, keep in reservations}
+    mapped = {}
+    for o, s, u, state, _ in sorted(reservations, key=lambda r: r[0]):
+        if state in ("PENDING", "CONFIRMED"):
+            mapped[s, u] = o
+    out = []
+    for at, kind, o, s, u, status, keep in sorted(events):
+        bad = s not in stock or stock[s] is None or stock[s] < 0
+
+        def request(o=o, s=s, u=u, bad=bad):
+            if o in held and held[o][0] != (s, u):
+                return None, "COLLISION"
+            if (s, u) in mapped:
+                return mapped[s, u], "RETRY"
+            if o in held:
+                return None, "ID_REUSED"
+            if (s, u) in marks or s not in stock:
+                return None, "REJECTED"
+            if bad:
+                return None, "BAD_STOCK"
+            if not stock[s]:
+                return None, "REJECTED"
+            stock[s] -= 1
+            marks.add((s, u))
+            mapped[s, u], held[o] = o, [(s, u), "PENDING", None]
+            return o, "ADMITTED"
+
+        def outcome(o=o, s=s, u=u, bad=bad, status=status, keep=keep):
+            if o not in held:
+                return "NO_RESERVATION"
+            own, state, kept = held[o]
+            if own != (s, u):
+                return "OWNER_MISMATCH"
+            if state != "PENDING":
+                return "UNCHANGED" if state == status and (status == "CONFIRMED" or kept == keep) else "STATE_CONFLICT"
+            if mapped.get((s, u)) != o:
+                return "BUYER_ORDER_LOST"
+            if status == "CANCELLED":
+                if bad:
+                    return "STOCK_ERROR"
+                stock[s] += 1
+                del mapped[s, u]
+                held[o][2] = keep
+                marks.discard((s, u))
+                if keep:
+                    marks.add((s, u))
+            held[o][1] = status
+            return "APPLIED"
+
+        won, say = request() if kind == "REQUEST" else (None, outcome())
+        fine = say in ("ADMITTED", "RETRY", "REJECTED", "APPLIED", "UNCHANGED")
+        out.append((at, won, say if fine else "ERROR", None if fine else say))
+    return sorted(out, key=str)
+
+
+EVENT = "arrival long, kind string, order_id long, sku_id long, user_id long, status string, keep_buyer boolean"
+
+
+def flow(spark, events, stock, buyers, reservations, blocks):
+    return orders.stock_flow(
+        spark.createDataFrame(events, EVENT), spark.createDataFrame(stock, "sku_id long, stock long"), spark.createDataFrame(buyers, "sku_id long, user_id long"), spark.createDataFrame(reservations, HELD), blocks
+    )
+
+
+def test_stock_flow_equals_a_simulation(spark):
+    rnd = random.Random(12)
+    for n_skus, n_users, n_ids, n_rows in ((3, 6, 60, 150), (1, 30, 200, 150)):
+        events, asked = [], []
+        for at in range(n_rows):
+            if asked and rnd.random() < 0.45:
+                o, s, u = rnd.choice(asked[-25:])
+                if rnd.random() < 0.05:
+                    u += 1
+                events.append((at, "OUTCOME", o, s, u, rnd.choice(["CANCELLED", "CANCELLED", "CONFIRMED"]), rnd.random() < 0.2))
+            else:
+                o, s, u = rnd.randrange(10, 10 + n_ids), rnd.randrange(1, n_skus + 1), rnd.randrange(1, n_users)
+                asked.append((o, s, u))
+                events.append((at, "REQUEST", o, s, u, None, None))
+        stock = [(1, 2), (2, 1), (3, None)][:n_skus]
+        buyers, reservations = [(1, 2)], [(1, 1, 1, "PENDING", None), (2, 2, 2, "CANCELLED", True), (3, 1, 4, "CONFIRMED", None)]
+        events += [(n_rows, "OUTCOME", 1, 1, 1, "CANCELLED", False), (n_rows + 1, "OUTCOME", 2, 2, 2, "CANCELLED", True), (n_rows + 2, "REQUEST", 2, 2, 2, None, None)]
+        want = simulate_flow(events, stock, buyers, reservations)
+        assert {r[2] for r in want} == {"ADMITTED", "RETRY", "REJECTED", "APPLIED", "UNCHANGED", "ERROR"}
+        got = flow(spark, events, stock, buyers, reservations, 5)
+        assert rows(got.select("arrival", "result_order_id", "result", "err")) == want
+
+
+def test_stock_flow_deals_a_hot_item_over_blocks(spark):
+    events = [(k, "REQUEST", k + 1, 1, k + 1, None, None) if k % 2 == 0 or k < 20 else (k, "OUTCOME", k - 18, 1, k - 18, "CANCELLED", False) for k in range(200)]
+    got = flow(spark, events, [(1, 5)], [], [], 16).cache()
+    assert rows(got.select("arrival", "result_order_id", "result", "err")) == simulate_flow(events, [(1, 5)], [], [])
+    assert flow(spark, events[:1], [(1, 5)], [], [], 4).count() == 1
+    df = spark.createDataFrame([(1, k, -1 if k % 3 else 1) for k in range(1000)], "sku_id long, arrival long, _move long")
+    dealt = df.withColumn("_block", (F.col("arrival") / 100).cast("int"))
+    units, want = orders.units_before(dealt, spark.createDataFrame([(1, 4)], "sku_id long, stock long")), []
+    left = 4
+    for k in range(1000):
+        want.append((k, left))
+        left = max(0, left - 1) if k % 3 else left + 1
+    assert sorted(tuple(r) for r in units.select("arrival", "_units").collect()) == want
+
+
 def test_admission_cap(spark):
     requests = spark.createDataFrame([(i, i + 1, 1, i + 1) for i in range(10)], "arrival long, order_id long, sku_id long, user_id long")
     none = requests.where("false")
@@ -67,16 +199,19 @@ def test_admission_cap(spark):
 def test_decision_equals_a_simulation(spark):
     rnd = random.Random(3)
     msgs = [(100 + i, rnd.randrange(1, 6), rnd.randrange(1, 9)) for i in range(100)] + [(1, 1, 1), (2, 2, 2), (3, 9, 9)]
+    msgs += [(110, 1, 1), (110, 5, 8), (2, 2, 3), (1, 2, 1)] + [m for m in msgs[20:30]]  # other payloads, and equal messages
     placed = [(1, 1, 1), (50, 2, 5), (3, 4, 4)]
     said = [(2, 2, 2, "CANCELLED", False), (101, 77, 77, "CONFIRMED", True), (102, *msgs[2][1:], "PROCESSING", False)]
     stock = {1: 2, 2: 5, 3: 0, 4: 3}
     left, owner, out = dict(stock), {(s, u): o for o, s, u in placed}, []
-    for o, s, u in sorted(msgs):
+    for o, s, u in sorted(set(msgs)):
         old = next((x for x in said if x[0] == o), None)
         same = next((x for x in placed if x[0] == o), None)
         final = old and old[3] in ("CONFIRMED", "CANCELLED")
         if old and old[1:3] != (s, u) or not final and same and same[1:] != (s, u):
             out.append((o, s, u, None, None, "PAYLOAD_CONFLICT"))
+        elif not old and not same and any(m[0] == o and m[1:] < (s, u) for m in msgs):
+            out.append((o, s, u, None, None, "PAYLOAD_CONFLICT"))
         elif final:
             out.append((o, s, u, old[3], old[4], None))
         elif same:

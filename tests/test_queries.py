@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftline.plans import queries, streams  # noqa: F401
+from weftline.plans import contested, queries, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.folders import stored
 from weftline.functions.scalars import positive_id
 
 LONG_MAX = 2**63 - 1
@@ -74,7 +77,9 @@ def admit(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reservations
     Requests: arrival, order_id, sku_id, user_id; stock: sku_id, stock (a malformed one is null or
     negative); buyers: sku_id, user_id; reservations: order_id, sku_id, user_id, state. In a batch
     stock only falls, so only a user's first request for an item can win: those are ranked by arrival
-    and win while the rank is within the stock. Only candidates are ranked, at most one row per user.
+    and win while the rank is within the stock. Only candidates are ranked, at most one row per user. An order
+    id belongs to its first request that is admitted; later requests under it for another item or buyer are a
+    COLLISION, take no unit and leave their buyers free to ask again. ``stock_flow`` takes units that come back, too.
     """
     return admit_rows(requests, stock, buyers, reservations, cap, pending).select("order_id", "result_order_id", "result", "err")
 
@@ -94,11 +99,25 @@ def admit_rows(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reserva
         .when(F.coalesce(F.col("_stock") < 0, F.lit(True)), "BAD_STOCK").when(F.col("_stock") == 0, "REJECTED")
     )
     rows = rows.withColumn("_early", early)
-    winners = _winners(rows.where("_early is null"), _most(stock), "arrival", "order_id").select("sku_id", "user_id", F.col("order_id").alias("_won"), "arrival")
-    if cap < LONG_MAX:
-        winners = winners.orderBy("arrival", "_won").limit(max(0, cap - pending))
-    all_rows = rows.join(winners.drop("arrival"), ["sku_id", "user_id"], "left")
+    most = _most(stock)
+
+    def win(candidates: DataFrame) -> DataFrame:
+        won = _winners(candidates, most, *PLACE).select(*PLACE)
+        return won.orderBy(*PLACE).limit(max(0, cap - pending)) if cap < LONG_MAX else won
+
+    several = r.distinct().groupBy("order_id").agg(F.count_distinct(F.struct("sku_id", "user_id")).alias("_n")).where("_n > 1").select("order_id")
+    several = stored(several)
+    if several.isEmpty():
+        winners, owners = win(rows.where("_early is null")), None
+    else:
+        winners, owners = _settle(rows.where("_early is null"), several, win)
+    all_rows = rows.join(winners.select("sku_id", "user_id", F.col("order_id").alias("_won")), ["sku_id", "user_id"], "left")
     e, won = F.col("_early"), F.col("_won")
+    if owners is not None:
+        all_rows = all_rows.join(owners, "order_id", "left")
+        e = F.when(_after_owner(), "COLLISION").otherwise(e)
+        all_rows = all_rows.withColumn("_early", e).drop("_owner")
+        e = F.col("_early")
     errors = e.isin("COLLISION", "ID_REUSED", "BAD_STOCK")
     result = F.when(errors, "ERROR").when(e.isNotNull(), e).when(won == F.col("order_id"), "ADMITTED").when(won.isNotNull(), "RETRY").otherwise("REJECTED")
     return all_rows.select(
@@ -106,26 +125,60 @@ def admit_rows(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reserva
     )
 
 
+#: The order of requests of a batch.
+PLACE = ("arrival", "order_id", "sku_id", "user_id")
+
+
+def _after_owner() -> Column:
+    """Whether a row comes after ``_owner``, the admitted request of its order id, and is of another buyer or item."""
+    here = F.struct("arrival", "sku_id", "user_id")
+    other = (F.col("_owner.sku_id") != F.col("sku_id")) | (F.col("_owner.user_id") != F.col("user_id"))
+    return F.coalesce(other & (here > F.col("_owner")), F.lit(False))
+
+
+def _settle(candidates: DataFrame, several: DataFrame, win: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The winners where some order ids (``several``) stand for several buyers or items, and each such id's admitted request.
+
+    The first winner of an id keeps it, and the other requests after it go. That frees units and turns for later
+    ones only, so a winner stays one or loses its id to an earlier winner, and what has gone never comes
+    back: the rounds end, with what one request after another would give.
+    """
+    candidates = stored(candidates.select(*PLACE, "_stock"))
+    gone = candidates.select(*PLACE).where("false")
+    while True:
+        winners = stored(win(candidates.join(gone, list(PLACE), "left_anti")))
+        owners = winners.join(several, "order_id", "left_semi").groupBy("order_id").agg(F.min(F.struct("arrival", "sku_id", "user_id")).alias("_owner"))
+        lost = candidates.join(owners, "order_id").where(_after_owner()).select(*PLACE).distinct()
+        more = stored(lost.join(gone, list(PLACE), "left_anti"))
+        if more.isEmpty():
+            return winners, owners
+        gone = gone.unionByName(more)
+
+
 def decide(msgs: DataFrame, orders: DataFrame, outcomes: DataFrame, sku: DataFrame) -> DataFrame:
     """Decisions of order messages in order of their ids: ``order_id, sku_id, user_id, status, keep_buyer, err``.
 
     A stored final outcome is repeated; an order of the same id confirms; another order of the user for
-    the item cancels and keeps the buyer; without stock it is cancelled; else it is confirmed.
+    the item cancels and keeps the buyer; without stock it is cancelled; else it is confirmed. Equal messages are one. Of
+    an id's different ones the first by item and buyer counts, where nothing stored says which; each other one is a PAYLOAD_CONFLICT.
     """
-    m = msgs.select("order_id", "sku_id", "user_id").dropDuplicates(["order_id"])
+    payload = F.struct("sku_id", "user_id")
+    m = msgs.select("order_id", "sku_id", "user_id").distinct()
+    first = m.groupBy("order_id").agg(F.min(payload).alias("_first"))
     said = outcomes.select("order_id", F.col("sku_id").alias("_osku"), F.col("user_id").alias("_ouser"), F.col("status").alias("_ostatus"), F.col("keep_buyer").alias("_okeep"))
     same = orders.select(F.col("id").alias("order_id"), F.col("sku_id").alias("_ssku"), F.col("user_id").alias("_suser"))
     prior = orders.groupBy("sku_id", "user_id").agg(F.min("id").alias("_prior"))
     left = sku.select(F.col("id").alias("sku_id"), F.col("stock").alias("_stock"))
-    rows = m.join(said, "order_id", "left").join(same, "order_id", "left").join(prior, ["sku_id", "user_id"], "left").join(left, "sku_id", "left")
+    rows = m.join(first, "order_id").join(said, "order_id", "left").join(same, "order_id", "left").join(prior, ["sku_id", "user_id"], "left").join(left, "sku_id", "left")
 
     def differs(a: str, b: str) -> Column:
         return F.col(a).isNotNull() & ((F.col(a) != F.col("sku_id")) | (F.col(b) != F.col("user_id")))
 
     final = F.col("_ostatus").isin("CONFIRMED", "CANCELLED")
+    known = F.col("_osku").isNotNull() | F.col("_ssku").isNotNull()
     early = (
         F.when(differs("_osku", "_ouser") | (~F.coalesce(final, F.lit(False)) & differs("_ssku", "_suser")), "ERROR")
-        .when(final, "STORED").when(F.col("_ssku").isNotNull(), "SAME").when(F.col("_prior").isNotNull(), "PRIOR")
+        .when(final, "STORED").when(F.col("_ssku").isNotNull(), "SAME").when(~known & (payload != F.col("_first")), "ERROR").when(F.col("_prior").isNotNull(), "PRIOR")
         .when(F.coalesce(F.col("_stock"), F.lit(0)) <= 0, "EMPTY")
     )
     rows = rows.withColumn("_early", early)
@@ -138,6 +191,104 @@ def decide(msgs: DataFrame, orders: DataFrame, outcomes: DataFrame, sku: DataFra
     )
 
 
+#: Stocks nearer to the 64-bit limit than this are malformed for ``stock_flow``, which counts units back in.
+ROOM = 1 << 40
+
+
+def units_before(events: DataFrame, stock: DataFrame, block: str = "_block") -> DataFrame:
+    """``events`` (sku_id, arrival, _move, a block number that rises with arrival) with ``_units``: the item's units before each event.
+
+    A move of -1 takes a unit where there is one, +1 gives one back, 0 does nothing. Each event is a map of the stock
+    of the form s -> max(s + a, b), and so are all events of a block together: blocks are summed up by
+    themselves, their sums run on over the item's blocks, and each event adds what its own block holds before it. So
+    an item's events are dealt over as many tasks as it has blocks.
+    """
+    here = Window.partitionBy("sku_id", block).orderBy("arrival")
+    local = events.withColumn("_sum", F.sum("_move").over(here)).withColumn("_low", F.min("_sum").over(here))
+    blocks = local.groupBy("sku_id", block).agg(F.sum("_move").alias("_total"), F.min("_low").alias("_least"))
+    past = Window.partitionBy("sku_id").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_total").over(past), F.lit(0)))
+    blocks = blocks.withColumn("_floor", F.min(F.col("_base") + F.col("_least")).over(past)).select("sku_id", block, "_base", "_floor")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    rows = local.withColumn("_prior", F.coalesce(F.sum("_move").over(before), F.lit(0))).withColumn("_dip", F.min("_sum").over(before)).join(blocks, ["sku_id", block])
+    least = F.least(F.col("_floor"), F.col("_base") + F.col("_dip"))  # nulls are passed over
+    left = stock.select("sku_id", F.col("stock").alias("_start"))
+    units = F.col("_base") + F.col("_prior") + F.greatest(F.col("_start"), -least)
+    return rows.join(left, "sku_id", "left").withColumn("_units", units).drop("_sum", "_low", "_prior", "_dip", "_base", "_floor", "_start")
+
+
+def stock_flow(events: DataFrame, stock: DataFrame, buyers: DataFrame, reservations: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Requests and outcomes of orders one after another: ``arrival, kind, order_id, sku_id, user_id, result_order_id, result, err``.
+
+    Events: arrival (unique), kind REQUEST or OUTCOME, order_id, sku_id, user_id, and an outcome's status and
+    keep_buyer. A request is admitted, repeated, rejected or an error as in ``admit``; an outcome is applied,
+    unchanged or an error as in ``completions``. A cancellation gives its unit back to the requests that follow, and
+    its buyer may ask again unless keep_buyer holds. Stocks null, negative or within ``ROOM`` of 64 bits are malformed.
+
+    Rounds start from a guess of which events take effect, and each decides every event by what earlier ones do in
+    the guess. A round is right for one event more than the guess at least, mostly for all whose forerunners it has right; the
+    rounds end when one changes nothing.
+    """
+    parts = blocks or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = F.col("kind") == "REQUEST"
+    e = events.select("arrival", "kind", "order_id", "sku_id", "user_id", "status", "keep_buyer").repartitionByRange(parts, "sku_id", "arrival").withColumn("_block", F.spark_partition_id())
+    stored_own = reservations.select("order_id", F.struct("sku_id", "user_id").alias("_held"), F.col("state").alias("_state"), F.col("keep_buyer").alias("_kept"))
+    open_ = buyer_orders(reservations).withColumnRenamed("order_id", "_open")
+    bought = buyers.select("sku_id", "user_id", F.lit(True).alias("_bought")).distinct()
+    units = stock.select("sku_id", F.col("stock").alias("_stock"), F.lit(True).alias("_has"))
+    e = e.join(stored_own, "order_id", "left").join(open_, ["sku_id", "user_id"], "left").join(bought, ["sku_id", "user_id"], "left").join(units, "sku_id", "left")
+    e = stored(e.withColumn("_bad", F.coalesce((F.col("_stock") < 0) | (F.col("_stock") > LONG_MAX - ROOM), F.lit(True))))
+    start = F.row_number().over(Window.partitionBy("sku_id", "user_id").orderBy("arrival"))
+    guess = stored(e.where(asked).withColumn("_n", start).where("_n = 1").select("arrival", F.lit("ADMITTED").alias("_did")))
+    while True:
+        new = stored(_flow_round(e, guess, stock.where((F.col("stock") >= 0) & (F.col("stock") <= LONG_MAX - ROOM))))
+        did = new.where("result in ('ADMITTED', 'APPLIED')").select("arrival", F.col("result").alias("_did"))
+        same = did.join(guess, ["arrival", "_did"], "full_outer").count() == did.join(guess, ["arrival", "_did"]).count()
+        if same:
+            return new
+        guess = did
+
+
+def _flow_round(events: DataFrame, guess: DataFrame, stock: DataFrame) -> DataFrame:
+    """What each event does, where those of ``guess`` (arrival, _did) took effect before it."""
+    asked, cancels = F.col("kind") == "REQUEST", F.col("status") == "CANCELLED"
+    payload = F.struct("sku_id", "user_id")
+    e = events.join(guess, "arrival", "left")
+    # An order has one reservation and one end: the first of each.
+    began = e.where(F.col("_did").isNotNull() & asked).groupBy("order_id").agg(F.min(F.struct("arrival", payload.alias("payload"))).alias("_began"))
+    ended = e.where(F.col("_did").isNotNull() & ~asked).groupBy("order_id").agg(F.min(F.struct("arrival", "status", "keep_buyer")).alias("_ended"))
+    e = e.join(began, "order_id", "left").join(ended, "order_id", "left")
+    after = lambda c: F.coalesce(F.col(f"{c}.arrival") < F.col("arrival"), F.lit(False))
+    held = F.when(F.col("_held").isNotNull(), F.col("_held")).when(after("_began"), F.col("_began.payload"))
+    state = F.when(after("_ended") & held.isNotNull(), F.col("_ended.status")).otherwise(F.coalesce("_state", F.lit("PENDING")))
+    kept = F.when(after("_ended") & (F.col("_ended.status") == "CANCELLED"), F.col("_ended.keep_buyer")).otherwise(F.col("_kept"))
+    # What the buyer's last effective event before left: an open order, or none and perhaps a mark.
+    turn = F.when(F.col("_did").isNotNull() & asked, F.struct(F.col("order_id").alias("open"), F.lit(True).alias("marked")))
+    turn = turn.when(F.col("_did").isNotNull() & cancels, F.struct(F.lit(None).cast("long").alias("open"), F.coalesce("keep_buyer", F.lit(False)).alias("marked")))
+    past = Window.partitionBy("sku_id", "user_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("_turn", F.last(turn, ignorenulls=True).over(past))
+    open_ = F.when(F.col("_turn").isNotNull(), F.col("_turn.open")).otherwise(F.col("_open"))
+    marked = F.when(F.col("_turn").isNotNull(), F.col("_turn.marked")).otherwise(F.coalesce("_bought", F.lit(False)))
+    e = e.withColumn("_h", held).withColumn("_s", state).withColumn("_k", kept).withColumn("_o", open_).withColumn("_m", marked)
+    foreign = F.col("_h").isNotNull() & (F.col("_h") != payload)
+    request = (
+        F.when(foreign, "COLLISION").when(F.col("_o").isNotNull(), "RETRY").when(F.col("_h").isNotNull(), "ID_REUSED")
+        .when(F.col("_m") | F.col("_has").isNull(), "REJECTED").when(F.col("_bad"), "BAD_STOCK")
+    )
+    again = (F.col("_s") == F.col("status")) & (~cancels | F.col("_k").eqNullSafe(F.col("keep_buyer")))
+    outcome = (
+        F.when(F.col("_h").isNull(), "NO_RESERVATION").when(foreign, "OWNER_MISMATCH").when(F.col("_s") != "PENDING", F.when(again, "UNCHANGED").otherwise("STATE_CONFLICT"))
+        .when(~F.col("_o").eqNullSafe(F.col("order_id")), "BUYER_ORDER_LOST").when(cancels & F.col("_bad"), "STOCK_ERROR").otherwise("APPLIED")
+    )
+    e = e.withColumn("_say", F.when(asked, request).otherwise(outcome))
+    takes, gives = asked & F.col("_say").isNull(), ~asked & cancels & (F.col("_say") == "APPLIED")
+    e = units_before(e.withColumn("_move", F.when(takes, -1).when(gives, 1).otherwise(0).cast("long")), stock)
+    say = F.coalesce("_say", F.when(F.col("_units") > 0, "ADMITTED").otherwise("REJECTED"))
+    errors = say.isin("COLLISION", "ID_REUSED", "BAD_STOCK", "NO_RESERVATION", "OWNER_MISMATCH", "STATE_CONFLICT", "BUYER_ORDER_LOST", "STOCK_ERROR")
+    own = F.when(say == "RETRY", F.col("_o")).when(say == "ADMITTED", F.col("order_id"))
+    return e.select("arrival", "kind", "order_id", "sku_id", "user_id", own.alias("result_order_id"), F.when(errors, "ERROR").otherwise(say).alias("result"), F.when(errors, say).alias("err"))
+
+
 def reservation_with_outcome(reservations: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Each outcome beside its reservation, with the reason why it can't be applied."""
     o = outcomes.select("order_id", F.col("sku_id").alias("o_sku_id"), F.col("user_id").alias("o_user_id"), "status", F.col("keep_buyer").alias("o_keep_buyer"))

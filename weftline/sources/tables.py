@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from weftline.folders import shared_folder  # noqa: F401  sources give their folders by it
 from weftline.functions.scalars import encode_payload
 from weftline.operators.orders import validate_orders
 from weftline.schemas import TABLES
@@ -16,15 +14,6 @@ from weftline.schemas import TABLES
 REQUIRED = ("event_id", "payload", "status", "retry_count", "event_type")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share, spark.checkpoint.dir. A local session without one (tests) gets its own."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{base or tempfile.mkdtemp(prefix='weftline-')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_table(spark: SparkSession, name: str, source: str | dict) -> DataFrame:
     """A table of the model: Parquet at a path, or JDBC options (with partitionColumn, lowerBound, upperBound, numPartitions for a parallel read)."""
     if isinstance(source, str):
