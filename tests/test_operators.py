@@ -352,20 +352,7 @@ def test_sources_and_streams(spark, tmp_path):
     assert [r["err"] for r in tables.to_outbox(tables.outbox_inserts(cdc)).collect()] == [None, "MISSING_EVENT_ID"]
     good, retry, dead = tables.with_quarantine(spark.createDataFrame([(None, 0), ("E", 1), ("E", 3)], "err string, attempt int"))
     assert (good.count(), retry.count(), dead.count()) == (1, 1, 1)
-    sku = spark.createDataFrame([(1, 2)], "id long, stock int")
-    for k, part in enumerate([[(1, 1, 1), (2, 1, 1)], [(3, 1, 2), (4, 1, 3), (1, 1, 1)]]):
-        spark.createDataFrame(part, "order_id long, sku_id long, user_id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema("order_id long, sku_id long, user_id long").parquet(f"{tmp_path}/in")
-        held = spark.createDataFrame([(i, 1, u, "PENDING", None) for i, u in ((1, 1), (3, 2), (4, 3))], HELD)
-        given = (held, held.where("user_id = 3").select("sku_id", "user_id"), sku.selectExpr("id as sku_id", "cast(stock as long) as stock"), orders.buyer_orders(held))
-        jobs.order_stream(stream, f"{tmp_path}/out", sku, *given, f"{tmp_path}/check").awaitTermination()
-        assert spark.read.parquet(f"{tmp_path}/out/decisions").select("batch").distinct().count() == k + 1
-    got = {(r["batch"], r["order_id"]): r["status"] for r in spark.read.parquet(f"{tmp_path}/out/decisions").collect()}
-    assert got == {(0, 1): "CONFIRMED", (0, 2): "CANCELLED", (1, 3): "CONFIRMED", (1, 4): "CANCELLED", (1, 1): "CONFIRMED"}
-    done = spark.read.parquet(f"{tmp_path}/out/completed")
-    assert {(r["batch"], r["order_id"]): (r["result"], r["redis_applied"]) for r in done.collect()} == {(0, 1): ("APPLIED", True), (0, 2): ("NO_RESERVATION", False), (1, 3): ("APPLIED", True), (1, 4): ("APPLIED", True), (1, 1): ("UNCHANGED", True)}
-    held, buyers, units, _ = orders.after_completions(*given, done)
-    assert rows(held.select("order_id", "state")) == [(1, "CONFIRMED"), (3, "CONFIRMED"), (4, "CANCELLED")] and buyers.count() == 0 and units.first()["stock"] == 3
+    spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 2), (4, 1, 3), (1, 1, 1)], "order_id long, sku_id long, user_id long").coalesce(1).write.parquet(f"{tmp_path}/in")
     tables.relay(spark.readStream.schema("order_id long, sku_id long, user_id long").parquet(f"{tmp_path}/in"), f"{tmp_path}/sent", f"{tmp_path}/check2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/sent").select("order_id").distinct().count() == 4
 
@@ -426,7 +413,35 @@ def test_admission_stream_equals_a_simulation(spark, tmp_path):
             spark.createDataFrame(part, "order_id long, sku_id long, user_id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
             stream = spark.readStream.schema("order_id long, sku_id long, user_id long").parquet(f"{tmp_path}/in")
             out = jobs.run_to_files(jobs.admission_stream(stream, *frames), f"{tmp_path}/out", f"{tmp_path}/check")
-    assert rows(out) == sorted(want, key=str)
+    assert rows(out.select("order_id", "sku_id", "user_id", "result_order_id", "result", "err")) == sorted(want, key=str)
+
+
+def test_admission_stream_takes_units_back(spark, tmp_path):
+    """Eight batches of requests and outcomes against the same one after another; an id under another item or buyer is a collision in any batch."""
+    rnd = random.Random(5)
+    stock, buyers = [(1, 2), (2, 3), (3, None), (4, 0)], [(1, 2)]
+    reservations = [(1, 1, 1, "PENDING", None), (2, 2, 2, "CANCELLED", True), (3, 1, 4, "CONFIRMED", None)]
+    events, asked = [], []
+    for at in range(160):
+        if asked and rnd.random() < 0.45:
+            events.append((at, "OUTCOME", *rnd.choice(asked[-25:]), rnd.choice(["CANCELLED", "CANCELLED", "CONFIRMED"]), rnd.random() < 0.2))
+        else:
+            asked.append((1000 + at, rnd.randrange(1, 6), rnd.randrange(1, 7)))
+            events.append((at, "REQUEST", *asked[-1], None, None))
+    events += [(160, "OUTCOME", 1, 1, 1, "CANCELLED", False), (161, "OUTCOME", 2, 2, 2, "CANCELLED", True), (162, "REQUEST", 2, 2, 2, None, None), (163, "REQUEST", 3, 2, 9, None, None)]
+    want = simulate_flow(events, stock, buyers, reservations)
+    frames = (spark.createDataFrame(stock, "sku_id long, stock long"), spark.createDataFrame(buyers, "sku_id long, user_id long"), spark.createDataFrame(reservations, HELD))
+    with jobs.state_store(spark):
+        for at in range(0, 164, 21):
+            spark.createDataFrame(events[at : at + 21], EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            out = jobs.run_to_files(jobs.admission_stream(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), *frames), f"{tmp_path}/out", f"{tmp_path}/check")
+    assert rows(out.select("arrival", "result_order_id", "result", "err")) == want
+    big = 2**62  # ids keep all their digits
+    spark.createDataFrame([(200, "REQUEST", big + 1, 2, big + 3, None, None), (201, "REQUEST", big + 1, 5, 1, None, None), (202, "REQUEST", big + 1, 2, big + 3, None, None)], EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with jobs.state_store(spark):
+        out = jobs.run_to_files(jobs.admission_stream(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), *frames), f"{tmp_path}/out", f"{tmp_path}/check")
+    last = sorted(tuple(r) for r in out.where("arrival >= 200").select("arrival", "order_id", "user_id", "result", "err").collect())
+    assert last[1][3:] == ("ERROR", "COLLISION") and last[0][:3] == (200, big + 1, big + 3) and last[2][3] in ("RETRY", "REJECTED")
 
 
 def test_redelivery_until_good_or_dead(spark, tmp_path):
@@ -444,21 +459,32 @@ def test_redelivery_until_good_or_dead(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/rest/dead").select("attempt").distinct().collect()[0][0] == 4
 
 
-def test_order_stream_keeps_its_results_when_batches_are_put_together(spark, tmp_path, monkeypatch):
-    """Seven batches with tables put together after every second one, against one batch of all."""
-    monkeypatch.setattr(jobs, "COMPACT", 2)
+def test_order_stream_equals_one_batch(spark, tmp_path):
+    """Four batches, with messages said again and ids under other buyers and items, against one batch of all first messages."""
     rnd = random.Random(4)
-    msgs = [(i, rnd.randrange(1, 4), rnd.randrange(1, 9)) for i in range(1, 71)]
+    msgs = [(i, rnd.randrange(1, 4), rnd.randrange(1, 9)) for i in range(1, 61)]
     schema = "order_id long, sku_id long, user_id long"
     sku = spark.createDataFrame([(1, 2), (2, 5)], "id long, stock int")
-    held = spark.createDataFrame([(*m, "PENDING", None) for m in msgs], HELD)
-    given = (held, held.where("user_id = 3").select("sku_id", "user_id").distinct(), sku.selectExpr("id as sku_id", "cast(stock as long) as stock"), orders.buyer_orders(held))
-    for at in range(0, 70, 10):
-        spark.createDataFrame(msgs[at : at + 10], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        jobs.order_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", sku, *given, f"{tmp_path}/check").awaitTermination()
+    held = spark.createDataFrame([(*m, "PENDING", None) for m in msgs if m[0] % 5] + [(5, 1, 99, "PENDING", None), (10, *msgs[9][1:], "CONFIRMED", True)], HELD)
+    stock, mapped = sku.selectExpr("id as sku_id", "cast(stock as long) as stock"), orders.buyer_orders(held)
+    seen = []
+    with jobs.state_store(spark):
+        for at in range(0, 60, 15):
+            part = msgs[at : at + 15] + [(msgs[3][0], 3, 50), (msgs[2][0], *msgs[2][1:])] * (at > 0)
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+            out = jobs.run_to_files(jobs.order_stream(stream, sku, held, stock, mapped), f"{tmp_path}/out", f"{tmp_path}/check")
+            seen.append(out.count())
     whole = orders.decide(spark.createDataFrame(msgs, schema), held.where("false").selectExpr("order_id as id", "sku_id", "user_id"), held.where("false").selectExpr("order_id", "sku_id", "user_id", "state as status", "keep_buyer"), sku)
-    assert rows(spark.read.parquet(f"{tmp_path}/out/decisions").drop("batch")) == rows(whole)
-    assert rows(spark.read.parquet(f"{tmp_path}/out/completed").select("order_id", "result")) == rows(orders.completions(held, given[2], given[3], whole).select("order_id", "result"))
+    assert seen == [15, 32, 49, 66]
+    assert rows(out.where("fresh").select("order_id", "sku_id", "user_id", "status", "keep_buyer", "err")) == rows(whole)
+    assert rows(out.where("fresh").select("order_id", "result")) == rows(orders.completions(held, stock, mapped, whole).select("order_id", "result"))
+    other = [tuple(r) for r in out.where("not fresh").select("order_id", "user_id", "status", "err").collect()]
+    first = out.where(f"fresh and order_id = {msgs[2][0]}").first()
+    assert sorted(other, key=str) == sorted([(msgs[3][0], 50, None, "PAYLOAD_CONFLICT"), (msgs[2][0], msgs[2][2], first["status"], None)] * 3, key=str)
+    sent = jobs.confirmed_rows(out)
+    assert {r["event_id"] for r in sent.collect()} == {r["order_id"] for r in whole.where("status = 'CONFIRMED'").collect()} and sent.count() == sent.select("event_id").distinct().count()
+    assert {(r["status"], r["retry_count"], r["event_type"]) for r in sent.collect()} == {(0, 0, "Order")}
 
 
 def test_recovery_puts_failures_off(spark):

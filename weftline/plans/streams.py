@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.fixtures import SQL as FIXTURES
 from weftline.functions import hooks
 from weftline.operators import memory, orders, retrieval
+from weftline.plans.contested import FLOWN, flow_tables
 from weftline.plans.queries import COUNTS, HAVE, VALID, VEC, Tables, _counts, _have, _stock, _vector_queries, query
 from weftline.sources import tables
 from weftline.streaming import jobs
@@ -52,29 +53,45 @@ cp as (select dc.*, case when rv.order_id is null then 'NO_RESERVATION' when mp.
   from dc left join rv using (order_id) left join mp on mp.sku_id = dc.sku_id and mp.user_id = dc.user_id left join sku on sku.id = dc.sku_id)"""
 
 
-def _order_run(t: Tables) -> tuple[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
-    """The folder of a finished order stream, and the tables that it began with."""
+def _order_run(t: Tables) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
+    """What an order stream decided, and the tables that it began with."""
     stream, folder = _order_stream(t, "orders")
     held = t.order_req.where("order_id % 7 <> 0").selectExpr("order_id", "sku_id", "user_id", "'PENDING' as state", "cast(null as boolean) as keep_buyer")
     given = (held, t.order_req.where("user_id % 2 = 0").select("sku_id", "user_id").distinct(), _stock(t), orders.buyer_orders(held))
-    jobs.order_stream(stream, f"{folder}/out", t.sku, *given, f"{folder}/check").awaitTermination()
-    return f"{folder}/out", given
+    with jobs.state_store(t.spark):
+        return jobs.run_to_files(jobs.order_stream(stream, t.sku, held, _stock(t), given[3]), f"{folder}/out", f"{folder}/check"), given
 
 
 @query("str3_order_stream", f"with {DECIDED} select * from dc")
 def _orders(t: Tables) -> DataFrame:
-    return _read(t, f"{_order_run(t)[0]}/decisions", "order_id long, sku_id long, user_id long, status string, keep_buyer boolean").drop("batch")
+    return _order_run(t)[0].select("order_id", "sku_id", "user_id", "status", "keep_buyer")
 
 
 @query("str3_completions", f"with {COMPLETIONS} select *, result = 'APPLIED' as redis_applied from cp")
 def _completions(t: Tables) -> DataFrame:
-    return _read(t, f"{_order_run(t)[0]}/completed", jobs.COMPLETED).drop("batch")
+    return _order_run(t)[0].drop("err", "fresh")
 
 
 @query("str3_stock", f"with {COMPLETIONS} select id as sku_id, cast(stock + coalesce(n, 0) as bigint) as stock from sku left join (select sku_id, count(*) as n from cp where result = 'APPLIED' and status = 'CANCELLED' group by sku_id) c on c.sku_id = id")
 def _stock_after(t: Tables) -> DataFrame:
-    out, given = _order_run(t)
-    return orders.after_completions(*given, _read(t, f"{out}/completed", jobs.COMPLETED))[2]
+    decided, given = _order_run(t)
+    return orders.after_completions(*given, decided)[2]
+
+
+@query("str3_outbox", f"""with {DECIDED} select order_id as event_id, '{{"event_id":' || order_id || ',"sku_id":' || sku_id || ',"user_id":' || user_id || '}}' as payload, 0 as status, 0 as retry_count, 'Order' as event_type from dc where status = 'CONFIRMED'""")
+def _order_outbox(t: Tables) -> DataFrame:
+    return jobs.confirmed_rows(_order_run(t)[0])
+
+
+@query("str2_stock_flow_stream", FLOWN)
+def _flow_stream(t: Tables) -> DataFrame:
+    """Requests and outcomes in three batches by arrival."""
+    events, stock, held = flow_tables(t)
+    cuts = events.approxQuantile("arrival", [1 / 3, 2 / 3], 0.01)
+    parts = [f"arrival <= {cuts[0]}", f"arrival > {cuts[0]} and arrival <= {cuts[1]}", f"arrival > {cuts[1]}"]
+    stream, folder = stream_of(t, [events.where(p) for p in parts], "flow")
+    with jobs.state_store(t.spark):
+        return jobs.run_to_files(jobs.admission_stream(stream, stock, held.select("sku_id", "user_id"), held), f"{folder}/out", f"{folder}/check")
 
 
 @query("snk1_relay", "select order_id, sku_id, user_id from order_req")

@@ -150,56 +150,152 @@ def earlier(spark: SparkSession, path: str, schema: str, number: int, fold: Call
     return fold(spark.read.schema(schema).parquet(*parts)) if parts else spark.createDataFrame([], schema)
 
 
-ADMITTED = "order_id long, sku_id long, user_id long, result_order_id long, result string, err string"
+EVENT = ("arrival", "kind", "order_id", "sku_id", "user_id", "status", "keep_buyer")
+_REGISTERED = "arrival long, kind string, order_id long, sku_id long, user_id long, status string, keep_buyer boolean, held_sku long, held_user long, held_state string, held_keep boolean, owner boolean"
+ADMITTED = "arrival long, kind string, order_id long, sku_id long, user_id long, result_order_id long, result string, err string"
+
+
+def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of a batch, one after another."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(["arrival", "order_id", "sku_id", "user_id"], kind="stable", ignore_index=True)
+
+
+#: Parts into which order ids are dealt: as many tasks at most find their owners. Fixed for the life of a stream.
+SLOTS = 512
+
+
+class OrderRegistry(StatefulProcessor):
+    """The order ids of one slot: each belongs to the item and buyer of the first request under it, or of its reservation from before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.owners = handle.getMapState("owners", "order_id long", "sku_id long, user_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = _sorted(rows)
+        asked = batch[batch["kind"] == "REQUEST"].drop_duplicates("order_id")
+        first = {int(o): (int(s), int(u)) for o, s, u in zip(asked["order_id"], asked["sku_id"], asked["user_id"], strict=True)}
+        once = batch.drop_duplicates("order_id")
+        own: dict[int, tuple[int, int] | None] = {}
+        for order, sku, user in zip(once["order_id"].tolist(), once["held_sku"].tolist(), once["held_user"].tolist(), strict=True):
+            found = self.owners.getValue((order,))
+            own[order] = (int(found[0]), int(found[1])) if found else (sku, user) if sku >= 0 else first.get(order)
+            if not found and own[order]:
+                self.owners.updateValue((order,), own[order])
+        owner = [own[o] is None or own[o] == (s, u) for o, s, u in zip(batch["order_id"].tolist(), batch["sku_id"].tolist(), batch["user_id"].tolist(), strict=True)]
+        batch["owner"] = pd.Series(owner, dtype=bool)
+        yield batch.drop(columns="slot")
+
+    def close(self) -> None:
+        pass
+
+
+def registered(events: DataFrame, reservations: DataFrame) -> DataFrame:
+    """A stream of orders' events (``EVENT``) with each order's stored reservation and whether its id belongs to the event's item and buyer.
+
+    The state is keyed by slots of order ids, in which each id of a batch is looked up by itself: one pair of numbers for each.
+    """
+    held = reservations.select("order_id", F.col("sku_id").alias("held_sku"), F.col("user_id").alias("held_user"), F.col("state").alias("held_state"), F.coalesce("keep_buyer", F.lit(False)).alias("held_keep"))
+    rows = events.select(*EVENT).join(held, "order_id", "left")
+    none = {"held_sku": -1, "held_user": -1, "held_state": "", "held_keep": False, "status": "", "keep_buyer": False}
+    rows = rows.select(*[F.coalesce(c, F.lit(none[c])).alias(c) if c in none else c for c in rows.columns])
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("order_id"), F.lit(SLOTS)))
+    return rows.groupBy("slot").transformWithStateInPandas(statefulProcessor=OrderRegistry(), outputStructType=_REGISTERED, outputMode="append", timeMode="none")
 
 
 class AdmissionState(StatefulProcessor):
-    """One item: the units left and the orders admitted, never more than its stock."""
+    """One item: the units left, each buyer's open order and mark, and each order's state. What a batch names is looked up, no more."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.left = handle.getValueState("left", "left long")
-        self.admitted = handle.getListState("admitted", "user_id long, order_id long")
+        self.buyers = handle.getMapState("buyers", "user_id long", "open long, marked boolean")
+        self.orders = handle.getMapState("orders", "order_id long", "state string, keep boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat([pdf[["order_id", "user_id", "units", "has_units", "bought"]] for pdf in rows], ignore_index=True).sort_values("order_id", kind="stable", ignore_index=True)
-        known = {int(user): int(order) for user, order in self.admitted.get()} if self.admitted.exists() else {}
-        stock, has = batch["units"].iloc[0], bool(batch["has_units"].iloc[0])
-        bad = has and (pd.isna(stock) or stock < 0)
-        left = int(self.left.get()[0]) if self.left.exists() else int(stock) if has and not bad else 0
-        owner = {order: user for user, order in known.items()}
-        other = batch["order_id"].map(owner)
-        collides = other.notna() & (other != batch["user_id"])
-        open_ = batch[~collides & ~batch["bought"] & ~batch["user_id"].isin(known.keys())]
-        new = open_.drop_duplicates("user_id").head(left)
-        fresh = dict(zip(new["user_id"].tolist(), new["order_id"].tolist(), strict=True))
-        won = batch["user_id"].map(known | fresh).astype("Int64")
-        first = (won == batch["order_id"]).fillna(False) & batch["user_id"].isin(fresh.keys())
-        result = np.select([collides, first, won.notna(), np.full(len(batch), bad) & ~batch["bought"]], ["ERROR", "ADMITTED", "RETRY", "ERROR"], "REJECTED")
-        err = np.select([collides, won.notna(), np.full(len(batch), bad) & ~batch["bought"]], ["COLLISION", "", "BAD_STOCK"], "")
-        if fresh or not self.left.exists():
-            self.left.update((left - len(fresh),))
-        if fresh:
-            self.admitted.appendList([(user, order) for user, order in fresh.items()])
-        yield pd.DataFrame({
-            "order_id": batch["order_id"], "sku_id": key[0], "user_id": batch["user_id"], "result_order_id": won.where(~collides), "result": result, "err": pd.Series(err).replace("", None),
-        })
+        batch = _sorted(rows)
+        units, has = int(batch["units"].iloc[0]), bool(batch["has_units"].iloc[0])
+        bad = units < 0
+        left = int(self.left.get()[0]) if self.left.exists() else max(units, 0)
+        buyers: dict[int, tuple[int, bool]] = {}
+        held: dict[int, tuple[str, bool] | None] = {}
+        changed_buyers, changed_orders, out = set(), set(), []
+        for row in batch.itertuples(index=False):
+            user, order = int(row.user_id), int(row.order_id)
+            if user not in buyers:
+                found = self.buyers.getValue((user,))
+                buyers[user] = tuple(found) if found else (int(row.open), bool(row.bought))
+            if order not in held:
+                found = self.orders.getValue((order,))
+                held[order] = tuple(found) if found else (row.held_state, bool(row.held_keep)) if row.held_state else None
+            (open_, marked), now, won = buyers[user], held[order], None
+            if row.kind == "REQUEST":
+                if not row.owner:
+                    say = "COLLISION"
+                elif open_ >= 0:
+                    say, won = "RETRY", open_
+                elif now:
+                    say = "ID_REUSED"
+                elif marked or not has:
+                    say = "REJECTED"
+                elif bad:
+                    say = "BAD_STOCK"
+                elif not left:
+                    say = "REJECTED"
+                else:
+                    say, won, left = "ADMITTED", order, left - 1
+                    buyers[user], held[order] = (order, True), ("PENDING", False)
+            elif not row.owner:
+                say = "OWNER_MISMATCH"
+            elif not now:
+                say = "NO_RESERVATION"
+            elif now[0] != "PENDING":
+                say = "UNCHANGED" if now[0] == row.status and (row.status != "CANCELLED" or now[1] == row.keep_buyer) else "STATE_CONFLICT"
+            elif open_ != order:
+                say = "BUYER_ORDER_LOST"
+            elif row.status == "CANCELLED" and (bad or not has or left >= orders.LONG_MAX):
+                say = "STOCK_ERROR"
+            else:
+                say, held[order] = "APPLIED", (row.status, bool(row.keep_buyer))
+                if row.status == "CANCELLED":
+                    left, buyers[user] = left + 1, (-1, bool(row.keep_buyer))
+            if say in ("ADMITTED", "APPLIED"):
+                changed_buyers.add(user)
+                changed_orders.add(order)
+            fine = say in ("ADMITTED", "APPLIED", "RETRY", "REJECTED", "UNCHANGED")
+            out.append((int(row.arrival), row.kind, order, key[0], user, won, say if fine else "ERROR", None if fine else say))
+        for user in changed_buyers:
+            self.buyers.updateValue((user,), buyers[user])
+        for order in changed_orders:
+            self.orders.updateValue((order,), held[order])
+        if changed_orders or not self.left.exists():
+            self.left.update((left,))
+        found = pd.DataFrame(out, columns=[c.split()[0] for c in ADMITTED.split(", ")])
+        found["result_order_id"] = found["result_order_id"].astype("Int64")
+        yield found
 
     def close(self) -> None:
         pass
 
 
-def admission_stream(requests: DataFrame, stock: DataFrame, buyers: DataFrame) -> DataFrame:
-    """Admit a stream of requests (order_id, sku_id, user_id), within a batch by order_id: the columns of ``ADMITTED``.
+def admission_stream(requests: DataFrame, stock: DataFrame, buyers: DataFrame, reservations: DataFrame | None = None) -> DataFrame:
+    """Admit a stream of requests (order_id, sku_id, user_id), within a batch by order_id or, where there is one, by arrival: the columns of ``ADMITTED``.
 
-    The state is keyed by item: its units left, and its admitted orders by buyer, so that a batch costs what it
-    holds and no more however many came before. ``stock`` (sku_id, stock) and ``buyers`` are those of the start. An
-    order id that an admitted order of the same item has for another buyer is an error. Needs ``STATE_STORE``.
+    With a column kind, events are those of ``orders.stock_flow``: outcomes end reservations, and a cancellation gives its unit
+    back. ``stock`` (sku_id, stock), ``buyers`` and ``reservations`` are those of the start. Two stages keep state: by order
+    id, whose first request owns it whether it is admitted or not, so that any other item or buyer under it is a COLLISION;
+    and by item, where buyers and orders are looked up one by one, so that a batch costs what it holds however many
+    came before. Needs ``STATE_STORE``.
     """
-    left = stock.select("sku_id", F.col("stock").cast("long").alias("units"), F.lit(True).alias("has_units"))
+    have = set(requests.columns)
+    fill = {"arrival": F.col("order_id"), "kind": F.lit("REQUEST"), "status": F.lit(None).cast("string"), "keep_buyer": F.lit(None).cast("boolean")}
+    events = requests.select(*[c if c in have else fill[c].alias(c) for c in EVENT])
+    if reservations is None:
+        reservations = stock.where("false").select(F.col("sku_id").alias("order_id"), "sku_id", F.col("sku_id").alias("user_id"), F.lit("").alias("state"), F.lit(False).alias("keep_buyer"))
+    left = stock.select("sku_id", F.coalesce(F.col("stock").cast("long"), F.lit(-1)).alias("units"), F.lit(True).alias("has_units"))
     bought = buyers.select("sku_id", "user_id", F.lit(True).alias("bought")).distinct()
-    rows = requests.select("order_id", "sku_id", "user_id").join(left, "sku_id", "left").join(bought, ["sku_id", "user_id"], "left")
-    no = F.lit(False)
-    rows = rows.select("sku_id", "order_id", "user_id", "units", F.coalesce("has_units", no).alias("has_units"), F.coalesce("bought", no).alias("bought"))
+    open_ = orders.buyer_orders(reservations).withColumnRenamed("order_id", "open")
+    rows = registered(events, reservations).join(left, "sku_id", "left").join(bought, ["sku_id", "user_id"], "left").join(open_, ["sku_id", "user_id"], "left")
+    none = {"units": 0, "has_units": False, "bought": False, "open": -1}
+    rows = rows.select(*[F.coalesce(c, F.lit(none[c])).alias(c) if c in none else c for c in rows.columns])
     return rows.groupBy("sku_id").transformWithStateInPandas(statefulProcessor=AdmissionState(), outputStructType=ADMITTED, outputMode="append", timeMode="none")
 
 
@@ -233,33 +329,92 @@ def redeliver_rest(spark: SparkSession, schema: str, process: Callable[[DataFram
         redeliver(none, process, rest, number, attempts)
 
 
-DECISIONS = "order_id long, sku_id long, user_id long, status string, keep_buyer boolean, err string"
-COMPLETED = "order_id long, sku_id long, user_id long, status string, keep_buyer boolean, result string, redis_applied boolean"
+DECIDED = "order_id long, sku_id long, user_id long, status string, keep_buyer boolean, err string, result string, redis_applied boolean, fresh boolean"
 
 
-def order_stream(
-    messages: DataFrame, path: str, sku: DataFrame, reservations: DataFrame, buyers: DataFrame, stock: DataFrame, mapped: DataFrame, checkpoint: str
-) -> StreamingQuery:
-    """Decide orders batch by batch and complete their reservations.
+class DecisionState(StatefulProcessor):
+    """One item: the units that orders may still take, who has one, and what was decided of each order and became of its reservation."""
 
-    ``<path>/decisions`` is written first, so that whatever follows can be done again from it; then
-    ``<path>/completed``: each outcome's result, and redis_applied where its reservation is as the outcome says.
-    The tables given are those of the start; ``orders.after_completions`` gives them after what was completed.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.left = handle.getValueState("left", "left long, back long")
+        self.buyers = handle.getMapState("buyers", "user_id long", "order_id long")
+        self.decided = handle.getMapState("decided", "order_id long", "status string, keep boolean, result string")
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = earlier(spark, f"{path}/decisions", DECISIONS, number, lambda df: df.where("err is null"))
-        confirmed = done.where("status = 'CONFIRMED'")
-        left = orders.consume_stock(sku, confirmed).withColumnRenamed("sku_id", "id")
-        placed = confirmed.select(F.col("order_id").alias("id"), "sku_id", "user_id")
-        orders.decide(batch, placed, done, left).write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
-        fresh = spark.read.schema(DECISIONS).parquet(f"{path}/decisions/batch={number}").where("err is null")
-        held, _, units, open_ = orders.after_completions(reservations, buyers, stock, mapped, earlier(spark, f"{path}/completed", COMPLETED, number, lambda df: df.where("result = 'APPLIED'")))
-        ended = orders.completions(held, units, open_, fresh)
-        ended.withColumn("redis_applied", F.col("result").isin("APPLIED", "UNCHANGED")).write.mode("overwrite").parquet(f"{path}/completed/batch={number}")
-
-    return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = _sorted(rows)
+        left, back = map(int, self.left.get()) if self.left.exists() else (int(batch["market"].iloc[0]), 0)
+        units, has = int(batch["units"].iloc[0]), bool(batch["has_units"].iloc[0])
+        buyers: dict[int, bool] = {}
+        known: dict[int, tuple[str, bool, str] | None] = {}
+        out = []
+        for row in batch.itertuples(index=False):
+            user, order = int(row.user_id), int(row.order_id)
+            if not row.owner:
+                out.append((order, key[0], user, None, None, "PAYLOAD_CONFLICT", None, None, False))
+                continue
+            if order not in known:
+                found = self.decided.getValue((order,))
+                known[order] = tuple(found) if found else None
+            old = known[order]
+            if old:  # said again: the same, and nothing more follows
+                status, keep, result = old[0], bool(old[1]), "UNCHANGED" if old[2] in ("APPLIED", "UNCHANGED") else old[2]
+            else:
+                if user not in buyers:
+                    buyers[user] = self.buyers.containsKey((user,))
+                status, keep = ("CANCELLED", True) if buyers[user] else ("CANCELLED", False) if left <= 0 else ("CONFIRMED", True)
+                if status == "CONFIRMED":
+                    left, buyers[user] = left - 1, True
+                    self.buyers.updateValue((user,), (order,))
+                result = self._completed(row, status, keep, has and 0 <= units <= orders.LONG_MAX - back - 1)
+                back += result == "APPLIED" and status == "CANCELLED"
+                known[order] = (status, keep, result)
+                self.decided.updateValue((order,), known[order])
+            out.append((order, key[0], user, status, keep, None, result, result in ("APPLIED", "UNCHANGED"), not old))
+        self.left.update((left, back))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DECIDED.split(", ")])
+
+    @staticmethod
+    def _completed(row, status: str, keep: bool, has_room: bool) -> str:
+        """What a first decision does to the order's reservation, as in ``orders.completions``."""
+        if not row.held_state:
+            return "NO_RESERVATION"
+        if (row.held_sku, row.held_user) != (row.sku_id, row.user_id):
+            return "OWNER_MISMATCH"
+        if row.held_state != "PENDING":
+            return "UNCHANGED" if row.held_state == status and (status == "CONFIRMED" or row.held_keep == keep) else "STATE_CONFLICT"
+        if row.open != row.order_id:
+            return "BUYER_ORDER_LOST"
+        return "STOCK_ERROR" if status == "CANCELLED" and not has_room else "APPLIED"
+
+    def close(self) -> None:
+        pass
+
+
+def order_stream(messages: DataFrame, sku: DataFrame, reservations: DataFrame, stock: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Decide a stream of orders (order_id, sku_id, user_id) and complete their reservations: the columns of ``DECIDED``.
+
+    The tables given are those of the start; ``orders.after_completions`` gives them after the rows whose result is APPLIED. A row holds a
+    decision, what it did, and, by ``confirmed_rows``, its outbox row; so one sink's commit shows all of a batch or nothing of it.
+    State is keyed by order id, whose first message owns it (another item or buyer under it is a PAYLOAD_CONFLICT), and by item;
+    no batch reads what came before. A message said again (fresh is false) repeats its decision. Needs ``STATE_STORE``.
+    """
+    events = messages.select(F.col("order_id").alias("arrival"), F.lit("REQUEST").alias("kind"), "order_id", "sku_id", "user_id", F.lit("").alias("status"), F.lit(False).alias("keep_buyer"))
+    held = reservations.withColumnsRenamed({"sku_id": "held_sku", "user_id": "held_user", "state": "held_state"}).select("order_id", "held_sku", "held_user", "held_state", F.coalesce("keep_buyer", F.lit(False)).alias("held_keep"))
+    # A reservation doesn't claim its id here: an order that differs from it is decided and is an OWNER_MISMATCH after.
+    own = registered(events, reservations.where("false")).drop("held_sku", "held_user", "held_state", "held_keep").join(held, "order_id", "left")
+    market = sku.select(F.col("id").alias("sku_id"), F.col("stock").cast("long").alias("market"))
+    left = stock.select("sku_id", F.coalesce(F.col("stock").cast("long"), F.lit(-1)).alias("units"), F.lit(True).alias("has_units"))
+    open_ = mapped.select("sku_id", "user_id", F.col("order_id").alias("open"))
+    rows = own.join(market, "sku_id", "left").join(left, "sku_id", "left").join(open_, ["sku_id", "user_id"], "left")
+    none = {"held_sku": -1, "held_user": -1, "held_state": "", "held_keep": False, "market": 0, "units": 0, "has_units": False, "open": -1}
+    rows = rows.select(*[F.coalesce(c, F.lit(none[c])).alias(c) if c in none else c for c in rows.columns])
+    return rows.groupBy("sku_id").transformWithStateInPandas(statefulProcessor=DecisionState(), outputStructType=DECIDED, outputMode="append", timeMode="none")
+
+
+def confirmed_rows(decided: DataFrame) -> DataFrame:
+    """The outbox rows of newly confirmed orders."""
+    new = decided.where(F.col("fresh") & (F.col("status") == "CONFIRMED"))
+    return tables.to_outbox_rows(new.select(F.col("order_id").alias("event_id"), "sku_id", "user_id"), "Order")
 
 
 PUBLISHED = "post_id long, version int, first boolean"
