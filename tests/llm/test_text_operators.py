@@ -42,6 +42,12 @@ def test_chat_merges_and_masks(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_ties_go_by_the_text_itself(spark):
+    df = spark.createDataFrame([(1, 0, "user", "<s>"), (1, 0, "user", "<a"), (1, 0, "user", "<|"), (1, 0, "user", "\\")], "conv_id long, turn long, role string, text string")
+    row = chat_format.digest(chat_format.read_back(chat_format.format_conversations(df))).first()
+    assert row["turns_sha256"] == hashlib.sha256("".join(f"user\n{x}\n" for x in sorted(["<s>", "<a", "<|", "\\"])).encode()).hexdigest()
+
+
 def test_chat_long_conversation(spark):
     df = spark.range(20_000).selectExpr("1L as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
     row = chat_format.digest(chat_format.read_back(chat_format.format_conversations(df))).first()

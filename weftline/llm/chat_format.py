@@ -37,12 +37,10 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     repeated rows all stay; rows without conv_id form one conversation with a null id; a null turn
     comes first. An empty table gives an empty result.
     """
-    turn = F.struct(
-        F.col("turn").alias("turn"),
-        escape(F.coalesce("role", F.lit(""))).alias("role"),
-        escape(F.coalesce("text", F.lit(""))).alias("text"),
+    turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).withColumn(
+        "turns", F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     )
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     # The start of each block of adjacent turns with one role.
     starts = sorted_turns.withColumn(
         "starts",

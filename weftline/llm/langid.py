@@ -92,7 +92,7 @@ def _class_of(letters: list[int]) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """Documents to learn from: with a label, and not of the held-out third."""
+    """Documents to learn from: with a label, and not of the held-out third; a null id is not held out, and all rows of an id go one way."""
     return docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
 
 
@@ -101,13 +101,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """Learn from text and lang of about ``train_docs`` documents per language, drawn by a hash of their id.
+    """Learn from text and lang of about ``train_docs`` documents per language, drawn by a hash of their row's place in the table.
+
+    Null and repeated ids, and copies, are rows like others.
 
     Counting runs in Spark. The driver gets the documents of each label, the letters of each label and script,
     the most frequent letters (as many as have classes of their own) and trigram counts: all bounded by
     the labels, scripts and classes. Every label is learned; more than ``MAX_LABELS`` raise a ValueError.
     """
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null")
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LABELS + 1).collect()}
     if len(counts) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels in lang")
@@ -115,7 +117,9 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     if not langs:
         return LanguageModel([], np.zeros(0x20000, np.uint8), np.zeros((CLASSES**3, 0), np.int16), np.zeros((len(NAMES), 0), bool))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, train_docs / n) * (1 << 30))))])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    placed = rows.select("lang", "text", F.monotonically_increasing_id().alias("place"))
+    # Written once, so that letters and trigrams are counted over the same rows.
+    drawn = materialize(placed.where(F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).select("lang", "text"))
 
     def letters(batch: pa.RecordBatch) -> pa.RecordBatch:
         return _counted(batch, langs, lambda code, letter: code[letter].astype(np.int64))

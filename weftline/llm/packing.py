@@ -1,5 +1,6 @@
-"""Best-fit packing in rounds: partitions pack their own pieces best fit, full and nearly full sequences
-are done, and the pieces of the underfull ones of all partitions are dealt and packed anew.
+"""Hierarchical best-fit packing: partitions pack their own pieces best fit and are done with full and nearly full
+sequences; the underfull ones go up a tree, in whose steps they are the items of another best fit. What the tree
+leaves underfull is taken apart, where its pieces make fewer sequences.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from .tokens import ByteTokens, added_tokens
 SEQUENCE, END_ID = 1024, 2
 #: A sequence with no more free places than this is done.
 SLACK = 8
-#: Pieces of underfull sequences that a task of a later round takes, about so many.
+#: Underfull sequences, or pieces of such, that a task of a later round takes, about so many.
 OPEN = 16_384
-#: Rounds end when one makes its sequences fewer by less than a part in so many.
+#: Rounds end when one makes its sequences fewer by less than a part in so many; what is left then can hardly be joined.
 FEW = 1000
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -67,15 +68,6 @@ def best_fit(sizes: list[int], sequence: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def still_open(sizes: list[int], full: int, most: int) -> list[bool]:
-    """Which sequences go on: those with less than ``full`` ids, of them the ``most`` with the fewest."""
-    under = sorted((i for i in range(len(sizes)) if sizes[i] < full), key=lambda i: sizes[i])[:most]
-    out = [False] * len(sizes)
-    for i in under:
-        out[i] = True
-    return out
-
-
 def _rows(bins: list[list[tuple]], sizes: list[int], going: list[bool], level: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     base = (level << 56) | (part << 32)
@@ -104,12 +96,15 @@ def _emit(items: list[list[tuple]], sizes: list[int], level: int, sequence: int,
     packed = best_fit(sizes, sequence)
     bins = [[m for i in b for m in items[i]] for b in packed]
     totals = [sum(sizes[i] for i in b) for b in packed]
-    yield from _rows(bins, totals, still_open(totals, full, len(totals)), level)
+    yield from _rows(bins, totals, [n < full for n in totals], level)
 
 
-def _pack_bins(batches: Iterator[pa.RecordBatch], level: int, sequence: int, full: int) -> Iterator[pa.RecordBatch]:
-    pieces = [tuple(m.values()) for batch in batches for ms in batch.column("members").to_pylist() for m in ms]
-    yield from _emit([[p] for p in pieces], [p[3] for p in pieces], level, sequence, full)
+def _pack_bins(batches: Iterator[pa.RecordBatch], level: int, sequence: int, full: int, apart: bool) -> Iterator[pa.RecordBatch]:
+    """Pack underfull sequences as items, those that share a new one being joined; or, taken ``apart``, their pieces."""
+    items = [[tuple(m.values()) for m in ms] for batch in batches for ms in batch.column("members").to_pylist()]
+    if apart:
+        items = [[m] for ms in items for m in ms]
+    yield from _emit(items, [sum(m[3] for m in ms) for ms in items], level, sequence, full)
 
 
 def pack(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, slack: int = SLACK, most: int = OPEN) -> DataFrame:
@@ -117,26 +112,33 @@ def pack(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, slack: int
 
     A document is its ids and the end id; only longer ones than ``sequence`` are cut. A null or empty
     text is the end id alone. Every row is packed, repeated rows and null ids too; other columns are
-    ignored; an empty table gives an empty result. All underfull sequences go on to the next round, where
-    each task takes those with about ``most`` pieces, dealt from all partitions, so that its memory is bounded
-    and it meets sizes of every partition; their pieces are packed anew. Only these travel, as numbers.
-    Rounds go on until one task takes all, or one saves few sequences (``FEW``).
+    ignored; an empty table gives an empty result. All underfull sequences go up to the next round, where
+    each task takes about ``most`` of them, dealt from all partitions, so that its memory is bounded and it meets
+    sizes of every partition; they are its items, and stay whole. Only these travel, as numbers.
+    Rounds go on until one task takes all, or one saves few sequences (``FEW``). The pieces of what is still
+    underfull are then packed anew in the same way, in tasks of about ``most`` pieces, where that saves any.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     bounds = {"sequence": sequence, "full": sequence - slack}
     bins = materialize(rows.mapInArrow(partial(_pack_pieces, path=ranks_path, **bounds), _SCHEMA))
     done, rest = bins.where("not open"), bins.where("open")
     level = 1
-    while True:
-        left, pieces = rest.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
-        parts = max(1, -(-pieces // max(2, most)))
-        merged = materialize(rest.repartition(parts).mapInArrow(partial(_pack_bins, level=level, **bounds), _SCHEMA))
-        now = merged.count()
-        if parts == 1 or FEW * (left - now) < left:
-            done = done.unionByName(merged if now < left else rest)
-            break
-        done, rest = done.unionByName(merged.where("not open")), merged.where("open")
-        level += 1
+
+    def again(bins: DataFrame, items: int, apart: bool) -> tuple[DataFrame, int]:
+        parts = max(1, -(-items // max(2, most)))
+        return materialize(bins.repartition(parts).mapInArrow(partial(_pack_bins, level=level, apart=apart, **bounds), _SCHEMA)), parts
+
+    for apart in (False, True):
+        while True:
+            left, pieces = rest.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+            merged, parts = again(rest, pieces if apart else left, apart)
+            now = merged.count()
+            if now < left:
+                done, rest = done.unionByName(merged.where("not open")), merged.where("open")
+            level += 1
+            if parts == 1 or FEW * (left - now) < left:
+                break
+    done = done.unionByName(rest)
     offset = F.aggregate(F.slice("members", 1, F.col("at")), F.lit(0).cast("long"), lambda total, m: total + m["length"])
     return (
         done.select(F.col("bin").alias("sequence_id"), "members", F.posexplode("members").alias("at", "m"))

@@ -19,10 +19,13 @@ _SEGMENT = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 
 
 class SegmentIds:
-    """Ids of segments, kept for those seen before. ``encode`` gives (flat ids, number of ids per segment, place of the first)."""
+    """Ids of segments, kept for those seen before: of at most ``chars`` characters together, and none longer than ``longest``.
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 300_000):
-        self.encode, self.limit = encode, limit
+    ``encode`` gives (flat ids, number of ids per segment, place of the first).
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], chars: int = 4_000_000, longest: int = 64):
+        self.encode, self.limit, self.longest = encode, chars, longest
         self.clear()
 
     def clear(self) -> None:
@@ -30,31 +33,44 @@ class SegmentIds:
         self.flat = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 12, np.int64)
         self.count = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.used = self.chars = 0
+
+    def _add(self, new: list[str]) -> None:
+        ids, counts, first = self.encode(new)
+        n, m = len(self.place), self.used
+        while m + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(new) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.flat[m : m + len(ids)] = ids
+        self.count[n : n + len(new)] = counts
+        self.first[n : n + len(new)] = m + first
+        self.used = m + len(ids)
+        self.place.update(zip(new, range(n, n + len(new)), strict=True))
 
     def __call__(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of ``segments`` in order, and the number of ids of each."""
-        if len(self.place) > self.limit:
+        if self.chars > self.limit:
             self.clear()
-        place = self.place
-        new = [s for s in dict.fromkeys(segments) if s not in place]
-        if new:
-            ids, counts, first = self.encode(new)
-            n, m = len(place), self.used
-            while m + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(new) > len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-            self.flat[m : m + len(ids)] = ids
-            self.count[n : n + len(new)] = counts
-            self.first[n : n + len(new)] = m + first
-            self.used = m + len(ids)
-            place.update(zip(new, range(n, n + len(new)), strict=True))
-        at = np.fromiter(map(place.__getitem__, segments), np.int64, len(segments))
+        new = [s for s in dict.fromkeys(segments) if s not in self.place]
+        short, long = [s for s in new if len(s) <= self.longest], [s for s in new if len(s) > self.longest]
+        if short:
+            self._add(short)
+            self.chars += sum(map(len, short))
+        used = self.used
+        if long:
+            self._add(long)
+        at = np.fromiter(map(self.place.__getitem__, segments), np.int64, len(segments))
         counts = self.count[at]
         starts = np.cumsum(counts) - counts
         index = np.arange(int(counts.sum())) + np.repeat(self.first[at] - starts, counts)
-        return self.flat[index], counts
+        found = self.flat[index]
+        for s in long:
+            del self.place[s]
+        self.used = used
+        if len(self.flat) > 1 << 24:  # a batch of very long segments
+            self.flat = self.flat[: max(1 << 16, used)].copy()
+        return found, counts
 
 
 def added_tokens(json_path: str) -> dict[str, int]:
