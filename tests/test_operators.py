@@ -278,6 +278,23 @@ def test_transitions_and_counter_rules(spark):
     assert counters.fold_deltas(big).first()["err"] == "OVERFLOW"
 
 
+def test_deltas_are_checked_event_by_event(spark):
+    rnd = random.Random(2)
+    events = [(k, rnd.randrange(1, 4), 1 + k % 2, rnd.choice([2**31 - 1, -(2**31), 10**9, -(10**9), 5, None]) if k % 3 else k % 5, None if k % 11 else "BAD_IDX") for k in range(400)]
+    events += [(k + 1000, 9, 1, 2**31 - 1, None) for k in range(150)] + [(2000, 9, 1, -7, None)] + events[:50]
+    start = [(1, 1, 2**31 - 5), (9, 1, 3), (77, 1, 3)]
+    got = counters.apply_deltas(spark.createDataFrame(events, "event_id long, sid long, idx int, delta int, err string"), spark.createDataFrame(start, "sid long, idx int, value long"), 50)
+    want = {}
+    for k, sid, idx, d, err in sorted(set(events), key=lambda e: e[0]):
+        if err is None:
+            value, n, rejected = want.get((sid, idx), (next((v for s, i, v in start if (s, i) == (sid, idx)), 0), 0, 0))
+            fits = -(2**31) <= value + (d or 0) <= 2**31 - 1
+            want[sid, idx] = (value + (d or 0) if fits else value, n + 1, rejected + (not fits))
+    assert rows(got) == sorted(((*key, *v) for key, v in want.items()), key=str)
+    assert want[9, 1] == (2**31 - 1 - 7, 151, 149) or want[9, 1][2] > 64
+    assert counters.apply_deltas(got.where("false").selectExpr("n as event_id", "sid", "idx", "cast(n as int) as delta", "'' as err"), got.select("sid", "idx", "value").where("false")).count() == 0
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("abcdef", "defgh"), ("abc", "xyz"), ("", "a"), ("a" * 300, "a" * 150)], "p string, c string")
     got = [r[0] for r in df.select(scalars.trim_by_prefix(F.col("p"), F.col("c"))).collect()]

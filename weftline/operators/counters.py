@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.folders import stored as written
+
 from weftline.functions.scalars import pack_counter, unpack_counter
 from weftline.schemas import COUNTER_EVENT
 
@@ -54,12 +60,81 @@ def validate_counter_events(outbox: DataFrame, *also: str) -> DataFrame:
 
 
 def fold_deltas(events: DataFrame) -> DataFrame:
-    """Sum of the deltas of valid events, each event once, by (sid, idx); beyond 32 bits is an error."""
+    """Sum of the deltas of valid events, each event once, by (sid, idx); a sum beyond 32 bits is an error. ``apply_deltas`` checks each event."""
     once = events.where("err is null").dropDuplicates(["sid", "event_id"])
     total = once.groupBy("sid", "idx").agg(F.sum(F.col("delta").cast("long")).alias("delta"))
     return total.withColumn("err", F.when(~F.col("delta").between(-INT_MAX - 1, INT_MAX), "OVERFLOW"))
 
 
+#: Events of a counter that one block holds, about so many.
+BLOCK_EVENTS = 100_000
+_FOLDED = "sid long, idx int, value long, rejected long"
+
+
+def apply_deltas(events: DataFrame, start: DataFrame, block_events: int = BLOCK_EVENTS) -> DataFrame:
+    """Counters after valid events, each event once and in order of event_id: ``sid, idx, value, n, rejected``.
+
+    ``start`` (sid, idx, value) has the counters before; others start from 0. An event that would leave 32 bits is rejected
+    alone, and those after it go on from where the counter stood. Where all of a counter's rises or falls together
+    can't leave 32 bits, its sum is enough. The other counters' events are dealt into blocks by range, and
+    a counter's blocks are added up one after another: a block whose running sum stays within 32 bits goes in at
+    once, in another the first event beyond is dropped and the sum goes on behind it.
+    """
+    once = events.where("err is null").dropDuplicates(["sid", "event_id"]).select("sid", "idx", "event_id", F.coalesce(F.col("delta"), F.lit(0)).cast("long").alias("delta"))
+    up, down = F.sum(F.greatest("delta", F.lit(0))), F.sum(F.least("delta", F.lit(0)))
+    sums = once.groupBy("sid", "idx").agg(F.count("*").alias("n"), up.alias("_up"), down.alias("_down"))
+    before = start.select("sid", F.col("idx").cast("int").alias("idx"), F.col("value").cast("long").alias("_start"))
+    sums = written(sums.join(before, ["sid", "idx"], "left").withColumn("_start", F.coalesce("_start", F.lit(0))))
+    safe = (F.col("_start") + F.col("_up") <= INT_MAX) & (F.col("_start") + F.col("_down") >= -INT_MAX - 1)
+    plain = sums.where(safe).select("sid", "idx", (F.col("_start") + F.col("_up") + F.col("_down")).alias("value"), "n", F.lit(0).cast("long").alias("rejected"))
+    at_risk = sums.where(~safe)
+    many = at_risk.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not many:
+        return plain
+    own = once.join(at_risk.select("sid", "idx", "_start"), ["sid", "idx"])
+    dealt = written(own.repartitionByRange(max(1, -(-many // block_events)), "sid", "idx", "event_id").withColumn("_block", F.spark_partition_id()))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "delta"))), lambda e: e["delta"])
+    blocks = dealt.groupBy("sid", "idx", "_start", "_block").agg(ordered.alias("deltas"))
+    folded = blocks.repartition("sid", "idx").sortWithinPartitions("sid", "idx", "_block").select("sid", "idx", "_start", "deltas").mapInArrow(_fold_blocks, _FOLDED)
+    return plain.unionByName(folded.join(at_risk.select("sid", "idx", "n"), ["sid", "idx"]).select("sid", "idx", "value", "n", "rejected"))
+
+
+def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's counters, whose blocks come one after another."""
+    key, value, rejected = None, 0, 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([value], pa.int64()), pa.array([rejected], pa.int64())], names=["sid", "idx", "value", "rejected"])
+
+    for batch in batches:
+        for sid, idx, first, deltas in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+            if key != (sid, idx):
+                if key:
+                    yield done()
+                key, value, rejected = (sid, idx), first, 0
+            value, more = fold_within(value, deltas.values.to_numpy(zero_copy_only=False))
+            rejected += more
+    if key:
+        yield done()
+
+
+def fold_within(value: int, deltas: np.ndarray, tries: int = 64) -> tuple[int, int]:
+    """``value`` after ``deltas`` that keep it within 32 bits, and how many of them don't."""
+    at = rejected = 0
+    while at < len(deltas) and rejected < tries:
+        sums = value + np.cumsum(deltas[at:])
+        beyond = (sums > INT_MAX) | (sums < -INT_MAX - 1)
+        first = int(beyond.argmax())
+        if not beyond[first]:
+            return int(sums[-1]), rejected
+        value, at, rejected = int(sums[first - 1]) if first else value, at + first + 1, rejected + 1
+    for d in deltas[at:].tolist():  # where many go, one by one is less work
+        fits = -INT_MAX - 1 <= value + d <= INT_MAX
+        value += d if fits else 0
+        rejected += not fits
+    return value, rejected
+
+
 def check_count_range(counts: DataFrame) -> DataFrame:
     ok = F.coalesce(F.col("fav_count").between(0, INT_MAX), F.lit(False))
     return counts.withColumn("err", F.when(~ok, "COUNT_OUT_OF_RANGE"))

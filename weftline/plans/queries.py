@@ -125,6 +125,20 @@ simple("joi5_sku_fav_counts", lambda t: counters.sku_fav_counts(t.sku, counters.
 simple("fil5_counter_events", lambda t: counters.validate_counter_events(t.outbox_cdc), f"with {VALID} select * from val")
 simple("agg2_fold_deltas", lambda t: counters.fold_deltas(counters.validate_counter_events(t.outbox_cdc.unionByName(t.outbox_cdc))),
        f"with {VALID} select sid, idx, cast(sum(delta) as bigint) as delta, cast(null as varchar) as err from val where err is null group by sid, idx")
+# Deltas so large that counters leave 32 bits again and again; those of sid 1 to 5 are small.
+WIDE = "select event_id + 1 as event_id, event_id % 20 + 1 as sid, cast(1 + event_id % 2 as int) as idx, cast(case when event_id % 20 < 5 then event_id % 7 - 3 else (event_id * 7919) % 2000000011 - 900000000 end as int) as delta, cast(null as varchar(9)) as err from {events}"
+WIDE_START = "select distinct event_id % 20 + 1 as sid, 1 as idx, cast(1000 * (event_id % 20) as bigint) as value from {events} where event_id % 3 = 0"
+
+
+def _wide(t: Tables) -> DataFrame:
+    events = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    return counters.apply_deltas(t.spark.sql(WIDE, events=events), t.spark.sql(WIDE_START, events=events), 1000)
+
+
+query("agg2_per_event", f"""with w as ({WIDE.format(events='events')}), st as ({WIDE_START.format(events='events')}),
+g as (select sid, idx, list({{'v': cast(delta as bigint), 'r': cast(0 as bigint)}} order by event_id) as d, count(*) as n from w group by sid, idx),
+f as (select sid, idx, n, list_reduce(list_prepend({{'v': coalesce(value, 0), 'r': cast(0 as bigint)}}, d), lambda a, x: case when a.v + x.v between -2147483648 and 2147483647 then {{'v': a.v + x.v, 'r': a.r}} else {{'v': a.v, 'r': a.r + 1}} end) as e from g left join st using (sid, idx))
+select sid, idx, e.v as value, n, e.r as rejected from f""")(_wide)
 simple("fil10_count_range", lambda t: counters.check_count_range(_counts(t).selectExpr("sku_id", "fav_count - if(sku_id % 4 = 0, 100000, 0) as fav_count")),
        f"with {COUNTS}, x as (select sku_id, fav_count - case when sku_id % 4 = 0 then 100000 else 0 end as fav_count from cnt) select *, case when fav_count not between 0 and 2147483647 then 'COUNT_OUT_OF_RANGE' end as err from x")
 simple("fil11_sku_id", lambda t: counters.check_sku_id(_counts(t).selectExpr("sku_id - 3 as sku_id", "fav_count")), f"with {COUNTS} select sku_id - 3 as sku_id, fav_count, case when sku_id - 3 <= 0 then 'BAD_SKU_ID' end as err from cnt")
