@@ -77,6 +77,18 @@ def test_pii_base_spans_equal_plain_ones(spark, sf):
         assert [s[:3] for s in pii.find_spans(text) if s[0] in pii.BASE] == plain_spans(text)
 
 
+def test_pii_hints_lose_no_match():
+    """A text without the hints of a slow pattern has no match of it."""
+    rnd = random.Random(6)
+    parts = ["token", "TOKEN", "to\u212aen", "ſecret", "Secret", "apı-key", "API_KEY", "api key", "passwd", "PASSWORD", "=", ": ", " ", "'", "a1" * 9, "Zz9+/" * 5, "==", "1.2.3.4", "10.0", ".", "GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "X", "9"]
+    for _ in range(20_000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(1, 8)))
+        spans = pii.find_spans(text)
+        assert [s[1:3] for s in spans if s[0] == "ip"] == list(pii._ips(text))
+        assert [s[1:3] for s in spans if s[0] == "iban"] == list(pii._ibans(text))
+        assert [s[1:3] for s in spans if s[0] == "secret"] == [m.span(1) for m in pii._SECRET.finditer(text) if m.end(1) - m.start(1) >= 16]
+
+
 def test_pii_checksums_context_and_redaction():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
