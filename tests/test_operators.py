@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import hooks, scalars
@@ -11,6 +12,15 @@ from weftline.sources import tables
 from weftline.streaming import jobs
 
 
+@pytest.fixture
+def few_parts(spark):
+    """Few tasks for each of a stream's many small batches."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
@@ -397,7 +407,7 @@ def test_stateful_counters_keep_to_32_bits_and_start_from_facts(spark, tmp_path)
     assert set(seen[1]) - set(seen[0]) == {(1, 7, jobs.INT_MAX - 3, 4, 0), (2, 0, 41, 2, 0)}
 
 
-def test_admission_stream_equals_a_simulation(spark, tmp_path):
+def test_admission_stream_equals_a_simulation(spark, tmp_path, few_parts):
     """Twenty batches, with repeats, buyers of old, and items without stock, with a malformed or an empty one."""
     rnd = random.Random(21)
     stock = {1: 3, 2: 0, 3: -1, 4: None, 5: 40}
@@ -433,7 +443,7 @@ def test_admission_stream_equals_a_simulation(spark, tmp_path):
     assert rows(out.select("order_id", "sku_id", "user_id", "result_order_id", "result", "err")) == sorted(want, key=str)
 
 
-def test_admission_stream_takes_units_back(spark, tmp_path):
+def test_admission_stream_takes_units_back(spark, tmp_path, few_parts):
     """Eight batches of requests and outcomes against the same one after another; an id under another item or buyer is a collision in any batch."""
     rnd = random.Random(5)
     stock, buyers = [(1, 2), (2, 3), (3, None), (4, 0)], [(1, 2)]
@@ -476,7 +486,7 @@ def test_redelivery_until_good_or_dead(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/rest/dead").select("attempt").distinct().collect()[0][0] == 4
 
 
-def test_order_stream_equals_one_batch(spark, tmp_path):
+def test_order_stream_equals_one_batch(spark, tmp_path, few_parts):
     """Four batches, with messages said again and ids under other buyers and items, against one batch of all first messages."""
     rnd = random.Random(4)
     msgs = [(i, rnd.randrange(1, 4), rnd.randrange(1, 9)) for i in range(1, 61)]
