@@ -649,11 +649,64 @@ def test_blocks_of_underlined_headings_and_indented_code():
     top = ["Title of two lines"]
     assert got == [
         ("heading", 1, top, True), ("paragraph", 0, top, False), ("heading", 2, [*top, "Part"], False), ("paragraph", 0, [*top, "Part"], False), ("break", 0, [*top, "Part"], True),
-        ("code", 0, [*top, "Part"], False), ("paragraph", 0, [*top, "Part"], False), ("list", 0, [*top, "Part"], False), ("heading", 2, [*top, "Deep"], False), ("paragraph", 0, [*top, "Deep"], False), ("paragraph", 0, [*top, "Deep"], False),
-    ]
+        ("code", 0, [*top, "Part"], False), ("paragraph", 0, [*top, "Part"], False), ("list", 0, [*top, "Part"], False), ("paragraph", 0, [*top, "Part"], False), ("paragraph", 0, [*top, "Part"], False),
+    ]  # fmt: skip; the last heading stands in the list item, by its indent
     assert "".join(b["text"] for b in chunking.scan(text)) == text
 
 
+BLOCK_CASES = [
+    ("a | b\n--- | ---\n1 | 2\n\nx", [("table", "a | b\n--- | ---\n1 | 2\n\n"), ("paragraph", "x")]),
+    ("|x|\n", [("paragraph", "|x|\n")]),
+    ("intro\na | b\n- | -\n# c | d\nend", [("paragraph", "intro\n"), ("table", "a | b\n- | -\n# c | d\n"), ("paragraph", "end")]),
+    ("a | b | c\n-|-\n", [("paragraph", "a | b | c\n-|-\n")]),
+    ("a \\| b | c\n| - | :-: |\n|\n", [("table", "a \\| b | c\n| - | :-: |\n"), ("paragraph", "|\n")]),
+    ("foo\n<b>bar\n", [("paragraph", "foo\n<b>bar\n")]),
+    ("<b>\nbar\n\nz", [("html", "<b>\nbar\n\n"), ("paragraph", "z")]),
+    ("foo\n<div>\nbar\n\nz", [("paragraph", "foo\n"), ("html", "<div>\nbar\n\n"), ("paragraph", "z")]),
+    ("<!-- a\n\n# b -->\nx", [("html", "<!-- a\n\n# b -->\n"), ("paragraph", "x")]),
+    ("<pre>a</pre>\nx", [("html", "<pre>a</pre>\n"), ("paragraph", "x")]),
+    ("para\n14. x\n1. y", [("paragraph", "para\n14. x\n"), ("list", "1. y")]),
+    ("para\n-\nx", [("heading", "para\n-\n"), ("paragraph", "x")]),
+    ("para\n*\nx", [("paragraph", "para\n*\nx")]),
+    ("- a\n1. b\n2. c\n3) d\n* e\n", [("list", "- a\n"), ("list", "1. b\n2. c\n"), ("list", "3) d\n"), ("list", "* e\n")]),
+    ("- a\n\n  b\n\nc", [("list", "- a\n\n  b\n\n"), ("paragraph", "c")]),
+    ("-\n\n  foo", [("list", "-\n\n"), ("paragraph", "  foo")]),
+    ("- a\n    - b\n\n        c\nlazy\n", [("list", "- a\n    - b\n\n        c\nlazy\n")]),
+    ("- ```\n  # x\n\n  y\nz", [("list", "- ```\n  # x\n\n  y\n"), ("paragraph", "z")]),
+    ("> a\nlazy\n- b\n", [("quote", "> a\nlazy\n"), ("list", "- b\n")]),
+    ("> # h\n> x\ny\n===\n\nz", [("quote", "> # h\n> x\ny\n===\n\n"), ("paragraph", "z")]),
+    ("> a | b\n> - | -\nc | d", [("quote", "> a | b\n> - | -\n"), ("paragraph", "c | d")]),
+    (">     code\n    x", [("quote", ">     code\n"), ("code", "    x")]),
+    ("~~~ a\n```\n~~~~\nb", [("code", "~~~ a\n```\n~~~~\n"), ("paragraph", "b")]),
+    ("``` a`b\nx", [("paragraph", "``` a`b\nx")]),
+    ("\n\n#\ta ##\n#b\n", [("heading", "\n\n#\ta ##\n"), ("paragraph", "#b\n")]),
+    ("[a]: /u\n'x'\n[b]: /v\ntext\n", [("other", "[a]: /u\n'x'\n"), ("other", "[b]: /v\n"), ("paragraph", "text\n")]),
+    ("[x]: /y\n===\n", [("other", "[x]: /y\n"), ("paragraph", "===\n")]),
+    ("* * *\n- - -\n--\n", [("break", "* * *\n"), ("break", "- - -\n"), ("paragraph", "--\n")]),
+    (" \n\t\n", [("other", " \n\t\n")]),
+    ("", []),
+]
+
+
+def test_blocks_of_hand_cut_texts():
+    for text, want in BLOCK_CASES:
+        assert [(b["type"], b["text"]) for b in chunking.scan(text)] == want
+        lines = text.replace("\n", "\r\n")
+        assert [(b["type"], b["text"]) for b in chunking.scan(lines)] == [(kind, part.replace("\n", "\r\n")) for kind, part in want]
+
+
+def test_containers_hide_what_they_hold():
+    """Cut at the top, a text in a quote is one quote, however it is built."""
+    rnd = random.Random(4)
+    parts = ["ab ", "c", "\n", "\n\n", "# H\n", "- x\n", "> q\n", "```\n", "---\n", "    ", "\t", "1. ", "| a | b |\n", "|-|-|\n", "<div>", "[a]: b\n", "===\n"]
+    for _ in range(500):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 40)))
+        blocks = chunking.scan(text)
+        assert "".join(b["text"] for b in blocks) == text and all(b["text"] for b in blocks)
+        quoted = "".join("> " + line for line in text.splitlines(keepends=True))
+        assert [b["type"] for b in chunking.scan(quoted)] == ["quote"]
+
+
 def test_split_blocks_keep_text_and_first_boundary(spark):
     contents = spark.createDataFrame([(1, 1, "# Head\n\n" + "one two three. " * 50 + "\n"), (2, 1, None)], "post_id long, version int, content string")
     blocks = chunking.markdown_blocks(contents)

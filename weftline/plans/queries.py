@@ -373,6 +373,22 @@ def _markdown(t: Tables) -> DataFrame:
     return t.spark.sql(MARKDOWN, documents=t.spark.read.parquet(f"{t.sf_dir}/documents.parquet"))
 
 
+def _simple_markdown(t: Tables) -> DataFrame:
+    """Documents whose k-th line is a paragraph, a list item, a quote or a heading, by k."""
+    marks = F.array(F.lit(""), F.lit("- "), F.lit("> "), F.lit("## "))
+    line = lambda x, i: F.concat(F.element_at(marks, i % 4 + 1), F.lit("w "), F.regexp_replace(x, "[^A-Za-z ]", ""))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line)
+    documents = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")
+    return documents.select((F.col("doc_id") + 1).alias("post_id"), F.lit(1).alias("version"), F.array_join(lines, "\n\n").alias("content"))
+
+
+simple("txt1_simple_blocks", lambda t: chunking.markdown_blocks(_simple_markdown(t)).select("post_id", "block_idx", "type", "level", F.array_join("path", "|").alias("path"), "strong", F.md5("text").alias("text_md5")),
+       """with d as (select doc_id + 1 as post_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+       l as (select post_id, len(ls) as n, unnest(generate_series(1, len(ls))) as k, unnest(ls) as x from d),
+       b as (select post_id, n, cast(k - 1 as integer) as block_idx, cast((k - 1) % 4 as integer) as m, 'w ' || regexp_replace(x, '[^A-Za-z ]', '', 'g') as x from l)
+       select post_id, block_idx, ['paragraph', 'list', 'quote', 'heading'][m + 1] as type, case when m = 3 then 2 else 0 end as level,
+       coalesce(last_value(case when m = 3 then trim(x) end ignore nulls) over (partition by post_id order by block_idx rows between unbounded preceding and current row), '') as path,
+       false as strong, md5(['', '- ', '> ', '## '][m + 1] || x || case when block_idx < n - 1 then chr(10) || chr(10) else '' end) as text_md5 from b""")
 simple("txt1_blocks", lambda t: chunking.markdown_blocks(_markdown(t)))
 simple("txt2_chunks", lambda t: chunking.chunk_rows(chunking.assemble_chunks(_markdown(t))))
 simple("txt3_split_oversize", lambda t: chunking.split_blocks(chunking.markdown_blocks(_markdown(t)), 60, 120))
