@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -407,6 +408,21 @@ def test_stateful_counters_keep_to_32_bits_and_start_from_facts(spark, tmp_path)
     assert set(seen[1]) - set(seen[0]) == {(1, 7, jobs.INT_MAX - 3, 4, 0), (2, 0, 41, 2, 0)}
 
 
+def test_counter_events_are_remembered_by_the_clock(spark, tmp_path, few_parts):
+    """An event a month older than the others counts; a repeated one doesn't, until its time to live is over."""
+    schema = "event_id long, op string, event_type string, payload string"
+    with jobs.state_store(spark):
+        for ttl, want in ((jobs.TTL_MS, {1: 1, 2: 5, 3: 7}), (1, {1: 2, 2: 5, 3: 7})):
+            folder = f"{tmp_path}/{ttl}"
+            for events in ([(1, 1), (1, 1), (2, 5)], [(1, 1), (3, 7)]):
+                made = [(i, "INSERT", "CounterEvent", f'{{"sid":9,"metric":"fav","idx":2,"delta":{d},"eventId":{i}}}') for i, d in events]
+                spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+                stream = jobs.counter_events(spark.readStream.schema(schema).parquet(f"{folder}/in"), ttl)
+                out = jobs.run_to_files(stream, f"{folder}/out", f"{folder}/check")
+                time.sleep(0.1)
+            assert {r["event_id"]: r["n"] for r in out.groupBy("event_id").agg(F.sum("delta").alias("n")).collect()} == want
+
+
 def test_admission_stream_equals_a_simulation(spark, tmp_path, few_parts):
     """Twenty batches, with repeats, buyers of old, and items without stock, with a malformed or an empty one."""
     rnd = random.Random(21)

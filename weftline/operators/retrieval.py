@@ -42,20 +42,34 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
+def term_counts(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """``term, df, _n, _avg``: of each of ``words`` (term) how many chunks have it, beside the number of chunks and their mean words.
+
+    One pass over the texts: a chunk gives each of its words once, and an empty word that stands for the chunk itself.
+    """
+    docs = chunks.select(terms(F.coalesce("content", F.lit(""))).alias("_terms"))
+    each = docs.select(F.size("_terms").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_terms"))).alias("term"))
+    known = words.select("term").union(words.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    counts = each.join(known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("_len"))
+    whole = Window.partitionBy()  # over a row for each word of the queries
+    of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).over(whole)
+    return counts.select("term", "df", of_all("df").alias("_n"), (of_all("_len") / of_all("df")).alias("_avg")).where("term <> ''")
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, chunk_id, score, rank`` by BM25 over chunks of the query's (post_id, version); statistics are those of all chunks.
 
-    Queries have query_id, post_id, version, keywords (an array). Only the words of queries are counted.
+    Queries have query_id, post_id, version, keywords (an array). All chunks are cut into words once, for the
+    statistics; those of a version that some query asks for once more.
     """
-    words = queries.select("query_id", "post_id", "version", F.explode(F.array_distinct("keywords")).alias("term"))
-    docs = chunks.select("chunk_id", "post_id", "version", terms(F.col("content")).alias("_terms")).withColumn("len", F.size("_terms"))
-    stats = docs.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"))
-    counted = docs.select("chunk_id", "post_id", "version", "len", F.explode("_terms").alias("term")).join(words.select("term").distinct(), "term", "left_semi")
+    words = queries.select("query_id", "post_id", "version", F.explode(F.array_distinct("keywords")).alias("term")).where("term <> ''")
+    asked = chunks.join(words.select("post_id", "version").distinct(), ["post_id", "version"], "left_semi")
+    own = asked.select("chunk_id", "post_id", "version", terms(F.coalesce("content", F.lit(""))).alias("_terms")).withColumn("len", F.size("_terms"))
+    counted = own.select("chunk_id", "post_id", "version", "len", F.explode("_terms").alias("term")).join(words.select("term").distinct(), "term", "left_semi")
     tf = counted.groupBy("chunk_id", "post_id", "version", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg"))
-    hits = words.join(tf, ["post_id", "version", "term"]).join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    hits = words.join(tf, ["post_id", "version", "term"]).join(term_counts(chunks, words), "term")
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
     return topk_per_group(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 

@@ -441,7 +441,8 @@ def _counter_stream(t: Tables) -> DataFrame:
     # A pattern, since a stream can't have a single file as its base path.
     events = t.spark.readStream.schema(schema).parquet(path.replace("/events.", "/[e]vents."))
     folder = tables.shared_folder(t.spark, "counter_stream")
-    return jobs.run_to_last(jobs.counter_stream(t.spark.sql(FIXTURES["outbox_cdc"], events=events)), ["sid", "idx"], f"{folder}/out", f"{folder}/check")
+    with jobs.state_store(t.spark):
+        return jobs.run_to_last(jobs.counter_stream(t.spark.sql(FIXTURES["outbox_cdc"], events=events), 16), ["sid", "idx"], f"{folder}/out", f"{folder}/check")
 
 
 SUMMARISED = "if(turn = 0 and conversation_id % 2 = 0, 'system', role) as role, if(turn = 0 and conversation_id % 2 = 0, concat('以下是较早对话的摘要：', chr(10), content), if(turn % 5 = 3, ' ', content)) as content"

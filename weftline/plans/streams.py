@@ -108,7 +108,7 @@ def _stateful(t: Tables) -> DataFrame:
     path = f"{t.sf_dir}/events.parquet"
     events = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path.replace("/events.", "/[e]vents."))
     with jobs.state_store(t.spark):
-        unique = jobs.counter_events(t.spark.sql(FIXTURES["outbox_cdc"], events=events))
+        unique = jobs.counter_events(t.spark.sql(FIXTURES["outbox_cdc"], events=events), slots=16)
         folder = tables.shared_folder(t.spark, "counters")
         out = jobs.run_to_files(jobs.stateful_counters(unique, _have(t), _counts(t)), f"{folder}/out", f"{folder}/check")
     last = out.groupBy("sid").agg(F.max_by(F.struct("turn", "fav"), "n").alias("l"))

@@ -20,10 +20,16 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from weftline.operators import articles, chunking, counters, memory, orders
 from weftline.sources import tables
 
-TTL = "7 days"
+#: How long a counter event is remembered: seven days, as milliseconds.
+TTL_MS = 7 * 24 * 3600 * 1000
+#: Parts into which order ids and counter events are dealt: as many tasks at most look them up. Fixed for the life of a stream.
+SLOTS = 512
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
-#: The state store that stateful processors need.
-STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: What stateful processors need: their state store, and no batches without data, which a time to live by the clock would ask for without end.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 @contextmanager
@@ -39,16 +45,45 @@ def state_store(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def counter_stream(outbox: DataFrame) -> DataFrame:
-    """Valid counter events of an outbox stream (with ts), each (sid, event_id) once within the time to live, summed by (sid, idx)."""
-    return counter_events(outbox).groupBy("sid", "idx").agg(F.sum(F.col("delta").cast("long")).alias("value"))
+def counter_stream(outbox: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Valid counter events of an outbox stream (with ts), each (sid, event_id) once within the time to live, summed by (sid, idx). Needs ``STATE_STORE``."""
+    return counter_events(outbox, slots=slots).groupBy("sid", "idx").agg(F.sum(F.col("delta").cast("long")).alias("value"))
+
+
+class SeenEvents(StatefulProcessor):
+    """The counter events of one slot that came within the time to live, which runs from when one was first taken, by the clock."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "sid long, event_id long", "taken boolean", ttlDurationMs=self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            once = pdf.drop_duplicates(["sid", "event_id"])
+            ids = list(zip(once["sid"].tolist(), once["event_id"].tolist(), strict=True))
+            fresh = [not self.seen.containsKey(i) for i in ids]
+            for i, is_fresh in zip(ids, fresh, strict=True):
+                if is_fresh:
+                    self.seen.updateValue(i, (True,))
+            yield once[pd.Series(fresh, index=once.index, dtype=bool)].astype({"idx": "Int64", "delta": "Int64"})[["sid", "event_id", "idx", "delta"]]
+
+    def close(self) -> None:
+        pass
+
 
+def counter_events(outbox: DataFrame, ttl_ms: int = TTL_MS, slots: int = SLOTS) -> DataFrame:
+    """Valid inserted counter events ``sid, event_id, idx, delta`` of an outbox stream, each (sid, event_id) once within the time to live.
 
-def counter_events(outbox: DataFrame) -> DataFrame:
-    """Valid inserted counter events of an outbox stream, each (sid, event_id) once within the time to live."""
-    valid = outbox.where("op = 'INSERT'").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", TTL)
-    events = counters.validate_counter_events(valid, "ts").where("err is null")
-    return events.dropDuplicatesWithinWatermark(["sid", "event_id"])
+    The time runs by the clock: an event counts however old its own time is, and however late it comes.
+    State is keyed by ``slots`` of events, so a hot sid is dealt over many tasks; each slot of a batch costs a call, so small streams want few. Needs ``STATE_STORE``.
+    """
+    events = counters.validate_counter_events(outbox.where("op = 'INSERT'")).where("err is null").selectExpr("cast(sid as long) as sid", "cast(event_id as long) as event_id", "idx", "delta")
+    slotted = events.withColumn("slot", F.pmod(F.xxhash64("sid", "event_id"), F.lit(slots)))
+    return slotted.groupBy("slot").transformWithStateInPandas(
+        statefulProcessor=SeenEvents(ttl_ms), outputStructType="sid long, event_id long, idx int, delta int", outputMode="append", timeMode="processingTime"
+    )
 
 
 class CounterState(StatefulProcessor):
@@ -160,10 +195,6 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(["arrival", "order_id", "sku_id", "user_id"], kind="stable", ignore_index=True)
 
 
-#: Parts into which order ids are dealt: as many tasks at most find their owners. Fixed for the life of a stream.
-SLOTS = 512
-
-
 class OrderRegistry(StatefulProcessor):
     """The order ids of one slot: each belongs to the item and buyer of the first request under it, or of its reservation from before."""
 
