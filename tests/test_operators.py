@@ -423,6 +423,50 @@ def test_counter_events_are_remembered_by_the_clock(spark, tmp_path, few_parts):
             assert {r["event_id"]: r["n"] for r in out.groupBy("event_id").agg(F.sum("delta").alias("n")).collect()} == want
 
 
+def test_candidates_meet_earlier_ones_of_their_batch(spark):
+    """Against one-by-one processing with lists and sums."""
+    rnd = random.Random(8)
+    around = lambda: [rnd.choice([0.0, 0.2, 1.0]) for _ in range(3)] if rnd.random() < 0.9 else None
+    stored = [(i, rnd.randrange(3), rnd.choice(["topics", "language", "current_goal"]), f"old {i}", rnd.choice(["ACTIVE", "ACTIVE", "DELETE"]), 1 + i % 3, around()) for i in range(1, 25)]
+    cands = [(k, rnd.randrange(4), rnd.choice(["topics", "language", "current_goal"]), f"new {k}", around()) for k in range(150)]
+    said = [(k, rnd.choice(["UPDATE", "INSERT", "NONE"]), f"merged {k}") for k in range(0, 150, 2)]
+    decided = {k: (a, m) for k, a, m in said if a != "NONE"}
+    now = {r[0]: list(r[1:]) for r in stored}
+    want = []
+
+    def cosine(a, b):
+        if not a or not b or not any(a) or not any(b):
+            return 0.0
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+
+    for seq, user, key, content, vector in cands:
+        own = sorted(i for i, r in now.items() if r[:2] == [user, key] and r[3] == "ACTIVE")
+        score, at = 0.0, None
+        if key == "language":
+            at = own[-1] if own else None
+        elif own:
+            best = max(own, key=lambda i: (cosine(now[i][5], vector), -i))
+            score = cosine(now[best][5], vector)
+            if score >= memory.HIGH:
+                at = best
+            elif score >= memory.LOW and seq in decided:
+                content = decided[seq][1]
+                at = best if decided[seq][0] == "UPDATE" else None
+        action = "INSERT" if at is None else "UPDATE"
+        at = 24 + seq + 1 if at is None else at
+        now[at] = [user, key, content, "ACTIVE", now[at][4] + 1 if action == "UPDATE" else 1, vector]
+        want.append((seq, user, key, action, at, now[at][4], max(score, 0.0), content, "ACTIVE"))
+    table = spark.createDataFrame(stored, "id long, user_id long, memory_key string, content string, status string, version int, embedding array<double>")
+    frame = spark.createDataFrame(cands, "seq long, user_id long, memory_key string, content string, embedding array<double>")
+    got = memory.fold_candidates(table, frame, spark.createDataFrame(said, "seq long, action string, merged string"))
+    found = sorted(tuple(r) for r in got.collect())
+    assert found == want
+    assert {r[3] for r in found} == {"INSERT", "UPDATE"} and any(r[7].startswith("merged") for r in found)
+    after = memory.latest_rows(table, got)
+    assert sorted(tuple(r) for r in after.collect()) == sorted((i, *r[:5]) for i, r in now.items())
+    assert memory.fold_candidates(table, frame.where("false")).count() == 0
+
+
 def test_admission_stream_equals_a_simulation(spark, tmp_path, few_parts):
     """Twenty batches, with repeats, buyers of old, and items without stock, with a malformed or an empty one."""
     rnd = random.Random(21)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def chat_owner(msgs: DataFrame, chat: DataFrame) -> DataFrame:
 
 
 def conversation_ids(chat: DataFrame) -> DataFrame:
-    return chat.select("id").orderBy("id")
+    return chat.select("id")
 
 
 def _lines(messages: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def union_memories(topics: DataFrame, goals: DataFrame) -> DataFrame:
 
 def exact_memory(memory: DataFrame, requests: DataFrame) -> DataFrame:
     wanted = requests.where(F.col("memory_key").isin(*EXACT_KEYS)).select("user_id", "memory_key").distinct()
-    return memory.where("status = 'ACTIVE'").join(wanted, ["user_id", "memory_key"], "left_semi").select("user_id", "id", "memory_key", "content").orderBy("memory_key", "id")
+    return memory.where("status = 'ACTIVE'").join(wanted, ["user_id", "memory_key"], "left_semi").select("user_id", "id", "memory_key", "content")
 
 
 def valid_candidates(cands: DataFrame) -> DataFrame:
@@ -180,6 +182,78 @@ def apply_memory(memory: DataFrame, actions: DataFrame) -> tuple[DataFrame, Data
     return everything.drop("_changed"), docs, conflicts
 
 
+FOLDED = "seq long, user_id long, memory_key string, action string, memory_id long, version int, score double, content string, status string"
+
+
+def _unit(vector) -> np.ndarray | None:
+    """A vector of length 1; none where it is null or has no direction."""
+    v = np.asarray([] if vector is None else vector, dtype=float)
+    length = np.sqrt(v @ v)
+    return v / length if length > 0 else None
+
+
+def _fold_key(cands: pd.DataFrame, known: pd.DataFrame, hi: float, lo: float) -> pd.DataFrame:
+    """One user's candidates of one key, one after another: each meets the memories as the ones before it left them."""
+    known = known.sort_values("_id")
+    ids, versions = known["_id"].tolist(), known["_version"].tolist()
+    units = [_unit(v) for v in known["_known"]]
+    dims = max((len(u) for u in [*units, *map(_unit, cands["embedding"])] if u is not None), default=0)
+    rows = np.zeros((len(ids) + len(cands), dims))
+    for i, u in enumerate(units):
+        if u is not None:
+            rows[i, : len(u)] = u
+    out = []
+    for c in cands.sort_values("seq").itertuples(index=False):
+        own, n = _unit(c.embedding), len(ids)
+        q = np.zeros(dims)
+        if own is not None:
+            q[: len(own)] = own
+        content, score, at = c.content, 0.0, None
+        if c.memory_key == "language":
+            at = n - 1 if n else None  # the newest
+        elif n and own is not None:
+            scores = np.round(rows[:n] @ q, 6)
+            best = int(scores.argmax())  # ids rise, so the first of equals has the least
+            score = float(scores[best])
+            if score >= hi:
+                at = best
+            elif score >= lo and isinstance(c.decision, str):
+                content = c.content if c.merged is None else c.merged
+                at = best if c.decision == "UPDATE" else None
+        if at is None:
+            at = n
+            ids.append(c.new_id)
+            versions.append(0)
+        versions[at] += 1
+        rows[at] = q
+        out.append((c.seq, c.user_id, c.memory_key, "INSERT" if at == n else "UPDATE", ids[at], versions[at], score, content, "ACTIVE"))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in FOLDED.split(", ")])
+
+
+def fold_candidates(memory: DataFrame, cands: DataFrame, decisions: DataFrame | None = None, hi: float = HIGH, lo: float = LOW) -> DataFrame:
+    """What becomes of a batch of candidates processed one by one in order of seq: the columns of ``FOLDED``, a row for each.
+
+    ``memory`` has id, user_id, memory_key, status, version and embedding; ``cands`` seq (unique), user_id,
+    memory_key, content and embedding. A candidate meets the active memories of its user and key as those before it left
+    them, new ones too: at a cosine of ``hi`` it updates the nearest, from ``lo`` on ``decisions`` (seq, action, merged)
+    say UPDATE or INSERT, and with which content; one that nobody has decided is inserted. A language
+    replaces the newest. New rows are numbered as in ``apply_memory``. Rows of ``memory`` after it: ``latest_rows``.
+    Each turn depends on the one before, so one user's key is one task's; users and keys are dealt over all tasks.
+    """
+    top = memory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    said = cands.select("seq").where("false").selectExpr("seq", "'' as action", "'' as merged") if decisions is None else decisions
+    said = said.where("action in ('UPDATE', 'INSERT')").groupBy("seq").agg(F.max("action").alias("decision"), F.max_by("merged", "action").alias("merged"))
+    rows = cands.join(said, "seq", "left").crossJoin(F.broadcast(top))  # top is one row
+    rows = rows.select("seq", "user_id", "memory_key", "content", "embedding", "decision", "merged", (F.col("_top") + F.col("seq") + 1).cast("long").alias("new_id"))
+    known = memory.where("status = 'ACTIVE'").join(cands.select("user_id", "memory_key").distinct(), ["user_id", "memory_key"], "left_semi")
+    known = known.select(F.col("user_id").alias("_user"), F.col("memory_key").alias("_key"), F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("embedding").alias("_known"))
+
+    def run(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        return _fold_key(own, others, hi, lo)
+
+    return rows.groupBy("user_id", "memory_key").cogroup(known.groupBy("_user", "_key")).applyInPandas(run, FOLDED)
+
+
 def merge_docs(memory_docs: DataFrame, new_docs: DataFrame) -> DataFrame:
     """Search documents with those that ``apply_memory`` made; older ones of the same memory become DELETE."""
     newest = new_docs.groupBy("memory_id").agg(F.max("version").alias("_newest"))

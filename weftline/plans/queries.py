@@ -335,6 +335,17 @@ def _nearest(t: Tables) -> DataFrame:
 
 
 simple("ret7_nearest_memory", _nearest, f"with {MEMORY_DOCS}, {NEAREST} select user_id, seq, memory_key, doc_id, version, score from nm")
+
+
+def _folded(t: Tables) -> DataFrame:
+    """Memories of odd ids as candidates, one by one, beside the others; decisions for two thirds of them."""
+    docs = _memory_docs(t).withColumnRenamed("doc_id", "id")
+    cands = docs.where("id % 2 = 1").selectExpr("id as seq", "user_id", "memory_key", "concat('new ', id) as content", "embedding")
+    said = cands.where("seq % 3 <> 0").selectExpr("seq", "if(seq % 3 = 1, 'UPDATE', 'INSERT') as action", "concat('merged ', seq) as merged")
+    return memory.fold_candidates(docs.where("id % 2 = 0"), cands, said, 0.5, 0.2)
+
+
+simple("ups7_fold_candidates", _folded)
 simple("ups6_route", lambda t: memory.route(_nearest(t)),
        f"with {MEMORY_DOCS}, {NEAREST}, r as (select *, case when memory_key = 'language' then 'SINGLETON' when score >= 0.88 then 'UPDATE' when score >= 0.75 then 'DECIDE' else 'INSERT' end as action from nm) select *, case when action in ('UPDATE', 'DECIDE') then doc_id end as target_id from r")
 
