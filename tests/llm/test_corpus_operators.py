@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import langid, neardup, packing, quality, queries, shards, topk
-from weftline.llm.common import table
+from weftline.llm.common import numbered, table
 from weftline.llm.tokens import BYTE_PATTERN, ByteTokens
 
 # ---- language
@@ -165,6 +165,27 @@ def test_topk_with_a_sampled_bound_and_many_tiles(spark, monkeypatch, sample):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("sample", [4, 200])
+def test_topk_tells_rows_of_one_id_apart(spark, monkeypatch, sample):
+    """Numbered rows: a query leaves out its own row alone; rows of its id, equal ones too, rank each other."""
+    for name, size in (("SHARD", 64), ("SMALL", 64), ("GROUP", 3), ("BLOCK", 8), ("SAMPLE", sample)):
+        monkeypatch.setattr(topk, name, size)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.integers(-9, 9, 5).astype(float).tolist()) for i in range(300)]
+    rows += [(100, [9.0, 9.0, 9.0, 9.0, 9.0])] * 2 + [(100, [2.0, -1.0, 0.0, 4.0, 4.0])] + [(200, rows[200][1])] * 15
+    vectors, name = numbered(spark.createDataFrame(rows, "vec_id long, v array<double>"))
+    assert name == topk.ROW
+    got = sorted(tuple(r) for r in topk.exact_topk(vectors, vectors.where("vec_id % 100 = 0"), 10).collect())
+    want = []
+    for own, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for other, (i, w) in enumerate(rows) if other != own)
+            want += [(q, r + 1, i, int(-s)) for r, (s, i) in enumerate(scores[:10])]
+    assert got == sorted(want) and len(want) == 10 * (3 + 3 + 15)
+    alone = vectors.where("vec_id = 7")
+    assert topk.exact_topk(alone, alone, 10).count() == 0
+
+
 def test_topk_prunes_blocks():
     rows = [(np.arange(b * 8, b * 8 + 8), np.full((8, 2), float(b))) for b in range(10)]
     best, ids = topk.search_tile(np.array([-1]), np.array([[1.0, 1.0]]), rows, 3)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, clusters, html_text, langid, neardup, packing, pieces, pii, quality, shards, topk, whitening, word_bpe
-from .common import table
+from .common import numbered, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.usable(table(spark, sf_dir, "embeddings"))
+    vectors, _ = numbered(topk.usable(table(spark, sf_dir, "embeddings")))
     return topk.exact_topk(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 

@@ -26,6 +26,8 @@ SMALL = 4096
 #: Vectors that every query is scored against first, about so many.
 SAMPLE = 2048
 SCALE = 1024
+#: The column of ``common.numbered``.
+ROW = "_row"
 
 
 def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -39,28 +41,31 @@ def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int, shards: int) -> Iterator[pa.RecordBatch]:
     """Rows of a partition, sorted by id, as blocks; a block's shard follows from its first id."""
-    names = ["shard", "ids", "rows", "dims"]
+    names = ["shard", "ids", "own", "rows", "dims"]
 
-    def out(ids: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
+    def out(ids: list[int], own: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
         dims = max(map(len, rows))
         flat = _matrix(rows, dims)
         shard = (ids[0] * 2654435761 >> 8) % shards
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([dims], pa.int64())], names=names)
+        packed = [pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (ids, own)]
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *packed, pa.array([flat.tobytes()], pa.binary()), pa.array([dims], pa.int64())], names=names)
 
     ids: list[int] = []
+    own: list[int] = []
     rows: list[np.ndarray] = []
     for batch in batches:
         values = batch.column(1)
         flat, offsets = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy()
         offsets = offsets - offsets[0]
-        for i, x in enumerate(batch.column(0).to_pylist()):
+        for i, (x, number) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             ids.append(x)
+            own.append(number)
             rows.append(flat[offsets[i] : offsets[i + 1]])
             if len(ids) == block:
-                yield out(ids, rows)
-                ids, rows = [], []
+                yield out(ids, own, rows)
+                ids, own, rows = [], [], []
     if ids:
-        yield out(ids, rows)
+        yield out(ids, own, rows)
 
 
 def _merge(best: np.ndarray, best_ids: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +76,8 @@ def _merge(best: np.ndarray, best_ids: np.ndarray, score: np.ndarray, ids: np.nd
     return np.take_along_axis(all_score, order, 1), np.take_along_axis(all_ids, order, 1)
 
 
-def search_tile(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of each query's k best in some blocks (ids, rows), of those that score ``least`` or more; places without a candidate score -inf."""
+def search_tile(own: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, ...]], k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each query's k best in some blocks (ids, rows, and numbers that tell rows apart if ids don't), other than ``own``, of those that score ``least`` or more; places without a candidate score -inf."""
     least = np.full(len(queries), -np.inf) if least is None else least
     high, low = np.array([b[1].max(0) for b in blocks]), np.array([b[1].min(0) for b in blocks])
     bound = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
@@ -86,33 +91,33 @@ def search_tile(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[n
             break
         at = order[going, r]
         for b in np.unique(at):
-            own = going[at == b]
-            ids, rows = blocks[b]
-            score = queries[own] @ rows.T
-            score[(query_ids[own][:, None] == ids[None, :]) | (score < least[own, None])] = -np.inf
-            beats = (score >= best[own, k - 1 : k]).any(1)
+            here = going[at == b]
+            ids, rows, *numbers = blocks[b]
+            score = queries[here] @ rows.T
+            score[(own[here][:, None] == (numbers[0] if numbers else ids)[None, :]) | (score < least[here, None])] = -np.inf
+            beats = (score >= best[here, k - 1 : k]).any(1)
             if beats.any():
-                best[own[beats]], best_ids[own[beats]] = _merge(best[own[beats]], best_ids[own[beats]], score[beats], ids, k)
+                best[here[beats]], best_ids[here[beats]] = _merge(best[here[beats]], best_ids[here[beats]], score[beats], ids, k)
     return best, best_ids
 
 
 def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """One tile: some queries against the blocks of one shard."""
-    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "own": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
     if left.empty or right.empty:
         return empty
     dims = max(int(right["dims"].max()), max(map(len, left["v"])))
     queries = _matrix(list(left["v"]), dims)
     blocks = []
-    for ids, rows, own in zip(right["ids"], right["rows"], right["dims"], strict=True):
+    for ids, numbers, rows, width in zip(right["ids"], right["own"], right["rows"], right["dims"], strict=True):
         ids = np.frombuffer(ids, np.int64)
         flat = np.zeros((len(ids), dims))
-        flat[:, :own] = np.frombuffer(rows).reshape(len(ids), own)
-        blocks.append((ids, flat))
-    query_ids = left["vec_id"].to_numpy(np.int64)
-    best, best_ids = search_tile(query_ids, queries, blocks, k, left["least"].to_numpy(float))
+        flat[:, :width] = np.frombuffer(rows).reshape(len(ids), width)
+        blocks.append((ids, flat, np.frombuffer(numbers, np.int64)))
+    query_ids, own = left["vec_id"].to_numpy(np.int64), left["own"].to_numpy(np.int64)
+    best, best_ids = search_tile(own, queries, blocks, k, left["least"].to_numpy(float))
     found = np.isfinite(best)
-    return pd.DataFrame({"query_id": np.repeat(query_ids, found.sum(1)), "vec_id": best_ids[found], "score": best[found].astype(np.int64)})
+    return pd.DataFrame({"query_id": np.repeat(query_ids, found.sum(1)), "own": np.repeat(own, found.sum(1)), "vec_id": best_ids[found], "score": best[found].astype(np.int64)})
 
 
 def _matrix(rows: list, dims: int) -> np.ndarray:
@@ -123,59 +128,65 @@ def _matrix(rows: list, dims: int) -> np.ndarray:
     return out
 
 
-def _least(batch: pa.RecordBatch, ids: np.ndarray, sample: np.ndarray, k: int) -> pa.RecordBatch:
-    """Queries with their k-th best score among the sample's vectors of other ids; their own k-th best can't be lower."""
+def _least(batch: pa.RecordBatch, numbers: np.ndarray, sample: np.ndarray, k: int) -> pa.RecordBatch:
+    """Queries with their k-th best score among the sample's other vectors; their own k-th best can't be lower."""
     rows = batch.column(1).to_pylist()
     least = np.full(len(rows), -np.inf)
-    if rows and len(ids) > k:
+    if rows and len(numbers) > k:
         dims = max(sample.shape[1], *map(len, rows))
         score = _matrix(rows, dims) @ np.pad(sample, ((0, 0), (0, dims - sample.shape[1]))).T
-        score[np.array(batch.column(0).to_pylist())[:, None] == ids[None, :]] = -np.inf
+        score[np.array(batch.column(2).to_pylist())[:, None] == numbers[None, :]] = -np.inf
         least = np.partition(score, -k, axis=1)[:, -k]
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], names=["vec_id", "v", "least"])
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], names=["vec_id", "v", "own", "least"])
 
 
 def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's k highest inner products over all candidates with another id.
+    """``query_id, rank, vec_id, score``: each query's k highest inner products over all candidates but its own row.
 
-    Both have vec_id and v (``usable``). Ties go to the smaller id; fewer candidates give fewer rows;
-    repeated query rows count once, repeated candidate rows each; query rows of one id with different vectors
-    share one ranking of all their scores; vectors of fewer dimensions are filled with 0; scores are exact below 2 to the 53. Queries in groups meet candidates in shards, so
+    Both have vec_id and v (``usable``). Rows that ``common.numbered`` has written are told apart by their number: then
+    rows of one id rank each other, and each query row has a ranking. Without numbers a query's own rows are those of its id:
+    repeated query rows count once, and query rows of one id with different vectors share one ranking of all their scores. Ties go to the smaller id; fewer candidates give fewer rows;
+    repeated candidate rows count each; vectors of fewer dimensions are filled with 0; scores are exact below 2 to the 53. Queries in groups meet candidates in shards, so
     that a task holds ``GROUP`` queries and about ``SHARD`` vectors whatever the tables' size; a query goes to
     every shard and a vector to every group. The driver holds about ``SAMPLE`` vectors.
     """
-    candidates, queries = materialize(candidates), materialize(queries.dropDuplicates(["vec_id", "v"]))
+    if ROW in candidates.columns and ROW in queries.columns:
+        rows = [F.col("vec_id"), F.col("v"), F.col(ROW).alias("own")]
+        candidates, queries = candidates.select(rows), materialize(queries.select(rows))
+    else:
+        rows = [F.col("vec_id"), F.col("v"), F.col("vec_id").alias("own")]
+        candidates, queries = materialize(candidates.select(rows)), materialize(queries.dropDuplicates(["vec_id", "v"]).select(rows))
     n, n_queries = candidates.count(), queries.count()
     shards, groups = max(-(-n // SHARD), min(-(-n // SMALL), candidates.sparkSession.sparkContext.defaultParallelism), 1), max(1, -(-n_queries // GROUP))
-    drawn = candidates.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).collect()
+    drawn = candidates.where(F.pmod(F.xxhash64("own"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).collect()
     sample = _matrix([r["v"] for r in drawn], max([len(r["v"]) for r in drawn], default=0))
-    first = partial(_least, ids=np.array([r["vec_id"] for r in drawn], np.int64), sample=sample, k=k)
+    first = partial(_least, numbers=np.array([r["own"] for r in drawn], np.int64), sample=sample, k=k)
     blocks = (
         candidates.repartitionByRange(shards, "vec_id").sortWithinPartitions("vec_id")
-        .mapInArrow(partial(_blocks, block=BLOCK, shards=shards), "shard long, ids binary, rows binary, dims long")
+        .mapInArrow(partial(_blocks, block=BLOCK, shards=shards), "shard long, ids binary, own binary, rows binary, dims long")
         .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     )
-    asked = map_arrow(queries.select("vec_id", "v"), first, "vec_id long, v array<double>, least double", 1024)
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn(
+    asked = map_arrow(queries, first, "vec_id long, v array<double>, own long, least double", 1024)
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("own"), F.lit(groups)).cast("int")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     )
     found = (
         asked.groupBy("shard", "group").cogroup(blocks.groupBy("shard", "group"))
-        .applyInPandas(partial(_search, k=k), "query_id long, vec_id long, score long")
+        .applyInPandas(partial(_search, k=k), "query_id long, own long, vec_id long, score long")
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 #: DuckDB's form of the query.
 ORACLE = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.row <> c.row)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
