@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import hooks, scalars
 from weftline.operators import articles, chunking, counters, logs, memory, orders, retrieval
 from weftline.sources import tables
-from weftline.streaming import jobs
+from weftline.streaming import jobs, retries
 
 
 @pytest.fixture
@@ -546,6 +546,35 @@ def test_redelivery_until_good_or_dead(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/rest/dead").select("attempt").distinct().collect()[0][0] == 4
 
 
+def test_retries_come_when_they_are_due(spark, tmp_path, few_parts):
+    """Messages fail some times, one forever; the same id said again and one without id; a stop and a restart while some wait."""
+
+    def process(df):
+        return df.withColumn("err", F.when((F.col("id") == 4) | F.col("id").isNull() | (F.col("attempt") < F.col("id")), "E"))
+
+    path, want = f"{tmp_path}/out", {(0, 0): "good", (1, 1): "good", (2, 2): "good", (4, 4): "dead", (None, 1): "dead"}
+    source = spark.createDataFrame([(0, "a"), (1, None), (2, "c"), (4, "d"), (None, "e"), (2, "c")], "id long, text string")
+    source.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(source.schema).parquet(f"{tmp_path}/in")
+
+    def start():
+        return retries.timed_retries(stream, process, path, f"{tmp_path}/check", attempts=3, delay=3, slots=2)
+
+    with jobs.state_store(spark, retries.TIMERS):
+        job = start()
+        retries.wait_until_settled(spark, job, path, 2, 60)  # those of the first try
+        source.where("id = 1").write.mode("append").parquet(f"{tmp_path}/in")
+        job = start()
+        retries.wait_until_settled(spark, job, path, len(want), 120)
+    found = {(r["id"], r["attempt"]): (name, r) for name in ("good", "dead") for r in retries.settled(spark, path, name).collect()}
+    assert {k: name for k, (name, _) in found.items()} == want and sum(retries.settled(spark, path, name).count() for name in ("good", "dead")) == len(want)
+    assert found[(1, 1)][1]["text"] is None and found[(2, 2)][1]["text"] == "c"
+    for (_, attempt), (_, r) in found.items():
+        assert r["tried_at"] >= r["due"] and (r["due"] > 0) == (attempt > 0 and r["id"] is not None)
+    tries = sorted(r["tried_at"] for r in spark.read.parquet(f"{path}/processed").where("id = 4").collect())
+    assert len(tries) == 4 and all(b - a >= 3000 for a, b in zip(tries, tries[1:], strict=False))
+
+
 def test_order_stream_equals_one_batch(spark, tmp_path, few_parts):
     """Four batches, with messages said again and ids under other buyers and items, against one batch of all first messages."""
     rnd = random.Random(4)

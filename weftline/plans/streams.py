@@ -11,7 +11,7 @@ from weftline.operators import memory, orders, retrieval
 from weftline.plans.contested import FLOWN, flow_tables
 from weftline.plans.queries import COUNTS, HAVE, VALID, VEC, Tables, _counts, _have, _stock, _vector_queries, query
 from weftline.sources import tables
-from weftline.streaming import jobs
+from weftline.streaming import jobs, retries
 
 FILES = 4
 
@@ -101,6 +101,19 @@ def _relay(t: Tables) -> DataFrame:
     return _read(t, f"{folder}/out", "order_id long, sku_id long, user_id long").drop("batch")
 
 
+@query("str8_timed_retries", """select order_id as id, cast(order_id % 5 as int) as attempt, case when order_id % 5 = 4 then 'DEAD' else 'GOOD' end as outcome, true as in_time from order_outcome""")
+def _timed_retries(t: Tables) -> DataFrame:
+    """Outcomes that fail up to four times and come again two seconds after each failure, the last one when no message comes any more."""
+    outcomes = t.order_outcome.select(F.col("order_id").alias("id"), "status")
+    stream, folder = stream_of(t, [outcomes.where(f"id % 2 = {k}") for k in range(2)], "retries")
+    process = lambda df: df.withColumn("err", F.when(F.col("attempt") < F.col("id") % 5, "NOT_YET"))
+    with jobs.state_store(t.spark, retries.TIMERS):
+        job = retries.timed_retries(stream, process, f"{folder}/out", f"{folder}/check", delay=2, slots=16)
+        retries.wait_until_settled(t.spark, job, f"{folder}/out", outcomes.count())
+    ends = [retries.settled(t.spark, f"{folder}/out", name).withColumn("outcome", F.lit(name.upper())) for name in ("good", "dead")]
+    return ends[0].unionByName(ends[1]).select("id", "attempt", "outcome", (F.col("tried_at") >= F.col("due")).alias("in_time"))
+
+
 @query("agg2s_stateful_counters", f"""with {COUNTS}, {HAVE}, {VALID}, s as (select sid, sum(delta) as total from val where err is null and event_id not in (select event_id from outbox_cdc where op <> 'INSERT') group by sid)
 select sid, cast(coalesce(turn, 0) as bigint) as turn, cast(case when turn is not null then fav + total else coalesce(fav_count, 0) end as bigint) as fav
 from s left join have on have.sku_id = sid left join cnt on cnt.sku_id = sid""")

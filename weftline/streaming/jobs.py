@@ -33,10 +33,10 @@ STATE_STORE = {
 
 
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """The session with ``STATE_STORE``, for the time of a stream's run."""
-    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
-    for k, v in STATE_STORE.items():
+def state_store(spark: SparkSession, settings: dict[str, str] = STATE_STORE) -> Iterator[None]:
+    """The session with ``settings``, for the time of a stream's run."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield
