@@ -10,8 +10,8 @@ from weftline.functions import hooks
 from weftline.operators import memory, orders, retrieval
 from weftline.plans.contested import FLOWN, flow_tables
 from weftline.plans.queries import COUNTS, HAVE, VALID, VEC, Tables, _counts, _have, _stock, _vector_queries, query
-from weftline.sources import tables
-from weftline.streaming import jobs, retries
+from weftline.sources import change_log, tables
+from weftline.streaming import decisions, jobs, retries
 
 FILES = 4
 
@@ -128,6 +128,34 @@ def _stateful(t: Tables) -> DataFrame:
     return last.select("sid", "l.turn", "l.fav")
 
 
+@query("src2_change_log_stream", "select event_id, payload, 0 as status, 0 as retry_count, event_type, cast(null as varchar) as err from outbox_cdc where op = 'INSERT'")
+def _change_log(t: Tables) -> DataFrame:
+    """A log of a transaction for each change, in four segments."""
+    names = ["EVENT_ID", "payload", "status", "retry_count", "event_type"]
+    values = F.array(F.col("event_id").cast("string"), "payload", F.lit("0"), F.lit("0"), "event_type")
+    row = F.array(F.struct(F.array(*map(F.lit, names)).alias("names"), values.alias("values")))
+    change = F.to_json(F.struct(F.lit("ROWDATA").alias("type"), F.lit("Outbox").alias("table"), "op", F.lit(False).alias("is_ddl"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), row.alias("rows")))
+    lines = t.outbox_cdc.select(F.explode(F.array(F.lit('{"type":"TRANSACTIONBEGIN"}'), change, F.lit('{"type":"TRANSACTIONEND"}'))).alias("value"))
+    folder = tables.shared_folder(t.spark, "log")
+    lines.repartition(FILES).write.text(f"{folder}/in")
+    images = tables.outbox_inserts(change_log.change_log(t.spark, f"{folder}/in", piece=1 << 16))
+    return jobs.run_to_files(tables.to_outbox(images), f"{folder}/out", f"{folder}/check")
+
+
+#: Of three candidates one is decided with its own slice, one with the next, and one by nobody; the last slice, a day later, is decided at once.
+@query("ups6_decision_stream", """select user_id, id as seq, memory_key, case when id % 6 in (1, 2, 5) then 'UPDATE' else 'INSERT' end as action, case when id % 6 in (1, 2, 5) then id + 1 end as target_id,
+case when id % 6 in (1, 2, 4, 5) then 'merged ' || content else content end as content from long_memory""")
+def _decisions(t: Tables) -> DataFrame:
+    base = "timestamp '2024-01-01 00:00:00'"
+    part = t.long_memory.selectExpr("id", "user_id", "memory_key", "content", "cast(case id % 6 when 3 then 1 when 5 then 2 else 0 end as int) as slice")
+    timed = part.selectExpr("*", f"{base} + make_dt_interval(0, 0, 0, id % 60) + make_dt_interval(if(slice = 2, 1, 0), if(slice = 1, 1, 0), 0, 0) as ts")
+    said = timed.where("id % 6 in (1, 2, 4, 5)").selectExpr("ts + make_dt_interval(0, 0, if(id % 6 = 2, 20, 1), 0) as said_at", "user_id", "id as seq", "if(id % 6 = 4, 'INSERT', 'UPDATE') as action", "'merged ' || content as merged", "if(id % 6 = 2, 1, slice) as slice")
+    slices = lambda df: [df.where(f"slice = {k}").drop("slice") for k in range(3)]
+    cands, folder = stream_of(t, slices(timed.selectExpr("ts", "user_id", "id as seq", "memory_key", "content", "id + 1 as target_id", "slice")), "candidates")
+    answers, _ = stream_of(t, slices(said), "decisions")
+    return jobs.run_to_files(decisions.decided_candidates(cands, answers, wait="30 minutes"), f"{folder}/out", f"{folder}/check")
+
+
 @query("str4_publish_stream", """select post_id, cast(version + case when post_id % 6 = 0 then 2 when post_id % 3 < 2 then 1 else 0 end as int) as version, case when post_id % 3 < 2 then 2 else status end as status,
 case when post_id % 3 < 2 and title is not null then 1 else 0 end as chunked, post_id % 3 < 2 and status = 1 as first from posts""")
 def _publish(t: Tables) -> DataFrame:
