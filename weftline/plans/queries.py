@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.fixtures import SQL as FIXTURES
 from weftline.fixtures import fixture, with_fixtures
 from weftline.functions import scalars
-from weftline.operators import articles, chunking, counters, logs, memory, orders, retrieval
+from weftline.operators import articles, chunking, counters, logs, memory, orders, retrieval, similar
 from weftline.sources import tables
 from weftline.streaming import jobs
 
@@ -294,6 +294,7 @@ df as (select term, count(*) as df from tf group by term),
 bs as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgl))), 6) as score
        from q join tf using (post_id, version, term) join df using (term), st group by query_id, chunk_id)"""
 simple("ret1_vector_topk", lambda t: retrieval.vector_topk(_vector_queries(t), t.chunk_vec), f"with {VEC} select * from vk")
+simple("ret1_approximate_topk", lambda t: similar.approximate_topk(t.chunk_vec.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), t.chunk_vec, filters=()))
 simple("ret2_bm25_topk", lambda t: retrieval.bm25_topk(_word_queries(t), t.chunk_text), f"with {BM} select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from bs qualify rank <= 40")
 # Another list: the same hits the other way round, two of three under ids that the first list lacks, and some without id.
 OTHER = "ot as (select query_id, case when rank % 7 = 0 then null when rank % 3 = 0 then chunk_id else concat(chunk_id, 'x') end as chunk_id, 41 - rank as rank from vk)"
