@@ -96,3 +96,26 @@ def test_a_queue_gives_the_rows_of_a_time_once():
     assert [r for part in queue.take(1000) for r in part] == [*((i, 900) for i in range(2500)), (9999, 950)]
     assert not list(queue.take(1000))
     assert [r for part in queue.take(2000) for r in part] == [(1, 1500)] and not any(handle.kept[k] for k in ("q", "q_parts"))
+
+
+def test_a_batch_of_messages_to_retry_needs_few_calls():
+    """Each message had calls of its own before, and a timer read all that waited in its slot."""
+    import pandas as pd
+
+    from weftline.streaming import retries
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 5000
+
+        def getExpiryTimeInMs(self):
+            return 7000
+
+    handle, due, n, timers = Handle(), retries.DueRows(10**6), 20_000, set()
+    handle.registerTimer = timers.add
+    due.init(handle)
+    pdf = pd.DataFrame({"id": range(n), "attempt": 1, "due": [6500 if i % 2 else 8500 for i in range(n)], "payload": "{}"})
+    assert sum(map(len, due.handleInputRows((0,), iter([pdf]), Clock()))) == 0 and timers == {7000, 9000}
+    assert sum(map(len, due.handleInputRows((0,), iter([pdf]), Clock()))) == 0  # said again
+    found = [i for out in due.handleExpiredTimer((0,), None, Clock()) for i in out["id"]]
+    assert sorted(found) == list(range(1, n, 2)) and handle.calls < n / 10
