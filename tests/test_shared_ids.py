@@ -1,6 +1,7 @@
 """Orders whose ids stand for several buyers."""
 
 from weftline.operators import orders
+from weftline.sources import tables
 
 SHARED = [(1, 10, 20), (1, 10, 21), (2, 10, 20)]
 
@@ -9,3 +10,9 @@ def test_order_history_keeps_each_message_once(spark):
     msgs = spark.createDataFrame(SHARED, "order_id long, sku_id long, user_id long")
     found = orders.order_history(msgs, msgs.withColumnRenamed("order_id", "id")).collect()
     assert sorted(tuple(r) for r in found) == [(1, 10, 20, True, 2), (1, 10, 21, True, None), (2, 10, 20, True, 1)]
+
+
+def test_parsed_events_keep_their_other_columns(spark):
+    raw = spark.createDataFrame([("1", "10", "20", 3), ("1", "10", "x", 4)], "orderId string, skuId string, userId string, attempt int")
+    found = tables.parse_order_events(raw).select("order_id", "user_id", "attempt", "err").collect()
+    assert sorted(found, key=str) == [(1, 20, 3, None), (1, None, 4, "INVALID_ORDER")]
