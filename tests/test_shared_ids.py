@@ -16,3 +16,10 @@ def test_parsed_events_keep_their_other_columns(spark):
     raw = spark.createDataFrame([("1", "10", "20", 3), ("1", "10", "x", 4)], "orderId string, skuId string, userId string, attempt int")
     found = tables.parse_order_events(raw).select("order_id", "user_id", "attempt", "err").collect()
     assert sorted(found, key=str) == [(1, 20, 3, None), (1, None, 4, "INVALID_ORDER")]
+
+
+def test_a_relay_sends_all_payloads_of_an_id(spark, tmp_path):
+    schema = "order_id long, sku_id long, user_id long"
+    spark.createDataFrame([*SHARED, SHARED[0]], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    tables.relay(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert sorted(tuple(r)[:3] for r in spark.read.parquet(f"{tmp_path}/out").select("order_id", "sku_id", "user_id").collect()) == SHARED
