@@ -119,3 +119,18 @@ def test_a_batch_of_messages_to_retry_needs_few_calls():
     assert sum(map(len, due.handleInputRows((0,), iter([pdf]), Clock()))) == 0  # said again
     found = [i for out in due.handleExpiredTimer((0,), None, Clock()) for i in out["id"]]
     assert sorted(found) == list(range(1, n, 2)) and handle.calls < n / 10
+
+
+def test_a_batch_of_counter_events_needs_few_calls():
+    """Each event had two calls of its own before."""
+    import pandas as pd
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 5000
+
+    handle, seen, n = Handle(), jobs.SeenEvents(10**6), 20_000
+    seen.init(handle)
+    pdf = pd.DataFrame({"slot": 0, "sid": 1, "event_id": range(n), "idx": 2, "delta": 1})
+    assert [sum(map(len, seen.handleInputRows((0,), iter([pdf]), Clock()))) for _ in range(2)] == [n, 0]
+    assert handle.calls < n / 10
