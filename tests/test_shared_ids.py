@@ -23,3 +23,15 @@ def test_a_relay_sends_all_payloads_of_an_id(spark, tmp_path):
     spark.createDataFrame([*SHARED, SHARED[0]], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     tables.relay(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert sorted(tuple(r)[:3] for r in spark.read.parquet(f"{tmp_path}/out").select("order_id", "sku_id", "user_id").collect()) == SHARED
+
+
+def test_the_outcome_of_an_id_does_not_depend_on_the_order_of_rows(spark):
+    """Before, any one of an id's outcomes counted, even one without status, which left its reservation as it was."""
+    outcome = "order_id long, sku_id long, user_id long, status string, keep_buyer boolean"
+    said = [(1, 10, 21, None, None), (1, 10, 20, "CONFIRMED", True), (2, 10, 30, "CONFIRMED", True), (2, 10, 30, "CANCELLED", False), (3, 11, 5, None, None)]
+    held = spark.createDataFrame([(1, 10, 20, "PENDING", None), (2, 10, 30, "PENDING", None), (3, 11, 5, "PENDING", None)], "order_id long, sku_id long, user_id long, state string, keep_buyer boolean")
+    stock = spark.createDataFrame([(10, 4), (11, 4)], "sku_id long, stock long")
+    mapped = orders.buyer_orders(held)
+    for rows in (said, said[::-1]):
+        done = orders.completions(held, stock, mapped, spark.createDataFrame(rows, outcome).coalesce(1))
+        assert sorted((r["order_id"], r["user_id"], r["status"], r["result"]) for r in done.collect()) == [(1, 20, "CONFIRMED", "APPLIED"), (2, 30, "CANCELLED", "APPLIED")]
