@@ -63,6 +63,21 @@ def test_change_log_of_a_lost_segment_is_an_error(tmp_path):
         reader.partitions({"segment": "a", "at": 3}, reader.latestOffset())
 
 
+def test_change_log_has_few_pieces_however_long(tmp_path, monkeypatch):
+    """Small pieces grow with the log; each line is read by one of them, and little beyond a piece's end is."""
+    for k in range(3):
+        (tmp_path / f"{k}").write_text("".join(MARKS[0] + entry(100 * k + n) + MARKS[1] for n in range(100)))
+    reader = change_log.ChangeLogReader(str(tmp_path), 7)
+    monkeypatch.setattr(change_log, "PIECES", 8)
+    monkeypatch.setattr(change_log, "REST", 16)
+    pieces = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert 8 <= len(pieces) <= 8 + 3
+    rows = [r for p in pieces for batch in reader.read(p) for r in batch.to_pylist()]
+    assert sorted(int(r["values"][0]) for r in rows) == list(range(300))
+    monkeypatch.setattr(change_log, "PIECE", 64)
+    assert max(p.end - p.start for p in reader.partitions(reader.initialOffset(), reader.latestOffset())) == 64
+
+
 def test_candidates_meet_decisions_or_time_out(spark, tmp_path, few_parts):
     """Decided, undecided, decided too late or before, by no known action, without a target, twice, and for another user."""
     at = lambda day, minute: f"2024-01-0{day} 00:{minute:02}:00"

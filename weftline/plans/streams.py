@@ -130,14 +130,14 @@ def _stateful(t: Tables) -> DataFrame:
 
 @query("src2_change_log_stream", "select event_id, payload, 0 as status, 0 as retry_count, event_type, cast(null as varchar) as err from outbox_cdc where op = 'INSERT'")
 def _change_log(t: Tables) -> DataFrame:
-    """A log of a transaction for each change, in four segments."""
+    """A log of a transaction for each change, in as many segments as a shuffle has partitions."""
     names = ["EVENT_ID", "payload", "status", "retry_count", "event_type"]
     values = F.array(F.col("event_id").cast("string"), "payload", F.lit("0"), F.lit("0"), "event_type")
     row = F.array(F.struct(F.array(*map(F.lit, names)).alias("names"), values.alias("values")))
     change = F.to_json(F.struct(F.lit("ROWDATA").alias("type"), F.lit("Outbox").alias("table"), "op", F.lit(False).alias("is_ddl"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), row.alias("rows")))
     lines = t.outbox_cdc.select(F.explode(F.array(F.lit('{"type":"TRANSACTIONBEGIN"}'), change, F.lit('{"type":"TRANSACTIONEND"}'))).alias("value"))
     folder = tables.shared_folder(t.spark, "log")
-    lines.repartition(FILES).write.text(f"{folder}/in")
+    lines.repartition(max(FILES, int(t.spark.conf.get("spark.sql.shuffle.partitions")))).write.text(f"{folder}/in")
     images = tables.outbox_inserts(change_log.change_log(t.spark, f"{folder}/in", piece=1 << 16))
     return jobs.run_to_files(tables.to_outbox(images), f"{folder}/out", f"{folder}/check")
 

@@ -7,15 +7,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 CHANGES = "op string, table string, is_ddl boolean, names array<string>, values array<string>, ts timestamp, corrupt string"
-#: Bytes that one task reads, about.
+_ARROW = pa.schema([
+    ("op", pa.string()), ("table", pa.string()), ("is_ddl", pa.bool_()), ("names", pa.list_(pa.string())), ("values", pa.list_(pa.string())),
+    ("ts", pa.timestamp("us", "UTC")), ("corrupt", pa.string()),
+])
+#: Bytes that one task reads, about, in a large batch.
 PIECE = 64 << 20
-#: Bytes read at a time.
-STEP = 1 << 20
+#: Pieces of a batch, about at most, unless they would be larger than ``PIECE``.
+PIECES = 256
+#: Bytes read at a time, and past a piece's end, to the end of its last line.
+STEP, REST = 1 << 20, 1 << 14
 
 
 @dataclass
@@ -34,14 +41,19 @@ def _rows(line: bytes) -> Iterator[tuple]:
         if entry["type"] != "ROWDATA":
             return
         ts = None if entry.get("ts") is None else datetime.fromtimestamp(entry["ts"] / 1000, timezone.utc)
-        head = (entry.get("op"), entry.get("table"), bool(entry.get("is_ddl")))
         text = lambda xs: [None if x is None else str(x) for x in xs]
+        head = (*text([entry.get("op"), entry.get("table")]), bool(entry.get("is_ddl")))
         rows = [(*head, text(r["names"]), text(r["values"]), ts, None) for r in entry.get("rows") or []]
     except (ValueError, KeyError, TypeError, AttributeError):
         rows = [(None, None, None, None, None, None, line.decode("utf-8", "replace"))]
     yield from rows
 
 
+def _batch(lines: list[bytes]) -> pa.RecordBatch:
+    rows = [row for line in lines for row in _rows(line)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
+
+
 class ChangeLogReader(DataSourceStreamReader):
     """Offsets are a segment and a byte in it: all segments before it by name have been read, and of it the bytes before."""
 
@@ -76,15 +88,16 @@ class ChangeLogReader(DataSourceStreamReader):
         _, files = self._files()
         if start["segment"] and start["segment"] not in files:
             raise ValueError(f"segment {start['segment']} is gone, so what followed in it can't be read")
-        pieces = []
+        spans = []
         for name, info in files.items():
             if start["segment"] <= name <= end["segment"]:
-                first = start["at"] if name == start["segment"] else 0
-                last = end["at"] if name == end["segment"] else info.size
-                pieces += [Piece(info.path, at, min(at + self.piece, last)) for at in range(first, last, self.piece)]
-        return pieces
+                spans.append((info.path, start["at"] if name == start["segment"] else 0, end["at"] if name == end["segment"] else info.size))
+        # A task costs far more than a small piece, so pieces grow with what a batch reads.
+        size = max(self.piece, min(PIECE, sum(last - first for _, first, last in spans) // PIECES))
+        return [Piece(path, at, min(at + size, last)) for path, first, last in spans for at in range(first, last, size)]
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
+    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        """The rows of a piece, a batch for each ``STEP`` read."""
         system, _ = fs.FileSystem.from_uri(self.path)
         with system.open_input_file(partition.segment) as file:
             at = partition.start
@@ -93,18 +106,18 @@ class ChangeLogReader(DataSourceStreamReader):
                 at = at - 1
             skip, rest = bool(at or partition.start), b""
             while True:
-                chunk = file.read(STEP)
+                chunk = file.read(min(STEP, max(REST, partition.end - file.tell())))
                 lines = (rest + chunk).split(b"\n")
-                rest = lines.pop() if chunk else b""
+                rest, own = lines.pop() if chunk else b"", []
                 for line in lines:
                     begin, at = at, at + len(line) + 1
                     if skip:
                         skip = False
-                    elif begin >= partition.end:
-                        return
-                    elif line.strip():
-                        yield from _rows(line)
-                if not chunk:
+                    elif begin < partition.end and line.strip():
+                        own.append(line)
+                if own:
+                    yield _batch(own)
+                if not chunk or at >= partition.end:
                     return
 
     def commit(self, end: dict) -> None:
@@ -116,7 +129,7 @@ class ChangeLog(DataSource):
 
     An entry is a JSON line: type (TRANSACTIONBEGIN, ROWDATA, TRANSACTIONEND), table, op, is_ddl, ts (milliseconds) and rows of names and
     values. Segments lie in one folder that driver and executors share, of any file system that Arrow knows; they are read in the order of their names, and only the last one grows. A line is
-    read when it is whole. Option ``piece`` says how many bytes a task reads.
+    read when it is whole. Option ``piece`` says how many bytes a task reads; in a batch of more than ``PIECES`` such pieces it is more, up to ``PIECE``.
     """
 
     @classmethod
