@@ -83,6 +83,17 @@ def test_admission_of_repeated_order_ids(spark):
         assert rows(got.select("order_id", "result_order_id", "result", "err")) == simulate_admission(requests, stock, buyers, reservations)
 
 
+def test_later_rounds_rank_only_the_items_that_lost_a_request(spark, monkeypatch):
+    # Item 1 loses a request of id 7 in the first round; items 3 and 4 share nothing.
+    ranked, winners = [], orders._winners
+    monkeypatch.setattr(orders, "_winners", lambda rows, *more: (ranked.append({r["sku_id"] for r in rows.select("sku_id").distinct().collect()}), winners(rows, *more))[1])
+    r = spark.createDataFrame([(1, 7, 2, 11), (2, 7, 1, 12), (3, 8, 1, 13), (4, 9, 3, 14), (5, 10, 4, 15)], "arrival long, order_id long, sku_id long, user_id long")
+    none = r.where("false")
+    got = orders.admit(r, spark.createDataFrame([(k, 1) for k in range(1, 5)], "sku_id long, stock long"), none.select("sku_id", "user_id"), none.selectExpr("order_id", "sku_id", "user_id", "'' as state"))
+    assert sorted((x["order_id"], x["result"]) for x in got.collect()) == [(7, "ADMITTED"), (7, "ERROR"), (8, "ADMITTED"), (9, "ADMITTED"), (10, "ADMITTED")]
+    assert ranked == [{1, 2, 3, 4}, {1}]
+
+
 def test_an_order_id_has_one_buyer(spark):
     # 7 is asked for by two buyers of an item, 8 for two items; the unit of a collision goes to the next buyer, and its own may ask again.
     requests = [(1, 7, 1, 11), (2, 7, 1, 12), (3, 8, 1, 13), (4, 8, 2, 13), (5, 9, 2, 14), (6, 10, 1, 12), (7, 11, 2, 13)]
