@@ -94,6 +94,23 @@ def test_later_rounds_rank_only_the_items_that_lost_a_request(spark, monkeypatch
     assert ranked == [{1, 2, 3, 4}, {1}]
 
 
+def test_decisions_move_the_messages_once_for_each_key(spark, monkeypatch):
+    plans, keep = [], orders.stored
+    monkeypatch.setattr(orders, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        m = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 1, 2)], "order_id long, sku_id long, user_id long")
+        other = spark.createDataFrame([(99, 9, 9)], "id long, sku_id long, user_id long")
+        said = other.selectExpr("id as order_id", "sku_id", "user_id", "'CONFIRMED' as status", "true as keep_buyer")
+        got = orders.decide(m, other, said, spark.createDataFrame([(1, 1)], "id long, stock long"))
+        assert rows(got.select("order_id", "sku_id", "status", "err")) == [(1, 1, "CONFIRMED", None), (1, 2, None, "PAYLOAD_CONFLICT"), (2, 1, "CANCELLED", None), (3, 1, "CANCELLED", None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # By order id, item, and buyer of an item; the four tables beside the messages, each once.
+    assert plans[0].count("Exchange hashpartitioning") == 3 + 4
+
+
 def test_an_order_id_has_one_buyer(spark):
     # 7 is asked for by two buyers of an item, 8 for two items; the unit of a collision goes to the next buyer, and its own may ask again.
     requests = [(1, 7, 1, 11), (2, 7, 1, 12), (3, 8, 1, 13), (4, 8, 2, 13), (5, 9, 2, 14), (6, 10, 1, 12), (7, 11, 2, 13)]
