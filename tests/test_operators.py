@@ -228,6 +228,18 @@ def test_stock_flow_deals_a_hot_item_over_blocks(spark):
     assert sorted(tuple(r) for r in units.select("arrival", "_units").collect()) == want
 
 
+def test_stock_flow_looks_again_only_where_events_meet(spark, monkeypatch):
+    # The guess admits every buyer, and the second one finds no unit: nobody's turn hangs on that unless the buyer comes again.
+    rounds, one = [], orders._flow_round
+    monkeypatch.setattr(orders, "_flow_round", lambda *frames: (rounds.append(1), one(*frames))[1])
+    events = [(k, "REQUEST", 10 + k, 1, 20 + k, None, None) for k in range(3)]
+    for more, most in (([], 1), ([(3, "REQUEST", 13, 1, 21, None, None)], 3)):
+        rounds.clear()
+        got = flow(spark, events + more, [(1, 1)], [], [], 2)
+        assert rows(got.select("arrival", "result_order_id", "result", "err")) == simulate_flow(events + more, [(1, 1)], [], [])
+        assert len(rounds) <= most
+
+
 def test_admission_cap(spark):
     requests = spark.createDataFrame([(i, i + 1, 1, i + 1) for i in range(10)], "arrival long, order_id long, sku_id long, user_id long")
     none = requests.where("false")
