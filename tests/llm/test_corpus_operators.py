@@ -477,3 +477,21 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd_docs):
     assert len(clean) == odd.count() and sum(r["text"] is None for r in clean) == odd.where("text is null").count() and not any("a@b.c" in (r["text"] or "") for r in clean)
     packed = stages["packing"](spark, odd, sf)
     assert packed.where("piece = 0").count() == odd.count()
+
+
+def test_near_duplicates_leave_texts_where_they_are(spark, sf):
+    """Rows are picked by bitmaps of their numbers, which are small where lists of numbers aren't; columns may have any names."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit(1).alias("_bits"), F.lit(2).alias("_BUCKET"), F.lit(3).alias("_number"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted(r["doc_id"] for r in neardup.one_of_each(docs).select("doc_id").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 6000)
+    try:
+        got = neardup.one_of_each(docs)
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == want and got.columns == docs.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    numbers = [0, 7, 8, 32767, 32768, 32769, (5 << 33) - 1, 5 << 33, (5 << 33) + 1, (5 << 33) + 40000]
+    rows = spark.createDataFrame([(n, str(n)) for n in numbers], "n long, text string")
+    some = spark.createDataFrame([(n,) for n in numbers[::2] * 3], "k long")
+    assert sorted(r["n"] for r in neardup._among(rows, some, "n", "k").collect()) == numbers[::2]

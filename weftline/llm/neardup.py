@@ -185,6 +185,21 @@ def _state(edges: DataFrame) -> tuple:
     return got["n"], got["h"]
 
 
+def _among(rows: DataFrame, some: DataFrame, name: str, number: str) -> DataFrame:
+    """The rows whose number (``name``) is one of the numbers in ``some`` (``number``), which may repeat.
+
+    Texts aren't shuffled for that: the numbers become bitmaps, a bit for each row, which Spark sends to the rows
+    while their table is small enough for a broadcast (2 MB for 16 million rows).
+    """
+    bits = some.select(F.bitmap_bucket_number(number).alias("_bucket"), F.bitmap_bit_position(number).alias("_bit")).repartition("_bucket")
+    maps = materialize(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    at = F.bitmap_bit_position("_number")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = rows.select(F.struct(*rows.columns).alias("_all"), F.col(name).alias("_number"))  # whatever its columns are called
+    found = own.join(maps, F.bitmap_bucket_number("_number") == F.col("_bucket"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select("_all.*")
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -213,7 +228,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     rows = _labelled(table.select(F.col(name).alias(_ROW), "doc_id", "text"), words, percent, bands)
     first = rows.where("component is not null and doc_id <=> component_id").groupBy("component").agg(F.min(_ROW).alias(_ROW))
     kept = first.select(_ROW).union(rows.where("component is null").select(_ROW))
-    return table.join(kept.withColumnRenamed(_ROW, name), name, "left_semi").select(*docs.columns)
+    return _among(table, kept, name, _ROW).select(*docs.columns)
 
 
 def _labelled(table: DataFrame, words: int, percent: int, bands: int) -> DataFrame:
@@ -251,8 +266,8 @@ def _linked(texts_: DataFrame, classes: DataFrame, words: int, percent: int, lea
     pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(members.join(pivots, "bucket"))
     # Every later pair has both its ends among these.
-    several = shared.select("node").distinct()
-    sets = materialize(map_arrow(texts_.withColumnRenamed(_ROW, "node").join(several, "node", "left_semi").select("node", "text"), partial(_sets, words=words), "node long, members binary"))
+    several = _among(texts_.withColumnRenamed(_ROW, "node"), shared, "node", "node")
+    sets = materialize(map_arrow(several.select("node", "text"), partial(_sets, words=words), "node long, members binary"))
     signed = classes.select("node", "signature")
     # First each class meets the first of all the pivots of its buckets.
     first = shared.groupBy("node").agg(F.min("pivot").alias("pivot")).where("node <> pivot")
