@@ -479,6 +479,25 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd_docs):
     assert packed.where("piece = 0").count() == odd.count()
 
 
+def test_near_duplicates_move_buckets_once_and_signatures_not(spark, monkeypatch, sf):
+    """Classes are put together without their signatures, and the rows of buckets are shuffled once, however large the tables are."""
+    plans, write = [], neardup.materialize
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(neardup, "materialize", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        neardup.near_duplicates(table(spark, sf, "documents"), 3, 85)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(p.count("Exchange hashpartitioning(bucket#") for p in plans if "explode(buckets" in p) == 1
+    assert not any("Exchange hashpartitioning(set_key#" in p and "signature" in p for p in plans)
+
+
 def test_near_duplicates_leave_texts_where_they_are(spark, sf):
     """Rows are picked by bitmaps of their numbers, which are small where lists of numbers aren't; columns may have any names."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit(1).alias("_bits"), F.lit(2).alias("_BUCKET"), F.lit(3).alias("_number"))

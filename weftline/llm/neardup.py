@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, numbered, texts
@@ -113,7 +113,7 @@ def _sketch(batch: pa.RecordBatch, words: int, bands: int, rows: int) -> pa.Reco
 def _sets(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
     hashes, counts = shingle_sets(texts(batch.column(1)), words)
     parts = np.split(hashes, np.cumsum(counts)[:-1])
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "members"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "n", "members"])
 
 
 def _spread(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -185,14 +185,23 @@ def _state(edges: DataFrame) -> tuple:
     return got["n"], got["h"]
 
 
+def _bitmaps(some: DataFrame, number: str) -> DataFrame:
+    """The numbers in ``some`` (``number``), which may repeat, as bitmaps with a bit for each row of the documents."""
+    bits = some.select(F.bitmap_bucket_number(number).alias("_bucket"), F.bitmap_bit_position(number).alias("_bit")).repartition("_bucket")
+    return materialize(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+
+
 def _among(rows: DataFrame, some: DataFrame, name: str, number: str) -> DataFrame:
-    """The rows whose number (``name``) is one of the numbers in ``some`` (``number``), which may repeat.
+    """The rows whose number (``name``) is one of the numbers in ``some`` (``number``), which may repeat."""
+    return _picked(rows, name, _bitmaps(some, number))
+
 
-    Texts aren't shuffled for that: the numbers become bitmaps, a bit for each row, which Spark sends to the rows
+def _picked(rows: DataFrame, name: str, maps: DataFrame) -> DataFrame:
+    """The rows whose number (``name``) is set in ``maps`` (``_bitmaps``).
+
+    Texts, sets and signatures aren't shuffled for that: Spark sends the bitmaps to the rows
     while their table is small enough for a broadcast (2 MB for 16 million rows).
     """
-    bits = some.select(F.bitmap_bucket_number(number).alias("_bucket"), F.bitmap_bit_position(number).alias("_bit")).repartition("_bucket")
-    maps = materialize(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
     at = F.bitmap_bit_position("_number")
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     own = rows.select(F.struct(*rows.columns).alias("_all"), F.col(name).alias("_number"))  # whatever its columns are called
@@ -239,15 +248,11 @@ def _labelled(table: DataFrame, words: int, percent: int, bands: int) -> DataFra
     texts_ = table.select(_ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = f"{_ROW} long, doc_id long, n_shingles long, set_key binary, signature binary, buckets array<long>"
     sketch = materialize(map_arrow(texts_, partial(_sketch, words=words, bands=bands, rows=rows), schema))
-    # All rows of a class have the same signature: any will do. A class's node is the number of its first row.
-    classes = materialize(
-        sketch.where("set_key is not null").groupBy("set_key").agg(
-            F.min(_ROW).alias("node"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
-            F.first("signature").alias("signature"), F.first("buckets").alias("buckets"),
-        )
-    )
-    joined = _linked(texts_, classes, words, percent, least)
-    placed = classes.select("set_key", "node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # All rows of a class have the same signature: that of its first row, whose number is the class's node, stays where it is.
+    classes = materialize(sketch.where("set_key is not null").groupBy("set_key").agg(F.min(_ROW).alias("node"), F.min("doc_id").alias("doc_id")))
+    firsts = _among(sketch.select(F.col(_ROW).alias("node"), "signature", "buckets"), classes, "node", "node")
+    joined = _linked(texts_, firsts, words, percent, least)
+    placed = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = placed.join(names, "component").select("set_key", "component", F.col("component_id").alias("least_id"))
     return sketch.join(found, "set_key", "left").select(
@@ -260,20 +265,22 @@ def _alike(n: str, other: str, percent: int) -> Column:
     return 100 * F.least(n, other) >= percent * F.greatest(n, other)
 
 
-def _linked(texts_: DataFrame, classes: DataFrame, words: int, percent: int, least: float) -> DataFrame:
-    """``node, component`` for every class that is linked."""
-    members = classes.select("node", "n", F.explode("buckets").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    shared = materialize(members.join(pivots, "bucket"))
+def _linked(texts_: DataFrame, firsts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """``node, component`` for every class (node, signature, buckets) that is linked."""
+    # Hardly any bucket holds several classes: its rows move once, and a window finds their first and last.
+    members, bucket = firsts.select("node", F.explode("buckets").alias("bucket")), Window.partitionBy("bucket")
+    ends = members.select("*", F.min("node").over(bucket).alias("pivot"), F.max("node").over(bucket).alias("last"))
+    shared = materialize(ends.where("pivot < last").drop("last"))
     # Every later pair has both its ends among these.
-    several = _among(texts_.withColumnRenamed(_ROW, "node"), shared, "node", "node")
-    sets = materialize(map_arrow(several.select("node", "text"), partial(_sets, words=words), "node long, members binary"))
-    signed = classes.select("node", "signature")
+    several = _bitmaps(shared, "node")
+    read = _picked(texts_.select(F.col(_ROW).alias("node"), "text"), "node", several)
+    sets = materialize(map_arrow(read, partial(_sets, words=words), "node long, n long, members binary"))
+    signed = materialize(_picked(firsts.select("node", "signature"), "node", several))
     # First each class meets the first of all the pivots of its buckets.
     first = shared.groupBy("node").agg(F.min("pivot").alias("pivot")).where("node <> pivot")
     links = _verify(first.select(*_ordered(F.col("node"), F.col("pivot"))), signed, sets, least, percent)
     joined = components(links)
-    rest = _unresolved(shared, joined)
+    rest = _unresolved(shared.join(sets.select("node", "n"), "node"), joined)
     if rest.isEmpty():
         return joined
     rest = _possible(rest, sets, percent)
@@ -308,7 +315,7 @@ def _possible(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     What two classes have in common lies in the shared part of each: beside the smallest set of a bucket
     that bounds the similarity with any other. A shingle counts as shared when two classes of ``rest`` have it.
     """
-    own = sets.join(rest.select("node").distinct(), "node", "left_semi")
+    own = _among(sets.select("node", "members"), rest, "node", "node")
     single = map_arrow(own, _spread, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
     alone = single.groupBy("node").agg(F.count("*").alias("alone"))
     rows = rest.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
@@ -338,7 +345,7 @@ def _tiles(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     last = F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1))).where("own <> other")
     tiles = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
-    return tiles.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(partial(_tile_links, percent=percent), "a long, b long")
+    return tiles.join(_among(sets.select("node", "members"), rest, "node", "node"), "node").groupBy("bucket", "i", "j").applyInPandas(partial(_tile_links, percent=percent), "a long, b long")
 
 
 def _tile_links(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -375,5 +382,6 @@ def _tile_links(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _verify(pairs: DataFrame, signed: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
-    close = map_arrow(_with_both(pairs, signed, "signature"), partial(_agree, least=least), "a long, b long", rows=4096)
-    return materialize(map_arrow(_with_both(close, sets, "members"), partial(_confirm, percent=percent), "a long, b long"))
+    close = materialize(map_arrow(_with_both(pairs, signed, "signature"), partial(_agree, least=least), "a long, b long", rows=4096))
+    met = _among(sets, close.select("a").union(close.select("b")), "node", "a")
+    return materialize(map_arrow(_with_both(close, met, "members"), partial(_confirm, percent=percent), "a long, b long"))
