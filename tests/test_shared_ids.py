@@ -2,6 +2,7 @@
 
 from weftline.operators import orders
 from weftline.sources import tables
+from weftline.streaming import jobs
 
 SHARED = [(1, 10, 20), (1, 10, 21), (2, 10, 20)]
 
@@ -35,3 +36,26 @@ def test_the_outcome_of_an_id_does_not_depend_on_the_order_of_rows(spark):
     for rows in (said, said[::-1]):
         done = orders.completions(held, stock, mapped, spark.createDataFrame(rows, outcome).coalesce(1))
         assert sorted((r["order_id"], r["user_id"], r["status"], r["result"]) for r in done.collect()) == [(1, 20, "CONFIRMED", "APPLIED"), (2, 30, "CANCELLED", "APPLIED")]
+
+
+def _joins(df):
+    return df._jdf.queryExecution().analyzed().toString().count("Join ")
+
+
+def test_an_order_of_an_id_with_two_reservations_is_decided_once(spark, tmp_path):
+    """Before, each reservation of an id gave a row, and which of them counted followed from the order of rows; a batch also joined the buyers' open orders."""
+    schema = "order_id long, sku_id long, user_id long"
+    held = spark.createDataFrame([(i, s, u, "PENDING", None) for i, s, u in SHARED], f"{schema}, state string, keep_buyer boolean")
+    spark.createDataFrame(SHARED, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    sku, stock = spark.createDataFrame([(10, 4)], "id long, stock int"), spark.createDataFrame([(10, 4)], "sku_id long, stock long")
+    mapped, before = orders.buyer_orders(held), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        with jobs.state_store(spark):
+            decided = jobs.order_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), sku, held, stock, mapped)
+            out = jobs.run_to_files(decided, f"{tmp_path}/out", f"{tmp_path}/check").select("order_id", "user_id", "status", "err", "result", "fresh").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # Order 2 is the open one of the buyer, whose order 1 was first and so has the item.
+    assert sorted(map(tuple, out), key=str) == [(1, 20, "CONFIRMED", None, "BUYER_ORDER_LOST", True), (1, 21, None, "PAYLOAD_CONFLICT", None, False), (2, 20, "CANCELLED", None, "APPLIED", True)]
+    assert _joins(decided) == 3
