@@ -59,3 +59,13 @@ def test_an_order_of_an_id_with_two_reservations_is_decided_once(spark, tmp_path
     # Order 2 is the open one of the buyer, whose order 1 was first and so has the item.
     assert sorted(map(tuple, out), key=str) == [(1, 20, "CONFIRMED", None, "BUYER_ORDER_LOST", True), (1, 21, None, "PAYLOAD_CONFLICT", None, False), (2, 20, "CANCELLED", None, "APPLIED", True)]
     assert _joins(decided) == 3
+
+
+def test_a_batch_of_admission_joins_its_buyers_once(spark, tmp_path):
+    """Before, a batch joined marks of buyers and their open orders one after the other."""
+    schema = "order_id long, sku_id long, user_id long"
+    spark.createDataFrame(SHARED, schema).write.parquet(f"{tmp_path}/in")
+    held = spark.createDataFrame([(9, 10, 20, "PENDING", None)], f"{schema}, state string, keep_buyer boolean")
+    stock = spark.createDataFrame([(10, 4)], "sku_id long, stock long")
+    admitted = jobs.admission_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), stock, held.select("sku_id", "user_id"), held)
+    assert _joins(admitted) == 3
