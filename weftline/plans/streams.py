@@ -107,11 +107,12 @@ def _relay(t: Tables) -> DataFrame:
 def _timed_retries(t: Tables) -> DataFrame:
     """Outcomes that fail up to four times and come again two seconds after each failure, the last one when no message comes any more."""
     outcomes = t.order_outcome.select(F.col("order_id").alias("id"), "status")
+    n = outcomes.count()
     stream, folder = stream_of(t, [outcomes.where(f"id % 2 = {k}") for k in range(2)], "retries")
     process = lambda df: df.withColumn("err", F.when(F.col("attempt") < F.col("id") % 5, "NOT_YET"))
     with jobs.state_store(t.spark, retries.TIMERS):
-        job = retries.timed_retries(stream, process, f"{folder}/out", f"{folder}/check", delay=2, slots=16)
-        retries.wait_until_settled(t.spark, job, f"{folder}/out", outcomes.count())
+        job = retries.timed_retries(stream, process, f"{folder}/out", f"{folder}/check", delay=2, slots=max(16, n // 20_000))
+        retries.wait_until_settled(t.spark, job, f"{folder}/out", n)
     ends = [retries.settled(t.spark, f"{folder}/out", name).withColumn("outcome", F.lit(name.upper())) for name in ("good", "dead")]
     return ends[0].unionByName(ends[1]).select("id", "attempt", "outcome", (F.col("tried_at") >= F.col("due")).alias("in_time"))
 
