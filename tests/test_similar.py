@@ -50,3 +50,22 @@ def test_recall_of_the_query(spark, sf):
     exact = retrieval.vector_topk(vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors)
     share, same = recall(queries()["ret1_approximate_topk"](spark, sf), exact)
     assert same and share >= 0.9
+
+
+def test_no_pairs_but_the_best_are_shuffled(spark, monkeypatch):
+    """Before, every pair of a query and a chunk that shared a bucket came to the ranking. The best are those of all pairs that meet, pair by pair."""
+    rng, ranked = np.random.default_rng(5), []
+    real = similar.topk_per_group
+    monkeypatch.setattr(similar, "topk_per_group", lambda df, *a: ranked.append(df) or real(df, *a))
+    rows = [(f"c{i:03}", rng.standard_normal(8).tolist(), 0, 0) for i in range(700)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<double>, post_id int, version int")
+    asked = chunks.limit(30).selectExpr("cast(substr(chunk_id, 2) as int) as query_id", "embedding", "post_id", "version")
+    for flips in (1, 3):  # few and most of the nearest pairs meet
+        got = similar.approximate_topk(asked, chunks, k=20, tables=2, bits=8, flips=flips)
+        assert ranked[-1].count() <= 30 * 20
+        sketches = {r["chunk_id"]: r["s"] for r in chunks.select("chunk_id", similar.sketch(chunks["embedding"], 2, 8).alias("s")).collect()}
+        near = lambda a, b: any(((sketches[a] ^ sketches[b]) >> 8 * t & 255).bit_count() <= flips for t in range(2))
+        unit = {c: np.array(v) / np.linalg.norm(v) for c, v, _, _ in rows}
+        want = {i: sorted(((-round(float(unit[f"c{i:03}"] @ unit[c]), 6), c) for c in unit if near(f"c{i:03}", c)))[:20] for i in range(30)}
+        found = got.collect()
+        assert sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 5)) for r in found) == sorted((i, n + 1, c, round(-x, 5)) for i, hits in want.items() for n, (x, c) in enumerate(hits))
